@@ -132,8 +132,7 @@ def phrases(table: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> np.nd
         if len(miss):
             if k:
                 count[miss] += 1
-            fresh = flat[64 + c[miss].astype(np.int64)]
-            to[miss] = np.where(fresh == 0, 1, fresh)  # a symbol never seen is a phrase of its own
+            to[miss] = flat[SYMBOLS + c[miss].astype(np.int64)]  # 0, from which all miss, if the symbol is unknown
         state[:live] = to
     return count
 

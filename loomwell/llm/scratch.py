@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
@@ -62,3 +63,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def filter_documents(docs: DataFrame, decide, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, for which ``decide(text column) -> boolean array`` holds; no shuffle."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)
