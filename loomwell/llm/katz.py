@@ -7,9 +7,10 @@ its freed mass is the unknown word's. R = 0.01 is a reserve that lets contexts b
 A text's tokens are its words and one end; the context of the first is a start mark. All scores are log10.
 
 How it runs. Pass 1 counts words (pre-aggregated per buffer) into a table. Pass 2 deals every token of every text, packed,
-into fragments by its word: there the word's count and all its pairs' counts are known, since all tokens of a pair meet.
+into parts by its word: there the word's count and all its pairs' counts are known, since all tokens of a pair meet. A
+part's task goes through its words in ranges, so its memory is bounded by the range.
 Words with more than 1/65536 of all tokens (so at most 65,536, sent to all tasks with their counts) are dealt by pair
-instead, so a hot word fills no fragment. A fragment writes, for each text, sums that are linear in what is known only
+instead, so a hot word fills no part. A part writes, for each text, sums that are linear in what is known only
 globally (numbers of tokens whose pair has count 1..5); for each context, numbers of followers with count 1..5 and the
 sum of their P1; and for unseen pairs, the context asked for. These tables, partitioned by kind, are then summed per text
 and per context, and the contexts' back-off weights joined to the texts that asked. What is gathered grows with the input.
@@ -30,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm import kernel as K
-from loomwell.llm.scratch import Scratch, free_shuffles, small_batches
+from loomwell.llm.scratch import Scratch, arrow_rows, free_shuffles, small_batches
 
 GT = 5
 RESERVE = 0.01
 END, START = np.uint64(0xA5C1E9D3B7F02461), np.uint64(0x5B3D9F1742C8E0A7)
-FLUSH_TOKENS = 1_500_000
-FRAGMENT_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_500_000
+PART_TOKENS = 16_000_000  # of one task, which handles SUB_TOKENS at a time
+SUB_TOKENS = 1_000_000
 HOT_SHARE = 65_536
 
 
@@ -131,7 +133,11 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 DOC = np.dtype([("key", np.int64), ("id", np.int64), ("has_id", np.int8), ("train", np.int8)])
 
 
-def _deal(shared, fragments: int):
+def _deal(shared, parts: int, subs: int):
+    """Tokens by part and sub-range of their place. A buffer sends each part one table of its texts there (sub -1), and
+    each sub-range its tokens, sorted by word and context: flags where a word and a pair begin, contexts (hot ones by
+    their number), and the texts' numbers in that table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value.hot
         held: list[tuple] = []
@@ -143,30 +149,37 @@ def _deal(shared, fragments: int):
             doc, v, u = (np.concatenate(x) for x in zip(*held))
             table = np.concatenate(tables)
             held, tables, size, texts = [], [], 0, 0
-            # fragments are ranges of v's hash, of the pair's for hot words
+            uid = int(K.mix(np.array([table["key"].sum() + len(v)]).view(np.uint64))[0] >> np.uint64(1))
+            # ranges of the word's hash, of the pair's for hot words
             is_hot, _ = _find(hot, v)
             place = np.where(is_hot, K.mix(u * K.PLACES[0] + v), v)
             order = np.argsort((place & np.uint64(0xFFFFFFFF00000000)) | (K.mix(u) >> np.uint64(32)))
             doc, v, u, place = doc[order], v[order], u[order], place[order]
-            frag = ((place >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-            cuts = np.searchsorted(frag, np.arange(fragments + 1))
-            out_f, out_p = [], []
-            for f in range(fragments):
-                lo, hi = int(cuts[f]), int(cuts[f + 1])
+            sub = (((place >> np.uint64(32)) * np.uint64(parts * subs)) >> np.uint64(32)).astype(np.int64)
+            new_v = K.first_of_run(v, sub)
+            new_pair = new_v | K.first_of_run(u)
+            u_hot, at = _find(hot, u)
+            code = np.where(u_hot, at + 1, 0).astype(np.uint16)
+            rows: list[tuple[int, int, bytes]] = []
+            cuts = np.searchsorted(sub, np.arange(parts * subs + 1))
+            for p in range(parts):
+                lo, hi = int(cuts[p * subs]), int(cuts[(p + 1) * subs])
                 if lo == hi:
                     continue
-                a, b, t = v[lo:hi], u[lo:hi], doc[lo:hi]
-                new = K.first_of_run(a, b)
-                pairs = np.flatnonzero(new)
-                pv = a[pairs]
-                vnew = np.flatnonzero(K.first_of_run(pv))
-                used, local = np.unique(t, return_inverse=True)
-                per_pair = np.diff(np.append(pairs, hi - lo)).astype(np.uint32)
-                per_v = np.diff(np.append(vnew, len(pairs))).astype(np.uint32)
-                head = np.array([len(vnew), len(pairs), hi - lo, len(used)], np.int64)
-                out_f.append(f)
-                out_p.append(b"".join(x.tobytes() for x in (head, pv[vnew], b[pairs], table[used], per_v, per_pair, local.astype(np.uint16))))
-            return pa.RecordBatch.from_arrays([pa.array(out_f, pa.int32()), pa.array(out_p, pa.binary())], ["f", "payload"])
+                used, local = np.unique(doc[lo:hi], return_inverse=True)
+                rows.append((p, -1, b"".join((np.array([uid, len(used)]).tobytes(), table[used].tobytes()))))
+                for k in range(subs):
+                    a, b = int(cuts[p * subs + k]), int(cuts[p * subs + k + 1])
+                    if a == b:
+                        continue
+                    pairs, full = new_pair[a:b], u[a:b][new_pair[a:b]]
+                    codes = code[a:b][pairs]
+                    words = v[a:b][new_v[a:b]]
+                    cold = full[codes == 0]
+                    head = np.array([uid, b - a, len(codes), len(words), len(cold)], np.int64)
+                    bits = (np.packbits(pairs), np.packbits(new_v[a:b][pairs]))
+                    rows.append((p, k, b"".join(x.tobytes() for x in (head, words, cold, codes, local[a - lo : b - lo].astype(np.uint16), *bits))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "sub", "payload"])
 
         for batch in batches:
             ids = batch.column(0)
@@ -181,10 +194,11 @@ def _deal(shared, fragments: int):
                 rows = slice(w.first, w.first + w.n_docs)
                 table["id"], table["has_id"], table["train"] = number[rows], known[rows], train[rows]
                 # a row's key: its doc_id and all its words in order
-                place = np.arange(len(v)).astype(np.uint64) - (np.cumsum(np.bincount(doc)) - np.bincount(doc)).astype(np.uint64)[doc]
+                each = np.bincount(doc)
+                ends = np.cumsum(each)
+                place = (np.arange(len(v)) - (ends - each)[doc]).astype(np.uint64)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(v + K.mix(place)), dtype=np.uint64)))
-                ends = np.cumsum(np.bincount(doc))
-                table["key"] = K.long_of(K.mix(sums[ends] - sums[np.concatenate(([0], ends[:-1]))] + K.mix(table["id"].view(np.uint64) + table["has_id"].astype(np.uint64))))
+                table["key"] = K.long_of(K.mix(sums[ends] - sums[ends - each] + K.mix(table["id"].view(np.uint64) + table["has_id"].astype(np.uint64))))
                 held.append((doc + texts, v, u))
                 tables.append(table)
                 size, texts = size + len(v), texts + w.n_docs
@@ -214,85 +228,160 @@ def _batch(kind: int, size: int, **columns: np.ndarray | pa.Array) -> pa.RecordB
     return pa.RecordBatch.from_arrays(arrays, COLUMNS)
 
 
-def _fragment_sums(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni: Unigrams = shared.value
-        vs, us, docs, pair_docs = [], [], [], []
-        n_docs = n_pairs = 0
-        pair_of = []
-        for batch in batches:
-            for payload in batch.column(1):
-                buf = payload.as_buffer()
-                nv, np_, nt, nd = (int(x) for x in np.frombuffer(buf, np.int64, 4))
-                at = 32
-                v = np.frombuffer(buf, np.uint64, nv, at)
-                u = np.frombuffer(buf, np.uint64, np_, at := at + 8 * nv)
-                table = np.frombuffer(buf, DOC, nd, at := at + 8 * np_)
-                per_v = np.frombuffer(buf, np.uint32, nv, at := at + DOC.itemsize * nd)
-                per_pair = np.frombuffer(buf, np.uint32, np_, at := at + 4 * nv)
-                local = np.frombuffer(buf, np.uint16, nt, at + 4 * np_)
-                vs.append(np.repeat(v, per_v))
-                us.append(u.copy())
-                docs.append(table.copy())
-                pair_of.append(np.repeat(np.arange(n_pairs, n_pairs + np_, dtype=np.int32), per_pair))
-                pair_docs.append(local.astype(np.int32) + n_docs)
-                n_docs, n_pairs = n_docs + nd, n_pairs + np_
-        if not vs:
-            return
-        v, u, table = np.concatenate(vs), np.concatenate(us), np.concatenate(docs)
-        pair, doc = np.concatenate(pair_of), np.concatenate(pair_docs)
-        del vs, us, docs, pair_of, pair_docs
-        train = table["train"].astype(bool)
-        own = np.bincount(pair, weights=train[doc], minlength=n_pairs).astype(np.int64)  # of each buffer's pair
+INTS = ("n", "known", *(f"k{r}" for r in range(GT + 1)))
+
+
+class _Part:
+    """Sums over the sub-ranges of one part: by text, by context, and of pairs by count."""
+
+    def __init__(self, uni: Unigrams):
+        self.uni = uni
+        self.base: dict[int, int] = {}  # of a buffer's texts in the part's table
+        self.tables: list[np.ndarray] = []
+        self.n_docs = 0
+        self.table: np.ndarray | None = None
+        self.contexts: tuple | None = None
+        self.hist = np.zeros(GT + 3, np.int64)
+        self.asks: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add_texts(self, buf) -> None:
+        uid, n = (int(x) for x in np.frombuffer(buf, np.int64, 2))
+        self.base[uid] = self.n_docs
+        self.tables.append(np.frombuffer(buf, DOC, n, 16).copy())
+        self.n_docs += n
+
+    def start(self) -> None:
+        if self.table is None:
+            self.table = np.concatenate(self.tables)
+            self.tables = []
+            self.ints = {c: np.zeros(self.n_docs, np.int64) for c in INTS}
+            self.x, self.y = np.zeros(self.n_docs), np.zeros(self.n_docs)
+
+    def add_tokens(self, payloads: list) -> None:
+        self.start()
+        uni, n_docs = self.uni, self.n_docs
+        vs, us, pair_of, doc_of = [], [], [], []
+        n_pairs = 0
+        for buf in payloads:
+            uid, nt, np_, nv, nc = (int(x) for x in np.frombuffer(buf, np.int64, 5))
+            at = 40
+            words = np.frombuffer(buf, np.uint64, nv, at)
+            cold = np.frombuffer(buf, np.uint64, nc, at := at + 8 * nv)
+            codes = np.frombuffer(buf, np.uint16, np_, at := at + 8 * nc)
+            local = np.frombuffer(buf, np.uint16, nt, at := at + 2 * np_)
+            pairs = np.unpackbits(np.frombuffer(buf, np.uint8, (nt + 7) // 8, at := at + 2 * nt), count=nt)
+            new_v = np.unpackbits(np.frombuffer(buf, np.uint8, (np_ + 7) // 8, at + (nt + 7) // 8), count=np_)
+            u = np.empty(np_, np.uint64)
+            u[codes > 0] = uni.hot[codes[codes > 0].astype(np.int64) - 1]
+            u[codes == 0] = cold
+            us.append(u)
+            vs.append(words[np.cumsum(new_v, dtype=np.int64) - 1])
+            pair_of.append(np.cumsum(pairs, dtype=np.int32) + np.int32(n_pairs - 1))
+            doc_of.append(local.astype(np.int32) + np.int32(self.base[uid]))
+            n_pairs += np_
+        v, u, pair, doc = (np.concatenate(x) for x in (vs, us, pair_of, doc_of))
+        del vs, us, pair_of, doc_of
+        own = np.bincount(pair, weights=self.table["train"][doc], minlength=n_pairs).astype(np.int64)
         order = np.argsort(K.mix(u * K.PLACES[0] + v))  # all buffers' copies of a pair together
         new = K.first_of_run(v[order], u[order])
-        group = np.empty(n_pairs, np.int64)
-        group[order] = np.cumsum(new) - 1
+        group = np.empty(n_pairs, np.int32)
+        group[order] = np.cumsum(new, dtype=np.int32) - 1
         lead = order[new]
-        c_uv = np.bincount(group, weights=own).astype(np.int64)
+        c = np.bincount(group, weights=own).astype(np.int64)
         gv, gu = v[lead], u[lead]
         words, word_of = np.unique(gv, return_inverse=True)
-        c_v = np.bincount(word_of, weights=c_uv, minlength=len(words)).astype(np.int64)
+        c_v = np.bincount(word_of, weights=c, minlength=len(words)).astype(np.int64)
         is_hot, at = _find(uni.hot, words)
         if is_hot.any():
             c_v[is_hot] = uni.hot_counts[at[is_hot]]
         p1 = uni.p1(c_v)
         base = np.log10((c_v + 0.5) / (uni.total + 0.5 * (uni.distinct + 1)))
         context = np.where((c_v > 0) & (words != END), -np.log10(c_v + RESERVE), 0.0)
-        # value of a token of each pair: as a word after u, and as the context of what follows
-        c = c_uv
+        # a token's value: as a word after its context, and as the context of what follows
         value = np.where(c > GT, np.log10(np.maximum(c, 1)), np.where(c == 0, np.log10(p1)[word_of], 0.0)) + context[word_of]
         g = group[pair]
-        sums = {"x": np.bincount(doc, weights=base[word_of][g], minlength=n_docs), "y": np.bincount(doc, weights=value[g], minlength=n_docs)}
-        ints = {"n": np.bincount(doc, minlength=n_docs), "known": np.bincount(doc, weights=(c_v > 0)[word_of][g], minlength=n_docs)}
-        low = c[g]
+        self.x += np.bincount(doc, weights=base[word_of][g], minlength=n_docs)
+        self.y += np.bincount(doc, weights=value[g], minlength=n_docs)
+        self.ints["n"] += np.bincount(doc, minlength=n_docs)
+        self.ints["known"] += np.bincount(doc[(c_v > 0)[word_of][g]], minlength=n_docs)
+        low = np.minimum(c, GT + 1).astype(np.int8)[g]
         for r in range(1, GT + 1):
-            ints[f"k{r}"] = np.bincount(doc[low == r], minlength=n_docs)
-        ints["k0"] = np.bincount(doc[(gv == END)[g]], minlength=n_docs)  # ends: how often the row occurs
-        for a in range(0, n_docs, 100_000):
-            s = slice(a, min(n_docs, a + 100_000))
-            ids = pa.array(table["id"][s], mask=table["has_id"][s] == 0)
-            yield _batch(0, s.stop - a, a=table["key"][s], b=ids, held=~train[s], **{k: x[s].astype(np.int64) for k, x in ints.items()}, **{k: x[s] for k, x in sums.items()})
-        # contexts: followers by count, and the sum of their P1
-        seen = np.flatnonzero(c > 0)
-        contexts, which = np.unique(gu[seen], return_inverse=True)
-        follow = {f"k{r}": np.bincount(which[c[seen] == r], minlength=len(contexts)).astype(np.int64) for r in range(1, GT + 1)}
-        mass = np.bincount(which, weights=p1[word_of[seen]], minlength=len(contexts))
-        for a in range(0, len(contexts), 100_000):
-            s = slice(a, min(len(contexts), a + 100_000))
-            yield _batch(1, s.stop - a, a=K.long_of(contexts[s]), x=mass[s], **{k: x[s] for k, x in follow.items()})
-        # unseen pairs: the text asks for its context's back-off weight
+            self.ints[f"k{r}"] += np.bincount(doc[low == r], minlength=n_docs)
+        if (words == END).any():  # ends: how often the row occurs
+            self.ints["k0"] += np.bincount(doc[(gv == END)[g]], minlength=n_docs)
         ask = np.flatnonzero(low == 0)
-        au, ad = gu[g[ask]], doc[ask]
-        order = np.lexsort((ad, au))
-        au, ad = au[order], ad[order]
-        new = np.flatnonzero(K.first_of_run(au, ad))
-        times = np.diff(np.append(new, len(au)))
-        for a in range(0, len(new), 100_000):
-            s = new[a : a + 100_000]
-            yield _batch(2, len(s), a=K.long_of(au[s]), b=table["key"][ad[s]], n=times[a : a + 100_000].astype(np.int64))
-        hist = np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)
-        yield _batch(3, 1, **{f"k{r - 1}": np.array([hist[r]]) for r in range(1, GT + 2)})
+        self.asks.append((gu[g[ask]], doc[ask]))
+        seen = np.flatnonzero(c > 0)
+        few = np.zeros((len(seen), GT), np.int32)
+        small = np.flatnonzero(c[seen] <= GT)
+        few[small, c[seen][small] - 1] = 1
+        self._merge(gu[seen], few, p1[word_of[seen]])
+        self.hist += np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)
+
+    def _merge(self, u: np.ndarray, few: np.ndarray, mass: np.ndarray) -> None:
+        if self.contexts is not None:
+            u, few, mass = np.concatenate((self.contexts[0], u)), np.concatenate((self.contexts[1], few)), np.concatenate((self.contexts[2], mass))
+        if len(u):
+            order = np.argsort(u)
+            u = u[order]
+            starts = np.flatnonzero(K.first_of_run(u))
+            self.contexts = u[starts], np.add.reduceat(few[order], starts), np.add.reduceat(mass[order], starts)
+
+    def asked(self) -> Iterator[pa.RecordBatch]:
+        """Unseen pairs so far: each text asks for its context's back-off weight."""
+        if not self.asks:
+            return
+        u, d = (np.concatenate(x) for x in zip(*self.asks))
+        self.asks = []
+        order = np.lexsort((d, u))
+        u, d = u[order], d[order]
+        new = np.flatnonzero(K.first_of_run(u, d))
+        times = np.diff(np.append(new, len(u)))
+        for a in range(0, len(new), 50_000):
+            s = new[a : a + 50_000]
+            yield _batch(2, len(s), a=K.long_of(u[s]), b=self.table["key"][d[s]], n=times[a : a + 50_000].astype(np.int64))
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        self.start()
+        yield from self.asked()
+        t = self.table
+        for a in range(0, self.n_docs, 50_000):
+            s = slice(a, min(self.n_docs, a + 50_000))
+            ids = pa.array(t["id"][s], mask=t["has_id"][s] == 0)
+            yield _batch(0, s.stop - a, a=t["key"][s], b=ids, held=t["train"][s] == 0, x=self.x[s], y=self.y[s], **{k: x[s] for k, x in self.ints.items()})
+        if self.contexts is not None:
+            u, few, mass = self.contexts
+            for a in range(0, len(u), 50_000):
+                s = slice(a, min(len(u), a + 50_000))
+                yield _batch(1, s.stop - a, a=K.long_of(u[s]), x=mass[s], **{f"k{r}": few[s, r - 1].astype(np.int64) for r in range(1, GT + 1)})
+        yield _batch(3, 1, **{f"k{r - 1}": self.hist[r : r + 1] for r in range(1, GT + 2)})
+
+
+def _part_sums(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: _Part | None = None
+        at: tuple[int, int] | None = None
+        held: list = []
+        for batch in batches:
+            for p, k, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (p, k) != at:
+                    if held:
+                        part.add_tokens(held)
+                        held = []
+                        yield from part.asked()
+                    if at is None or p != at[0]:
+                        if part is not None:
+                            yield from part.results()
+                        part = _Part(shared.value)
+                    at = (p, k)
+                if k < 0:
+                    part.add_texts(payload.as_buffer())
+                else:
+                    held.append(payload.as_py())
+        if held:
+            part.add_tokens(held)
+        if part is not None:
+            yield from part.results()
 
     return run
 
@@ -310,9 +399,13 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scr
     n_train = words.filter(F.col("w") == int(END.astype(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     free_shuffles(spark)
     shared = spark.sparkContext.broadcast(uni)
-    fragments = max(1, -(-uni.total * folds // ((folds - 1) * FRAGMENT_TOKENS)))
-    dealt = docs.mapInArrow(_deal(shared, fragments), "f int, payload binary").repartition(fragments, "f")
-    parts = scratch.table(dealt.mapInArrow(_fragment_sums(shared), OUT), "parts", partition_by="kind")
+    expected = uni.total * folds // (folds - 1)
+    parts = max(1, -(-expected // PART_TOKENS), min(spark.sparkContext.defaultParallelism, expected // SUB_TOKENS))
+    subs = max(1, -(-expected // (parts * SUB_TOKENS)))
+    dealt = docs.mapInArrow(_deal(shared, parts, subs), "part int, sub int, payload binary")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "sub")
+    with arrow_rows(spark, 64):  # a row of tokens holds up to some 100 kB
+        parts = scratch.table(dealt.mapInArrow(_part_sums(shared), OUT), "parts", partition_by="kind")
     del dealt
     free_shuffles(spark)
     row = parts.filter("kind = 3").agg(*[F.sum(f"k{r}") for r in range(GT + 1)]).first()

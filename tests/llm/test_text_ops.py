@@ -106,7 +106,8 @@ def brute_katz(rows):
 
 @pytest.mark.parametrize("hot", [65_536, 50])
 def test_katz(docs, corpus, monkeypatch, hot):
-    monkeypatch.setattr(katz, "FRAGMENT_TOKENS", 3000)
+    monkeypatch.setattr(katz, "PART_TOKENS", 6000)
+    monkeypatch.setattr(katz, "SUB_TOKENS", 1500)
     monkeypatch.setattr(katz, "HOT_SHARE", hot)
     key = lambda r: (r[0], r[2])
     got = sorted((tuple(r) for r in katz.score_documents(docs).collect()), key=key)
