@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_COVERAGE, WINDOW, SPAN = 0.6, 5, 160
 _TOKEN = re.compile(r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*|[㐀-鿿]+|[.!?。！？;；\n]")
@@ -65,17 +66,17 @@ def cause_sentence(query: str | None, text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lexical_coverage(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([coverage(q, t) for q, t in zip(query, text)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cause_evidence(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([cause_sentence(q, t) for q, t in zip(query, text)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -95,4 +96,4 @@ def table_value(text: str | None, quarter: str, row: str) -> str | None:
 
 
 def quarter_value(quarter: str, row: str):
-    return F.pandas_udf(lambda text: pd.Series([table_value(t, quarter, row) for t in text]), "string")
+    return F.pandas_udf(lambda text: pd.Series([table_value(t, quarter, row) for t in text]), T.StringType())

@@ -70,9 +70,13 @@ def layered_match(names: DataFrame, pages: DataFrame, aliases: DataFrame) -> Dat
     return names.join(best, "name", "left").withColumn("layer", F.coalesce("layer", F.lit("new")))
 
 
+# Fixed value: punctuation that becomes a hyphen in slugs.
+SLUG_PUNCTUATION = "[：，。！？、；·…—～“”‘’（）()【】《》〈〉「」『』.,!?;:\"']"
+
+
 def slug_name(title: Column) -> Column:
     """Lower-case name with hyphens for punctuation and spaces; Han, letters a-z and digits stay; a hash where nothing is left."""
-    t = F.regexp_replace(title, r"[/\\_.,:;!?()（）·、，。：；！？&+]", "-")
+    t = F.regexp_replace(title, SLUG_PUNCTUATION, "-")
     t = F.regexp_replace(F.lower(t), r"[^\p{IsHan}a-z0-9\s-]", "")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(t), r"\s+", "-"), r"-+", "-"), r"^-|-$", "")
     return F.when(t.rlike(r"[\p{IsHan}a-z0-9]"), t).otherwise(F.concat(F.lit("untitled-"), F.substring(F.md5(title), 1, 8)))

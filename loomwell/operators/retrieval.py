@@ -155,6 +155,12 @@ def fuse(hits: DataFrame, weights: DataFrame, limit: int = 20, k: int = RRF_K) -
     return boosted.select("slug", score.alias("score"), "hits", "best").orderBy(F.desc("score"), "slug").limit(limit)
 
 
+def fuse_post_rank(results: DataFrame) -> DataFrame:
+    """Recall's last order: record pages count half."""
+    score = F.when(F.col("slug").startswith("records/"), F.col("score") * RECORD_FACTOR).otherwise(F.col("score"))
+    return results.withColumn("score", score).orderBy(F.desc("score"), "slug")
+
+
 def channel(name: str, hits: DataFrame, variant: str = "original") -> DataFrame:
     return hits.select(F.lit(name).alias("channel"), F.lit(variant).alias("variant"), "slug", F.col("score").cast("double").alias("score"))
 

@@ -37,12 +37,12 @@ def bm25(terms: list[str], limit: int = 20) -> str:
     return f"WITH p AS (SELECT page_slug AS slug, sum(greatest(length(content) - 2, 0)) AS dl, {cols} FROM kchunks GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM p) SELECT slug, round({s}, 5) AS score FROM p, s WHERE {hit} ORDER BY {s} DESC, slug LIMIT {limit}"
 
 
-query("f1_trigram_phrase", lambda k: V.trigram_search(k.kchunks, "secret").withColumn("score", F.round("score", 5)), bm25(["secret"]))
+query("f1_trigram_phrase", lambda k: V.trigram_search(k.kchunks, "passw").withColumn("score", F.round("score", 5)), bm25(["passw"]))
 query("f1_trigram_bm25", lambda k: V.trigram_search(k.kchunks, "password=").withColumn("score", F.round("score", 5)), bm25(V.trigrams("password=")))
 query("f4_index_coverage", lambda k: V.index_coverage(k.kpages.filter("type = 'record'"), k.kchunks.select(F.col("page_slug").alias("slug")).distinct()),
       "SELECT slug, 'missing' AS state FROM kpages WHERE type = 'record' AND slug NOT IN (SELECT page_slug FROM kchunks) UNION ALL SELECT DISTINCT page_slug, 'stale' FROM kchunks WHERE page_slug NOT IN (SELECT slug FROM kpages WHERE type = 'record')")
 query("f5_detail_terms", lambda k: k.kchunks.filter("chunk_index = 0").select("page_slug", F.array_join(V.detail_terms(F.col("content")), "|").alias("terms")), None)
-query("f11_dominant_hit", lambda k: V.dominant_hit(V.trigram_search(k.kchunks, "secret").withColumn("coverage", F.lit(1.0))), None)
+query("f11_dominant_hit", lambda k: V.dominant_hit(V.trigram_search(k.kchunks, "passw").withColumn("coverage", F.lit(1.0)), ratio=1.0).select("slug", F.round("score", 5).alias("score")), f"SELECT slug, score FROM ({bm25(['passw'], 1)}) x")
 query("f12_quality_gate", lambda k: V.quality_gate(k.kpages.select("slug", (F.col("mention_count") / 100.0).alias("score"), (F.col("tier") == 1).alias("exact")), R.bare_stubs(k.kpages, k.klinks)).select("slug", F.round("score", 6).alias("score")),
       f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS n FROM e GROUP BY 1),
           s AS (SELECT p.slug FROM kpages p LEFT JOIN d ON d.slug = p.slug WHERE tier = 3 AND (type LIKE 'entity/%' OR type LIKE 'concept/%') AND mention_count <= 1 AND coalesce(n, 0) <= 1),
@@ -59,7 +59,7 @@ query("f15_evidence_pack", lambda k: V.evidence_pack(k.kpages.filter("type = 'en
 # ---- vectors ----
 Q = "(SELECT vector AS q FROM kvectors WHERE vec_id = 0)"
 COS = "list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(q AS DOUBLE[]))"
-L2 = "list_sum(list_transform(list_zip(CAST(vector AS DOUBLE[]), CAST(q AS DOUBLE[])), x -> (x[1] - x[2]) * (x[1] - x[2])))"
+L2 = "list_sum(list_transform(list_zip(CAST(vector AS DOUBLE[]), CAST(q AS DOUBLE[])), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
 query("v1_knn_l2", lambda k: V.nearest(k.kvectors, query_vector(k), 15).select("vec_id", F.round("distance", 5).alias("distance")), f"SELECT vec_id, round({L2}, 5) AS distance FROM kvectors, {Q} ORDER BY {L2}, vec_id LIMIT 15")
 query("v1_knn_cosine", lambda k: V.nearest(k.kvectors, query_vector(k), 15, "cosine").select("vec_id", F.round("distance", 5).alias("distance")), f"SELECT vec_id, round(1 - {COS}, 5) AS distance FROM kvectors, {Q} ORDER BY 1 - {COS}, vec_id LIMIT 15")
 VP = f"""WITH h AS (SELECT page_slug AS slug, chunk_index, 1 - {COS} AS d FROM kvectors, {Q} ORDER BY d, vec_id LIMIT 30), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY chunk_index <> -1, d, chunk_index) AS rn, min(d) OVER (PARTITION BY slug) AS first FROM h)
@@ -101,8 +101,8 @@ query("h8_strongest_support", lambda k: V.strongest_support(k.khits.join(k.kqlog
       "SELECT slug, ch AS channel, round(c, 6) AS cosine, round(v, 6) AS coverage FROM (SELECT h.slug, h.tool AS ch, k / 100e0 AS c, latency_ms / 5000e0 AS v, row_number() OVER (PARTITION BY h.slug, h.tool ORDER BY k / 100e0 DESC, latency_ms / 5000e0 DESC, pos) AS rn FROM khits h JOIN kqlog q ON q.id = h.id) x WHERE rn = 1")
 query("h13_reason_codes", lambda k: V.reason_codes(k.ksearch.select("id", (F.col("hit_count") / 20.0).alias("top_score"), "hit_count", "latency_ms", (F.col("degraded") == 0).alias("parser_ok"))).groupBy("codes").agg(F.count("*").alias("n")),
       "SELECT concat_ws(',', CASE WHEN hit_count = 0 THEN 'no_hits' END, CASE WHEN hit_count > 0 AND hit_count / 20e0 < 0.15e0 THEN 'low_score' END, CASE WHEN latency_ms > 2000 THEN 'latency_warning' END, CASE WHEN degraded <> 0 THEN 'parser_fallback' END) AS codes, count(*) AS n FROM ksearch GROUP BY 1")
-query("h14_recall_post_ranking", lambda k: (lambda r: r.withColumn("score", F.when(F.col("slug").startswith("records/"), F.col("score") * V.RECORD_FACTOR).otherwise(F.col("score"))).orderBy(F.desc("score"), "slug").select("slug", F.round("score", 6).alias("score")))(hybrid(k)),
-      None)
+RAW = HYBRID.replace("round(rrf + 0.15e0 * coalesce(activity_weight, 0) + 0.12e0 * coalesce(hotness_score, 0), 6) AS score", "rrf + 0.15e0 * coalesce(activity_weight, 0) + 0.12e0 * coalesce(hotness_score, 0) AS score")
+query("h14_recall_post_ranking", lambda k: V.fuse_post_rank(hybrid(k)).select("slug", F.round("score", 6).alias("score")), f"SELECT slug, round(CASE WHEN slug LIKE 'records/%' THEN score * 0.5e0 ELSE score END, 6) AS score FROM ({RAW}) z")
 CLUES = "SELECT slug, CASE WHEN updated_at >= TIMESTAMP '2001-06-01 00:00:00' THEN 1e0 ELSE 0e0 END AS time, hotness_score AS topic, CASE WHEN tier = 1 THEN 1e0 ELSE 0e0 END AS event, confidence_decay AS relation, CASE WHEN mention_count > 12 THEN 0.5e0 ELSE 0e0 END AS context FROM kpages WHERE type = 'entity/person'"
 query("h15_episodic_recall", lambda k: V.episode_scores(k.sql(CLUES), limit=20).select("slug", F.round("score", 6).alias("score"), "confidence"),
       f"""WITH c AS ({CLUES}), s AS (SELECT slug, least(1e0, (0.3e0 * time + 0.25e0 * topic + 0.15e0 * event + 0.15e0 * relation + 0.15e0 * context) * (1 + 0.1e0 * greatest(0, CAST(time > 0 AS INT) + CAST(topic > 0 AS INT) + CAST(event > 0 AS INT) + CAST(relation > 0 AS INT) + CAST(context > 0 AS INT) - 1))) AS score FROM c)
@@ -121,7 +121,10 @@ query("h22_retrieval_metrics", lambda k: k.khits.join(k.kfeedback.filter("signal
 EDGES = f"e AS (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT})"
 query("g1_bfs_two_hop", lambda k: G.traverse(k.klinks, k.kpages, "entity/company/s-1", 2, 60), f"WITH RECURSIVE {EDGES}, r AS (SELECT 'entity/company/s-1' AS slug, 0 AS d UNION SELECT v, d + 1 FROM r JOIN e ON u = slug WHERE d < 2), m AS (SELECT slug, min(d) AS depth FROM r GROUP BY slug) SELECT m.slug, depth FROM m JOIN kpages p ON p.slug = m.slug WHERE depth > 0 ORDER BY depth, m.slug LIMIT 60")
 query("g1_bfs_outgoing", lambda k: G.traverse(k.klinks, k.kpages, "entity/person/c-500", 3, 40, direction="out", least_weight=0.3), f"WITH RECURSIVE e AS (SELECT DISTINCT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND weight * confidence >= 0.3e0), r AS (SELECT 'entity/person/c-500' AS slug, 0 AS d UNION SELECT v, d + 1 FROM r JOIN e ON u = slug WHERE d < 3), m AS (SELECT slug, min(d) AS depth FROM r GROUP BY slug) SELECT m.slug, depth FROM m JOIN kpages p ON p.slug = m.slug WHERE depth > 0 ORDER BY depth, m.slug LIMIT 40")
-query("g2_shortest_path", lambda k: G.shortest_path(k.klinks.filter("relation = 'reports_to'"), k.kpages, "entity/person/c-300", "entity/person/c-401"), None)
+query("g2_shortest_path", lambda k: G.shortest_path(k.klinks.filter("relation = 'reports_to'"), k.kpages, "entity/person/c-300", "entity/person/c-401"),
+      f"""WITH RECURSIVE e AS (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND relation = 'reports_to' UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation = 'reports_to'), x AS (SELECT e.* FROM e JOIN kpages p ON p.slug = v),
+          r AS (SELECT 'entity/person/c-300' AS node, 0 AS d UNION SELECT v, d + 1 FROM r JOIN x ON u = node WHERE d < 6), m AS (SELECT node, min(d) AS d FROM r GROUP BY node), b AS (SELECT node AS slug, d AS step FROM m WHERE node = 'entity/person/c-401'
+          UNION ALL SELECT (SELECT min(x.u) FROM x JOIN m ON m.node = x.u AND m.d = b.step - 1 WHERE x.v = b.slug), b.step - 1 FROM b WHERE b.step > 0) SELECT step, slug FROM b""")
 query("g3_related", lambda k: G.related(k.klinks, k.kpages, "entity/location/n-5", 12).select("slug", F.round("blend", 6).alias("blend")), f"WITH {EDGES} SELECT p.slug, round(activity_weight + log10(mention_count + 1), 6) AS blend FROM e JOIN kpages p ON p.slug = v WHERE u = 'entity/location/n-5' ORDER BY activity_weight + log10(mention_count + 1) DESC, p.slug LIMIT 12")
 query("g4_backlinks", lambda k: k.klinks.filter(X.current_fact() & (F.col("to_slug") == "entity/location/n-2") & (F.col("source_type") == "wikilink")).select("from_slug", "relation"), f"SELECT from_slug, relation FROM klinks WHERE {CURRENT} AND to_slug = 'entity/location/n-2' AND source_type = 'wikilink'")
 query("g5_org_tree", lambda k: G.org_tree(k.klinks, k.kpages, "entity/person/c-1", 4, 1000), f"""WITH RECURSIVE e AS (SELECT to_slug AS u, from_slug AS v FROM klinks WHERE {CURRENT} AND relation = 'reports_to'), r AS (SELECT 'entity/person/c-1' AS slug, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, ['entity/person/c-1'] AS path, false AS cyc
