@@ -71,8 +71,8 @@ query("n6_extraction_merges", lambda k: k.sql(FACTS).groupBy("slug").agg(F.count
 query("n7_structured_facts", lambda k: E.best_facts(k.sql(FACTS), {"entity/person": ["birthday", "current_title"]}).select("slug", "field", "value"), f"SELECT slug, field, value FROM (SELECT *, row_number() OVER (PARTITION BY slug, field ORDER BY confidence DESC, value) AS rn FROM ({FACTS}) f WHERE field IN ('birthday', 'current_title')) x WHERE rn = 1")
 query("n9_ingest_outcomes", lambda k: E.ingest_outcomes(k.sql("SELECT doc_id AS id, source AS title, md5(text) AS hash FROM documents"), k.sql("SELECT source AS title, md5(text) AS hash FROM documents WHERE doc_id < 100")).groupBy("outcome").agg(F.count("*").alias("n")),
       "SELECT CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id < 100) THEN 'duplicate' WHEN source IN (SELECT source FROM documents WHERE doc_id < 100) THEN 'updated' ELSE 'created' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
-query("n11_resolve_or_create", lambda k: N.layered_match(k.sql("SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'new ' || p_name END AS name FROM part"), k.kpages.filter("type = 'concept/product'"), k.kaliases).groupBy("layer").agg(F.count("*").alias("n")),
-      "SELECT CASE WHEN name LIKE 'new %' THEN 'new' ELSE 'exact' END AS layer, count(*) AS n FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'new ' || p_name END AS name FROM part) x GROUP BY 1")
+query("n11_resolve_or_create", lambda k: N.layered_match(k.sql("SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'zz ' || p_name END AS name FROM part"), k.kpages.filter("type = 'concept/product'"), k.kaliases).groupBy("layer").agg(F.count("*").alias("n")),
+      "SELECT CASE WHEN name LIKE 'zz %' THEN 'new' ELSE 'exact' END AS layer, count(*) AS n FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'zz ' || p_name END AS name FROM part) x GROUP BY 1")
 query("n12_backfill_jobs", lambda k: k.sql("SELECT slug, md5('doc ' || CAST(doc_id AS STRING)) AS fp FROM (SELECT doc_id, 'records/doc-' || CAST(doc_id AS STRING) AS slug FROM documents) d").join(k.kpages.select("slug", F.col("content_hash").alias("fp")), ["slug", "fp"], "left_semi").select("slug"), "SELECT 'records/doc-' || CAST(doc_id AS VARCHAR) AS slug FROM documents WHERE doc_id % 31 <> 0")
 query("n17_stale_stubs", lambda k: E.stale_stubs(k.sql("SELECT 'stub-' || CAST(doc_id AS STRING) AS slug, lang AS title, 'd' || CAST(doc_id AS STRING) AS source_slug FROM documents"), k.sql("SELECT 'd' || CAST(doc_id AS STRING) AS slug, text FROM documents WHERE doc_id % 2 = 0")), "SELECT 'stub-' || CAST(doc_id AS VARCHAR) AS slug FROM documents WHERE doc_id % 2 = 1 OR NOT contains(text, lang)")
 query("s10_page_replace", lambda k: k.kchunks.join(k.kchunks.filter("chunk_index = 0 AND summary_level = 1").select("page_slug").distinct(), "page_slug", "left_anti").groupBy("page_slug").agg(F.count("*").alias("n")), "SELECT page_slug, count(*) AS n FROM kchunks WHERE page_slug NOT IN (SELECT page_slug FROM kchunks WHERE chunk_index = 0 AND summary_level = 1) GROUP BY 1")
