@@ -13,15 +13,19 @@ MIN_COVERAGE, WINDOW, SPAN = 0.6, 5, 160
 _TOKEN = re.compile(r"[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+)*|[㐀-鿿]+|[.!?。！？;；\n]")
 
 
-def units(text: str) -> list[list[tuple[str, int, int]]]:
-    """Units with offsets, per sentence: words and ids, and 2- or 3-grams of Han runs."""
+def gram(query: str) -> int:
+    """Length of the Han units of a query: 2 if its runs have at most 4 characters, else 3."""
+    return 2 if all(len(r) <= 4 for r in re.findall(r"[㐀-鿿]+", query)) else 3
+
+
+def units(text: str, n: int) -> list[list[tuple[str, int, int]]]:
+    """Units with offsets, per sentence: words and ids, and n-grams of Han runs."""
     out: list[list[tuple[str, int, int]]] = [[]]
     for m in _TOKEN.finditer(unicodedata.normalize("NFKC", text).lower()):
         t, a = m[0], m.start()
         if t in ".!?。！？;；\n":
             out.append([])
         elif "㐀" <= t[0] <= "鿿":
-            n = 2 if len(t) <= 4 else 3
             out[-1] += [(t[i : i + n], a + i, a + i + n) for i in range(max(1, len(t) - n + 1))]
         else:
             out[-1].append((t, a, a + len(t)))
@@ -31,11 +35,12 @@ def units(text: str) -> list[list[tuple[str, int, int]]]:
 def coverage(query: str | None, text: str | None) -> float:
     """Most distinct query units within 5 successive units and 160 characters of one sentence, over min(5, units); queries of at
     most 3 units must match in full."""
-    wanted = {u for s in units(query or "") for u, _, _ in s}
+    n = gram(query or "")
+    wanted = {u for s in units(query or "", n) for u, _, _ in s}
     if not wanted or not text:
         return 0.0
     need, best = min(WINDOW, len(wanted)), 0.0
-    for sentence in units(text):
+    for sentence in units(text, n):
         for i, (_, first, _) in enumerate(sentence):
             seen: set[str] = set()
             for u, _, end in sentence[i : i + WINDOW]:

@@ -133,15 +133,16 @@ def components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """(slug, label) by synchronous weighted label propagation: each round every node takes the heaviest label around it (its own
-    counts with a small weight, so that pairs settle), ties to the smaller. The scalable variant."""
+    """(slug, label) by weighted label propagation in rounds: each round half of the nodes (by a hash of node and round, so that
+    neighbours do not swap labels for ever) take the heaviest label around them, ties to the smaller. The scalable variant."""
     both = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight")))
     labels = both.select("u").distinct().withColumn("label", F.col("u"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("u").alias("v"), "label"), "v").select("u", "label", "weight").unionByName(labels.withColumn("weight", F.lit(1e-6)))
-        sums = votes.groupBy("u", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+    for k in range(rounds):
+        sums = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = sums.groupBy("u").agg(F.max("w").alias("w"))
-        labels = cut(sums.join(best, ["u", "w"]).groupBy("u").agg(F.min("label").alias("label")))
+        found = sums.join(best, ["u", "w"]).groupBy("u").agg(F.min("label").alias("new"))
+        turn = F.pmod(F.xxhash64("u", F.lit(k)), F.lit(2)) == 0
+        labels = cut(labels.join(found, "u").select("u", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label")))
     return labels.withColumnRenamed("u", "slug")
 
 

@@ -88,7 +88,7 @@ def test_org_tree_marks_cycles(spark, pages):
 
 def test_label_propagation_variants(spark):
     pairs = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("c", "x", 0.1)], "a string, b string, weight double")
-    for labels in (G.label_propagation(pairs, 6), G.sequential_label_propagation(pairs, G.components(pairs), 6)):
+    for labels in (G.label_propagation(pairs, 10), G.sequential_label_propagation(pairs, G.components(pairs), 6)):
         got = {r.slug: r.label for r in labels.collect()}
         assert got["a"] == got["b"] == got["c"] and got["x"] == got["y"] != got["a"]
 
