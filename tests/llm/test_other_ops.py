@@ -241,3 +241,22 @@ def test_pipeline(spark, tmp_path):
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Tables may hold columns that are named as the operators' own."""
+    from loomwell.llm import bpe, decontaminate, langid, ngram_join
+
+    names = ("n", "cls", "key", "train", "held_out", "w", "part", "size", "letters", "id", "v", "shard", "score")
+    rows = [(i, f"some words of text number {i} and more", "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in names:
+        df = df.withColumn(name, F.lit("clash"))
+    assert bpe.encode_documents(df, queries.vocabulary()).count() == 30
+    assert {r.lang_pred for r in langid.predict_languages(df).collect()} == {"en"}
+    assert decontaminate.find_leaks(df, df.select(F.col("doc_id").alias("item_id"), "text", "n", "key")).count() >= 30
+    assert decontaminate.remove_leaks(df, df.limit(0).select(F.col("doc_id").alias("item_id"), "text")).columns == df.columns
+    assert shard.shard_documents(df, shards=2).count() == 30
+    assert ngram_join.jaccard_components(df).count() == 30
+    vec = df.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), *names)
+    assert topk.top_k(vec, F.col("id") == 0, k=3).count() == 3
