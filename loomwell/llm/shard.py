@@ -46,18 +46,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _histogram(rows: DataFrame, column: str, shift: int, inside: dict[int, Column]) -> dict[int, list[tuple[int, int]]]:
-    """For each target, the bytes in each non-empty grid cell of ``column >> shift`` among the rows that ``inside`` admits."""
+def _histogram(rows: DataFrame, column: str, shift: int, inside: dict[int, Column]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """For each target, the non-empty grid cells of ``column >> shift`` among the rows that ``inside`` admits: cell, bytes, least and
+    greatest value."""
     if not inside:
         return {}
     of = F.array_compact(F.array(*[F.when(cond, F.lit(t)) for t, cond in inside.items()]))
     got = (
-        rows.select(F.explode(of).alias("target"), F.shiftright(F.col(column), shift).alias("cell"), "size")
-        .groupBy("target", "cell").agg(F.sum("size").alias("bytes")).collect()
+        rows.select(F.explode(of).alias("target"), F.shiftright(F.col(column), shift).alias("cell"), "size", F.col(column).alias("value"))
+        .groupBy("target", "cell").agg(F.sum("size").alias("bytes"), F.min("value"), F.max("value")).collect()
     )  # at most targets * 2**BITS rows
-    cells: dict[int, list[tuple[int, int]]] = {t: [] for t in inside}
-    for target, cell, size in got:
-        cells[target].append((cell, size))
+    cells: dict[int, list[tuple[int, int, int, int]]] = {t: [] for t in inside}
+    for target, *cell in got:
+        cells[target].append(tuple(cell))
     return {t: sorted(x) for t, x in cells.items()}
 
 
@@ -88,21 +89,22 @@ def find_splitters(rows: DataFrame, shards: int, total: int, tolerance: float =
                     cells, goal = found[ranges[a["key"], a["prefix"]]], goals[t]
                     run = a["below"]
                     chosen = None
-                    for cell, size in cells:
+                    for cell, size, low, high in cells:
                         edge = cell << down
                         s = Splitter(edge, 0, run) if level == "key" else Splitter(a["key"], edge, run)
                         if t not in best or abs(run - goal) < abs(best[t].below - goal):
                             best[t] = s
                         if run <= goal < run + size:
-                            chosen = (cell, run)
+                            chosen = (cell, run, low, high)
                         run += size
                     past = ((cells[-1][0] + 1) << down) if cells else 0
                     if cells and abs(run - goal) < abs(best[t].below - goal):
                         best[t] = Splitter(past, 0, run) if level == "key" else Splitter(a["key"], past, run)
-                    if abs(best[t].below - goal) <= slack or chosen is None or (down == 0 and level == "tie"):
+                    one = chosen is not None and chosen[2] == chosen[3]  # a single value: no boundary inside
+                    if abs(best[t].below - goal) <= slack or chosen is None or (one and level == "tie"):
                         done[t] = best[t]
-                    elif down == 0:  # a single key: go on by the tie, inside the group
-                        at[t] = {"level": "tie", "prefix": 0, "below": chosen[1], "shift": key_bits, "key": chosen[0]}
+                    elif one:  # a single key: go on by the tie, inside the group
+                        at[t] = {"level": "tie", "prefix": 0, "below": chosen[1], "shift": key_bits, "key": chosen[2]}
                     else:
                         at[t] = a | {"prefix": chosen[0], "below": chosen[1], "shift": down}
     return [done[t] for t in sorted(done)]
