@@ -36,9 +36,9 @@ from loomwell.llm.scratch import Scratch, arrow_rows, free_shuffles, small_batch
 GT = 5
 RESERVE = 0.01
 END, START = np.uint64(0xA5C1E9D3B7F02461), np.uint64(0x5B3D9F1742C8E0A7)
-FLUSH_TOKENS = 2_500_000
+FLUSH_TOKENS = 2_000_000
 PART_TOKENS = 16_000_000  # of one task, which handles SUB_TOKENS at a time
-SUB_TOKENS = 1_000_000
+SUB_TOKENS = 700_000
 HOT_SHARE = 65_536
 
 
@@ -204,8 +204,10 @@ def _deal(shared, parts: int, subs: int):
                 size, texts = size + len(v), texts + w.n_docs
                 if size >= FLUSH_TOKENS:
                     yield flush()
+                    K.trim()
         if held:
             yield flush()
+        K.trim()
 
     return run
 
@@ -368,6 +370,7 @@ def _part_sums(shared):
                     if held:
                         part.add_tokens(held)
                         held = []
+                        K.trim()
                         yield from part.asked()
                     if at is None or p != at[0]:
                         if part is not None:
@@ -382,6 +385,8 @@ def _part_sums(shared):
             part.add_tokens(held)
         if part is not None:
             yield from part.results()
+        del part, held
+        K.trim()
 
     return run
 

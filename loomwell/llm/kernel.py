@@ -8,6 +8,7 @@ only a single text that is longer than a slice makes a larger one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers are reused, and two share an executor."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 @dataclass
 class Words:
     """The words of some texts: first and past-the-end byte, number of the text in the slice, hash."""
