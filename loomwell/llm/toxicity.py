@@ -99,7 +99,7 @@ def fit(data: dict[str, np.ndarray], pairing: float = 1.0, l1: float = 1e-3, lea
     return Logistic(weights, float(-cut))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, folds: int = 5, fold: int = 0,
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000, folds: int = 5, fold: int = 0,
           groups: Sequence[Sequence[str]] = IDENTITY_TERMS, pairing: float = 1.0) -> Logistic:
     return fit(X.training_rows(docs, labels, label, sample, False, folds, fold, swapper(groups)), pairing)
 
