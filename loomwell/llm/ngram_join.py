@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm import kernel as K
-from loomwell.llm.scratch import Scratch, free_shuffles, small_batches
+from loomwell.llm.scratch import Scratch, arrow_rows, free_shuffles, small_batches
 
-SLOT_BITS = 20  # of the frequency sketch: 4 MB of counts, 1 MB of classes to broadcast
+SLOT_BITS = 22  # of the frequency sketch: 16 MB of counts, 4 MB of classes to broadcast
 CHUNKS = 64
-FLUSH_TOKENS = 1_500_000
-FRAGMENT_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
+FRAGMENT_TOKENS = 1_000_000
 VERIFY_FRAGMENTS = 4
+BROADCAST_PAIRS = 1_000_000  # 16 MB; more pairs are joined by shuffle
 MAX_POS = 65_535
 
 
@@ -66,35 +67,60 @@ def _class_of(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (K.mix(total + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of a chunk of slots as bytes, with the slots and counts of 255 and more at the end."""
+    at = np.flatnonzero(counts >= 255)
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + at.astype(np.uint32).tobytes() + counts[at].astype(np.uint32).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _add_counts(total: np.ndarray, packed: bytes) -> None:
+    packed = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    part = np.frombuffer(packed, np.uint8, len(total)).astype(np.int64)
+    at, n = np.split(np.frombuffer(packed, np.uint32, offset=len(total)), 2)
+    part[at] = n
+    total += part
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOT_BITS, np.int64)
+    held: list[np.ndarray] = []
     names = ["doc_id", "n", "cls", "chunk", "counts"]
+
+    def count() -> None:
+        if held:
+            np.add(counts, np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS), out=counts)
+            held.clear()
+
     for batch in batches:
         ids = batch.column(0)
         for w in K.each_slice(batch.column(1)):
             doc, key, n = _sets(w)
-            counts += np.bincount((key & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), minlength=1 << SLOT_BITS)
+            held.append((key & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32))
+            if sum(map(len, held)) > 2_000_000:
+                count()
             cls = _class_of(doc, key, n)
             m = w.n_docs
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(w.first, m), pa.array(n.astype(np.int32)), pa.array(cls), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
             )
-    parts = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(CHUNKS, -1)
-    some = [k for k in range(CHUNKS) if parts[k].any()]
-    m = len(some)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names
-    )
+    count()
+    parts = np.minimum(counts, 2**32 - 1).reshape(CHUNKS, -1)
+    for k in range(CHUNKS):
+        if parts[k].any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([_pack_counts(parts[k])], pa.binary())], names
+            )
 
 
 def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
-            sums[k] = sums[k] + part if k in sums else part
+            total = sums.setdefault(k, np.zeros((1 << SLOT_BITS) // CHUNKS, np.int64))
+            _add_counts(total, counts.as_py())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"]
+        [pa.array(list(sums), pa.int32()), pa.array([_pack_counts(np.minimum(x, 2**32 - 1)) for x in sums.values()], pa.binary())], ["chunk", "counts"]
     )
 
 
@@ -174,8 +200,10 @@ def _emit_prefixes(shared, pivots: np.ndarray, percent: int):
                 size += int(keep.sum())
                 if size >= FLUSH_TOKENS:
                     yield flush()
+                    K.trim()
         if held:
             yield flush()
+        K.trim()
 
     return run
 
@@ -205,11 +233,13 @@ def _shared_only(fragments: int):
             np.maximum.at(hi, group, t["cls"])
             keep = ((lo != hi)[group]) & ~sent
             yield rows(key[keep], pos[keep], t[keep])
+            del sent, key, pos, t, order, group, got
+        K.trim()
 
     return run
 
 
-def _segments(shared_bloom, rank_free: bool = True):
+def _segments(shared_bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared_bloom.value
         for batch in batches:
@@ -222,17 +252,16 @@ def _segments(shared_bloom, rank_free: bool = True):
                 doc, key, n = _sets(w)
                 cls = _class_of(doc, key, n)
                 ends = np.cumsum(n)
-                out_c, out_f, out_s, out_id = [], [], [], []
+                out_c, out_f, out_s = [], [], []
                 for i in np.flatnonzero(n):
                     s = key[ends[i] - n[i] : ends[i]]
                     cut = np.searchsorted(s, PIVOTS)
                     for f, part in enumerate(np.split(s, cut)):
-                        out_id.append(int(ids[keep[w.first + i]]))
                         out_c.append(int(cls[i]))
                         out_f.append(f)
                         out_s.append(part.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_id, pa.int64()), pa.array(out_c, pa.int64()), pa.array(out_f, pa.int32()), pa.array(out_s, pa.binary())], ["doc_id", "cls", "f", "seg"]
+                    [pa.array(out_c, pa.int64()), pa.array(out_f, pa.int32()), pa.array(out_s, pa.binary())], ["cls", "f", "seg"]
                 )
 
     return run
@@ -275,7 +304,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, s, t = (batch.column(k) for k in range(4))
+        a, b, f, s, t = (batch.column(k) for k in range(5))
         out = np.empty(batch.num_rows, np.int64)
         for i in range(batch.num_rows):
             x, y = np.frombuffer(s[i].as_buffer(), np.uint64), np.frombuffer(t[i].as_buffer(), np.uint64)
@@ -284,15 +313,19 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             out[i] = int((y[at] == x).sum()) if len(y) else 0
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(out)], ["a", "b", "part"])
+        yield pa.RecordBatch.from_arrays([a, b, f, pa.array(out)], ["a", "b", "f", "part"])
 
 
 def _verify(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link: fragments count partial overlaps, which are summed per pair."""
-    left = pairs.join(segs.select(F.col("cls").alias("a"), "f", F.col("seg").alias("s")), "a")
-    both = left.join(segs.select(F.col("cls").alias("b"), "f", F.col("seg").alias("t")), ["b", "f"])
-    parts = both.select("a", "b", "s", "t").mapInArrow(_overlaps, "a long, b long, part long")
-    sums = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS  # then they, not the sets, are sent to all tasks
+    sent = F.broadcast if few else lambda df: df
+    left = segs.select(F.col("cls").alias("a"), "f", F.col("seg").alias("s")).join(sent(pairs.select("a", "b")), "a")
+    right = segs.select(F.col("cls").alias("b"), "f", F.col("seg").alias("t")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(right, ["b", "f"])
+    parts = both.select("a", "b", "f", "s", "t").mapInArrow(_overlaps, "a long, b long, f int, part long")
+    # a class's segments can be there several times (from copies of a document): each fragment counts once
+    sums = parts.groupBy("a", "b", "f").agg(F.max("part").alias("part")).groupBy("a", "b").agg(F.sum("part").alias("both"))
     return sums.join(pairs, ["a", "b"]).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
@@ -338,10 +371,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, scratch: Scratch | No
     first = scratch.table(docs.mapInArrow(_profile, "doc_id long, n int, cls long, chunk int, counts binary"), "profile")
     rows = first.filter("chunk is null").select("doc_id", "n", "cls")
     sketch = first.filter("chunk is not null").select("chunk", "counts")
-    got = sketch.repartition(CHUNKS, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").collect()  # 4 MB
-    counts = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint32)
+    with arrow_rows(spark, 16):
+        got = sketch.repartition(CHUNKS, "chunk").mapInArrow(_sum_chunks, "chunk int, counts binary").collect()  # 16 MB
+    counts = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int64)
     for chunk, part in got:
-        counts[chunk] += np.frombuffer(part, np.uint32)
+        _add_counts(counts[chunk], bytes(part))
     counts = counts.ravel()
     rank = np.minimum(255, np.log2(np.maximum(counts, 1)) * 8).astype(np.uint8)
     # pivots of the order: equal shares of the tokens, with hashes taken as even inside a frequency class
@@ -359,28 +393,46 @@ def jaccard_components(docs: DataFrame, percent: int = 80, scratch: Scratch | No
     packed = docs.select("text").mapInArrow(_emit_prefixes(shared, pivots, percent), "frag long, payload binary")
     dealt = packed.repartition(fragments, F.when(F.col("frag") < fragments, F.col("frag")).otherwise(F.xxhash64("frag", F.length("payload"))))
     members = dealt.mapInArrow(_shared_only(fragments), "key long, cls long, n int, pos int, w int")
-    members = scratch.table(members, "members")
+    with arrow_rows(spark, 64):  # a row of shingles holds up to some 100 kB
+        members = scratch.table(members, "members")
+    free_shuffles(spark)
+    # copies of a class in other buffers repeat (key, cls); that does no harm below
+    lead = members.groupBy("key").agg(F.max(F.struct("w", "cls", "n", "pos")).alias("l"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), (F.count("*") > 2).alias("many")).filter("lo <> hi")
+    lead = scratch.table(lead.select("key", "l.cls", "l.n", "l.pos", "many"), "leads")
     free_shuffles(spark)
-    members = members.dropDuplicates(["key", "cls"])
-    lead = members.groupBy("key").agg(F.max(F.struct("w", "cls", "n", "pos")).alias("l"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-    lead = lead.select("key", "l.cls", "l.n", "l.pos")
-    members = scratch.table(members.join(lead.select("key"), "key", "left_semi"), "buckets")
-    star = members.alias("x").join(lead.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") != F.col("y.cls")) & _possible(percent))
-    star = scratch.table(_ordered(star), "star")
-    # sets are needed of the classes in buckets only, from one document each
-    needed = members.select("cls").distinct()
-    ids = scratch.table(rows.filter("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(needed, "cls", "left_semi"), "needed")
-    bloom = spark.sparkContext.broadcast(id_filter(ids.select("doc_id")))
-    segs = docs.filter("doc_id is not null").mapInArrow(_segments(bloom), "doc_id long, cls long, f int, seg binary")
-    segs = scratch.table(segs.join(ids.select("doc_id", "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["cls", "f"]).drop("doc_id"), "segments")
-    links = scratch.table(_verify(star, segs, percent), "links")
+    near = (F.col("x.cls") != F.col("y.cls")) & _possible(percent)
+    met = members.alias("x").join(lead.alias("y"), F.col("x.key") == F.col("y.key")).filter(near | F.col("y.many"))
+    met = met.select("x.key", "x.cls", "x.n", "x.pos", "y.many", F.struct("y.cls", "y.n", "y.pos").alias("y"), near.alias("near"))
+    met = scratch.table(met, "met")
+    free_shuffles(spark)
+    scratch.drop("members")
+    scratch.drop("leads")
+    pairs = met.filter("near").select(F.struct("cls", "n", "pos").alias("x"), "y")
+    star = scratch.table(_ordered(pairs), "star")
+    # in a bucket of two, the pair has been met
+    members = met.filter("many").select("key", "cls", "n", "pos")
+    first_doc = rows.filter("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+
+    def segments(pairs: DataFrame, name: str) -> DataFrame:
+        """Whole sets of the classes in pairs, cut into fragments; some others too, which then join with nothing."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        bloom = spark.sparkContext.broadcast(id_filter(first_doc.join(needed, "cls", "left_semi").select("doc_id")))
+        segs = docs.filter("doc_id is not null").mapInArrow(_segments(bloom), "cls long, f int, seg binary")
+        return scratch.table(segs, name)
+
+    links = scratch.table(_verify(star, segments(star, "star-segments"), percent), "links")
+    free_shuffles(spark)
+    scratch.drop("star-segments")
     labels = scratch.table(components(links, scratch, "near"), "labels")
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     named = scratch.table(named.join(open_, "key", "left_semi"), "open")
     rest = named.alias("x").join(named.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _possible(percent))
-    rest = scratch.table(_ordered(rest).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(scratch.table(_verify(rest, segs, percent), "more"))
+    rest = _ordered(rest).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.table(rest, "rest")
+    links = links.unionByName(scratch.table(_verify(rest, segments(rest, "rest-segments"), percent), "more"))
+    free_shuffles(spark)
+    scratch.drop("rest-segments")
     labels = scratch.table(components(links, scratch, "all"), "all-labels")
     # the least doc_id of each component
     classes = rows.groupBy("cls").agg(F.min("doc_id").alias("least"))
