@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -53,10 +55,10 @@ class Scratch:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to collect garbage, so that the shuffle files of finished jobs can go."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works behind; its files count until they are gone
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
