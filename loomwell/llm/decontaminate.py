@@ -3,7 +3,7 @@
 An item is a benchmark text of n words (A-Z lower-cased). A window is n successive words of a document. A document leaks an
 item if some window's weighted similarity of 5-word shingles to the item is ``percent``/100 or more: sum over common
 shingles of the smaller multiplicity times weight, over the sum of the larger ones. A shingle's weight falls with the
-number of items that have it (1 + ln(items / items with it)).
+number of items that have it (1 + ln(items / items with it)). A document of fewer than n words is one window as a whole.
 
 Fingerprints are 64-bit SimHashes over single words: the item's is compared with those of windows of its own length. All
 fingerprints within ``radius`` are found: of 64 bits in 4 blocks, one block then differs in at most radius // 4 bits, so a
@@ -120,6 +120,8 @@ def _windows(index: Index, words: np.ndarray, hits: np.ndarray, sh: np.ndarray)
             lo, hi = max(0, at + WIDTH - n), min(at, len(words) - n)
             if n < WIDTH:
                 lo, hi = at, at
+            elif len(words) < n:  # the whole text is the one window
+                lo, hi = 0, 0
             if lo <= hi:
                 starts.setdefault(item, set()).update(range(lo, hi + 1))
     return {i: np.array(sorted(s)) for i, s in starts.items()}
@@ -129,7 +131,8 @@ def find_in_text(index: Index, words: np.ndarray, radius: int, percent: int, hit
     """(item, start, n words, distance, similarity) of the best window of each item that the text leaks."""
     found = []
     for item, starts in _windows(index, words, hits, sh).items():
-        n = len(index.words[item])
+        whole = len(words) < len(index.words[item])
+        n = min(len(index.words[item]), len(words))
         best = None
         for a in range(0, len(starts), 4096):
             some = starts[a : a + 4096]
@@ -137,7 +140,8 @@ def find_in_text(index: Index, words: np.ndarray, radius: int, percent: int, hit
             # within the radius, some block differs in at most radius // BLOCKS bits
             near = (np.bitwise_count(_blocks(prints) ^ index.blocks[item]) <= radius // BLOCKS).any(1)
             distance = np.bitwise_count(prints ^ index.prints[item]).astype(int)
-            for k in np.flatnonzero(near & (distance <= radius)).tolist():
+            # a text shorter than the item is one window only: it is verified whatever its fingerprint
+            for k in np.flatnonzero(near & (distance <= radius) | whole).tolist():
                 s = _similarity(index, item, words[some[k] : some[k] + n])
                 if s >= percent / 100 - 1e-12 and (best is None or (s, -distance[k], -some[k]) > (best[4], -best[3], -best[1])):
                     best = (item, int(some[k]), n, int(distance[k]), s)

@@ -243,3 +243,18 @@ def test_decontamination_against_all_windows(spark):
                     want.add((d, i))
     got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 40
+
+
+@pytest.mark.parametrize("n", [9, 14, 60])
+def test_decontamination_of_documents_shorter_than_the_item(spark, n):
+    """A document that is an item without some of its words leaks it, if the similarity is high enough."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i in range(20)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        rows += [(3 * i, " ".join(w[:-1])), (3 * i + 1, " ".join(w[1:]) + " "), (3 * i + 2, " ".join(w[: n // 2]))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(df, bench).collect()}
+    assert set(got) == {(3 * i + k, i) for i, _ in items for k in (0, 1)}  # all shingles weigh the same: n - 5 of n - 4
+    assert all((r.start_word, r.n_words) == (0, n - 1) and abs(r.similarity - (n - 5) / (n - 4)) < 1e-9 for r in got.values())
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(df, bench).collect()) == [3 * i + 2 for i, _ in items]
