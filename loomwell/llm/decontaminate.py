@@ -9,8 +9,9 @@ Fingerprints are 64-bit SimHashes over single words: the item's is compared with
 fingerprints within ``radius`` are found: of 64 bits in 4 blocks, one block then differs in at most radius // 4 bits, so a
 window whose every block differs in more is passed over, and no other. Only windows that share a shingle with the item are
 made: a similarity above 0 implies one, so this loses nothing, and it keeps the work near-linear in the text. Everything runs
-inside one map over the documents. Items are sent to the tasks in groups of ``group_items`` at most; more items mean more
-passes, not more memory.
+inside one map over the documents. Items are sent to the tasks in groups of about ``group_items``; more items mean more
+passes. Weights are those over all items: with several groups, shingles are counted once over the whole benchmark, and each
+group gets the counts of the shingles that several items have (16 bytes for each; all others have one count).
 
 The radius bounds recall of inexact windows only: an exact copy has distance 0. At 0.8 a window of n words differs in at
 most about a tenth of its shingles, i.e. a word or two, so ``radius`` 16 leaves a wide margin (tests measure it).
@@ -48,6 +49,8 @@ class Index:
     blocks: np.ndarray  # (item, block)
     weight: dict[int, float]
     rarest: float  # the weight of shingles that no item has
+    common: np.ndarray  # sorted hashes of shingles that several items have, in other groups too; empty for a single group
+    common_weight: np.ndarray
     known: np.ndarray  # sorted hashes of all shingles
     owners: dict[int, list[tuple[int, int]]]  # of a shingle: (item, place in it)
 
@@ -79,7 +82,27 @@ def _blocks(prints: np.ndarray) -> np.ndarray:
     return np.stack([(prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1) for b in range(BLOCKS)], -1).astype(np.int64)
 
 
-def build_index(ids: list[int], texts: list[str], frequency: dict[int, int], n_items: int) -> Index:
+@dataclass
+class Counts:
+    """Numbers of items with a shingle over the whole benchmark."""
+
+    n_items: int
+    common: np.ndarray  # sorted hashes of the shingles that several items have
+    n: np.ndarray  # the numbers of items with these
+    least: int  # the least number of items with any shingle
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.common, hashes)
+        at[at == len(self.common)] = 0
+        return np.where(self.common[at] == hashes, self.n[at], 1) if len(self.common) else np.ones(len(hashes), np.int64)
+
+
+def _weights(frequency: np.ndarray, n_items: int) -> np.ndarray:
+    return 1.0 + np.log(n_items / frequency)
+
+
+def build_index(ids: list[int], texts: list[str], counts: Counts | None = None) -> Index:
+    """counts: of the whole benchmark, if these items are a part of it."""
     column = pa.array(texts, pa.large_string())
     words: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(ids)
     for w in K.each_slice(column):
@@ -95,8 +118,16 @@ def build_index(ids: list[int], texts: list[str], frequency: dict[int, int], n_i
         sets.append(np.unique(s, return_counts=True))
         if len(ws):
             prints[i] = simhash(ws[None, :])[0]
-    weight = {h: 1.0 + float(np.log(n_items / frequency.get(h, 1))) for h in owners}
-    return Index(ids, words, sets, prints, _blocks(prints), weight, max(weight.values(), default=1.0), np.array(sorted(owners), np.uint64), owners)
+    known = np.array(sorted(owners), np.uint64)
+    if counts is None:
+        frequency = np.array([len({i for i, _ in owners[h]}) for h in known.tolist()], np.int64)
+        n_items, least, common, shared = max(1, len(ids)), min(frequency.tolist(), default=1), np.zeros(0, np.uint64), np.zeros(0)
+    else:
+        frequency, n_items, least = counts.of(known), counts.n_items, counts.least
+        common, shared = counts.common, _weights(counts.n, n_items)
+    weight = dict(zip(known.tolist(), _weights(frequency, n_items).tolist()))
+    rarest = float(_weights(np.array(least), n_items)) if len(known) else 1.0
+    return Index(ids, words, sets, prints, _blocks(prints), weight, rarest, common, shared, known, owners)
 
 
 def _similarity(index: Index, item: int, window: np.ndarray) -> float:
@@ -106,6 +137,9 @@ def _similarity(index: Index, item: int, window: np.ndarray) -> float:
     get = index.weight.get
     wa = np.array([get(h, 1.0) for h in a.tolist()])
     wb = np.array([get(h, index.rarest) for h in b.tolist()])
+    if len(index.common):
+        at = np.minimum(np.searchsorted(index.common, b), len(index.common) - 1)
+        wb = np.where(index.common[at] == b, index.common_weight[at], wb)
     low = float((wa[i] * np.minimum(m[i], n[j])).sum())
     high = float((wa * m).sum() + (wb * n).sum()) - low
     return low / high if high else 0.0
@@ -189,17 +223,34 @@ def search_texts(index: Index, texts: pa.Array, radius: int, percent: int) -> li
     return rows
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, once each."""
+    for batch in batches:
+        for w in K.each_slice(batch.column(0)):
+            parts = [np.unique(_shingles(x)) for x in np.split(w.hash, np.cumsum(w.per_doc())[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(K.long_of(np.concatenate(parts)))], ["shingle"])
+
+
+def count_shingles(items: DataFrame, n_items: int) -> Counts:
+    """One distributed count over all items(item_id, text)."""
+    n = items.select("text").mapInArrow(_item_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    least = n.agg(F.min("n")).first()[0] or 1
+    got = n.filter("n > 1").toArrow()
+    common = got["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return Counts(n_items, common[order], got["n"].to_numpy()[order], least)
+
+
 def indexes(benchmark: DataFrame, group_items: int) -> Iterator[Index]:
     """Search structures over groups of items, each small enough to send to every task."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     n_items = items.count()
     groups = max(1, -(-n_items // group_items))
+    counts = count_shingles(items, n_items) if groups > 1 else None
     for g in range(groups):
         part = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
         rows = part.orderBy("item_id", "text").collect()  # about group_items rows
-        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
-        first = build_index(ids, texts, {}, 1)
-        yield build_index(ids, texts, {h: len({i for i, _ in x}) for h, x in first.owners.items()}, max(1, len(rows)))
+        yield build_index([r["item_id"] for r in rows], [r["text"] for r in rows], counts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 16, group_items: int = 20_000) -> DataFrame:

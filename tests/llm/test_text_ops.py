@@ -258,3 +258,27 @@ def test_decontamination_of_documents_shorter_than_the_item(spark, n):
     assert set(got) == {(3 * i + k, i) for i, _ in items for k in (0, 1)}  # all shingles weigh the same: n - 5 of n - 4
     assert all((r.start_word, r.n_words) == (0, n - 1) and abs(r.similarity - (n - 5) / (n - 4)) < 1e-9 for r in got.values())
     assert sorted(r.doc_id for r in decontaminate.remove_leaks(df, bench).collect()) == [3 * i + 2 for i, _ in items]
+
+
+def test_decontamination_in_groups_equals_one_group(spark):
+    """Weights are over all items, however many groups they are dealt to."""
+    import random
+
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(300)]
+    heads = [[rng.choice(vocab) for _ in range(12)] for _ in range(3)]  # passages that many items share
+    items = [(i, " ".join(heads[i % 3][: rng.randint(6, 12)] + [rng.choice(vocab) for _ in range(rng.randint(10, 20))])) for i in range(40)]
+    rows = []
+    for d in range(400):
+        w = items[d % 40][1].split()
+        n = rng.randint(1, 4)
+        at = rng.choice([0, len(w) - n])
+        w[at : at + n] = rng.choice(heads)[:n] if d % 2 else ["zz"] * n
+        w = w + rng.choice(heads) if d % 3 else w
+        rows.append((d, " ".join(w)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **x: sorted((r.doc_id, r.item_id, r.start_word, r.distance, round(r.similarity, 9)) for r in decontaminate.find_leaks(df, bench, **x).collect())
+    one = found()
+    assert found(group_items=10) == one and len(one) > 100
+    kept = sorted(r.doc_id for r in decontaminate.remove_leaks(df, bench, group_items=10).collect())
+    assert kept == sorted({d for d, _ in rows} - {x[0] for x in one})
