@@ -239,21 +239,32 @@ def _shared_only(fragments: int):
     return run
 
 
-def _segments(shared_bloom):
+def _segments(shared_bloom, by_class: bool = False):
+    """Segments of the rows whose doc_id is in the filter; with ``by_class``, of each class in it, once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared_bloom.value
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = np.flatnonzero(bits[bloom_slot(ids)])
-            if not len(keep):
-                continue
-            text = batch.column(1).take(pa.array(keep))
+            text = batch.column(1)
+            if not by_class:
+                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                keep = np.flatnonzero(bits[bloom_slot(ids)])
+                if not len(keep):
+                    continue
+                text = text.take(pa.array(keep))
             for w in K.each_slice(text):
                 doc, key, n = _sets(w)
                 cls = _class_of(doc, key, n)
                 ends = np.cumsum(n)
+                some = np.flatnonzero(n)
+                if by_class:
+                    some = some[bits[bloom_slot(cls[some])]]
+                    some = some[np.sort(np.unique(cls[some], return_index=True)[1])]
+                    some = [i for i in some if int(cls[i]) not in seen]
+                    seen.update(int(cls[i]) for i in some)
                 out_c, out_f, out_s = [], [], []
-                for i in np.flatnonzero(n):
+                for i in some:
                     s = key[ends[i] - n[i] : ends[i]]
                     cut = np.searchsorted(s, PIVOTS)
                     for f, part in enumerate(np.split(s, cut)):
@@ -412,12 +423,17 @@ def jaccard_components(docs: DataFrame, percent: int = 80, scratch: Scratch | No
     # in a bucket of two, the pair has been met
     members = met.filter("many").select("key", "cls", "n", "pos")
     first_doc = rows.filter("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    has_null_ids = rows.filter("doc_id is null and n > 0").limit(1).count() > 0
 
     def segments(pairs: DataFrame, name: str) -> DataFrame:
         """Whole sets of the classes in pairs, cut into fragments; some others too, which then join with nothing."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         bloom = spark.sparkContext.broadcast(id_filter(first_doc.join(needed, "cls", "left_semi").select("doc_id")))
         segs = docs.filter("doc_id is not null").mapInArrow(_segments(bloom), "cls long, f int, seg binary")
+        if has_null_ids:  # sets that no row with a doc_id has are found by their class
+            bloom = spark.sparkContext.broadcast(id_filter(needed.join(first_doc, "cls", "left_anti")))
+            more = docs.filter("doc_id is null").mapInArrow(_segments(bloom, by_class=True), "cls long, f int, seg binary")
+            segs = segs.unionByName(more.dropDuplicates(["cls", "f"]))
         return scratch.table(segs, name)
 
     links = scratch.table(_verify(star, segments(star, "star-segments"), percent), "links")

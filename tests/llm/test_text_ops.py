@@ -282,3 +282,15 @@ def test_decontamination_in_groups_equals_one_group(spark):
     assert found(group_items=10) == one and len(one) > 100
     kept = sorted(r.doc_id for r in decontaminate.remove_leaks(df, bench, group_items=10).collect())
     assert kept == sorted({d for d, _ in rows} - {x[0] for x in one})
+
+
+def test_ngram_join_over_rows_without_doc_id(spark):
+    """Sets that only rows with a null doc_id have link like all others; shifts by 4 of 60 words are near, by 8 are not."""
+    text = lambda name, k: " ".join(f"{name}{j}" for j in range(4 * k, 4 * k + 60))
+    rows = [(1, text("a", 0)), (None, text("a", 1)), (2, text("a", 2)), (3, text("b", 0)), (5, text("b", 3)), (7, text("c", 0)), (8, text("c", 2))]
+    rows += [(None, text("b", k)) for k in (1, 2) for _ in range(40)] + [(None, text("d", 0)), (None, text("d", 1)), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    assert got == Counter(
+        {(1, 56, 1): 1, (2, 56, 1): 1, (None, 56, 1): 1, (3, 56, 3): 1, (5, 56, 3): 1, (None, 56, 3): 80, (7, 56, 7): 1, (8, 56, 8): 1, (None, 56, None): 2, (None, 0, None): 2}
+    )
