@@ -11,15 +11,19 @@ Training text: of the labelled rows, those with the smallest hash of doc_id, ``t
 parameters. Predictions see whole texts: the parse runs over all characters, in pieces of ``PIECE`` characters that
 each begin a new phrase, so that numpy can walk many pieces at once.
 
+All letters of the training text take part, of any script: transitions are kept sparse, so rare letters cost nothing.
+
 Edge cases: null texts, and texts without any letter, are 'und' with score 0; with no labelled row every text is 'und';
 repeated rows are all kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,110 +33,152 @@ from pyspark.sql import functions as F
 from loomwell.llm.scratch import small_batches
 
 PIECE = 256
-SYMBOLS = 64
-OTHER = 63
+OTHER = 1
+STATE_BITS, SYMBOL_BITS = 22, 18
+
+
+@dataclass
+class Transitions:
+    """A language's automaton as an open-addressed hash table, filled to a half at most; state 1 is the root."""
+
+    slots: np.ndarray  # state, symbol and next state of a transition in one number; 0 for none
+
+    @staticmethod
+    def of(nxt: list[dict[int, int]]) -> Transitions:
+        if len(nxt) >> STATE_BITS:
+            raise ValueError(f"train_chars is too large: {len(nxt)} states")
+        n = sum(map(len, nxt))
+        keys = np.fromiter(((s << SYMBOL_BITS) | c for s, x in enumerate(nxt) for c in x), np.int64, n)
+        packed = (keys << STATE_BITS) | np.fromiter((q for x in nxt for q in x.values()), np.int64, n)
+        table = Transitions(np.zeros(1 << max(4, (2 * n).bit_length()), np.int64))
+        at = table._home(keys)
+        while len(packed):
+            free = np.flatnonzero(table.slots[at] == 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            table.slots[at[first]] = packed[first]
+            packed, at = np.delete(packed, first), (np.delete(at, first) + 1) & (len(table.slots) - 1)
+        return table
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.slots).bit_length())).view(np.int64)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states, 0 for none."""
+        key = (state << SYMBOL_BITS) | c
+        at = self._home(key)
+        got = self.slots[at]
+        same = (got >> STATE_BITS) == key
+        out = np.where(same, got & ((1 << STATE_BITS) - 1), 0)
+        todo = np.flatnonzero(~same & (got != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            got = self.slots[at[todo]]
+            same = (got >> STATE_BITS) == key[todo]
+            out[todo[same]] = got[same] & ((1 << STATE_BITS) - 1)
+            todo = todo[~same & (got != 0)]
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol_of: np.ndarray  # of each code point below 0x10000
-    tables: list[np.ndarray]  # per language: (states, SYMBOLS) next states, 0 for none; state 1 is the root
+    symbol_of: np.ndarray  # of each code point
+    tables: list[Transitions]
     bits: np.ndarray  # log2 of each language's training length
 
 
 def symbols(texts: list[str], alphabet: np.ndarray) -> np.ndarray:
     """Symbols of the texts, with one separator for each run of characters that are no letters."""
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = alphabet[np.minimum(codes, 0xFFFF)]
+    s = alphabet[codes]
     keep = s != 0
     keep[:1] = True
     keep[1:] |= s[:-1] != 0
     return s[keep]
 
 
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, dict[int, int]]:
+    """Whether each code point is a letter or a mark, and the lower case of letters that differ from it."""
+    letters = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
+    return letters, {c: ord(low[0]) for c in np.flatnonzero(letters).tolist() if (low := chr(c).lower()) != chr(c)}
+
+
 def alphabet_of(texts: list[str]) -> np.ndarray:
-    """Symbols of code points: 0 for all but letters and marks, 1-62 for the commonest letters (case folded), and OTHER,
-    which matches nothing, for the rest."""
-    codes = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    counts = np.bincount(np.minimum(codes, 0xFFFF), minlength=0x10000)
-    out = np.zeros(0x10000, np.uint8)
-    letters = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)])
-    letters[0xD800:0xE000] = False
-    out[letters] = OTHER
-    out[0xFFFF] = OTHER  # stands for all code points from here on
-    counts[~letters] = 0
-    for k, c in enumerate(int(c) for c in np.argsort(-counts, kind="stable")[:62] if counts[c]):
-        out[c] = 1 + k
-    for c in np.flatnonzero(letters).tolist():
-        low = chr(c).lower()
-        if len(low) == 1 and low != chr(c):
-            out[c] = out[ord(low)]
+    """Symbols of code points: 0 for all but letters and marks, numbers from 2 for all letters of the texts (case folded),
+    and OTHER, which matches nothing, for letters that no text has."""
+    letters, lower = _letters()
+    seen = np.zeros(len(letters), bool)
+    for t in texts:
+        seen[np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+    own = np.flatnonzero(seen & letters)
+    out = np.where(letters, OTHER, 0).astype(np.uint32)
+    out[own] = np.arange(2, 2 + len(own))
+    for c, low in lower.items():
+        out[c] = out[low]
     return out
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a symbol sequence as a dense transition table."""
+def automaton(text: np.ndarray) -> Transitions:
+    """The suffix automaton of a symbol sequence."""
     n = len(text)
-    nxt = np.zeros((2 * n + 3, SYMBOLS), np.int32)
+    nxt: list[dict[int, int]] = [{}, {}]
     length, link = [0] * (2 * n + 3), [0] * (2 * n + 3)
-    last, size = 1, 2
+    last = 1
+
+    def clone(p: int, c: int, q: int) -> int:
+        new = len(nxt)
+        nxt.append(dict(nxt[q]))
+        length[new], link[new] = length[p] + 1, link[q]
+        while p and nxt[p].get(c) == q:
+            nxt[p][c] = new
+            p = link[p]
+        return new
+
     for c in text.tolist():
         if c == OTHER:  # matches nothing: later text begins anew
             last = 1
             continue
         p = last
-        q = int(nxt[p, c])
+        q = nxt[p].get(c, 0)
         if q:  # after a restart the transition can exist already
-            if length[p] + 1 == length[q]:
-                last = q
-                continue
-            clone, size = size, size + 1
-            nxt[clone] = nxt[q]
-            length[clone], link[clone] = length[p] + 1, link[q]
-            while p and nxt[p, c] == q:
-                nxt[p, c] = clone
-                p = link[p]
-            link[q] = last = clone
+            if length[p] + 1 != length[q]:
+                new = clone(p, c, q)
+                link[q], q = new, new
+            last = q
             continue
-        cur, size = size, size + 1
+        cur = len(nxt)
+        nxt.append({})
         length[cur] = length[p] + 1
-        while p and not nxt[p, c]:
-            nxt[p, c] = cur
+        while p and c not in nxt[p]:
+            nxt[p][c] = cur
             p = link[p]
         if not p:
             link[cur] = 1
         else:
-            q = int(nxt[p, c])
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone, size = size, size + 1
-                nxt[clone] = nxt[q]
-                length[clone], link[clone] = length[p] + 1, link[q]
-                while p and nxt[p, c] == q:
-                    nxt[p, c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
+            q = nxt[p][c]
+            if length[p] + 1 != length[q]:
+                new = clone(p, c, q)
+                link[q], q = new, new
+            link[cur] = q
         last = cur
-    return nxt[:size].copy()
+    return Transitions.of(nxt)
 
 
-def phrases(table: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def phrases(table: Transitions, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Greedy phrase counts of many pieces at once; pieces[k] holds the k-th symbols, longest pieces first."""
     n = len(lengths)
-    flat = table.ravel()
     state = np.ones(n, np.int64)
     count = np.ones(n, np.int64)
     for k in range(pieces.shape[0]):
         live = int(np.searchsorted(-lengths, -k, "left"))  # pieces longer than k
-        c = pieces[k, :live]
-        to = flat[(state[:live] << 6) | c]
+        c = pieces[k, :live].astype(np.int64)
+        to = table.step(state[:live], c)
         miss = np.flatnonzero(to == 0)
         if len(miss):
             if k:
                 count[miss] += 1
-            to[miss] = flat[SYMBOLS + c[miss].astype(np.int64)]  # 0, from which all miss, if the symbol is unknown
+            to[miss] = table.step(np.ones(len(miss), np.int64), c[miss])  # 0, from which all miss, if the symbol is unknown
         state[:live] = to
     return count
 
@@ -175,7 +221,7 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
             cut.append(s[a : a + PIECE])
     lengths = np.array([len(x) for x in cut], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    pieces = np.full((PIECE, len(cut)), OTHER, np.uint8)
+    pieces = np.full((PIECE, len(cut)), OTHER, np.uint32)
     for j, k in enumerate(order):
         pieces[: lengths[k], j] = cut[k]
     owner, lengths = np.array(owner, np.int64)[order], lengths[order]

@@ -294,3 +294,15 @@ def test_ngram_join_over_rows_without_doc_id(spark):
     assert got == Counter(
         {(1, 56, 1): 1, (2, 56, 1): 1, (None, 56, 1): 1, (3, 56, 3): 1, (5, 56, 3): 1, (None, 56, 3): 80, (7, 56, 7): 1, (8, 56, 8): 1, (None, 56, None): 2, (None, 0, None): 2}
     )
+
+
+def test_language_id_of_many_scripts(spark):
+    """Letters that are rare over all languages together, and those beyond the basic plane, still tell languages apart."""
+    import random
+
+    rng = random.Random(9)
+    blocks = {"la": (97, 26), "ru": (0x430, 32), "hi": (0x905, 50), "ko": (0xAC00, 90), "ja": (0x3042, 80), "zh": (0x4E00, 90), "zz": (0x4E60, 90), "ha": (0x20000, 90), "hb": (0x20100, 90)}
+    vocab = {x: ["".join(chr(a + rng.randrange(n)) for _ in range(2)) for _ in range(60)] for x, (a, n) in blocks.items()}
+    rows = [(i, " ".join(rng.choice(vocab[x]) for _ in range(400 if x == "la" else 30)), x) for i, x in enumerate(list(blocks) * 30)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[d] for d, _, _ in rows] == [x for _, _, x in rows]
