@@ -7,8 +7,8 @@ characters), so that languages with less training text compare fairly. The langu
 language that sorts first.
 
 Training text: of the labelled rows, those with the smallest hash of doc_id, ``train_docs`` a language and
-``train_chars`` characters together; languages beyond ``max_languages`` (by frequency) are not learned. All bounds are
-parameters. Predictions see whole texts: the parse runs over all characters, in pieces of ``PIECE`` characters that
+``train_chars`` characters together, of which a document gives its first ``per_doc``. Every language of the labelled rows is
+learned. All bounds are parameters. Predictions see whole texts: the parse runs over all characters, in pieces of ``PIECE`` characters that
 each begin a new phrase, so that numpy can walk many pieces at once.
 
 All letters of the training text take part, of any script: transitions are kept sparse, so rare letters cost nothing.
@@ -183,24 +183,26 @@ def phrases(table: Transitions, pieces: np.ndarray, lengths: np.ndarray) -> np.n
     return count
 
 
-def train(docs: DataFrame, train_docs: int = 400, train_chars: int = 60_000, max_languages: int = 32, per_doc: int = 3000) -> Model:
+def train(docs: DataFrame, train_docs: int = 400, train_chars: int = 60_000, per_doc: int = 3000) -> Model:
     """Learn from rows (doc_id, text, lang) with both; at most ``per_doc`` characters of one document are taken."""
     # letters only matter for training text; the bound is on what is learned from, never on what is predicted
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").select(
         "lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, per_doc).alias("part")
     )
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     # the smallest hashes of a language: hash thresholds first, so that the window sees few rows
-    counts = dict(rows.filter(F.col("lang").isin(names)).groupBy("lang").count().collect()) if names else {}
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 3.0 * train_docs / n)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1))
+    counts = sorted(tuple(r) for r in rows.groupBy("lang").count().collect())  # one row a language
+    names = [lang for lang, _ in counts]
+    most = [(lang, int(min(1.0, 3.0 * train_docs / n) * 1_000_000)) for lang, n in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most long"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    some = rows.filter(keep).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= train_docs)
+    some = rows.join(limits, "lang").filter("pmod(h, 1000000) <= most").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= train_docs)
+    # what lies behind train_chars letters is not fetched; twice as many, as Java and Python may differ on what a letter is
+    letters = F.length(F.regexp_replace("part", r"[^\p{L}\p{M}]+", " "))
+    before = F.coalesce(F.sum(letters).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumn("before", before).filter(F.col("before") < 2 * train_chars).select("lang", "rn", "part")
     got = some.orderBy("lang", "rn").toPandas()
-    names = sorted(names)
-    texts = {x: got.loc[got["lang"] == x, "part"].tolist() for x in names}
+    parts = got.groupby("lang")["part"].agg(list).to_dict()
+    texts = {x: parts.get(x, []) for x in names}
     alphabet = alphabet_of([t for x in texts.values() for t in x])
     tables, bits = [], []
     for x in names:
@@ -237,7 +239,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # max_languages tables over train_chars characters at most
+    shared = spark.sparkContext.broadcast(model)  # a table over train_chars characters at most for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

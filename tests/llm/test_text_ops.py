@@ -306,3 +306,15 @@ def test_language_id_of_many_scripts(spark):
     rows = [(i, " ".join(rng.choice(vocab[x]) for _ in range(400 if x == "la" else 30)), x) for i, x in enumerate(list(blocks) * 30)]
     got = {r.doc_id: r.lang_pred for r in langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [got[d] for d, _, _ in rows] == [x for _, _, x in rows]
+
+
+def test_language_id_of_many_languages(spark):
+    """Every labelled language is learned, rare ones too."""
+    import random
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{k:02}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for k in range(45)}
+    rows = [(100 * k + j, " ".join(rng.choice(vocab[x]) for _ in range(40)), x) for k, x in enumerate(vocab) for j in range(8 if k % 3 else 24)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[d] for d, _, _ in rows] == [x for _, _, x in rows]
