@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming search, exact verification.
+"""Benchmark decontamination: item-sized windows from a shingle index, SimHash as a filter, exact verification.
 
 An item is a benchmark text of n words (A-Z lower-cased). A window is n successive words of a document. A document leaks an
 item if some window's weighted similarity of 5-word shingles to the item is ``percent``/100 or more: sum over common
@@ -7,9 +7,9 @@ number of items that have it (1 + ln(items / items with it)). A document of fewe
 
 Fingerprints are 64-bit SimHashes over single words: the item's is compared with those of windows of its own length. All
 fingerprints within ``radius`` are found: of 64 bits in 4 blocks, one block then differs in at most radius // 4 bits, so a
-window whose every block differs in more is passed over, and no other. Only windows that share a shingle with the item are
-made: a similarity above 0 implies one, so this loses nothing, and it keeps the work near-linear in the text. Everything runs
-inside one map over the documents. Items are sent to the tasks in groups of about ``group_items``; more items mean more
+window whose every block differs in more is passed over, and no other. The fingerprints find no window: only windows that
+share a shingle with the item are made: a similarity above 0 implies one, so this loses nothing, and it keeps the work
+near-linear in the text. Everything runs inside one map over the documents. Items are sent to the tasks in groups of about ``group_items``; more items mean more
 passes. Weights are those over all items: with several groups, shingles are counted once over the whole benchmark, and each
 group gets the counts of the shingles that several items have (16 bytes for each; all others have one count).
 
