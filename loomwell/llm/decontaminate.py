@@ -1,29 +1,36 @@
-"""Benchmark decontamination: item-sized windows from a shingle index, SimHash as a filter, exact verification.
-
-An item is a benchmark text of n words (A-Z lower-cased). A window is n successive words of a document. A document leaks an
-item if some window's weighted similarity of 5-word shingles to the item is ``percent``/100 or more: sum over common
-shingles of the smaller multiplicity times weight, over the sum of the larger ones. A shingle's weight falls with the
-number of items that have it (1 + ln(items / items with it)). A document of fewer than n words is one window as a whole.
-
-Fingerprints are 64-bit SimHashes over single words: the item's is compared with those of windows of its own length. All
-fingerprints within ``radius`` are found: of 64 bits in 4 blocks, one block then differs in at most radius // 4 bits, so a
-window whose every block differs in more is passed over, and no other. The fingerprints find no window: only windows that
-share a shingle with the item are made: a similarity above 0 implies one, so this loses nothing, and it keeps the work
-near-linear in the text. Everything runs inside one map over the documents. Items are sent to the tasks in groups of about ``group_items``; more items mean more
-passes. Weights are those over all items: with several groups, shingles are counted once over the whole benchmark, and each
-group gets the counts of the shingles that several items have (16 bytes for each; all others have one count).
-
-The radius bounds recall of inexact windows only: an exact copy has distance 0. At 0.8 a window of n words differs in at
-most about a tenth of its shingles, i.e. a word or two, so ``radius`` 16 leaves a wide margin (tests measure it).
+"""Benchmark decontamination: SimHash of item-sized windows, looked up through multi-index Hamming blocks, exact verification.
+
+An item is a benchmark text of n words (A-Z lower-cased). A window is n successive words of a document; a document of fewer
+than n words is one window as a whole. A document leaks an item if some window's weighted similarity of 5-word shingles to
+the item is ``percent``/100 or more: sum over common shingles of the smaller multiplicity times weight, over the sum of the
+larger ones. A shingle's weight falls with the number of items that have it (1 + ln(items / items with it)).
+
+1. Fingerprints are 64-bit SimHashes over single words, of items and of windows of the items' own lengths (from running
+   sums per bit). Windows that cannot reach the similarity are not fingerprinted: a shingle that no item of the window's
+   length has adds to the larger sum only, so the number of the others in a window bounds its similarity. This loses nothing.
+2. The fingerprints' 64 bits are cut into BLOCKS blocks, and the items indexed by the value of each block. If two fingerprints
+   differ in at most ``radius`` bits, some block differs in at most radius // BLOCKS: all values that near to each block
+   of a window are looked up. So all items within the radius are found, and only those are compared further.
+3. The exact similarity verifies each window and item that were found.
+
+The radius bounds recall of inexact windows only: an exact copy has distance 0. At 0.8 a window differs from its item in a
+word or two of the shortest items and in a tenth of the longer ones, which flips about 8 of 64 bits; 19 is more than three
+standard deviations above (tests compare with all windows). Everything runs inside one map over the documents. Items are
+sent to the tasks in groups of about ``group_items``; more items mean more passes. Weights are those over all items: with
+several groups, shingles are counted once over the whole benchmark, and each group gets the counts of the shingles that
+several items have (16 bytes for each; all others have one count).
 
 Edge cases: items without words match nothing; items shorter than 5 words are one shingle and must match as a whole; null
-texts leak nothing; repeated items are reported each; repeated rows are kept; empty tables and extra columns do no harm.
+texts leak nothing; repeated items are reported each; of equally similar windows the one of the least distance, then the
+first, is reported; repeated rows are kept; empty tables and extra columns do no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,54 @@ from loomwell.llm.scratch import filter_documents, small_batches
 WIDTH = 5
 BLOCKS = 4
 BLOCK_BITS = 16
+SPAN = 16_384  # words whose running sums are held at a time
+LOOKUPS = 256  # fingerprints that are looked up at a time
+
+
+class BlockTables:
+    """Items by the value of each block of their fingerprints."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        values = _blocks(prints)
+        self.items = [np.argsort(values[:, b], kind="stable") for b in range(BLOCKS)]
+        self.starts = [np.searchsorted(values[self.items[b], b], np.arange((1 << BLOCK_BITS) + 1)) for b in range(BLOCKS)]
+
+    def within(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in prints, item, distance) of all pairs whose distance is at most ``radius``, once each."""
+        flips = _flips(radius // BLOCKS)
+        out = []
+        size = max(1, len(self.prints))
+        for a in range(0, len(prints), LOOKUPS):
+            some = prints[a : a + LOOKUPS]
+            values = _blocks(some)
+            pairs = []
+            for b in range(BLOCKS):
+                keys = values[:, b, None] ^ flips[None, :]
+                first = self.starts[b][keys]
+                n = self.starts[b][keys + 1] - first
+                at, flip = np.nonzero(n)
+                n, first = n[at, flip], first[at, flip]
+                places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at, item = np.repeat(at, n), self.items[b][places]
+                near = np.bitwise_count(some[at] ^ self.prints[item]) <= radius
+                pairs.append(at[near] * size + item[near])
+            code = np.unique(np.concatenate(pairs))
+            at, item = code // size, code % size
+            out.append((at + a, item, np.bitwise_count(some[at] ^ self.prints[item]).astype(np.int64)))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+@lru_cache(4)
+def _flips(most: int) -> np.ndarray:
+    """All values of a block with at most so many bits set."""
+    return np.array([sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(BLOCK_BITS), k)], np.int64)
+
+
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    return np.stack([(prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1) for b in range(BLOCKS)], -1).astype(np.int64)
 
 
 @dataclass
@@ -43,43 +98,29 @@ class Index:
     """Benchmark items of a group; arrays by item number."""
 
     ids: list[int]
-    words: list[np.ndarray]  # word hashes
+    lengths: np.ndarray  # in words
     shingles: list[tuple[np.ndarray, np.ndarray]]  # sorted distinct shingle hashes and their multiplicities
-    prints: np.ndarray
-    blocks: np.ndarray  # (item, block)
-    weight: dict[int, float]
+    tables: BlockTables
+    known: np.ndarray  # sorted hashes of all shingles
+    weight: np.ndarray  # of these
+    owners: tuple[np.ndarray, np.ndarray]  # of these: where their part of the second array ends, the lengths of items with them
     rarest: float  # the weight of shingles that no item has
     common: np.ndarray  # sorted hashes of shingles that several items have, in other groups too; empty for a single group
     common_weight: np.ndarray
-    known: np.ndarray  # sorted hashes of all shingles
-    owners: dict[int, list[tuple[int, int]]]  # of a shingle: (item, place in it)
-
 
-def simhash(words: np.ndarray) -> np.ndarray:
-    """Fingerprint of rows of word hashes: (windows, n) -> (windows,)."""
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(*words.shape, 8), axis=-1)
-    ones = bits.sum(axis=-2, dtype=np.int32) * 2 > words.shape[-1]
-    return np.packbits(ones, axis=-1).view(np.uint64).reshape(words.shape[:-1])
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rarest)
+        for table, weight in ((self.common, self.common_weight), (self.known, self.weight)):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+                out = np.where(table[at] == hashes, weight[at], out)
+        return out
 
-
-def _shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the successive shingles; like kernel.shingles, but in order and with repeats."""
-    n = len(words)
-    if n == 0:
-        return words
-    if n < WIDTH:
-        h = np.array([n], np.uint64) * K.PLACES[63]
-        for k in range(n):
-            h += words[k] * K.PLACES[k]
-        return K.mix(h)
-    h = np.zeros(n - WIDTH + 1, np.uint64)
-    for k in range(WIDTH):
-        h += words[k : n - WIDTH + 1 + k] * K.PLACES[k]
-    return K.mix(h)
-
-
-def _blocks(prints: np.ndarray) -> np.ndarray:
-    return np.stack([(prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1) for b in range(BLOCKS)], -1).astype(np.int64)
+    def least_known(self, n: int, percent: int) -> int:
+        """How many of a window's n shingles an item must have, if the similarity is to reach the percentage."""
+        low, high = min(self.weight.min(initial=self.rarest), self.common_weight.min(initial=self.rarest)), self.rarest
+        t = percent / 100
+        return max(1, int(np.ceil(n * t * low / (t * low + (1 - t) * high) - 1e-9)))
 
 
 @dataclass
@@ -92,15 +133,54 @@ class Counts:
     least: int  # the least number of items with any shingle
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.common, hashes)
-        at[at == len(self.common)] = 0
-        return np.where(self.common[at] == hashes, self.n[at], 1) if len(self.common) else np.ones(len(hashes), np.int64)
+        if not len(self.common):
+            return np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.n[at], 1)
 
 
 def _weights(frequency: np.ndarray, n_items: int) -> np.ndarray:
     return 1.0 + np.log(n_items / frequency)
 
 
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words, for n below WIDTH as whole short texts have them."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    h = np.full(len(words) - n + 1, n if n < WIDTH else 0, np.uint64) * K.PLACES[63]
+    for k in range(n):
+        h += words[k : len(words) - n + 1 + k] * K.PLACES[k]
+    return K.mix(h)
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the successive shingles; like kernel.shingles, but in order and with repeats."""
+    return _runs(words, min(WIDTH, len(words))) if len(words) else words
+
+
+def window_prints(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """SimHashes of words[s : s + n] for sorted starts: a bit is set if more than half of the words have it."""
+    out = np.empty(len(starts), np.uint64)
+    # words of windows that overlap are taken once: how many each window adds to those before it
+    new = np.minimum(np.diff(starts, prepend=starts[:1]), n)
+    total = np.cumsum(new)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + SPAN)))
+        place = total[at:end] - total[at]  # of the windows' first words among the words taken
+        used = np.empty(int(place[-1]) + n, np.int64)
+        for k in range(0, end - at, max(1, SPAN // n)):
+            part = slice(k, k + max(1, SPAN // n))
+            used[place[part, None] + np.arange(n)] = starts[at:end][part, None] + np.arange(n)
+        bits = np.unpackbits(words[used].view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.zeros((len(used) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
+        ones = (sums[place + n] - sums[place]) * 2 > n
+        out[at:end] = np.packbits(ones, axis=1).view(np.uint64)[:, 0]
+        at = end
+    return out
+
+
 def build_index(ids: list[int], texts: list[str], counts: Counts | None = None) -> Index:
     """counts: of the whole benchmark, if these items are a part of it."""
     column = pa.array(texts, pa.large_string())
@@ -109,117 +189,120 @@ def build_index(ids: list[int], texts: list[str], counts: Counts | None = None)
         cuts = np.cumsum(w.per_doc())[:-1]
         for i, part in enumerate(np.split(w.hash, cuts)):
             words[w.first + i] = part
-    owners: dict[int, list[tuple[int, int]]] = {}
-    sets, prints = [], np.zeros(len(ids), np.uint64)
-    for i, ws in enumerate(words):
-        s = _shingles(ws)
-        for p, h in enumerate(s.tolist()):
-            owners.setdefault(h, []).append((i, p))
-        sets.append(np.unique(s, return_counts=True))
-        if len(ws):
-            prints[i] = simhash(ws[None, :])[0]
-    known = np.array(sorted(owners), np.uint64)
+    full = [i for i, ws in enumerate(words) if len(ws)]  # items without words match nothing
+    ids, words = [ids[i] for i in full], [words[i] for i in full]
+    sets = [np.unique(_shingles(ws), return_counts=True) for ws in words]
+    prints = np.array([window_prints(ws, np.zeros(1, np.int64), len(ws))[0] for ws in words], np.uint64)
+    known, frequency = np.unique(np.concatenate([s[0] for s in sets] or [np.zeros(0, np.uint64)]), return_counts=True)
     if counts is None:
-        frequency = np.array([len({i for i, _ in owners[h]}) for h in known.tolist()], np.int64)
-        n_items, least, common, shared = max(1, len(ids)), min(frequency.tolist(), default=1), np.zeros(0, np.uint64), np.zeros(0)
+        n_items, least, common, shared = max(1, len(texts)), int(frequency.min(initial=len(texts) or 1)), np.zeros(0, np.uint64), np.zeros(0)
     else:
         frequency, n_items, least = counts.of(known), counts.n_items, counts.least
         common, shared = counts.common, _weights(counts.n, n_items)
-    weight = dict(zip(known.tolist(), _weights(frequency, n_items).tolist()))
     rarest = float(_weights(np.array(least), n_items)) if len(known) else 1.0
-    return Index(ids, words, sets, prints, _blocks(prints), weight, rarest, common, shared, known, owners)
+    lengths = np.array([len(ws) for ws in words], np.int64)
+    sizes, size_of = np.unique(lengths, return_inverse=True)
+    of = np.concatenate([np.searchsorted(known, s[0]) * len(sizes) + k for s, k in zip(sets, size_of)] or [np.zeros(0, np.int64)])
+    of = np.unique(of)
+    owners = np.cumsum(np.bincount(of // max(1, len(sizes)), minlength=len(known))), sizes[of % max(1, len(sizes))] if len(of) else of
+    return Index(ids, lengths, sets, BlockTables(prints), known, _weights(frequency, n_items), owners, rarest, common, shared)
 
 
 def _similarity(index: Index, item: int, window: np.ndarray) -> float:
     a, m = index.shingles[item]
     b, n = np.unique(_shingles(window), return_counts=True)
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    get = index.weight.get
-    wa = np.array([get(h, 1.0) for h in a.tolist()])
-    wb = np.array([get(h, index.rarest) for h in b.tolist()])
-    if len(index.common):
-        at = np.minimum(np.searchsorted(index.common, b), len(index.common) - 1)
-        wb = np.where(index.common[at] == b, index.common_weight[at], wb)
+    if not len(both):
+        return 0.0
+    wa, wb = index.weights(a), index.weights(b)
     low = float((wa[i] * np.minimum(m[i], n[j])).sum())
     high = float((wa * m).sum() + (wb * n).sum()) - low
-    return low / high if high else 0.0
-
-
-def _windows(index: Index, words: np.ndarray, hits: np.ndarray, sh: np.ndarray) -> dict[int, np.ndarray]:
-    """For each item that shares shingles with a text: the starts of its windows that hold one of them."""
-    starts: dict[int, set[int]] = {}
-    for at in hits.tolist():
-        for item, _ in index.owners[int(sh[at])]:
-            n = len(index.words[item])
-            lo, hi = max(0, at + WIDTH - n), min(at, len(words) - n)
-            if n < WIDTH:
-                lo, hi = at, at
-            elif len(words) < n:  # the whole text is the one window
-                lo, hi = 0, 0
-            if lo <= hi:
-                starts.setdefault(item, set()).update(range(lo, hi + 1))
-    return {i: np.array(sorted(s)) for i, s in starts.items()}
-
-
-def find_in_text(index: Index, words: np.ndarray, radius: int, percent: int, hits: np.ndarray, sh: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(item, start, n words, distance, similarity) of the best window of each item that the text leaks."""
-    found = []
-    for item, starts in _windows(index, words, hits, sh).items():
-        whole = len(words) < len(index.words[item])
-        n = min(len(index.words[item]), len(words))
-        best = None
-        for a in range(0, len(starts), 4096):
-            some = starts[a : a + 4096]
-            prints = simhash(words[some[:, None] + np.arange(n)[None, :]])
-            # within the radius, some block differs in at most radius // BLOCKS bits
-            near = (np.bitwise_count(_blocks(prints) ^ index.blocks[item]) <= radius // BLOCKS).any(1)
-            distance = np.bitwise_count(prints ^ index.prints[item]).astype(int)
-            # a text shorter than the item is one window only: it is verified whatever its fingerprint
-            for k in np.flatnonzero(near & (distance <= radius) | whole).tolist():
-                s = _similarity(index, item, words[some[k] : some[k] + n])
-                if s >= percent / 100 - 1e-12 and (best is None or (s, -distance[k], -some[k]) > (best[4], -best[3], -best[1])):
-                    best = (item, int(some[k]), n, int(distance[k]), s)
-        if best:
-            found.append(best)
-    return found
-
-
-def _short_hits(index: Index, words: np.ndarray) -> list[tuple[int, int]]:
-    """(place, item) of items of fewer than WIDTH words, found as runs of words anywhere."""
-    out = []
-    for i, ws in enumerate(index.words):
-        if 0 < len(ws) < WIDTH and len(words) >= len(ws):
-            same = np.ones(len(words) - len(ws) + 1, bool)
-            for k, h in enumerate(ws):
-                same &= words[k : len(words) - len(ws) + 1 + k] == h
-            out += [(int(p), i) for p in np.flatnonzero(same)[:1]]
-    return out
+    return low / high
+
+
+def possible_starts(hits: np.ndarray, ends: np.ndarray, n: int, need: int) -> np.ndarray:
+    """Sorted starts of the windows of n words that lie in one text and hold at least ``need`` of the known shingles at the
+    sorted places ``hits``. ends: past-the-end words of the texts."""
+    s = max(1, n - WIDTH + 1)
+    if len(hits) < need:
+        return np.zeros(0, np.int64)
+    last = hits[need - 1 :]  # of need successive hits
+    first = hits[: len(last)]
+    at = np.flatnonzero(last - first < s)
+    # windows whose first hit is this one
+    before = np.concatenate(([-1], hits))[at] + 1
+    text = np.searchsorted(ends, first[at], "right")
+    lo = np.maximum.reduce([before, last[at] - s + 1, np.concatenate(([0], ends))[text]])
+    size = np.maximum(0, np.minimum(first[at], ends[text] - n) - lo + 1)
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words int, distance int, similarity double"
 
 
+def _search_slice(index: Index, w: K.Words, radius: int, percent: int) -> dict[tuple[int, int], tuple]:
+    """Of each (text, item) that leaks: the best (similarity, -distance, -start, n words)."""
+    ends = np.cumsum(w.per_doc())
+    best: dict[tuple[int, int], tuple] = {}
+
+    windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # starts, sizes, fingerprints, whether they are whole texts
+    owner_ends, owner_lengths = index.owners
+    for width in sorted({min(n, WIDTH) for n in index.lengths.tolist()}):
+        # places of known shingles inside one text, once for each length of the items that have them
+        h = _runs(w.hash, width)
+        at = np.minimum(np.searchsorted(index.known, h), len(index.known) - 1)
+        hit = np.flatnonzero(index.known[at] == h)
+        hit = hit[w.doc[hit] == w.doc[hit + width - 1]]
+        if not len(hit):
+            continue
+        shingle = at[hit]
+        n = owner_ends[shingle] - np.concatenate(([0], owner_ends))[shingle]
+        place = np.repeat(hit, n)
+        length = owner_lengths[np.repeat(owner_ends[shingle] - np.cumsum(n), n) + np.arange(n.sum())]
+        order = np.argsort(length, kind="stable")
+        place, length = place[order], length[order]
+        cuts = np.flatnonzero(K.first_of_run(length))
+        for a, b in zip(cuts, np.append(cuts[1:], len(length))):
+            size = int(length[a])
+            if min(size, WIDTH) == width:
+                starts = possible_starts(place[a:b], ends, size, index.least_known(max(1, size - WIDTH + 1), percent))
+                windows.append((starts, np.full(len(starts), size), window_prints(w.hash, starts, size), np.zeros(len(starts), bool)))
+        if width == WIDTH:  # a text that is shorter than an item is one window as a whole
+            per, sizes = np.bincount(w.doc[hit], minlength=w.n_docs), w.per_doc()
+            for text in np.flatnonzero((per > 0) & (sizes < index.lengths.max())).tolist():
+                if per[text] >= index.least_known(int(sizes[text]) - WIDTH + 1, percent):
+                    start = ends[text : text + 1] - sizes[text]
+                    windows.append((start, sizes[text : text + 1], window_prints(w.hash, start, int(sizes[text])), np.ones(1, bool)))
+    if not windows:
+        return best
+    starts, sizes, prints, whole = (np.concatenate(x) for x in zip(*windows))
+    distinct, of = np.unique(prints, return_inverse=True)
+    at, item, distance = index.tables.within(distinct, radius)
+    n = np.bincount(at, minlength=len(distinct))[of]  # items of each window; those of a fingerprint are in order
+    first = np.searchsorted(at, of)
+    window = np.repeat(np.arange(len(starts)), n)
+    pair = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    length = index.lengths[item[pair]]
+    keep = np.where(whole[window], length > sizes[window], length == sizes[window])
+    for k, p in zip(window[keep].tolist(), pair[keep].tolist()):
+        start, size, i = int(starts[k]), int(sizes[k]), int(item[p])
+        similarity = _similarity(index, i, w.hash[start : start + size])
+        if similarity >= percent / 100 - 1e-12:
+            text = int(w.doc[start])
+            found = (similarity, -int(distance[p]), (int(ends[text - 1]) if text else 0) - start, size)
+            if (text, i) not in best or found > best[text, i]:
+                best[text, i] = found
+    return best
+
+
 def search_texts(index: Index, texts: pa.Array, radius: int, percent: int) -> list[tuple[int, int, int, int, int, float]]:
     """(text, item, start, n words, distance, similarity) of all leaks of a column of texts."""
-    has_short = any(0 < len(w) < WIDTH for w in index.words)
     rows = []
-    for w in K.each_slice(texts):
-        if not len(w.hash):
-            continue
-        ends = np.cumsum(w.per_doc())
-        sh = _shingles(w.hash) if len(w.hash) >= WIDTH else np.zeros(0, np.uint64)
-        at = np.searchsorted(index.known, sh)
-        at[at == len(index.known)] = 0
-        hit = np.flatnonzero(index.known[at] == sh) if len(index.known) else np.zeros(0, np.int64)
-        hit = hit[w.doc[hit] == w.doc[np.minimum(hit + WIDTH - 1, len(w.doc) - 1)]]
-        for d in (np.unique(w.doc) if has_short else np.unique(w.doc[hit])).tolist():
-            lo = int(ends[d - 1]) if d else 0
-            words = w.hash[lo : ends[d]]
-            own = hit[np.searchsorted(hit, lo) : np.searchsorted(hit, ends[d])] - lo
-            found = find_in_text(index, words, radius, percent, own, sh[lo:])
-            if has_short:
-                found += [(i, p, len(index.words[i]), 0, 1.0) for p, i in _short_hits(index, words)]
-            rows += [(w.first + d, *x) for x in found]
+    if len(index.ids):
+        for w in K.each_slice(texts):
+            if len(w.hash):
+                found = _search_slice(index, w, radius, percent)
+                rows += [(w.first + text, i, -start, n, -distance, s) for (text, i), (s, distance, start, n) in sorted(found.items())]
     return rows
 
 
@@ -253,7 +336,7 @@ def indexes(benchmark: DataFrame, group_items: int) -> Iterator[Index]:
         yield build_index([r["item_id"] for r in rows], [r["text"] for r in rows], counts)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 16, group_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 19, group_items: int = 20_000) -> DataFrame:
     """One row per document and item that it leaks: the best window. docs(doc_id, text), benchmark(item_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -277,7 +360,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius:
     return out
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 16, group_items: int = 20_000) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = 19, group_items: int = 20_000) -> DataFrame:
     """The rows of docs, with all columns, that leak no item; no shuffle."""
     for index in indexes(benchmark, group_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -318,3 +318,52 @@ def test_language_id_of_many_languages(spark):
     rows = [(100 * k + j, " ".join(rng.choice(vocab[x]) for _ in range(40)), x) for k, x in enumerate(vocab) for j in range(8 if k % 3 else 24)]
     got = {r.doc_id: r.lang_pred for r in langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert [got[d] for d, _, _ in rows] == [x for _, _, x in rows]
+
+
+@pytest.mark.parametrize("radius", [0, 3, 11, 19])
+def test_block_tables_find_all_within_the_radius(radius):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    items = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    items[40:] = items[:10]  # ties
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 24), replace=False)) for _ in range(600)]
+    prints = np.array([int(items[k % 50]) ^ f for k, f in enumerate(flips)], np.uint64)
+    at, item, distance = decontaminate.BlockTables(items).within(prints, radius)
+    every = np.bitwise_count(prints[:, None] ^ items[None, :])
+    assert sorted(zip(at.tolist(), item.tolist())) == [tuple(x) for x in np.argwhere(every <= radius).tolist()]
+    assert (every[at, item] == distance).all()
+
+
+def test_decontamination_recall_with_hot_shingles(spark):
+    """Of what an exact comparison of all windows finds on passages that many items and documents share, at least 0.9 is found."""
+    import random
+
+    rng = random.Random(21)
+    vocab = [f"w{k}" for k in range(500)]
+    hot = [[rng.choice(vocab) for _ in range(10)] for _ in range(4)]
+    items = [(i, " ".join([*hot[i % 4], *(rng.choice(vocab) for _ in range(rng.randint(8, 30)))])) for i in range(40)]
+    rows = []
+    for d in range(300):
+        w = items[d % 40][1].split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.choice([0, 1, 2, -1, -2, -3])] = "zz"
+        rows.append((d, " ".join([*(rng.choice(vocab) for _ in range(rng.randint(0, 30))), *w, *rng.choice(hot), *(rng.choice(vocab) for _ in range(rng.randint(0, 30)))])))
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    sets = {i: Counter(grams(t.split())) for i, t in items}
+    df = Counter(s for x in sets.values() for s in x)
+    weight = lambda s: 1 + math.log(len(items) / df[s]) if s in df else 1 + math.log(len(items) / min(df.values()))
+    want = set()
+    for d, t in rows:
+        w = t.split()
+        for i, a in sets.items():
+            n = sum(a.values()) + 4
+            for k in range(len(w) - n + 1):
+                b = Counter(grams(w[k : k + n]))
+                low = sum(min(a[s], b[s]) * weight(s) for s in a)
+                if low / (sum(a[s] * weight(s) for s in a) + sum(b[s] * weight(s) for s in b) - low) >= 0.8 - 1e-12:
+                    want.add((d, i))
+                    break
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 150
