@@ -1,14 +1,15 @@
 """Sharding by histogram sort, with DataFrame operations only.
 
-Rows are ordered by (hash of the text, doc_id), so copies of a text are neighbours. The splitters of this order are found
+Rows are ordered by (hash of the text, hash of doc_id, number of the row), so copies of a text are neighbours. The splitters of this order are found
 by counting: each round counts the exact bytes below a grid of candidate boundaries in those cells of the key space that
 still hold a target, over all rows, and descends into one cell per target until the bytes below a boundary meet the
 tolerance. Then the rows are exchanged once, to number them. A group of equal texts is cut only where no boundary between
-groups is near enough; the descent then goes on inside the group, by doc_id.
+groups is near enough; the descent then goes on inside the group, by doc_id, and among rows that are equal in both by their
+number, so that the law holds however many rows are the same. Such rows are interchangeable; all else is the same in each run.
 
-Edge cases: a null text has 0 bytes (size 1) and its crc32 is that of the empty text; null doc_ids sort first;
-repeated rows are all kept (each gets a slot of its own); an empty table gives no rows; extra columns are ignored, whatever
-their names.
+Edge cases: a null text has 0 bytes (size 1) and its crc32 is that of the empty text; rows with a null doc_id are like rows
+with one doc_id; repeated rows are all kept (each gets a slot of its own); an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from loomwell.llm.scratch import Scratch
 
 BITS = 10  # of the key that one round resolves
+TIE_BITS = 31
 
 
 @dataclass(frozen=True)
 class Splitter:
-    """Rows with (key, tie) below this come before it; ``below``: their bytes."""
+    """Rows with (key, tie) below this come before it; ``below``: their bytes. TIE_BITS of the tie are of doc_id, the rest of the row."""
 
     key: int
     tie: int
@@ -36,14 +38,15 @@ class Splitter:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    # two unsigned halves, compared as 62-bit non-negative longs
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 2).alias("key"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("tie"), F.coalesce(F.col("doc_id"), F.lit(-1))), 2).alias("tie"),
-    )
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *_order())
+
+
+def _order() -> tuple[Column, Column]:
+    """key and tie, 62-bit non-negative longs. The row's number counts only among rows of equal text and doc_id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    number = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TIE_BITS)
+    doc = F.shiftrightunsigned(F.xxhash64(F.lit("tie"), F.coalesce(F.col("doc_id"), F.lit(-1))), 64 - TIE_BITS)
+    return F.shiftrightunsigned(F.xxhash64(text), 2).alias("key"), F.shiftleft(doc, TIE_BITS).bitwiseOR(number).alias("tie")
 
 
 def _histogram(rows: DataFrame, column: str, shift: int, inside: dict[int, Column]) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -133,36 +136,39 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.01,
     placed = rows.withColumn("shard", shard_of(splitters, F.col("key"), F.col("tie")))
     bits = min(40, max(0, math.ceil(math.log2(max(1, n / rows_per_cell)))))
     placed = placed.withColumn("cell", F.shiftright("key", 62 - bits))
-    counts = placed.groupBy("shard", "cell", F.shiftright("tie", 62 - max(bits, 4)).alias("part")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy("shard", "cell")
-    # parts of a cell of usual size stay together as part 0
-    counts = counts.withColumn("in_cell", F.sum("n").over(whole)).withColumn(
-        "part", F.when(F.col("in_cell") > 2 * rows_per_cell, F.col("part")).otherwise(F.lit(0).cast("long"))
-    ).groupBy("shard", "cell", "part").agg(F.sum("n").alias("n"), F.first("in_cell").alias("in_cell"))
-    before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
-    offsets = scratch.table(offsets.select("shard", "cell", "part", "offset", "in_cell"), "offsets")
-    hot = offsets.filter(F.col("in_cell") > 2 * rows_per_cell).select("shard", "cell").distinct().withColumn("is_hot", F.lit(True))
-    placed = placed.join(hot, ["shard", "cell"], "left").withColumn(
-        "part", F.when(F.col("is_hot"), F.shiftright("tie", 62 - max(bits, 4))).otherwise(F.lit(0).cast("long"))
-    )
-    inside = Window.partitionBy("shard", "cell", "part").orderBy("key", "tie", "doc_id")
-    out = placed.withColumn("rn", F.row_number().over(inside)).join(offsets.drop("in_cell"), ["shard", "cell", "part"])
+    # cells above twice the usual size, which few hot texts fill, are cut by doc_id, and what is above it then by row
+    fine = max(bits, 4)
+    limit = 2 * rows_per_cell
+
+    def cut(rows: DataFrame, by: list[str], name: str, value: Column) -> DataFrame:
+        """``value`` in the groups of more than ``limit`` rows, which are fewer than rows / limit, and 0 elsewhere."""
+        hot = rows.groupBy(by).count().filter(F.col("count") > limit).select(*by, F.lit(True).alias("is_hot"))
+        return rows.join(hot, by, "left").withColumn(name, F.when(F.col("is_hot"), value).otherwise(F.lit(0).cast("long"))).drop("is_hot")
+
+    placed = cut(placed, ["shard", "cell"], "part", F.shiftright("tie", 2 * TIE_BITS - fine))
+    placed = cut(placed, ["shard", "cell", "part"], "piece", F.shiftright(F.col("tie").bitwiseAND(F.lit((1 << TIE_BITS) - 1).cast("long")), TIE_BITS - min(fine, TIE_BITS)))
+    grain = ["shard", "cell", "part", "piece"]
+    before = Window.partitionBy("shard").orderBy("cell", "part", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(grain).agg(F.count("*").alias("n"))
+    offsets = scratch.table(counts.select(*grain, F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("offset")), "offsets")
+    inside = Window.partitionBy(grain).orderBy("key", "tie", "doc_id")
+    out = placed.withColumn("rn", F.row_number().over(inside)).join(offsets, grain)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("offset") + F.col("rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.01) -> list[Splitter]:
-    """Write whole rows to ``path``/shard=K after one exchange by shard, and return the splitters used."""
+def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.01, column: str = "shard") -> list[Splitter]:
+    """Write whole rows to ``path``/``column``=K after one exchange by shard, and return the splitters used. A column of docs
+    that has this name keeps it, and the folder's gets underscores behind."""
     spark = docs.sparkSession
     rows = Scratch(spark, "shard").table(_keyed(docs), "keyed")
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     splitters = find_splitters(rows, shards, total or 0, tolerance) if n else []
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.shiftrightunsigned(F.xxhash64(text), 2)
-    tie = F.shiftrightunsigned(F.xxhash64(F.lit("tie"), F.coalesce(F.col("doc_id"), F.lit(-1))), 2)
-    placed = docs.withColumn("shard", shard_of(splitters, key, tie))
-    placed.repartition("shard", F.pmod(tie, F.lit(64))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    while column in docs.columns:
+        column += "_"
+    key, tie = _order()
+    placed = docs.withColumn(column, shard_of(splitters, key, tie))
+    placed.repartition(column, F.pmod(tie, F.lit(64))).write.mode("overwrite").partitionBy(column).parquet(path)
     return splitters
