@@ -99,27 +99,32 @@ def held_out(folds: int, fold: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, shape: bool, folds: int, fold: int,
                   change: Callable[[str], str] | None = None) -> dict[str, np.ndarray]:
     """Features of at most ``most`` labelled rows outside the fold: equally many of each grade as far as there are, those
-    with the smallest hashes of doc_id. ``change`` gives a second version of each text.
+    with the smallest hashes of doc_id. ``change`` gives a second version of each text. All grades are learned; their
+    numbers, one row a grade, come to the driver.
 
-    Returns y, and for 'x' (and 'z', the changed texts) row pointers and dimensions.
+    Returns y; for 'x' (and 'z', the changed texts) row pointers and dimensions; and of each grade in 'grades' its number of
+    labelled documents outside the fold ('sizes').
     """
     small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
     # one label a document: the largest of repeated ones
     usable = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(64).collect()}
+    sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect()}
     each = max(1, most // max(1, len(sizes)))
-    keep = F.lit(False)
-    for y, n in sizes.items():
-        keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, each / n))))
-    chosen = usable.filter(keep)  # about ``most`` rows: small enough to send to every task
+    shares = [(y, max(1, int(1_000_000 * min(1.0, each / n)))) for y, n in sizes.items()]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(shares, "y int, share int"))  # one row a grade
+    chosen = usable.join(limits, "y").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
+    chosen = chosen.select("doc_id", "y")  # about ``most`` rows: small enough to send to every task
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             versions = [("x", batch.column(0))]
             if change:
-                versions.append(("z", pa.array([change(t or "") for t in batch.column(0).to_pylist()], pa.string())))
+                texts = batch.column(0).to_pylist()
+                changed = [change(t or "") for t in texts]
+                same = [t == (s or "") for s, t in zip(texts, changed)]
+                versions.append(("z", pa.array(["" if k else t for k, t in zip(same, changed)], pa.string())))
             out: dict[str, list] = {}
             for name, column in versions:
                 out[name] = []
@@ -127,12 +132,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, sha
                     cuts = np.cumsum(np.bincount(doc, minlength=n))[:-1]
                     out[name] += [d.astype(np.int32).tobytes() for d in np.split(dim, cuts)]
             x = out["x"]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary()), pa.array(out.get("z", [None] * len(x)), pa.binary())], ["y", "x", "z"])
+            z = [None if k else d for k, d in zip(same, out["z"])] if change else [None] * len(x)  # null: as x
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary()), pa.array(z, pa.binary())], ["y", "x", "z"])
 
     got = rows.select("text", "y").mapInArrow(run, "y int, x binary, z binary").toPandas()
-    result: dict[str, np.ndarray] = {"y": got["y"].to_numpy(np.int64)}
+    result: dict[str, np.ndarray] = {"y": got["y"].to_numpy(np.int64), "grades": np.array(list(sizes), np.int64), "sizes": np.array(list(sizes.values()), float)}
     for name in ("x", "z") if change else ("x",):
-        parts = [np.frombuffer(b, np.int32) for b in got[name]]
+        parts = [np.frombuffer(x if own is None else own, np.int32) for x, own in zip(got["x"], got[name])]
         result[name + "_ptr"] = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         result[name + "_dim"] = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
     return result

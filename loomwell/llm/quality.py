@@ -3,7 +3,8 @@
 One weight vector over hashed text features (words, word beginnings, shape) is shared by all grades; ordered thresholds cut
 its score: P(grade > k) = sigmoid(score - threshold_k). Training minimises the likelihood with an L1 penalty over a bounded,
 grade-balanced sample of labelled rows; thresholds stay ordered because their gaps are exponentials. Two grades are the
-special case of one threshold. Thresholds are then moved to the grades' true frequencies.
+special case of one threshold. Thresholds are then moved to the grades' frequencies among the labelled documents outside the
+held-out fold (one label a document: the largest of repeated ones). Every grade that occurs there is learned.
 
 Edge cases: null texts count as empty; with fewer than two grades in the labels every row gets that grade (or null without
 labels) and is kept; repeated rows and labels do no harm; extra columns are ignored.
@@ -71,12 +72,12 @@ def fit(data: dict[str, np.ndarray], l1: float = 1e-3, least: int = 5, steps: in
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 8000, folds: int = 5, fold: int = 0) -> Ordinal:
-    model = fit(X.training_rows(docs, labels, label, sample, True, folds, fold))
+    data = X.training_rows(docs, labels, label, sample, True, folds, fold)
+    model = fit(data)
     if len(model.grades) > 1:
         # the sample is balanced; shift each threshold by the log odds between the true and the balanced tail
-        counts = {r[0]: r[1] for r in labels.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect()}
-        n = np.array([counts.get(int(g), 0) for g in model.grades], float)
-        each = np.minimum(n, sample // len(n))
+        n = data["sizes"][np.isin(data["grades"], model.grades)]
+        each = np.bincount(np.searchsorted(model.grades, data["y"])).astype(float)
         true, seen = (np.cumsum(x[::-1])[::-1][1:] / x.sum() for x in (n, each))
         odds = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
         model.cuts = np.maximum.accumulate(model.cuts - (odds(true) - odds(seen)))

@@ -3,7 +3,8 @@
 Logistic regression over hashed words and word beginnings with an L1 penalty. For each training text a counterfactual is
 made by swapping its identity terms (group names) for others of the same kind; the squared difference of the two logits is
 penalised, so that a mere mention of a group moves the score little. Training uses a bounded, class-balanced sample of the
-labelled rows outside the held-out fold; the intercept is then set by the sample's errors at the true class frequencies.
+labelled rows outside the held-out fold; the intercept is then put where the sample errs least, each row weighing as many
+labelled documents outside the fold as it stands for (so the classes count by their true frequencies).
 
 Edge cases: null texts count as empty; empty texts get the intercept's score; with one class only all rows get its label's
 score (0 or 1), without labels 0; repeated rows and labels do no harm; extra columns are ignored.
@@ -86,20 +87,21 @@ def fit(data: dict[str, np.ndarray], pairing: float = 1.0, l1: float = 1e-3, lea
 
     start = np.zeros(d + 1)
     p = X.minimise(loss, start, np.concatenate((np.full(d, l1), [0.0])), steps)
-    # the intercept that errs least at the balanced sample, midway between neighbours on a tie
+    # the intercept that errs least, midway between neighbours on a tie
     logit = X.row_sums(p[:d], rows["x_ptr"], rows["x_dim"])
     order = np.argsort(logit)
     z, t = logit[order], y[order]
-    wrong = np.concatenate(([0], np.cumsum(t))) * n / max(1, 2 * y.sum()) + (np.sum(1 - t) - np.concatenate(([0], np.cumsum(1 - t)))) * n / max(1, 2 * (1 - y).sum())
+    true = [data["sizes"][(data["grades"] > 0) == toxic].sum() for toxic in (False, True)] if "sizes" in data else [(1 - y).sum(), y.sum()]
+    wrong = np.concatenate(([0], np.cumsum(t))) * true[1] / y.sum() + (np.sum(1 - t) - np.concatenate(([0], np.cumsum(1 - t)))) * true[0] / (1 - y).sum()
     edges = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-6)
     cut = (edges[best[0]] + edges[best[-1]]) / 2
     weights = np.zeros(X.DIM, np.float32)
     weights[dims] = p[:d]
     return Logistic(weights, float(-cut))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000, folds: int = 5, fold: int = 0,
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, folds: int = 5, fold: int = 0,
           groups: Sequence[Sequence[str]] = IDENTITY_TERMS, pairing: float = 1.0) -> Logistic:
     return fit(X.training_rows(docs, labels, label, sample, False, folds, fold, swapper(groups)), pairing)
 

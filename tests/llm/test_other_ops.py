@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
-from loomwell.llm import html_text, katz, queries, quality, shard, topk, toxicity
+from loomwell.llm import features, html_text, katz, queries, quality, shard, topk, toxicity
+from loomwell.llm import kernel as K
 from pyspark.sql import functions as F
 
 from .conftest import WORDS, crc
@@ -88,6 +90,31 @@ def test_sharding_hot_text_and_slots(spark):
     assert shard.shard_documents(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_of_identical_rows(spark, doc_id):
+    """The law holds for rows that are equal in text and doc_id, and their slots are not numbered in one piece."""
+    rows = [(doc_id, "same text")] * 4000 + [(1000 + i, f"text {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got, by = shards_of(shard.shard_documents(df, shards=16, rows_per_cell=50))
+    assert sorted((str(r.doc_id), r.text_crc32) for r in got) == sorted((str(i), zlib.crc32(t.encode())) for i, t in rows)
+    sizes = [sum(r["size"] for r in by[s]) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 2 * 0.01 * sum(sizes) / 16 + 2 * max(r["size"] for r in got)
+    for x in by.values():
+        assert sorted(r.slot for r in x) == list(range(len(x)))
+
+
+def test_splitters_by_brute_force(spark):
+    """Each splitter's bytes below are those of the rows before it, as near to the goal as the tolerance asks."""
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(0, 40) + str(i // 3)) for i in range(3000)]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").transform(shard._keyed).cache()
+    total = keyed.agg(F.sum("size")).first()[0]
+    table = keyed.collect()
+    for t, s in enumerate(shard.find_splitters(keyed, 8, total), 1):
+        assert s.below == sum(r["size"] for r in table if (r.key, r.tie) < (s.key, s.tie))
+        assert abs(s.below - total * t / 8) <= 0.01 * total / 8
+
+
 def test_sharding_keeps_small_groups_together(spark):
     rows = [(i, f"text number {i % 400}") for i in range(4000)]
     got, _ = shards_of(shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4))
@@ -101,6 +128,9 @@ def test_write_shards(spark, docs, corpus, tmp_path):
     shard.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(corpus) and {r[0] for r in back.select("shard").distinct().collect()} <= set(range(4))
+    shard.write_shards(docs.withColumn("shard", F.lit("mine")), str(tmp_path / "more"), shards=4)
+    more = spark.read.parquet(str(tmp_path / "more"))
+    assert more.filter("shard = 'mine'").count() == len(corpus) and more.select("shard_").distinct().count() > 1
 
 
 def labelled(n=500, seed=2):
@@ -140,6 +170,82 @@ def test_toxicity(spark):
     assert toxicity.score_documents(df.limit(0), lab).collect() == []
 
 
+def test_held_out_labels_are_not_learned_from(spark):
+    rows, labels = labelled(300, seed=12)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    turned = [(d, 1 - q, 1 - t) if crc(d) % 5 == 0 else (d, q, t) for d, q, t in labels]
+    tables = [spark.createDataFrame(x, "doc_id long, quality int, toxic int") for x in (labels, turned)]
+    for op in (quality.rate_documents, toxicity.score_documents):
+        one, other = (sorted(tuple(r) for r in op(df, t).collect()) for t in tables)
+        assert one == other
+
+
+def brute_features(text, shape):
+    """A text's dimensions, word by word."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def word_hash(b):
+        return mix(sum(int(K.BYTE_VALUES[x]) * pow(K._MUL, k, 2**64) for k, x in enumerate(b)) & mask)
+
+    raw = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()) if w]
+    out, low = set(), [bytes(x + 32 if 65 <= x <= 90 else x for x in w) for w in raw]
+    for w in low:
+        for _ in range(3):
+            if len(w) > 1 and w[-1:] in b".,;:!?\"'()":
+                w = w[:-1]
+            if len(w) > 1 and w[:1] in b".,;:!?\"'()":
+                w = w[1:]
+        hashes = [word_hash(w)] + [mix((word_hash(w[:k]) + salt) & mask) for k, salt in ((4, 11), (5, 12)) if len(w) > k]
+        out |= {h % (features.DIM - features.SHAPE_DIMS) + features.SHAPE_DIMS for h in hashes}
+    if shape:
+        n = max(1, len(raw))
+        letters = [sum(x >= 128 or chr(x).isalpha() for x in w) for w in raw]
+        caps = [sum(65 <= x <= 90 for x in w) for w in raw]
+        shares = [
+            sum(c >= 2 and c == a for c, a in zip(caps, letters)) / n, sum(a == b for a, b in zip(low, low[1:])) / n,
+            sum(len(w) - a >= 2 for w, a in zip(raw, letters)) / n, sum(a == 0 for a in letters) / n, 1 - len(set(low)) / n,
+        ]
+        for k, x in enumerate(shares):
+            out.add(k * 12 + (0 if x <= 0 else min(11, max(1, math.ceil(11 + math.log2(max(x, 1e-9)))))))
+        out.add(5 * 12 + min(11, int(math.log2(n))))
+    return out
+
+
+def test_classifiers_by_brute_force(spark, docs, corpus):
+    """Scores are the model's weights summed over features that are computed word by word."""
+    rows, labels = labelled(300, seed=13)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {d: t for d, t, *_ in corpus} | {d + 10_000: t for d, t in rows[:40]} | {20_000: "WOW!! (really) the the The éÉ 12 3; a"}
+    probe = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    ordinal, logistic = quality.train(df, lab), toxicity.train(df, lab)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for r in quality.score(probe, ordinal).collect():
+        z = sum(float(ordinal.weights[f]) for f in brute_features(texts[r.doc_id], True))
+        assert r.tail_prob == pytest.approx(sig(z - ordinal.cuts[0]), abs=1e-6) and r.expected_grade == pytest.approx(r.tail_prob)
+    for r in toxicity.score(probe, logistic).collect():
+        assert r.score == pytest.approx(sig(sum(float(logistic.weights[f]) for f in brute_features(texts[r.doc_id], False)) + logistic.bias), abs=1e-6)
+
+
+def test_classifiers_on_odd_tables(spark):
+    """Empty tables, repeated rows, columns with the operators' names, a very long text and many grades."""
+    rows, labels = labelled(200, seed=14)
+    lab = spark.createDataFrame([(d, q + 2 * (d % 40), t) for d, q, t in labels] + labels[:3], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("share", F.lit("x"))
+    df = spark.createDataFrame([*rows, *rows[:5], (None, "no id"), (5000, "word " * 200_000)], "doc_id long, text string")
+    for name in ("y", "x", "z", "share", "n", "held_out", "score", "quality", "toxic"):
+        df = df.withColumn(name, F.lit("clash"))
+    for op in (quality.rate_documents, toxicity.score_documents):
+        assert op(df, lab).count() == len(rows) + 7
+        assert op(df.limit(0), lab).collect() == [] and op(df, lab.limit(0)).count() == len(rows) + 7
+    model = quality.train(df, lab)
+    assert set(model.grades) <= set(range(80)) and model.grades.max() > 64
+
+
 def test_counterfactual_swaps():
     swap = toxicity.swapper()
     assert swap("A Muslim and a woman met.") != "A Muslim and a woman met." and swap("womanly talk") == "womanly talk"
