@@ -6,10 +6,14 @@ it is to the language; the phrase count is normalised to bits a character (phras
 characters), so that languages with less training text compare fairly. The language with the least wins; ties go to the
 language that sorts first.
 
-Training text: of the labelled rows, those with the smallest hash of doc_id, ``train_docs`` a language and
-``train_chars`` characters together, of which a document gives its first ``per_doc``. Every language of the labelled rows is
-learned. All bounds are parameters. Predictions see whole texts: the parse runs over all characters, in pieces of ``PIECE`` characters that
-each begin a new phrase, so that numpy can walk many pieces at once.
+Training text: of the labelled rows of a language, whole texts in the order of a hash of doc_id, as long as they hold at most
+``train_chars`` characters together (with many languages, an equal share of ``total_chars``). Only texts of up to an eighth of
+``train_chars`` are taken, so that no single one makes the language; a language that has none gives its shortest text (of which
+4 * ``train_chars`` characters are learned at most). Every language of the labelled rows is learned. All bounds are parameters.
+
+Predictions see whole texts, and phrases end nowhere but at their last match: for speed, pieces of ``PIECE`` letters are parsed
+at once, each as if a phrase began there; then pieces are parsed again from where the phrase that crosses into them ends,
+until both parses begin a phrase at the same place, after which they are the same.
 
 All letters of the training text take part, of any script: transitions are kept sparse, so rare letters cost nothing.
 
@@ -34,49 +38,54 @@ from loomwell.llm.scratch import small_batches
 
 PIECE = 256
 OTHER = 1
-STATE_BITS, SYMBOL_BITS = 22, 18
+WINDOW = 256  # places that are tried at once for a state's transitions
 
 
 @dataclass
 class Transitions:
-    """A language's automaton as an open-addressed hash table, filled to a half at most; state 1 is the root."""
+    """A language's automaton with its sparse transitions laid over each other in one array; state 1 is the root, 0 none."""
 
-    slots: np.ndarray  # state, symbol and next state of a transition in one number; 0 for none
+    base: np.ndarray  # of each state: the place of its transition by symbol 0, were there one
+    slots: np.ndarray  # state and next state of the transition at a place; -1 for none
 
     @staticmethod
-    def of(nxt: list[dict[int, int]]) -> Transitions:
-        if len(nxt) >> STATE_BITS:
-            raise ValueError(f"train_chars is too large: {len(nxt)} states")
-        n = sum(map(len, nxt))
-        keys = np.fromiter(((s << SYMBOL_BITS) | c for s, x in enumerate(nxt) for c in x), np.int64, n)
-        packed = (keys << STATE_BITS) | np.fromiter((q for x in nxt for q in x.values()), np.int64, n)
-        table = Transitions(np.zeros(1 << max(4, (2 * n).bit_length()), np.int64))
-        at = table._home(keys)
-        while len(packed):
-            free = np.flatnonzero(table.slots[at] == 0)
-            first = free[np.unique(at[free], return_index=True)[1]]
-            table.slots[at[first]] = packed[first]
-            packed, at = np.delete(packed, first), (np.delete(at, first) + 1) & (len(table.slots) - 1)
-        return table
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.slots).bit_length())).view(np.int64)
+    def of(nxt: list[dict[int, int]], n_symbols: int) -> Transitions:
+        degree = np.array([len(x) for x in nxt])
+        base = np.zeros(len(nxt), np.int64)
+        used = np.zeros(2 * int(degree.sum()) + 2 * n_symbols + WINDOW, bool)
+        lo, last = n_symbols, 0
+        for state in np.argsort(-degree, kind="stable")[: int((degree > 1).sum())].tolist():
+            symbols = np.array(sorted(nxt[state]))
+            span = symbols - symbols[0]
+            if degree[state] != last:  # the holes that larger states left can fit smaller ones
+                lo, last = n_symbols, degree[state]
+            while True:
+                if lo + WINDOW + n_symbols > len(used):
+                    used = np.append(used, np.zeros(len(used), bool))
+                place = np.flatnonzero(~used[lo : lo + WINDOW]) + lo
+                fits = place[~used[place[:, None] + span].any(1)]
+                if len(fits):
+                    break
+                lo += WINDOW  # what is left there is for single transitions
+            base[state] = fits[0] - symbols[0]
+            used[fits[0] + span] = True
+        # single transitions fit everywhere
+        single = np.flatnonzero(degree == 1)
+        symbol = np.fromiter((c for s in single.tolist() for c in nxt[s]), np.int64, len(single))
+        free = np.flatnonzero(~used[n_symbols:])[: len(single)] + n_symbols
+        free = np.append(free, len(used) + np.arange(len(single) - len(free)))
+        base[single] = free - symbol
+        slots = np.full(int(base.max()) + n_symbols + 1, -1, np.int64)
+        n = int(degree.sum())
+        state = np.repeat(np.arange(len(nxt)), degree)
+        places = base[state] + np.fromiter((c for x in nxt for c in x), np.int64, n)
+        slots[places] = (state << 32) | np.fromiter((q for x in nxt for q in x.values()), np.int64, n)
+        return Transitions(base.astype(np.int32), slots)
 
     def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The next states, 0 for none."""
-        key = (state << SYMBOL_BITS) | c
-        at = self._home(key)
-        got = self.slots[at]
-        same = (got >> STATE_BITS) == key
-        out = np.where(same, got & ((1 << STATE_BITS) - 1), 0)
-        todo = np.flatnonzero(~same & (got != 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
-            got = self.slots[at[todo]]
-            same = (got >> STATE_BITS) == key[todo]
-            out[todo[same]] = got[same] & ((1 << STATE_BITS) - 1)
-            todo = todo[~same & (got != 0)]
-        return out
+        got = self.slots[self.base[state] + c]
+        return np.where(got >> 32 == state, got & 0xFFFFFFFF, 0)
 
 
 @dataclass
@@ -119,8 +128,8 @@ def alphabet_of(texts: list[str]) -> np.ndarray:
     return out
 
 
-def automaton(text: np.ndarray) -> Transitions:
-    """The suffix automaton of a symbol sequence."""
+def automaton(text: np.ndarray, n_symbols: int) -> Transitions:
+    """The suffix automaton of a sequence of symbols below ``n_symbols``."""
     n = len(text)
     nxt: list[dict[int, int]] = [{}, {}]
     length, link = [0] * (2 * n + 3), [0] * (2 * n + 3)
@@ -162,76 +171,116 @@ def automaton(text: np.ndarray) -> Transitions:
                 link[q], q = new, new
             link[cur] = q
         last = cur
-    return Transitions.of(nxt)
-
-
-def phrases(table: Transitions, pieces: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Greedy phrase counts of many pieces at once; pieces[k] holds the k-th symbols, longest pieces first."""
-    n = len(lengths)
-    state = np.ones(n, np.int64)
-    count = np.ones(n, np.int64)
-    for k in range(pieces.shape[0]):
-        live = int(np.searchsorted(-lengths, -k, "left"))  # pieces longer than k
-        c = pieces[k, :live].astype(np.int64)
-        to = table.step(state[:live], c)
+    return Transitions.of(nxt, n_symbols)
+
+
+def _walk(table: Transitions, s: np.ndarray, at: np.ndarray, bound: np.ndarray, limit: np.ndarray, meet: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parses from places ``at`` of the symbols, each up to the first phrase that begins at or behind its ``bound``, to
+    its text's end ``limit``, or to a phrase that begins where ``meet`` is set. Returns the beginnings of all phrases, and of
+    each walk the place where it ended (-1 if it met) and where it met (else -1)."""
+    end, met = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+    begun = []
+    lane = np.arange(len(at))
+    state = np.zeros(len(at), np.int64)  # from which all symbols miss: a phrase begins
+    while len(lane):
+        inside = np.minimum(at, len(s) - 1)
+        c = s[inside].astype(np.int64)
+        live = at < limit
+        to = np.where(live, table.step(state, c), 0)
         miss = np.flatnonzero(to == 0)
         if len(miss):
-            if k:
-                count[miss] += 1
-            to[miss] = table.step(np.ones(len(miss), np.int64), c[miss])  # 0, from which all miss, if the symbol is unknown
-        state[:live] = to
-    return count
-
-
-def train(docs: DataFrame, train_docs: int = 400, train_chars: int = 60_000, per_doc: int = 3000) -> Model:
-    """Learn from rows (doc_id, text, lang) with both; at most ``per_doc`` characters of one document are taken."""
-    # letters only matter for training text; the bound is on what is learned from, never on what is predicted
+            here = at[miss]
+            over = ~live[miss] | (here >= bound[miss])
+            end[lane[miss[over]]] = here[over]
+            stop = over
+            if meet is not None:
+                both = ~over & meet[inside[miss]]
+                met[lane[miss[both]]] = here[both]
+                stop = over | both
+            go = miss[~stop]
+            begun.append(at[go])
+            to[go] = table.step(np.ones(len(go), np.int64), c[go])  # 0 if the symbol is unknown: a phrase of its own
+            if stop.any():
+                keep = np.ones(len(lane), bool)
+                keep[miss[stop]] = False
+                lane, at, to, bound, limit = lane[keep], at[keep], to[keep], bound[keep], limit[keep]
+        at, state = at + 1, to
+    return (np.concatenate(begun) if begun else np.zeros(0, np.int64)), end, met
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def phrases(table: Transitions, s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Greedy phrase counts of the texts s[cuts[k] : cuts[k + 1]]."""
+    size = np.diff(cuts)
+    n = -(-size // PIECE)  # pieces of each text
+    text = np.repeat(np.arange(len(size)), n)
+    begin = _ranges(np.zeros(len(n), np.int64), n) * PIECE + cuts[:-1][text]
+    limit = cuts[1:][text]
+    bound = np.minimum(begin + PIECE, limit)
+    starts = np.zeros(len(s) + 1, bool)  # where phrases begin
+    found, end, _ = _walk(table, s, begin, bound, limit, None)
+    starts[found] = True
+    inner = np.flatnonzero(begin > cuts[:-1][text])  # pieces behind another one
+    entry = begin.copy()
+    while True:
+        todo = inner[end[inner - 1] != entry[inner]]
+        if not len(todo):
+            break
+        entry[todo] = end[todo - 1]
+        # no phrase begins between a piece's beginning and its entry
+        starts[_ranges(begin[todo], np.minimum(entry[todo], bound[todo]) - begin[todo])] = False
+        over = entry[todo] >= bound[todo]
+        end[todo[over]] = entry[todo[over]]
+        again = todo[~over]
+        found, ended, met = _walk(table, s, entry[again], bound[again], limit[again], starts)
+        stop = np.where(met >= 0, met, bound[again])
+        starts[_ranges(entry[again], stop - entry[again])] = False
+        starts[found] = True
+        end[again[ended >= 0]] = ended[ended >= 0]
+    total = np.concatenate(([0], np.cumsum(starts)))
+    return total[cuts[1:]] - total[cuts[:-1]]
+
+
+def train(docs: DataFrame, train_chars: int = 100_000, total_chars: int = 1_600_000) -> Model:
+    """Learn from rows (doc_id, text, lang) that have all three."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").select(
-        "lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, per_doc).alias("part")
+        "lang", "doc_id", "text", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h")
     )
-    # the smallest hashes of a language: hash thresholds first, so that the window sees few rows
-    counts = sorted(tuple(r) for r in rows.groupBy("lang").count().collect())  # one row a language
-    names = [lang for lang, _ in counts]
-    most = [(lang, int(min(1.0, 3.0 * train_docs / n) * 1_000_000)) for lang, n in counts]
-    limits = F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most long"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    some = rows.join(limits, "lang").filter("pmod(h, 1000000) <= most").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= train_docs)
-    # what lies behind train_chars letters is not fetched; twice as many, as Java and Python may differ on what a letter is
-    letters = F.length(F.regexp_replace("part", r"[^\p{L}\p{M}]+", " "))
-    before = F.coalesce(F.sum(letters).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = some.withColumn("before", before).filter(F.col("before") < 2 * train_chars).select("lang", "rn", "part")
-    got = some.orderBy("lang", "rn").toPandas()
-    parts = got.groupby("lang")["part"].agg(list).to_dict()
+    # a hash threshold of each language first, so that few rows are sorted; the least hash always passes
+    short, place = F.col("size") <= train_chars // 8, F.pmod("h", F.lit(1_000_000))
+    counts = rows.groupBy("lang").agg(F.sum(F.when(short, F.col("size"))), F.min(F.when(short, place)), F.min("size")).collect()  # one row a language
+    most = min(train_chars, max(2000, total_chars // max(1, len(counts))))
+    names = sorted(r[0] for r in counts)
+    bounds = [(lang, max(least, int(min(1.0, 4.0 * most / max(1, chars)) * 1_000_000)) if least is not None else None, size) for lang, chars, least, size in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most int, shortest int"))
+    some = rows.join(limits, "lang").filter(F.when(F.col("most").isNull(), F.col("size") == F.col("shortest")).otherwise(short & (place <= F.col("most"))))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = some.withColumn("total", F.sum("size").over(order)).withColumn("rn", F.count("*").over(order)).filter((F.col("total") <= most) | (F.col("rn") == 1))
+    got = some.select("lang", "rn", F.substring("text", 1, 4 * train_chars).alias("text")).orderBy("lang", "rn").toPandas()
+    parts = got.groupby("lang")["text"].agg(list).to_dict()
     texts = {x: parts.get(x, []) for x in names}
     alphabet = alphabet_of([t for x in texts.values() for t in x])
     tables, bits = [], []
     for x in names:
-        s = symbols(texts[x], alphabet)[:train_chars]
-        tables.append(automaton(s))
+        s = symbols(texts[x], alphabet)
+        tables.append(automaton(s, int(alphabet.max()) + 1))
         bits.append(np.log2(max(2, len(s))))
     return Model(names, alphabet, tables, np.array(bits))
 
 
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     """Bits a character of each text under each language."""
-    n = len(texts)
     codes = [symbols([t], model.symbol_of) for t in texts]
-    owner, cut = [], []
-    for i, s in enumerate(codes):
-        for a in range(0, len(s), PIECE):
-            owner.append(i)
-            cut.append(s[a : a + PIECE])
-    lengths = np.array([len(x) for x in cut], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    pieces = np.full((PIECE, len(cut)), OTHER, np.uint32)
-    for j, k in enumerate(order):
-        pieces[: lengths[k], j] = cut[k]
-    owner, lengths = np.array(owner, np.int64)[order], lengths[order]
-    chars = np.maximum(1, np.array([len(s) for s in codes]))
-    out = np.empty((n, len(model.languages)))
-    for j, table in enumerate(model.tables):
-        total = np.bincount(owner, weights=phrases(table, pieces, lengths), minlength=n) if len(owner) else np.zeros(n)
-        out[:, j] = total * model.bits[j] / chars
+    size = np.array([len(x) for x in codes], np.int64)
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    s = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+    out = np.zeros((len(texts), len(model.languages)))
+    if len(s):
+        for j, table in enumerate(model.tables):
+            out[:, j] = phrases(table, s, cuts) * model.bits[j] / np.maximum(1, size)
     return out
 
 
@@ -239,7 +288,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # a table over train_chars characters at most for each language
+    shared = spark.sparkContext.broadcast(model)  # tables over total_chars characters together
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

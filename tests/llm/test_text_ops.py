@@ -181,7 +181,7 @@ def test_language_id_phrases_are_longest_matches():
 
     al = langid.alphabet_of(["abcab"])
     train, text = langid.symbols(["abcabdabce"], al), langid.symbols(["bcabcabdxabab"], al)
-    table = langid.automaton(train)
+    table = langid.automaton(train, int(al.max()) + 1)
     subs = {bytes(train[i:j]) for i in range(len(train)) for j in range(i + 1, len(train) + 1)}
     n, at = 0, 0
     while at < len(text):
@@ -189,7 +189,49 @@ def test_language_id_phrases_are_longest_matches():
         while end < len(text) and bytes(text[at : end + 1]) in subs and langid.OTHER not in text[at : end + 1]:
             end += 1
         n, at = n + 1, end
-    assert langid.phrases(table, text[:, None], np.array([len(text)]))[0] == n
+    assert langid.phrases(table, text, np.array([0, len(text)])).tolist() == [n]
+
+
+def brute_phrases(train, text):
+    """Phrases that are each the longest match in the training text, or one unknown symbol."""
+    joined = "".join(map(chr, train))
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and "".join(map(chr, text[at : end + 1])) in joined and langid.OTHER not in text[at : end + 1]:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 256])
+def test_language_id_phrases_cross_pieces(monkeypatch, piece):
+    """Phrase counts of long texts, short texts and long matches are those of one parse from the text's beginning."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng = random.Random(piece)
+    make = lambda n: "".join(rng.choice("abc  é日") for _ in range(n))
+    base = make(1500)
+    al = langid.alphabet_of([base])
+    train = langid.symbols([base], al)
+    table = langid.automaton(train, int(al.max()) + 1)
+    texts = [make(11_000), "", base[100:1300], make(300) + base[:900] + "xyx" + make(40), "a", base, "ab" * 400, "xxxx"] + [make(rng.randint(1, 40)) for _ in range(30)]
+    codes = [langid.symbols([t], al) for t in texts]
+    cuts = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
+    assert langid.phrases(table, np.concatenate(codes), cuts).tolist() == [brute_phrases(train.tolist(), c.tolist()) for c in codes]
+
+
+def test_language_id_repeats_ties_and_long_training_texts(spark):
+    """Repeated rows are kept; a tie goes to the first language; a language with only very long texts is learned."""
+    rows = [(i, "abc def " * 30, x) for i, x in enumerate(["b", "a"] * 10)] + [(0, "abc def " * 30, "b"), (None, "abc def", "a")]
+    rows += [(100 + i, "uvw xyz zyx " * 3000, "long") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict_languages(df, train_chars=2000).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id is None or r.doc_id < 100} == {"a"}
+    assert {r.lang_pred for r in got if (r.doc_id or 0) >= 100} == {"long"}
 
 
 def test_decontamination(spark, corpus):
