@@ -8,15 +8,16 @@ A text's tokens are its words and one end; the context of the first is a start m
 
 How it runs. Pass 1 counts words (pre-aggregated per buffer) into a table. Pass 2 deals every token of every text, packed,
 into parts by its word: there the word's count and all its pairs' counts are known, since all tokens of a pair meet. A
-part's task goes through its words in ranges, so its memory is bounded by the range.
-Words with more than 1/65536 of all tokens (so at most 65,536, sent to all tasks with their counts) are dealt by pair
-instead, so a hot word fills no part. A part writes, for each text, sums that are linear in what is known only
-globally (numbers of tokens whose pair has count 1..5); for each context, numbers of followers with count 1..5 and the
-sum of their P1; and for unseen pairs, the context asked for. These tables, partitioned by kind, are then summed per text
-and per context, and the contexts' back-off weights joined to the texts that asked. What is gathered grows with the input.
+part's task goes through its words in ranges and keeps nothing of a range but sums by context, which it writes whenever they
+are many, so its memory is bounded. Words with more than 1/65536 of all tokens (so at most 65,536, sent to all tasks with
+their counts) are dealt by pair instead, so a hot word fills no part. A part sends each buffer of texts the counts of its
+pairs and words there, in the order of the buffer's tokens: some 4 bytes a token, however many parts there are. It also
+writes, for each context, numbers of followers with count 1..5 and the sum of their P1; and for unseen pairs, the context
+asked for. These tables are partitioned by kind. The counts are gathered by buffer, where each text's tokens are summed, and
+the contexts' back-off weights joined to the texts that asked. What is gathered grows with the input.
 
 Edge cases: a null text has the end as its only token; rows with a null doc_id are scored but not learned from; identical rows are
-scored once and repeated; with no training row the score is that of the unknown word at every token; empty tables give no rows;
+scored each; with no training row the score is that of the unknown word at every token; empty tables give no rows;
 extra columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ FLUSH_TOKENS = 2_000_000
 PART_TOKENS = 16_000_000  # of one task, which handles SUB_TOKENS at a time
 SUB_TOKENS = 700_000
 HOT_SHARE = 65_536
+TEXT_BITS = 16  # of a text's number in its buffer
+MOST_TEXTS = 65_000
+MOST_CONTEXTS = 1_000_000  # that a part holds
 
 
 def tokens_of(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,26 +135,34 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (table[at] == x if len(table) else np.zeros(len(x), bool)), at
 
 
-DOC = np.dtype([("key", np.int64), ("id", np.int64), ("has_id", np.int8), ("train", np.int8)])
+DOC = np.dtype([("id", np.int64), ("n", np.int32), ("has_id", np.int8), ("train", np.int8)])
+
+
+def _pieces(buf, *parts: tuple[type, int], at: int) -> Iterator[np.ndarray]:
+    """Successive arrays of a buffer."""
+    for kind, n in parts:
+        yield np.frombuffer(buf, kind, n, at)
+        at += n * np.dtype(kind).itemsize
 
 
 def _deal(shared, parts: int, subs: int):
-    """Tokens by part and sub-range of their place. A buffer sends each part one table of its texts there (sub -1), and
-    each sub-range its tokens, sorted by word and context: flags where a word and a pair begin, contexts (hot ones by
-    their number), and the texts' numbers in that table."""
+    """Tokens by part and sub-range of their place. A buffer has a number, and its texts have numbers in it. It sends one table
+    of its texts to some part (sub -1), and to each sub-range its tokens there, sorted by word and context: flags where a word
+    and a pair begin and where a text is learned from, contexts (hot ones by their number), and the texts' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value.hot
         held: list[tuple] = []
         tables: list[np.ndarray] = []
         size = texts = 0
+        uid = TaskContext.get().partitionId() << 24  # the same when a lost task runs again
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, tables, size, texts
+            nonlocal held, tables, size, texts, uid
             doc, v, u = (np.concatenate(x) for x in zip(*held))
             table = np.concatenate(tables)
             held, tables, size, texts = [], [], 0, 0
-            uid = int(K.mix(np.array([table["key"].sum() + len(v)]).view(np.uint64))[0] >> np.uint64(1))
+            uid += 1
             # ranges of the word's hash, of the pair's for hot words
             is_hot, _ = _find(hot, v)
             place = np.where(is_hot, K.mix(u * K.PLACES[0] + v), v)
@@ -158,27 +171,20 @@ def _deal(shared, parts: int, subs: int):
             sub = (((place >> np.uint64(32)) * np.uint64(parts * subs)) >> np.uint64(32)).astype(np.int64)
             new_v = K.first_of_run(v, sub)
             new_pair = new_v | K.first_of_run(u)
+            train = table["train"][doc] > 0
             u_hot, at = _find(hot, u)
             code = np.where(u_hot, at + 1, 0).astype(np.uint16)
-            rows: list[tuple[int, int, bytes]] = []
-            cuts = np.searchsorted(sub, np.arange(parts * subs + 1))
-            for p in range(parts):
-                lo, hi = int(cuts[p * subs]), int(cuts[(p + 1) * subs])
-                if lo == hi:
-                    continue
-                used, local = np.unique(doc[lo:hi], return_inverse=True)
-                rows.append((p, -1, b"".join((np.array([uid, len(used)]).tobytes(), table[used].tobytes()))))
-                for k in range(subs):
-                    a, b = int(cuts[p * subs + k]), int(cuts[p * subs + k + 1])
-                    if a == b:
-                        continue
-                    pairs, full = new_pair[a:b], u[a:b][new_pair[a:b]]
-                    codes = code[a:b][pairs]
-                    words = v[a:b][new_v[a:b]]
-                    cold = full[codes == 0]
-                    head = np.array([uid, b - a, len(codes), len(words), len(cold)], np.int64)
-                    bits = (np.packbits(pairs), np.packbits(new_v[a:b][pairs]))
-                    rows.append((p, k, b"".join(x.tobytes() for x in (head, words, cold, codes, local[a - lo : b - lo].astype(np.uint16), *bits))))
+            rows: list[tuple[int, int, bytes]] = [(uid % parts, -1, np.int64(uid).tobytes() + table.tobytes())]
+            cuts = np.flatnonzero(K.first_of_run(sub))  # only sub-ranges with tokens
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sub)]):
+                pairs, full = new_pair[a:b], u[a:b][new_pair[a:b]]
+                codes = code[a:b][pairs]
+                words = v[a:b][new_v[a:b]]
+                cold = full[codes == 0]
+                head = np.array([uid, b - a, len(codes), len(words), len(cold)], np.int64)
+                bits = (np.packbits(pairs), np.packbits(train[a:b]), np.packbits(new_v[a:b][pairs]))
+                payload = b"".join(x.tobytes() for x in (head, words, cold, codes, doc[a:b].astype(np.uint16), *bits))
+                rows.append((int(sub[a]) // subs, int(sub[a]) % subs, payload))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "sub", "payload"])
 
         for batch in batches:
@@ -188,17 +194,12 @@ def _deal(shared, parts: int, subs: int):
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for w in K.each_slice(batch.column(1)):
                 doc, v, u = tokens_of(w)
-                if texts + w.n_docs > 65_000 and held:
+                if texts + w.n_docs > MOST_TEXTS and held:
                     yield flush()
                 table = np.zeros(w.n_docs, DOC)
                 rows = slice(w.first, w.first + w.n_docs)
                 table["id"], table["has_id"], table["train"] = number[rows], known[rows], train[rows]
-                # a row's key: its doc_id and all its words in order
-                each = np.bincount(doc)
-                ends = np.cumsum(each)
-                place = (np.arange(len(v)) - (ends - each)[doc]).astype(np.uint64)
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(v + K.mix(place)), dtype=np.uint64)))
-                table["key"] = K.long_of(K.mix(sums[ends] - sums[ends - each] + K.mix(table["id"].view(np.uint64) + table["has_id"].astype(np.uint64))))
+                table["n"] = np.bincount(doc, minlength=w.n_docs)
                 held.append((doc + texts, v, u))
                 tables.append(table)
                 size, texts = size + len(v), texts + w.n_docs
@@ -212,12 +213,12 @@ def _deal(shared, parts: int, subs: int):
     return run
 
 
-COLUMNS = ["kind", "a", "b", "held", "n", "known", "k0", "k1", "k2", "k3", "k4", "k5", "x", "y"]
-OUT = "kind int, a long, b long, held boolean, n long, known long, k0 long, k1 long, k2 long, k3 long, k4 long, k5 long, x double, y double"
+COLUMNS = ["kind", "a", "b", "k1", "k2", "k3", "k4", "k5", "x", "data"]
+OUT = "kind int, a long, b long, k1 long, k2 long, k3 long, k4 long, k5 long, x double, data binary"
 
 
 def _batch(kind: int, size: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "held": pa.bool_(), "x": pa.float64(), "y": pa.float64()}
+    types = {"kind": pa.int32(), "x": pa.float64(), "data": pa.binary()}
     arrays = []
     for c in COLUMNS:
         t = types.get(c, pa.int64())
@@ -230,60 +231,41 @@ def _batch(kind: int, size: int, **columns: np.ndarray | pa.Array) -> pa.RecordB
     return pa.RecordBatch.from_arrays(arrays, COLUMNS)
 
 
-INTS = ("n", "known", *(f"k{r}" for r in range(GT + 1)))
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 class _Part:
-    """Sums over the sub-ranges of one part: by text, by context, and of pairs by count."""
+    """The sub-ranges of one part: counts for the buffers; sums by context; numbers of pairs by count."""
 
     def __init__(self, uni: Unigrams):
         self.uni = uni
-        self.base: dict[int, int] = {}  # of a buffer's texts in the part's table
-        self.tables: list[np.ndarray] = []
-        self.n_docs = 0
-        self.table: np.ndarray | None = None
         self.contexts: tuple | None = None
         self.hist = np.zeros(GT + 3, np.int64)
-        self.asks: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add_texts(self, buf) -> None:
-        uid, n = (int(x) for x in np.frombuffer(buf, np.int64, 2))
-        self.base[uid] = self.n_docs
-        self.tables.append(np.frombuffer(buf, DOC, n, 16).copy())
-        self.n_docs += n
-
-    def start(self) -> None:
-        if self.table is None:
-            self.table = np.concatenate(self.tables)
-            self.tables = []
-            self.ints = {c: np.zeros(self.n_docs, np.int64) for c in INTS}
-            self.x, self.y = np.zeros(self.n_docs), np.zeros(self.n_docs)
-
-    def add_tokens(self, payloads: list) -> None:
-        self.start()
-        uni, n_docs = self.uni, self.n_docs
-        vs, us, pair_of, doc_of = [], [], [], []
+
+    def add_tokens(self, payloads: list) -> Iterator[pa.RecordBatch]:
+        uni = self.uni
+        vs, us, pair_of, text_of, train_of, sent = [], [], [], [], [], []
         n_pairs = 0
         for buf in payloads:
             uid, nt, np_, nv, nc = (int(x) for x in np.frombuffer(buf, np.int64, 5))
-            at = 40
-            words = np.frombuffer(buf, np.uint64, nv, at)
-            cold = np.frombuffer(buf, np.uint64, nc, at := at + 8 * nv)
-            codes = np.frombuffer(buf, np.uint16, np_, at := at + 8 * nc)
-            local = np.frombuffer(buf, np.uint16, nt, at := at + 2 * np_)
-            pairs = np.unpackbits(np.frombuffer(buf, np.uint8, (nt + 7) // 8, at := at + 2 * nt), count=nt)
-            new_v = np.unpackbits(np.frombuffer(buf, np.uint8, (np_ + 7) // 8, at + (nt + 7) // 8), count=np_)
+            words, cold, codes, local, pairs, train, new_v = _pieces(
+                buf, (np.uint64, nv), (np.uint64, nc), (np.uint16, np_), (np.uint16, nt), (np.uint8, (nt + 7) // 8), (np.uint8, (nt + 7) // 8), (np.uint8, (np_ + 7) // 8), at=40
+            )
             u = np.empty(np_, np.uint64)
             u[codes > 0] = uni.hot[codes[codes > 0].astype(np.int64) - 1]
             u[codes == 0] = cold
+            word_of = np.cumsum(np.unpackbits(new_v, count=np_), dtype=np.int64) - 1
             us.append(u)
-            vs.append(words[np.cumsum(new_v, dtype=np.int64) - 1])
-            pair_of.append(np.cumsum(pairs, dtype=np.int32) + np.int32(n_pairs - 1))
-            doc_of.append(local.astype(np.int32) + np.int32(self.base[uid]))
+            vs.append(words[word_of])
+            pair_of.append(np.cumsum(np.unpackbits(pairs, count=nt), dtype=np.int32) + np.int32(n_pairs - 1))
+            train_of.append(np.unpackbits(train, count=nt))
+            text_of.append(local)
+            sent.append((uid, nt, np_, nv, local, pairs, new_v, word_of, slice(n_pairs, n_pairs + np_)))
             n_pairs += np_
-        v, u, pair, doc = (np.concatenate(x) for x in (vs, us, pair_of, doc_of))
-        del vs, us, pair_of, doc_of
-        own = np.bincount(pair, weights=self.table["train"][doc], minlength=n_pairs).astype(np.int64)
+        v, u, pair = (np.concatenate(x) for x in (vs, us, pair_of))
+        own = np.bincount(pair, weights=np.concatenate(train_of), minlength=n_pairs).astype(np.int64)
+        del vs, us, train_of
         order = np.argsort(K.mix(u * K.PLACES[0] + v))  # all buffers' copies of a pair together
         new = K.first_of_run(v[order], u[order])
         group = np.empty(n_pairs, np.int32)
@@ -291,33 +273,38 @@ class _Part:
         lead = order[new]
         c = np.bincount(group, weights=own).astype(np.int64)
         gv, gu = v[lead], u[lead]
+        del v, u, own, order, new
         words, word_of = np.unique(gv, return_inverse=True)
         c_v = np.bincount(word_of, weights=c, minlength=len(words)).astype(np.int64)
         is_hot, at = _find(uni.hot, words)
         if is_hot.any():
             c_v[is_hot] = uni.hot_counts[at[is_hot]]
-        p1 = uni.p1(c_v)
-        base = np.log10((c_v + 0.5) / (uni.total + 0.5 * (uni.distinct + 1)))
-        context = np.where((c_v > 0) & (words != END), -np.log10(c_v + RESERVE), 0.0)
-        # a token's value: as a word after its context, and as the context of what follows
-        value = np.where(c > GT, np.log10(np.maximum(c, 1)), np.where(c == 0, np.log10(p1)[word_of], 0.0)) + context[word_of]
-        g = group[pair]
-        self.x += np.bincount(doc, weights=base[word_of][g], minlength=n_docs)
-        self.y += np.bincount(doc, weights=value[g], minlength=n_docs)
-        self.ints["n"] += np.bincount(doc, minlength=n_docs)
-        self.ints["known"] += np.bincount(doc[(c_v > 0)[word_of][g]], minlength=n_docs)
-        low = np.minimum(c, GT + 1).astype(np.int8)[g]
-        for r in range(1, GT + 1):
-            self.ints[f"k{r}"] += np.bincount(doc[low == r], minlength=n_docs)
-        if (words == END).any():  # ends: how often the row occurs
-            self.ints["k0"] += np.bincount(doc[(gv == END)[g]], minlength=n_docs)
-        ask = np.flatnonzero(low == 0)
-        self.asks.append((gu[g[ask]], doc[ask]))
+        uids, data = [], []
+        for uid, nt, np_, nv, local, pairs, new_v, place, mine in sent:
+            g = group[mine]
+            counts = np.empty(nv, np.int64)
+            end = np.zeros(nv, np.uint8)
+            counts[place] = c_v[word_of[g]]
+            end[place] = words[word_of[g]] == END
+            head = np.array([nt, np_, nv], np.int64)
+            data.append(_packed(b"".join(x.tobytes() for x in (head, c[g], counts, local, pairs, new_v, end))))
+            uids.append(uid)
+        yield _batch(4, len(uids), a=np.array(uids, np.int64), data=pa.array(data, pa.binary()))
+        # unseen pairs: each text asks for its context's back-off weight
+        asks_u, asks_d = [], []
+        for (uid, _, _, _, local, *_), of in zip(sent, pair_of):
+            g = group[of]
+            ask = np.flatnonzero(c[g] == 0)
+            asks_u.append(gu[g[ask]])
+            asks_d.append((uid << TEXT_BITS) + local[ask].astype(np.int64))
+        yield from self._asked(np.concatenate(asks_u), np.concatenate(asks_d))
         seen = np.flatnonzero(c > 0)
         few = np.zeros((len(seen), GT), np.int32)
         small = np.flatnonzero(c[seen] <= GT)
         few[small, c[seen][small] - 1] = 1
-        self._merge(gu[seen], few, p1[word_of[seen]])
+        self._merge(gu[seen], few, uni.p1(c_v)[word_of[seen]])
+        if len(self.contexts[0] if self.contexts is not None else ()) > MOST_CONTEXTS:
+            yield from self._context_rows()
         self.hist += np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)
 
     def _merge(self, u: np.ndarray, few: np.ndarray, mass: np.ndarray) -> None:
@@ -329,34 +316,26 @@ class _Part:
             starts = np.flatnonzero(K.first_of_run(u))
             self.contexts = u[starts], np.add.reduceat(few[order], starts), np.add.reduceat(mass[order], starts)
 
-    def asked(self) -> Iterator[pa.RecordBatch]:
-        """Unseen pairs so far: each text asks for its context's back-off weight."""
-        if not self.asks:
-            return
-        u, d = (np.concatenate(x) for x in zip(*self.asks))
-        self.asks = []
+    def _asked(self, u: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((d, u))
         u, d = u[order], d[order]
         new = np.flatnonzero(K.first_of_run(u, d))
         times = np.diff(np.append(new, len(u)))
-        for a in range(0, len(new), 50_000):
+        for a in range(0, len(new) if len(u) else 0, 50_000):
             s = new[a : a + 50_000]
-            yield _batch(2, len(s), a=K.long_of(u[s]), b=self.table["key"][d[s]], n=times[a : a + 50_000].astype(np.int64))
+            yield _batch(2, len(s), a=K.long_of(u[s]), b=d[s], k1=times[a : a + 50_000].astype(np.int64))
 
-    def results(self) -> Iterator[pa.RecordBatch]:
-        self.start()
-        yield from self.asked()
-        t = self.table
-        for a in range(0, self.n_docs, 50_000):
-            s = slice(a, min(self.n_docs, a + 50_000))
-            ids = pa.array(t["id"][s], mask=t["has_id"][s] == 0)
-            yield _batch(0, s.stop - a, a=t["key"][s], b=ids, held=t["train"][s] == 0, x=self.x[s], y=self.y[s], **{k: x[s] for k, x in self.ints.items()})
+    def _context_rows(self) -> Iterator[pa.RecordBatch]:
         if self.contexts is not None:
             u, few, mass = self.contexts
+            self.contexts = None
             for a in range(0, len(u), 50_000):
                 s = slice(a, min(len(u), a + 50_000))
                 yield _batch(1, s.stop - a, a=K.long_of(u[s]), x=mass[s], **{f"k{r}": few[s, r - 1].astype(np.int64) for r in range(1, GT + 1)})
-        yield _batch(3, 1, **{f"k{r - 1}": self.hist[r : r + 1] for r in range(1, GT + 2)})
+
+    def results(self) -> Iterator[pa.RecordBatch]:
+        yield from self._context_rows()
+        yield _batch(3, 1, b=self.hist[GT + 1 : GT + 2], **{f"k{r}": self.hist[r : r + 1] for r in range(1, GT + 1)})
 
 
 def _part_sums(shared):
@@ -368,21 +347,21 @@ def _part_sums(shared):
             for p, k, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if (p, k) != at:
                     if held:
-                        part.add_tokens(held)
+                        yield from part.add_tokens(held)
                         held = []
                         K.trim()
-                        yield from part.asked()
                     if at is None or p != at[0]:
                         if part is not None:
                             yield from part.results()
                         part = _Part(shared.value)
                     at = (p, k)
                 if k < 0:
-                    part.add_texts(payload.as_buffer())
+                    table = payload.as_py()
+                    yield _batch(0, 1, a=np.frombuffer(table, np.int64, 1), data=pa.array([table[8:]], pa.binary()))
                 else:
                     held.append(payload.as_py())
         if held:
-            part.add_tokens(held)
+            yield from part.add_tokens(held)
         if part is not None:
             yield from part.results()
         del part, held
@@ -391,6 +370,65 @@ def _part_sums(shared):
     return run
 
 
+TEXTS = "code long, doc_id long, held boolean, n long, known long, base double, y double"
+
+
+def _text_sums(uni: Unigrams, discount: np.ndarray):
+    """Sums by text of rows (uid, kind, data) that are sorted so: a buffer's table, then its tokens' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in TEXTS.split(", ")]
+        uid, table, held, size = -1, np.zeros(0, DOC), [], 0
+        known = base = y = np.zeros(0)
+        low = np.log10(np.maximum(discount * np.arange(GT + 1), 1e-300))
+
+        def add() -> None:
+            nonlocal known, base, y, held, size
+            local, c, c_v, end = (np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+            n = len(table)
+            known = known + np.bincount(local, weights=c_v > 0, minlength=n)
+            base = base + np.bincount(local, weights=np.log10((c_v + 0.5) / (uni.total + 0.5 * (uni.distinct + 1))), minlength=n)
+            # a token's value: as a word after its context, and as the context of what follows
+            value = np.where(c > GT, np.log10(np.maximum(c, 1)), np.where(c > 0, low[np.minimum(c, GT)], np.log10(uni.p1(c_v))))
+            value = value + np.where((c_v > 0) & ~end, -np.log10(c_v + RESERVE), 0.0)
+            y = y + np.bincount(local, weights=value, minlength=n)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                add()
+            for a in range(0, len(table), 20_000):
+                s = slice(a, min(len(table), a + 20_000))
+                t = table[s]
+                code = (np.int64(uid) << TEXT_BITS) + np.arange(s.start, s.stop)
+                columns = [pa.array(code), pa.array(t["id"], mask=t["has_id"] == 0), pa.array(t["train"] == 0), pa.array(t["n"].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(known[s].astype(np.int64)), pa.array(base[s]), pa.array(y[s])], names)
+
+        for batch in batches:
+            for u, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if kind == 0:
+                    yield from done()
+                    uid, table = u, np.frombuffer(data.as_py(), DOC)
+                    known, base, y = (np.zeros(len(table)) for _ in range(3))
+                    continue
+                raw = data.as_py()
+                raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+                nt, np_, nv = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+                c, c_v, local, pairs, new_v, end = _pieces(
+                    raw, (np.int64, np_), (np.int64, nv), (np.uint16, nt), (np.uint8, (nt + 7) // 8), (np.uint8, (np_ + 7) // 8), (np.uint8, nv), at=24
+                )
+                pair = np.cumsum(np.unpackbits(pairs, count=nt), dtype=np.int64) - 1
+                word = (np.cumsum(np.unpackbits(new_v, count=np_), dtype=np.int64) - 1)[pair]
+                held.append((local, c[pair], c_v[word], end[word] > 0))
+                size += nt
+                if size > 500_000:
+                    add()
+        yield from done()
+        K.trim()
+
+    return run
+
+
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -410,26 +448,21 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scr
     dealt = docs.mapInArrow(_deal(shared, parts, subs), "part int, sub int, payload binary")
     dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "sub")
     with arrow_rows(spark, 64):  # a row of tokens holds up to some 100 kB
-        parts = scratch.table(dealt.mapInArrow(_part_sums(shared), OUT), "parts", partition_by="kind")
+        table = scratch.table(dealt.mapInArrow(_part_sums(shared), OUT), "parts", partition_by="kind")
     del dealt
     free_shuffles(spark)
-    row = parts.filter("kind = 3").agg(*[F.sum(f"k{r}") for r in range(GT + 1)]).first()
+    row = table.filter("kind = 3").agg(*[F.sum(f"k{r}") for r in range(1, GT + 1)], F.sum("b")).first()
     d = good_turing(np.array([0, *(int(x or 0) for x in row)], float))
     freed = sum(((1 - d[r]) * r * F.col(f"k{r}") for r in range(1, GT + 1)), F.lit(RESERVE))
-    contexts = parts.filter("kind = 1").groupBy("a").agg(*[F.sum(f"k{r}").alias(f"k{r}") for r in range(1, GT + 1)], F.sum("x").alias("x"))
+    contexts = table.filter("kind = 1").groupBy("a").agg(*[F.sum(f"k{r}").alias(f"k{r}") for r in range(1, GT + 1)], F.sum("x").alias("x"))
     contexts = contexts.select("a", F.log10(freed / (1 - F.col("x"))).alias("weight"))
-    asked = parts.filter("kind = 2").select("a", F.col("b").alias("key"), "n").join(contexts, "a")
-    asked = asked.groupBy("key").agg(F.sum(F.col("n") * F.col("weight")).alias("back"))
-    # texts: discounts of low counts, and the start mark's count for the first token
-    low = sum((float(np.log10(d[r] * r)) * F.col(f"k{r}") for r in range(1, GT + 1)), F.lit(0.0))
-    start = float(-np.log10(n_train + RESERVE)) if n_train else 0.0
-    texts = parts.filter("kind = 0").groupBy(F.col("a").alias("key"), F.col("b").alias("doc_id"), "held").agg(
-        *[F.sum(c).alias(c) for c in ("n", "known", "k0", *(f"k{r}" for r in range(1, GT + 1)), "x", "y")]
-    )
-    texts = texts.join(asked, "key", "left")
-    score = (F.col("y") + low + F.coalesce("back", F.lit(0.0))) / F.col("k0") + start
-    out = texts.select(
-        "doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), (F.col("n") / F.col("k0")).cast("long").alias("n_tokens"), (F.col("known") / F.col("k0")).cast("long").alias("n_known"),
-        F.lit(uni.total).cast("long").alias("train_tokens"), (F.col("x") / F.col("k0")).alias("base_score"), score.alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("k0").cast("int"))).alias("copy"),
+    asked = table.filter("kind = 2").select("a", F.col("b").alias("code"), F.col("k1").alias("n")).join(contexts, "a")
+    asked = asked.groupBy("code").agg(F.sum(F.col("n") * F.col("weight")).alias("back"))
+    packed = table.filter("kind in (0, 4)").select("a", "kind", "data").repartition(max(parts, spark.sparkContext.defaultParallelism), "a").sortWithinPartitions("a", "kind")
+    with arrow_rows(spark, 64):
+        texts = scratch.table(packed.mapInArrow(_text_sums(uni, d), TEXTS), "texts")
+    start = float(-np.log10(n_train + RESERVE)) if n_train else 0.0  # of the start mark's count, for the first token
+    return texts.join(asked, "code", "left").select(
+        "doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(uni.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("y") + F.coalesce("back", F.lit(0.0)) + start).alias("score"),
     )
-    return out.drop("copy")
