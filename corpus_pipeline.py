@@ -12,12 +12,6 @@ from loomwell.llm.scratch import Scratch
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id the decisions hold. Rows without doc_id cannot be decided on and stay."""
-    kept = docs.join(decisions.select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are rated below the top grade with probability over one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -31,9 +25,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the least doc_id, of each component of near duplicates."""
-    found = ngram_join.jaccard_components(docs, percent=80)
-    return _only(docs, found.filter("doc_id = component_id"))
+    """Keep one row of each component of near duplicates: one with the least doc_id, or any, if all lack it. Repeated rows and
+    rows without doc_id are decided on like all others; rows without words stay."""
+    return ngram_join.keep_one_of_each(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

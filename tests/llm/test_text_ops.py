@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from loomwell.llm import bpe, decontaminate, katz, langid, ngram_join
 from loomwell.llm.queries import vocabulary
+from pyspark.sql import functions as F
 
 from .conftest import crc
 
@@ -56,6 +57,80 @@ def test_ngram_join_in_small_buffers(docs, corpus, monkeypatch):
     assert got == brute_components([r[:2] for r in corpus])
 
 
+def test_ngram_join_with_equal_set_hashes(docs, corpus, monkeypatch):
+    """Sets whose first hashes are equal are told apart by the second."""
+    monkeypatch.setattr(ngram_join, "CLASS_BITS", 4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == brute_components([r[:2] for r in corpus])
+
+
+def boilerplate(n, seed=1):
+    """Documents of lines that many share, with near copies among them."""
+    import random
+
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{k}w{j}" for j in range(rng.randint(8, 16))) for k in range(40)]
+    rows = []
+    for i in range(n):
+        own = " ".join(f"d{i if i % 5 else i // 10}x{j}" for j in range(rng.randint(0, 6)))
+        rows.append((i, " ".join(rng.sample(lines, rng.randint(3, 9)) + [own])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_ngram_join_of_boilerplate(spark, monkeypatch, block):
+    """Large buckets of unlike documents, in one block and in many, equal brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", block)
+    rows = boilerplate(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    assert got == brute_components(rows)
+
+
+def test_bucket_pairs_lose_no_link():
+    import numpy as np
+
+    rows = boilerplate(150, seed=5) + [(k, f"w{k} " * 3 + " ".join(f"t{j}" for j in range(400 + k))) for k in range(6)]
+    sets = [shingle_set(t) for _, t in rows]
+    w = ngram_join.K.words_of(*ngram_join.K.text_buffers(ngram_join.pa.array([t for _, t in rows])))
+    doc, key, n = ngram_join._sets(w)
+    bits = ngram_join._bitmaps(doc, key, n).to_pylist()
+    assert len({len(b) for b in bits}) > 1
+    found = ngram_join.bucket_pairs(80, n, np.zeros(len(n), int), np.arange(len(n)), bits, np.arange(len(n)), None)
+    got = {tuple(sorted(x)) for i, j in found for x in zip(i.tolist(), j.tolist())}
+    links = {(j, i) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links <= got and len(got) < 0.2 * len(rows) ** 2 / 2
+
+
+def test_one_of_each_component_stays(spark, corpus):
+    """Repeated rows, rows without doc_id, and a doc_id of several texts; all columns are kept."""
+    rows = [(d, t, f"c{k}") for k, (d, t, *_) in enumerate(corpus)] + [(d, t, "again") for d, t, *_ in corpus[:20]]
+    rows += [(None, corpus[0][1], "null copy"), (None, "only a null id has these words", "n1"), (None, "only a null id has these words", "n2"), (5, "another text of document five here", "five"), (None, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    kept = ngram_join.keep_one_of_each(df).collect()
+    sets = [shingle_set(t) for _, t, _ in rows]
+    where = {}
+    for i, _, c in brute_components_by_row([(d, t) for d, t, _ in rows]):
+        where.setdefault(c, []).append(i)
+    place = {n: i for i, (_, _, n) in enumerate(rows) if n != "again"}
+    got = Counter()
+    for r in kept:
+        i = place[r.n] if r.n != "again" else next(k for k, x in enumerate(rows) if x == tuple(r))
+        assert rows[i] == tuple(r)
+        got[next(c for c, x in where.items() if i in x)] += 1
+    for c, x in where.items():
+        assert got[c] == (1 if sets[x[0]] else len(x))
+        if sets[x[0]]:
+            least = min((rows[i][0] for i in x if rows[i][0] is not None), default=None)
+            assert [r.doc_id for r in kept if tuple(r) in {rows[i] for i in x}] == [least]
+
+
+def brute_components_by_row(rows):
+    """(row, its set, a name of its component) by the rows' places."""
+    found = brute_components([(i, t) for i, (_, t) in enumerate(rows)])
+    return [(i, n, c) for i, n, c in found]
+
+
 def test_ngram_join_empty(empty_docs):
     assert ngram_join.jaccard_components(empty_docs).collect() == []
 
@@ -104,9 +179,12 @@ def brute_katz(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [65_536, 50])
-def test_katz(docs, corpus, monkeypatch, hot):
-    monkeypatch.setattr(katz, "PART_TOKENS", 6000)
+@pytest.mark.parametrize("hot, part_tokens", [(65_536, 6000), (50, 6000), (50, 300)])
+def test_katz(docs, corpus, monkeypatch, hot, part_tokens):
+    monkeypatch.setattr(katz, "PART_TOKENS", part_tokens)
+    monkeypatch.setattr(katz, "MOST_CONTEXTS", 100)
+    monkeypatch.setattr(katz, "MOST_TEXTS", 40)
+    monkeypatch.setattr(katz, "FLUSH_TOKENS", 4000)
     monkeypatch.setattr(katz, "SUB_TOKENS", 1500)
     monkeypatch.setattr(katz, "HOT_SHARE", hot)
     key = lambda r: (r[0], r[2])
@@ -117,6 +195,28 @@ def test_katz(docs, corpus, monkeypatch, hot):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
+def test_katz_tables_do_not_grow_with_the_parts(spark, tmp_path, monkeypatch):
+    """What is written for a token does not depend on the number of parts."""
+    import random
+
+    from loomwell.llm.scratch import Scratch
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(70))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    sizes = {}
+    for parts in (2, 82):
+        monkeypatch.setattr(katz, "PART_TOKENS", 2000 * 71 // parts)
+        scratch = Scratch(spark, f"katz{parts}")
+        scratch.path = str(tmp_path / str(parts))
+        assert katz.score_documents(df, scratch=scratch).count() == len(rows)
+        written = spark.read.parquet(f"{scratch.path}/parts").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("size"))
+        sizes[parts] = {r.kind: (r.n, r["size"]) for r in written.collect()}
+    tokens = 2000 * 71
+    assert sizes[82][4][1] < 1.6 * sizes[2][4][1] < 8 * tokens, sizes  # counts for the buffers, in bytes
+    assert sizes[82][0] == sizes[2][0] and sizes[82][1][0] + sizes[82][2][0] < tokens, sizes  # texts; contexts and asks
+
+
 def test_katz_empty_and_untrained(spark, empty_docs):
     assert katz.score_documents(empty_docs).collect() == []
     rows = katz.score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
