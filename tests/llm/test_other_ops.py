@@ -15,18 +15,13 @@ from .conftest import WORDS, crc
 
 
 def brute_top(rows, k, step=20):
-    usable = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v) or len(v) != 8:
-            continue
-        q = [math.floor(64 * x) for x in v]
-        usable[i] = min(usable.get(i, q), q)
-    out = []
-    for i, q in usable.items():
+    """As the oracle has it: each row is a candidate, and the queries of one id share a ranking."""
+    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if not (i is None or v is None or any(x is None or not math.isfinite(x) for x in v))]
+    scores = {}
+    for i, q in usable:
         if i % step == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in usable.items() if j != i)[:k]
-            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
-    return sorted(out)
+            scores.setdefault(i, []).extend((-sum(a * b for a, b in zip(q, w)), j) for j, w in usable if j != i and len(w) == len(q))
+    return sorted((i, r + 1, j, -x) for i, s in scores.items() for r, (x, j) in enumerate(sorted(s)[:k]))
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e3, 5e6])
@@ -38,7 +33,8 @@ def test_top_k(spark, monkeypatch, scale):
     centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
     rows = [(i, [scale * (c + rng.gauss(0, 0.1)) for c in centres[i % 6]]) for i in range(400)]
     rows += [(400 + i, rows[40][1]) for i in range(60)]  # ties
-    rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, [1.0]), (None, rows[0][1]), (20, rows[21][1]), (21, rows[21][1])]
+    rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, [1.0]), (None, rows[0][1]), (20, rows[21][1]), (21, rows[21][1]), (40, rows[40][1])]
+    rows += [(600 + 5 * i, [scale * rng.gauss(0, 1) for _ in range(3)]) for i in range(30)] + [(700, []), (720, []), (705, [])]  # other lengths
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, k=20, query_block=7).collect())
     assert got == brute_top(rows, 20)
@@ -57,6 +53,22 @@ def test_blocks_are_pruned_on_clustered_vectors():
     assert visits < 0.35 * len(q) * 40
 
 
+def test_main_directions_tighten_the_bounds():
+    """Vectors near a few directions that no axis shows: the second bound prunes where term maxima alone do not."""
+    rng = np.random.default_rng(2)
+    turn = np.linalg.qr(rng.normal(size=(32, 32)))[0][:2]
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 40 * topk.BLOCK))
+    v = np.floor(300 * np.stack([np.cos(angle), np.sin(angle)], 1) @ turn + rng.normal(0, 6, (len(angle), 32))).astype(np.int64)
+    q = v[:: topk.BLOCK]
+    ids = np.arange(len(v))
+    visits, found = [], []
+    for basis in (None, topk.main_directions(v[::10])):
+        best = topk.Best(np.full(len(q), -(2**60)), 20)
+        visits.append(topk.search_blocks(q, ids[:: topk.BLOCK], v, ids, best, basis))
+        found.append(best.held)
+    assert visits[1] < 0.7 * visits[0] and all((a == b).all() for a, b in zip(*found))
+
+
 def shards_of(df):
     rows = df.collect()
     by = {}
@@ -304,6 +316,45 @@ def test_html_extraction(spark):
     assert html_text.extract_pages(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<article class='post related'><h1>Title</h1><p>one two three four</article>", "Title\none two three four"),
+        ("<div class='main search-results'><p>one two three four five six</p></div>", "one two three four five six"),
+        ("<article><p title=it's>one two three</p><p>four isn't five</p></article>", "one two three\nfour isn't five"),
+        ("<article><div data-u=/a/>one two three</div><p>four five six</p></article>", "one two three\nfour five six"),
+        ("<article><p>a b c d e</p><details><summary>x y z</summary>inner text</details><pre>p\n q</pre>t<br>u</article>", "a b c d e\nx y z\ninner text\np q\nt u"),
+        ("<article><header><h1>The title</h1><span>by somebody</span></header><p>one two three four</p><footer>tags</footer></article>", "The title\none two three four"),
+        ("<article><p>one two three</p><div class='ad'>buy this</div><div style='display:none'>no</div><p>four five</p></article>", "one two three\nfour five"),
+        ("<article><p>one two</p><svg width=1 /><p>three four</p><object data=x><p>five</article>", "one two\nthree four\nfive"),
+        ("<article><p>one two three</p><section id='comments'><p>I read it</p></section></article>", "one two three"),
+        ("<body class='home main-page'><article role=main itemprop=articleBody><p>one two three</p></article></body>", "one two three"),
+    ],
+)
+@pytest.mark.parametrize("trained", [True, False])
+def test_html_rules(body, want, trained):
+    counts = sum((html_text.count_page(h) for *_, h in pages()[:30]), html_text.Counter()) if trained else {}
+    assert html_text.extract(PAGE % body, html_text.learn(counts)) == want
+
+
+def test_class_words_are_learned():
+    """A class that only stands outside articles weighs against; words with a prior are not changed."""
+    page = "<body><article><p class='lead zq'>one two three four</p></article><div class='kx ad'>five six seven</div></body>"
+    weights = html_text.learn(sum((html_text.count_page(page) for _ in range(30)), html_text.Counter()))
+    assert weights.marks["kx"] == -1 and weights.marks["zq"] == 1 and "ad" not in weights.marks
+    assert weights.left_out(["kx", "kx2", "ad"]) and not weights.left_out(["kx"]) and not weights.left_out(["post", "related"])
+
+
+def test_html_on_odd_tables(spark):
+    """Repeated rows, a very long page, columns with the operator's names, null urls."""
+    long = "<article>" + "".join(f"<p>paragraph {k} of it</p>" for k in range(30_000)) + "</article>"
+    rows = [(1, "u", PAGE % (ARTICLE % "")), (1, "u", PAGE % (ARTICLE % "")), (2, None, PAGE % long), (3, "u", "<" * 5000), (4, "u", "<p a='" * 3000), (None, "u", PAGE % (ARTICLE % ""))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n", F.lit("clash")).withColumn("kind", F.lit("clash"))
+    got = html_text.extract_pages(df).collect()
+    assert len(got) == len(rows) and len({r.text for r in got if r.page_id in (None, 1)}) == 1
+    assert [r.text.count("\n") for r in got if r.page_id == 2] == [29_999]
+
+
 def test_best_region_is_maximal():
     rng = random.Random(1)
     for _ in range(200):
