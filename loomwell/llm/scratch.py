@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import shutil
 import tempfile
 import time
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_open: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder, but only with a local master."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.applicationId not in _made:
         _made[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="loomwell-")
     return _made[spark.sparkContext.applicationId]
@@ -27,12 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """A folder of tables that cut lineage: a lost executor costs a reread, not a recomputation.
 
-    ``release()`` deletes it; call it once nothing reads the frames any more.
+    ``release()`` deletes it; call it once nothing reads the frames any more. What is left is released when the driver exits.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/loomwell-{name}-{uuid.uuid4().hex[:12]}"
+        _open.append(self)
 
     def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
@@ -46,6 +53,8 @@ class Scratch:
 
     def release(self) -> None:
         self._delete(self.path)
+        if self in _open:
+            _open.remove(self)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -53,6 +62,16 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@atexit.register
+def _release_all() -> None:
+    for scratch in list(_open):
+        if scratch.spark.sparkContext._jsc is not None:  # the session still runs
+            with contextlib.suppress(OSError, Py4JError):
+                scratch.release()
+    for path in _made.values():
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to collect garbage, so that the shuffle files of finished jobs can go."""
     for _ in range(2):  # the cleaner works behind; its files count until they are gone
