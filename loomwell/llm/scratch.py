@@ -89,14 +89,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
-    """At most so many rows in an Arrow batch for the jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
+    """At most so many rows in an Arrow batch, and in one of the Parquet reader, for the jobs that run inside: their rows are large."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+    before = {key: spark.conf.get(key, default) for key, default in keys.items()}
+    for key in keys:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def filter_documents(docs: DataFrame, decide, text: str = "text") -> DataFrame:
