@@ -12,9 +12,10 @@ part's task goes through its words in ranges and keeps nothing of a range but su
 are many, so its memory is bounded. Words with more than 1/65536 of all tokens (so at most 65,536, sent to all tasks with
 their counts) are dealt by pair instead, so a hot word fills no part. A part sends each buffer of texts the counts of its
 pairs and words there, in the order of the buffer's tokens: some 4 bytes a token, however many parts there are. It also
-writes, for each context, numbers of followers with count 1..5 and the sum of their P1; and for unseen pairs, the context
-asked for. These tables are partitioned by kind. The counts are gathered by buffer, where each text's tokens are summed, and
-the contexts' back-off weights joined to the texts that asked. What is gathered grows with the input.
+writes, for each context, numbers of followers with count 1..5 and the sum of their P1; and for unseen pairs whose context
+is no hot word, the context asked for. These tables are partitioned by kind. The counts are gathered by buffer, where each
+text's tokens are summed (the hot words' back-off weights are sent to all tasks), and the other contexts' weights joined to
+the texts that asked. What is gathered grows with the input.
 
 Edge cases: a null text has the end as its only token; rows with a null doc_id are scored but not learned from; identical rows are
 scored each; with no training row the score is that of the unknown word at every token; empty tables give no rows;
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -261,7 +263,7 @@ class _Part:
             pair_of.append(np.cumsum(np.unpackbits(pairs, count=nt), dtype=np.int32) + np.int32(n_pairs - 1))
             train_of.append(np.unpackbits(train, count=nt))
             text_of.append(local)
-            sent.append((uid, nt, np_, nv, local, pairs, new_v, word_of, slice(n_pairs, n_pairs + np_)))
+            sent.append((uid, nt, np_, nv, local, pairs, new_v, word_of, slice(n_pairs, n_pairs + np_), codes))
             n_pairs += np_
         v, u, pair = (np.concatenate(x) for x in (vs, us, pair_of))
         own = np.bincount(pair, weights=np.concatenate(train_of), minlength=n_pairs).astype(np.int64)
@@ -280,21 +282,22 @@ class _Part:
         if is_hot.any():
             c_v[is_hot] = uni.hot_counts[at[is_hot]]
         uids, data = [], []
-        for uid, nt, np_, nv, local, pairs, new_v, place, mine in sent:
+        for uid, nt, np_, nv, local, pairs, new_v, place, mine, codes in sent:
             g = group[mine]
             counts = np.empty(nv, np.int64)
             end = np.zeros(nv, np.uint8)
             counts[place] = c_v[word_of[g]]
             end[place] = words[word_of[g]] == END
-            head = np.array([nt, np_, nv], np.int64)
-            data.append(_packed(b"".join(x.tobytes() for x in (head, c[g], counts, local, pairs, new_v, end))))
+            unseen = codes[c[g] == 0]  # their contexts' numbers, 0 for cold ones
+            head = np.array([nt, np_, nv, len(unseen)], np.int64)
+            data.append(_packed(b"".join(x.tobytes() for x in (head, c[g], counts, unseen, local, pairs, new_v, end))))
             uids.append(uid)
         yield _batch(4, len(uids), a=np.array(uids, np.int64), data=pa.array(data, pa.binary()))
-        # unseen pairs: each text asks for its context's back-off weight
+        # unseen pairs with a cold context: each text asks for its back-off weight
         asks_u, asks_d = [], []
-        for (uid, _, _, _, local, *_), of in zip(sent, pair_of):
+        for (uid, _, _, _, local, *_, mine, codes), of in zip(sent, pair_of):
             g = group[of]
-            ask = np.flatnonzero(c[g] == 0)
+            ask = np.flatnonzero((c[g] == 0) & (codes == 0)[of - mine.start])
             asks_u.append(gu[g[ask]])
             asks_d.append((uid << TEXT_BITS) + local[ask].astype(np.int64))
         yield from self._asked(np.concatenate(asks_u), np.concatenate(asks_d))
@@ -373,8 +376,9 @@ def _part_sums(shared):
 TEXTS = "code long, doc_id long, held boolean, n long, known long, base double, y double"
 
 
-def _text_sums(uni: Unigrams, discount: np.ndarray):
-    """Sums by text of rows (uid, kind, data) that are sorted so: a buffer's table, then its tokens' counts."""
+def _text_sums(uni: Unigrams, discount: np.ndarray, weights: np.ndarray):
+    """Sums by text of rows (uid, kind, data) that are sorted so: a buffer's table, then its tokens' counts. ``weights``: back-off
+    weights by the contexts' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in TEXTS.split(", ")]
@@ -384,13 +388,13 @@ def _text_sums(uni: Unigrams, discount: np.ndarray):
 
         def add() -> None:
             nonlocal known, base, y, held, size
-            local, c, c_v, end = (np.concatenate(x) for x in zip(*held))
+            local, c, c_v, end, back = (np.concatenate(x) for x in zip(*held))
             held, size = [], 0
             n = len(table)
             known = known + np.bincount(local, weights=c_v > 0, minlength=n)
             base = base + np.bincount(local, weights=np.log10((c_v + 0.5) / (uni.total + 0.5 * (uni.distinct + 1))), minlength=n)
             # a token's value: as a word after its context, and as the context of what follows
-            value = np.where(c > GT, np.log10(np.maximum(c, 1)), np.where(c > 0, low[np.minimum(c, GT)], np.log10(uni.p1(c_v))))
+            value = np.where(c > GT, np.log10(np.maximum(c, 1)), np.where(c > 0, low[np.minimum(c, GT)], np.log10(uni.p1(c_v)) + back))
             value = value + np.where((c_v > 0) & ~end, -np.log10(c_v + RESERVE), 0.0)
             y = y + np.bincount(local, weights=value, minlength=n)
 
@@ -413,13 +417,15 @@ def _text_sums(uni: Unigrams, discount: np.ndarray):
                     continue
                 raw = data.as_py()
                 raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
-                nt, np_, nv = (int(x) for x in np.frombuffer(raw, np.int64, 3))
-                c, c_v, local, pairs, new_v, end = _pieces(
-                    raw, (np.int64, np_), (np.int64, nv), (np.uint16, nt), (np.uint8, (nt + 7) // 8), (np.uint8, (np_ + 7) // 8), (np.uint8, nv), at=24
+                nt, np_, nv, nu = (int(x) for x in np.frombuffer(raw, np.int64, 4))
+                c, c_v, unseen, local, pairs, new_v, end = _pieces(
+                    raw, (np.int64, np_), (np.int64, nv), (np.uint16, nu), (np.uint16, nt), (np.uint8, (nt + 7) // 8), (np.uint8, (np_ + 7) // 8), (np.uint8, nv), at=32
                 )
+                back = np.zeros(np_)
+                back[c == 0] = weights[unseen]
                 pair = np.cumsum(np.unpackbits(pairs, count=nt), dtype=np.int64) - 1
                 word = (np.cumsum(np.unpackbits(new_v, count=np_), dtype=np.int64) - 1)[pair]
-                held.append((local, c[pair], c_v[word], end[word] > 0))
+                held.append((local, c[pair], c_v[word], end[word] > 0, back[pair]))
                 size += nt
                 if size > 500_000:
                     add()
@@ -456,11 +462,15 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scr
     freed = sum(((1 - d[r]) * r * F.col(f"k{r}") for r in range(1, GT + 1)), F.lit(RESERVE))
     contexts = table.filter("kind = 1").groupBy("a").agg(*[F.sum(f"k{r}").alias(f"k{r}") for r in range(1, GT + 1)], F.sum("x").alias("x"))
     contexts = contexts.select("a", F.log10(freed / (1 - F.col("x"))).alias("weight"))
+    hot = spark.createDataFrame(pd.DataFrame({"a": K.long_of(uni.hot), "code": np.arange(1, len(uni.hot) + 1)}), "a long, code int")
+    found = contexts.join(F.broadcast(hot), "a").select("code", "weight").toPandas()  # fewer than HOT_SHARE rows
+    weights = np.zeros(len(uni.hot) + 1)
+    weights[found["code"].to_numpy(np.int64)] = found["weight"].to_numpy(float)
     asked = table.filter("kind = 2").select("a", F.col("b").alias("code"), F.col("k1").alias("n")).join(contexts, "a")
     asked = asked.groupBy("code").agg(F.sum(F.col("n") * F.col("weight")).alias("back"))
     packed = table.filter("kind in (0, 4)").select("a", "kind", "data").repartition(max(parts, spark.sparkContext.defaultParallelism), "a").sortWithinPartitions("a", "kind")
     with arrow_rows(spark, 64):
-        texts = scratch.table(packed.mapInArrow(_text_sums(uni, d), TEXTS), "texts")
+        texts = scratch.table(packed.mapInArrow(_text_sums(uni, d, weights), TEXTS), "texts")
     start = float(-np.log10(n_train + RESERVE)) if n_train else 0.0  # of the start mark's count, for the first token
     return texts.join(asked, "code", "left").select(
         "doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
