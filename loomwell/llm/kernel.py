@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SLICE_TEXTS = 60_000
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 1

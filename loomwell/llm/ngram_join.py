@@ -44,7 +44,7 @@ SLOT_BITS = 18, 25  # least and most of the frequency sketch: 2**25 slots are 12
 SLOT_TOKENS = 32  # a slot for so many shingles of the corpus
 CLASS_BITS = 63
 CHUNKS = 64
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 600_000
 FRAGMENT_TOKENS = 1_000_000
 VERIFY_FRAGMENTS = 4
 BROADCAST_PAIRS = 1_000_000  # 16 MB; more pairs are joined by shuffle
@@ -143,7 +143,7 @@ def _profile(bits: int):
             for w in K.each_slice(batch.column(1)):
                 doc, key, n = _sets(w)
                 held.append(_slots(key, bits))
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 500_000:
                     count()
                 cls, second = _class_of(key, n)
                 m = w.n_docs
