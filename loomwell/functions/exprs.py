@@ -93,5 +93,10 @@ def normal_name(c: Column) -> Column:
     return F.regexp_replace(out, r"[^\p{L}\p{N}]", "")
 
 
+def hash32(c: Column, part: int = 0) -> Column:
+    """32 bits of a text's MD5, as a long: sums of them name a set without gathering it."""
+    return F.conv(F.substring(F.md5(c), 1 + 8 * part, 8), 16, 10).cast("long")
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))

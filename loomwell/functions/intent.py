@@ -31,16 +31,34 @@ TEMPORAL = r"之前|上次|下次|上周|这周|最近|后来|曾经|以前|当
 HISTORY = r"为什么这么定|当时.*(怎么设计|为什么选|怎么定|怎么做|怎么说)|之前.*(怎么设计|为什么选|具体怎么说|为什么这么定)|原来怎么说|怎么设计的|why.*(decided|chosen)|what was the reasoning|how was.*decided"
 FIRST_PERSON = r"我(?!们)|(?i)\b(?:I|my|mine|myself)\b"
 
-# What must not be displayed.
+# A comparison is also meant by this structure, unless it is only an adverb.
+COMPARISON_ADVERB = r"比较(重要|好|像|类似|复杂|大|小|多|少|强|弱|快|慢|新|旧|长|短|高|低|常见|明显|简单|稳定|活跃|特殊|普通|关键|主流|合理|接近)"
+COMPARISON_STRUCTURE = r"(?s)比较.{0,15}(和|与|跟)|(和|与|跟).{0,15}比较(一下)?"
+
+# What must not be displayed: internal names first, then credentials and paths.
 UNSAFE = [
+    r"(?i)\bscore\b", r"(?i)\bdedup_key\b", r"(?i)\bdebug\b", r"(?i)\bmetadata\b", r"(?i)\bsql\b", r"(?i)\bselect\s+\*\s+from\b",
+    r"(?i)\b(?:drop|delete|insert|update|truncate|alter)\s+(?:table|from|into|index)\b", r"(?i)\bentity/[^\s]+", r"(?i)\bconcept/[^\s]+", r"(?i)\brecords?/",
+    r"/Users/", r"[A-Z]:\\", r"(?:^|[\s\"'`(])/[^/\s\"'`()]", r"(?i)/(?:etc|root|var|proc|sys|home|tmp|opt|usr|private|mnt|srv|boot|dev)/",
     r"(?i)\b(?:sk-|Bearer\s+)[A-Za-z0-9._-]{8,}", r"(?i)\b(?:password|passwd|secret|api[_-]?key|access[_-]?token)\s*[=:]\s*\S+", r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", r"(?i)/(?:etc|root|var|proc|sys|home|tmp|opt|usr|private|mnt|srv|boot|dev)/",
+    r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b",
 ]
+# Fixed value: values that name a page by its path.
+PAGE_PATH = r"(?i)(?:brain/)?(?:entities|concepts|insights|records|events)/[^\s/]+"
 
-# Endings, beginnings and words that no entity name has.
+# What no entity name is: short Latin, endings of fragments and particles, beginnings with verbs and generic words, function
+# words, questions, commands, cut phrases and titles.
 NAME_REJECT = [
-    r"^[A-Za-z]{1,2}$", r"(?:下个|上个|这个|那个|什么|如何|怎么|怎样|的话|的人|的事)$", r"[的了就完或吧吗呢啊嘛及与把会被]$",
-    r"^(?:如何|怎么|怎样|什么|哪个|哪里|为什么|是否|能否|可否|要不要|能不能|是不是)", r"^(?:不要|别|请|必须|应该|需要)..", r"[把被让给对跟和与]$", r"：",
+    r"^[A-Za-z]{1,2}$",
+    r"(?:下个|上个|这个|那个|什么|如何|怎么|怎样|的话|的人|的事)$",
+    r"[的了就完或吧吗呢啊嘛及与把会被]$",
+    r"^(?:用|把|被|让|从|在|对|跟|和|考虑|想着|假定|需要|应该|可以|能够|不会|不要|别|就不要|不能|可能|已经|还是|只是|就是|都是|还要|也要|就会|就能|才能|还会|还能|也可|也可|也不|也没|都|就|也|还|又|再|才|只|没)$",
+    r"^(?:一家|某个|某些|那些|这些|自己的|别人的|所有|每个|任何|什么|怎么|某种|各种|一些|全部|整个)$",
+    r"^(?:必须|一定|当然|确实|真的|非常|很|太|更|最|比较|有些|一点|一下|一会|一直|经常|总是|从来|从不|已经|将要|正在|暂时|永久|永远|马上|立刻|突然|终于|最后|还是|还|也|都)$",
+    r"^(?:如何|怎么|怎样|什么|哪个|哪里|为什么|是否|能否|可否|要不要|能不能|是不是)",
+    r"^(?:不要|别|请|必须|应该|需要)..",
+    r"[把被让给对跟和与]$",
+    r"[：]",
 ]
 
 
@@ -59,6 +77,14 @@ def display_safe(c: Column, fallback: str) -> Column:
     return F.when(hit, fallback).otherwise(c)
 
 
+def safe_value(c: Column, fallback: str) -> Column:
+    """A value for structured output: control and format characters go, compatibility forms are unified, unsafe values are replaced."""
+    from loomwell.functions import lexical
+
+    clean = lexical.nfkc(F.regexp_replace(c, r"[\p{Cc}\p{Cf}]", ""))
+    return F.when(clean.rlike(PAGE_PATH), fallback).otherwise(display_safe(clean, fallback))
+
+
 def front_door(queries: DataFrame) -> DataFrame:
     """The route of each query: most signals, then the order of the routes; confidence min(.65 + .15 n, .95)."""
     q = F.trim("query")
@@ -81,6 +107,8 @@ def route(queries: DataFrame, known: DataFrame) -> DataFrame:
         hit = F.lit(False)
         for w in words:
             hit = hit | q.contains(w)
+        if name == "comparison":
+            hit = hit | (q.rlike(COMPARISON_STRUCTURE) & ~q.rlike(COMPARISON_ADVERB))
         mode = mode.when(hit, F.when(F.col("n_known") >= 1, "agentic").otherwise("hybrid") if name == "timeline" else F.lit(m))
         intent = intent.when(hit, name)
     mode, intent = mode.when(F.col("n_known") == 1, "fast").otherwise("hybrid"), intent.when(F.col("n_known") == 1, "entity_lookup").otherwise("keyword")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
-from loomwell.operators.relational import first_by
+from loomwell.operators.relational import first_by, pairs_within
 
 
 def sealed_hits(chunks: DataFrame, terms: list[str], pages: int = 5, hits: int = 3, width: int = 200) -> DataFrame:
@@ -71,19 +71,37 @@ def semantic_matches(pairs: DataFrame, least: float = 0.7) -> DataFrame:
     return first_by(pairs.filter((F.col("confidence") >= least) & F.col("type_fits")), ["a"], F.desc("confidence"), "b")
 
 
-NEGATION = r"\b(not|no|never|without)\b|不|没|未|无"
-
-
-def contradictions(statements: DataFrame, overlap: float = 0.2, least: int = 3) -> DataFrame:
-    """Pairs of statements (slug, record, text) on one page that share words and differ in negation. The join runs over shared words,
-    counted; pairs without a common word cannot overlap."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("text", NEGATION, " ")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2))
-    s = statements.withColumn("w", words).withColumn("neg", F.lower("text").rlike(NEGATION)).filter(F.size("w") >= least)
-    one = s.select("slug", "record", "neg", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = one.filter("not neg").alias("a"), one.filter("neg").alias("b")
-    both = a.join(b, (F.col("a.slug") == F.col("b.slug")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.record") != F.col("b.record")))
-    got = both.groupBy(F.col("a.slug").alias("slug"), F.col("a.record").alias("positive"), F.col("b.record").alias("negative")).agg(F.count("*").alias("common"), F.min(F.least("a.n", "b.n")).alias("small"))
-    return got.filter(F.col("common") >= overlap * F.col("small")).select("slug", "positive", "negative", "common")
+# Characters that carry no content, negations, and states that exclude each other (positive, negative).
+STOP_CHARACTERS = [
+    "的", "了", "在", "是", "和", "与", "也", "都", "被", "从", "到", "对", "为", "以", "及", "等", "或", "但", "而", "这", "那", "他", "她", "它", "我", "你", "很", "就",
+    "才", "会", "能", "要", "一", "个", "些", "着", "过", "把", "让", "上", "下", "中", "里", "外", "前", "后",
+]
+NEGATIONS = ["不", "没", "无", "非", "未", "别", "勿", "莫"]
+OPPOSITES = [(["职", "任职", "在职"], ["离职", "离", "卸任"]), (["负责"], ["不再负责", "卸任"]), (["进行", "进行中"], ["结束", "已结束", "终止"]), (["有效"], ["失效", "无效"]), (["属于"], ["不属于"])]
+
+
+def context_conflicts(contexts: DataFrame, overlap: float = 0.2, least: int = 3) -> DataFrame:
+    """Pairs (slug, a, b) of records whose contexts (slug, record, text) on a page contradict each other: their sets of content characters
+    share at least ``overlap`` of the smaller, and one alone is negated, or both name states that exclude each other. Contexts with
+    fewer than ``least`` characters say nothing.
+
+    The verdict depends on a context's characters and states only, so contexts that are alike meet others once, and pages with many
+    contexts are cut into blocks."""
+    chars = F.filter(F.split("text", ""), lambda c: (c != "") & ~c.rlike(r"[\s，。、；：！？]") & ~c.isin(*STOP_CHARACTERS))
+    joined = F.array_join("chars", "")
+    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: joined.contains(w))
+    states = F.array(*[F.when(any_of(no), 2).when(any_of(yes), 1).otherwise(0) for yes, no in OPPOSITES])
+    c = contexts.withColumn("chars", chars).filter(F.size("chars") >= least)
+    c = c.select("slug", "record", F.array_sort(F.array_distinct("chars")).alias("set"), F.arrays_overlap("chars", F.array(*[F.lit(x) for x in NEGATIONS])).alias("neg"), states.alias("states"))
+    c = c.withColumn("like", F.md5(F.concat_ws("|", F.array_join("set", ""), F.col("neg").cast("string"), F.array_join(F.transform("states", lambda s: s.cast("string")), ""))))
+    alike = c.dropDuplicates(["slug", "like"]).select("slug", "like", "set", "neg", "states")
+    both = pairs_within(alike, "slug", "like", ["set", "neg", "states"])
+    common = F.size(F.array_intersect("a_set", "b_set")) >= overlap * F.least(F.size("a_set"), F.size("b_set"))
+    excluded = F.exists(F.arrays_zip("a_states", "b_states"), lambda z: (z["a_states"] > 0) & (z["b_states"] > 0) & (z["a_states"] != z["b_states"]))
+    verdict = both.filter(common & ((F.col("a_neg") != F.col("b_neg")) | excluded)).select("slug", "a", "b")
+    one = c.select("slug", "like", "record")
+    rows = verdict.join(one.select("slug", F.col("like").alias("a"), F.col("record").alias("ra")), ["slug", "a"]).join(one.select("slug", F.col("like").alias("b"), F.col("record").alias("rb")), ["slug", "b"])
+    return rows.select("slug", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
 
 
 # What repairs a finding, and whether it runs by itself.
@@ -126,12 +144,3 @@ def rule_flags(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Counts of rows that break each named rule."""
     flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
     return rows.select(F.explode(flags).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-
-
-def apply_batch(pages: DataFrame, operations: DataFrame) -> DataFrame:
-    """Result of each operation (op, slug, target): ok, missing (no such page) or invalid (a link to itself)."""
-    have = pages.select("slug", F.lit(1).alias("has"))
-    out = operations.join(have, "slug", "left").join(have.select(F.col("slug").alias("target"), F.col("has").alias("has_target")), "target", "left")
-    bad = (F.col("op") == "link") & (F.col("slug") == F.col("target"))
-    missing = F.col("has").isNull() | (F.col("op").isin("link", "merge") & F.col("has_target").isNull())
-    return out.select("op", "slug", "target", F.when(bad, "invalid").when(missing, "missing").otherwise("ok").alias("result"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,14 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomwell-"))
-    return df.checkpoint()
+from loomwell.operators.lineage import cut
+from loomwell.operators.relational import pairs_within
 
 
 def directed(links: DataFrame, direction: str = "both", relation: str | None = None, least_weight: float | None = None) -> DataFrame:
@@ -194,8 +187,8 @@ def bridges_between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def indirect_pairs(edges: DataFrame) -> DataFrame:
-    """Unordered pairs at distance 2 that are not linked."""
-    two = edges.alias("x").join(edges.alias("y"), F.col("x.v") == F.col("y.u")).select(F.col("x.u").alias("a"), F.col("y.v").alias("b")).filter("a < b").distinct()
+    """Unordered pairs at distance 2 that are not linked: the pairs of neighbours of each node, hubs cut into blocks."""
+    two = pairs_within(edges.select("u", "v").distinct(), "u", "v").select("a", "b").distinct()
     return two.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
 
 

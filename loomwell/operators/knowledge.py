@@ -222,13 +222,6 @@ def keep_latest(table: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     return first_by(table, keys, F.desc(by))
 
 
-def expire_jobs(jobs: DataFrame, as_of: str, ttl_minutes: int = 30, most: int = 3) -> DataFrame:
-    """Running jobs past their time and failed attempts go back to pending until their attempts are used up."""
-    old = (F.col("status") == "running") & (F.col("started_at") < X.ts(as_of) - F.expr(f"INTERVAL {ttl_minutes} MINUTES"))
-    state = F.when(old, "pending").when((F.col("status") == "error") & (F.col("attempts") < most), "pending").when(F.col("status") == "error", "failed").otherwise(F.col("status"))
-    return jobs.withColumn("status", state)
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """Write the next version beside the last, then point to it: readers never see half a table."""
     spark = df.sparkSession
@@ -266,7 +259,7 @@ def chunk_pages(docs: DataFrame, body: str = "text", size: int = 500, separator:
 
 def sentence_chunks(text: Column, size: int = 2500) -> Column:
     """Sentences packed up to ``size`` characters; longer ones are cut hard."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[。！？.!?\n])\s*"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[。！？.!?\n])\s*"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     pieces = F.flatten(F.transform(parts, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size)))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
@@ -288,12 +281,40 @@ def wikilinks(text: Column) -> Column:
 
 
 def frontmatter(text: Column) -> Column:
-    """Struct of the YAML block between leading '---' lines (key: value pairs as a map) and the body."""
+    """Struct of the block between leading '---' lines and the body. ``lists``: the values of each key, of ``key: value``, ``key:
+    [a, b]`` or indented ``- a`` lines; ``fields``: the same joined by ', '. Keys inside a key are 'outer.inner'; of a repeated key the
+    last counts."""
     block = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
     body = F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", "")
-    lines = F.filter(F.split(block, r"\r?\n"), lambda s: s.rlike(r"^[^\s:#][^:]*:"))
-    pairs = F.transform(lines, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([^:]+):", 1)).alias("k"), F.trim(F.regexp_replace(F.regexp_extract(s, r"^[^:]+:(.*)$", 1), "^[\\s\"']+|[\"'\\s]+$", "")).alias("v")))
-    return F.struct(F.map_from_entries(F.array_distinct(pairs)).alias("fields"), body.alias("body"))
+    bare = lambda c: F.regexp_replace(F.trim(c), "^[\\s\"']+|[\"'\\s]+$", "")
+    none = F.array().cast("array<struct<k:string,v:array<string>>>")
+    start = F.struct(F.lit("").alias("outer"), none.alias("pairs"))
+
+    def step(acc: Column, line: Column) -> Column:
+        is_item, indented = line.rlike(r"^\s*-\s+"), line.rlike(r"^\s")
+        is_pair = ~is_item & line.rlike(r"^\s*[^\s:#][^:]*:")
+        name, value = F.trim(F.regexp_extract(line, r"^([^:]+):", 1)), F.trim(F.regexp_extract(line, r"^[^:]+:(.*)$", 1))
+        key = F.when(indented & (acc["outer"] != ""), F.concat(acc["outer"], F.lit("."), name)).otherwise(name)
+        many = F.filter(F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), bare), lambda x: x != "")
+        values = F.when(value == "", F.array().cast("array<string>")).when(value.rlike(r"^\[.*\]$"), many).otherwise(F.array(bare(value)))
+        last = F.element_at(acc["pairs"], -1)
+        longer = F.struct(last["k"].alias("k"), F.array_append(last["v"], bare(F.regexp_replace(line, r"^\s*-\s+", ""))).alias("v"))
+        pairs = (
+            F.when(is_item & (F.size(acc["pairs"]) > 0), F.array_append(F.slice(acc["pairs"], 1, F.greatest(F.size(acc["pairs"]) - 1, F.lit(0))), longer))
+            .when(is_pair, F.array_append(acc["pairs"], F.struct(key.alias("k"), values.alias("v"))))
+            .otherwise(acc["pairs"])
+        )
+        return F.struct(F.when(is_pair & ~indented, name).otherwise(acc["outer"]).alias("outer"), pairs.alias("pairs"))
+
+    pairs = F.aggregate(F.split(block, r"\r?\n"), start, step, lambda acc: acc["pairs"])
+    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.struct(F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], F.array_join(p["v"], ", ")))).alias("fields"), F.map_from_entries(kept).alias("lists"), body.alias("body"))
+
+
+def topic_fingerprints(members: DataFrame) -> DataFrame:
+    """Of each tag the number of its pages (tag, slug) and two sums of their hashes: equal if and only if (but for collisions of 64
+    bits) the pages are the same, without gathering a tag's pages."""
+    return members.groupBy("tag").agg(F.count("*").alias("n"), F.sum(X.hash32(F.col("slug"))).alias("h"), F.sum(X.hash32(F.col("slug"), 1)).alias("h2"))
 
 
 def content_kind(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
+from loomwell.operators.lineage import cut
 
 ORDER_COLUMNS = ("slug", "title", "type", "tier", "mention_count", "created_at", "updated_at")
 
@@ -120,9 +121,24 @@ def cross_type_duplicates(pages: DataFrame) -> DataFrame:
 
 
 def shared_titles(pages: DataFrame) -> DataFrame:
-    """Titles that several pages have, with their slugs in order."""
-    out = pages.filter(F.trim("title") != "").groupBy("title").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("slugs"))
-    return out.filter(F.col("n") > 1)
+    """(title, n, slug): the pages of each title that several have, one row a page."""
+    n = pages.filter(F.trim("title") != "").groupBy("title").agg(F.count("*").alias("n")).filter("n > 1")
+    return pages.join(n, "title").select("title", "n", "slug")
+
+
+def topic_candidates(seeds: DataFrame, least: int = 3) -> DataFrame:
+    """Seeds (seed, slug) of at least so many records, one for each set of records: the smallest. Sets are told apart by their size
+    and two sums of hashes, so no set is gathered."""
+    own = seeds.distinct().groupBy("seed").agg(F.count("*").alias("n"), F.sum(X.hash32(F.col("slug"))).alias("h"), F.sum(X.hash32(F.col("slug"), 1)).alias("h2"))
+    return own.filter(F.col("n") >= least).groupBy("n", "h", "h2").agg(F.min("seed").alias("seed")).select("seed", "n", "h")
+
+
+def attention_queue(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Items (keys, occurrence_count, detected_at, ref) merged by key: evidence summed, references united (their number and the sum
+    of their hashes; the references themselves are the distinct rows of items), the most occurrences and the newest time."""
+    refs = items.select(*keys, "ref").distinct().groupBy(*keys).agg(F.count("*").alias("refs"), F.sum(X.hash32(F.col("ref"))).alias("refs_hash"))
+    sums = items.groupBy(*keys).agg(F.sum("occurrence_count").alias("evidence"), F.max("occurrence_count").alias("most"), F.max("detected_at").alias("newest"))
+    return sums.join(refs, list(keys))
 
 
 def zero_link_records(pages: DataFrame, chunks: DataFrame, tags: DataFrame, links: DataFrame, least_chunks: int = 2, least_chars: int = 1000, least_tags: int = 3) -> DataFrame:
@@ -144,29 +160,76 @@ def resolve_names(names: DataFrame, pages: DataFrame, aliases: DataFrame) -> Dat
     by_alias = names.join(named, F.col("name") == F.col("alias")).select("name", "slug", F.lit(3).alias("pass"), "rank", F.lpad(F.col("id").cast("string"), 20, "0").alias("tie"))
     sure = by_slug.unionByName(by_title).unionByName(by_alias)
     open_ = names.join(sure.select("name").distinct(), "name", "left_anti").filter(F.trim("name") != "")
-    # only names that no key resolves are compared with all titles
-    fuzzy = open_.join(p, F.lower("title").contains(F.lower("name"))).select("name", "slug", F.lit(4).alias("pass"), "rank", F.col("slug").alias("tie"))
+    # only names that no key resolves are looked for inside titles
+    fuzzy = contained_in(open_, p).select("name", "slug", F.lit(4).alias("pass"), "rank", F.col("slug").alias("tie"))
     first = Window.partitionBy("name").orderBy("pass", "rank", "tie")
     best = sure.unionByName(fuzzy).withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("name", "slug", "pass")
     return names.join(best, "name", "left")
 
 
-def unique_matches(names: DataFrame, pages: DataFrame, prefix: bool = False) -> DataFrame:
-    """Fail-closed resolution: a name counts only if exactly one page's title equals it (or begins with it)."""
-    cond = pages["title"].startswith(names["name"]) if prefix else pages["title"] == names["name"]
-    hits = names.join(pages, cond).groupBy("name").agg(F.count("*").alias("n"), F.min("slug").alias("slug"))
+def _grams(text: Column, n: Column) -> Column:
+    """All runs of n characters; the text itself if it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+
+
+def contained_in(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """names joined with the pages whose title contains the name, in any case: found through the rarest of the name's trigrams
+    (or the name itself, if shorter), so no name meets all titles."""
+    asked = names.select("name", F.explode(F.array_distinct(_grams(F.lower("name"), F.least(F.lit(3), F.length("name"))))).alias("gram"))
+    low = F.lower("title")
+    grams = pages.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(low, F.lit(n)) for n in (1, 2, 3)])))))
+    grams = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    sizes = grams.groupBy("gram").agg(F.count("*").alias("titles"))
+    rare = first_by(asked.join(sizes, "gram"), ["name"], "titles", "gram").select("name", "gram")
+    return rare.join(grams, "gram").filter(low.contains(F.lower("name"))).drop("gram")
+
+
+def unique_prefixes(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fail-closed resolution by prefix, in any case, with % and _ as themselves: the page counts only if no other title begins so."""
+    sizes = [r[0] for r in names.filter("name <> ''").select(F.length("name")).distinct().collect()]  # at most as many as a title is long
+    keys = F.array_compact(F.array(*[F.when(F.length("title") >= n, F.lower(F.substring("title", 1, n))) for n in sizes])) if sizes else F.array().cast("array<string>")
+    hits = pages.select("slug", F.explode(keys).alias("key")).join(names.withColumn("key", F.lower("name")), "key")
+    one = hits.groupBy("name").agg(F.count("*").alias("n"), F.min("slug").alias("slug")).filter("n = 1")
+    return names.join(one.select("name", "slug"), "name", "left")
+
+
+def unique_matches(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fail-closed resolution: a name counts only if exactly one page's title equals it."""
+    hits = names.join(pages, pages["title"] == names["name"]).groupBy("name").agg(F.count("*").alias("n"), F.min("slug").alias("slug"))
     return names.join(hits.filter("n = 1").select("name", "slug"), "name", "left")
 
 
 # ---- log analytics ----
 
+BLOCK = 1000  # items of a key that meet in one task
+
+
+def pairs_within(rows: DataFrame, key: str, item: str, carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(key, a, b, and the carried columns as a_*, b_*): the pairs a < b of distinct items of each key. The items of a large key are
+    cut into blocks by hash, and each pair of blocks meets in its own task."""
+    n = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cut_ = rows.join(n, key).withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda name, mine, other: cut_.select(key, F.col("own").alias(mine), every.alias(other), F.col(item).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in carry])
+    return side("a", "block_a", "block_b").join(side("b", "block_b", "block_a"), [key, "block_a", "block_b"]).filter("a < b").drop("block_a", "block_b")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """The rows with numbers from 1 in a total order, without a task that holds all of them: ranges are numbered inside, and
+    offset by the sizes of those before."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_in", inside).join(F.broadcast(offsets.select("_part", "_before")), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
 def session_pairs(hits: DataFrame) -> DataFrame:
     """Pairs of different slugs in a session, with multiplicity: occurrences are counted per slug first, so a session's
     pairs cost the square of its distinct slugs only."""
     n = hits.groupBy("session_id", "slug").agg(F.count("*").alias("n"))
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.slug") < F.col("b.slug")))
-    return pairs.groupBy(F.col("a.slug").alias("slug_a"), F.col("b.slug").alias("slug_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n"))
+    pairs = pairs_within(n, "session_id", "slug", ["n"])
+    return pairs.groupBy(F.col("a").alias("slug_a"), F.col("b").alias("slug_b")).agg(F.sum(F.col("a_n") * F.col("b_n")).alias("n"))
 
 
 def new_session_pairs(hits: DataFrame, watermark: int, since: str) -> DataFrame:
@@ -176,10 +239,9 @@ def new_session_pairs(hits: DataFrame, watermark: int, since: str) -> DataFrame:
     n = marked.groupBy("session_id", "slug").agg(F.count("*").alias("n"), F.sum("new").alias("fresh"))
     live = n.groupBy("session_id").agg(F.max("fresh").alias("m")).filter("m > 0").select("session_id")
     n = n.join(live, "session_id", "left_semi")
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.slug") < F.col("b.slug")))
-    old = (F.col("a.n") - F.col("a.fresh")) * (F.col("b.n") - F.col("b.fresh"))
-    out = pairs.groupBy(F.col("a.slug").alias("slug_a"), F.col("b.slug").alias("slug_b")).agg(F.sum(F.col("a.n") * F.col("b.n") - old).alias("n"))
+    pairs = pairs_within(n, "session_id", "slug", ["n", "fresh"])
+    old = (F.col("a_n") - F.col("a_fresh")) * (F.col("b_n") - F.col("b_fresh"))
+    out = pairs.groupBy(F.col("a").alias("slug_a"), F.col("b").alias("slug_b")).agg(F.sum(F.col("a_n") * F.col("b_n") - old).alias("n"))
     return out.filter(F.col("n") > 0)
 
 
@@ -271,23 +333,29 @@ def best_chunks(ranked: DataFrame, n: int) -> DataFrame:
 
 
 def greedy_pairs(pairs: DataFrame, per_entity: int = 3, most: int = 50) -> DataFrame:
-    """Accept ranked pairs (a, b, score) while each of the two has fewer than ``per_entity``; stop at ``most``. The rule is
-    sequential: of each entity only its ``most + per_entity`` best pairs can matter in a first cut, then one task decides."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        used: dict[str, int] = {}
-        keep = []
-        for i, a, b in zip(pdf.index, pdf["a"], pdf["b"]):
-            if len(keep) == most:
-                break
-            if used.get(a, 0) < per_entity and used.get(b, 0) < per_entity:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-                keep.append(i)
-        return pdf.loc[keep, ["a", "b", "score"]]
-
-    return pairs.select("a", "b", F.col("score").cast("double"), F.lit("all").alias("g")).groupBy("g").applyInPandas(run, "a string, b string, score double")
+    """Accept ranked pairs (a, b, score), best first, while each of the two has fewer than ``per_entity``; stop at ``most``. Of
+    repeated pairs the best counts.
+
+    The rule is sequential, but only few pairs can matter. Before it stops, at most full = 2 * (most - 1) / per_entity entities are
+    full. Of an entity's pairs at most ``full`` fail because the partner is, so it is full itself after its best full +
+    per_entity ones, and later ones fail. Of the pairs that are so left at both ends, at most full * (full + per_entity) fail; the
+    best of that many and ``most`` more decide, a number that does not grow with the data.
+    """
+    full = 2 * (most - 1) // per_entity
+    one = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.col("score").cast("double")).alias("score"))
+    ends = one.withColumn("end", F.explode(F.array("lo", "hi")))
+    near = first_by(ends, ["end"], F.desc("score"), "lo", "hi", n=full + per_entity).groupBy("lo", "hi", "score").agg(F.count("*").alias("n")).filter((F.col("n") == 2) | (F.col("lo") == F.col("hi")))
+    rows = near.orderBy(F.desc("score"), "lo", "hi").limit(full * (full + per_entity) + most).select("lo", "hi", "score").collect()
+    used: dict[str, int] = {}
+    kept = []
+    for a, b, score in rows:
+        if len(kept) == most:
+            break
+        if used.get(a, 0) < per_entity and used.get(b, 0) < per_entity:
+            used[a] = used.get(a, 0) + 1
+            used[b] = used.get(b, 0) + 1
+            kept.append((a, b, score))
+    return pairs.sparkSession.createDataFrame(kept, "a string, b string, score double")
 
 
 # ---- differences ----
@@ -321,4 +389,5 @@ def union_distinct_ordered(*lists: DataFrame) -> DataFrame:
     for k, x in enumerate(lists):
         part = x.select("slug", F.struct(F.lit(k).alias("list"), F.col("pos").cast("long").alias("pos")).alias("at"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("slug").agg(F.min("at").alias("at")).select("slug", F.row_number().over(Window.orderBy("at.list", "at.pos", "slug")).cast("long").alias("pos"))
+    one = out.groupBy("slug").agg(F.min("at").alias("at")).select("slug", F.col("at.list").alias("list"), F.col("at.pos").alias("place"))
+    return numbered(one, "list", "place", "slug").select("slug", F.col("pos").cast("long").alias("pos"))

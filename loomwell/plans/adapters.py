@@ -53,11 +53,11 @@ FROM (
   SELECT 'entity/person/c-' || CAST(o_custkey AS STRING) AS from_slug, 'concept/product/p-' || CAST(l_partkey AS STRING) AS to_slug, 'uses' AS relation, least(1e0, sum(l_quantity) / 50e0) AS weight,
     CASE WHEN max(l_linestatus) = 'O' THEN 'manual' ELSE 'ner' END AS source_type, least(1e0, CAST(count(*) AS DOUBLE) / 2e0) AS confidence,
     CASE max(l_returnflag) WHEN 'N' THEN 'trusted' WHEN 'A' THEN 'candidate' ELSE 'rejected' END AS trust_state, CAST(min(l_shipdate) AS TIMESTAMP) AS created_at, CAST(max(l_shipdate) AS TIMESTAMP) AS last_validated_at
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0 GROUP BY o_custkey, l_partkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey
   UNION ALL
   SELECT 'entity/company/s-' || CAST(l_suppkey AS STRING), 'concept/product/p-' || CAST(l_partkey AS STRING), 'produces', least(1e0, sum(l_quantity) / 50e0), CASE WHEN max(l_linestatus) = 'O' THEN 'wikilink' ELSE 'auto' END,
     least(1e0, CAST(count(*) AS DOUBLE) / 2e0), CASE max(l_returnflag) WHEN 'N' THEN 'trusted' WHEN 'R' THEN 'superseded' END, CAST(min(l_shipdate) AS TIMESTAMP), CAST(max(l_shipdate) AS TIMESTAMP)
-  FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY l_suppkey, l_partkey
+  FROM lineitem GROUP BY l_suppkey, l_partkey
   UNION ALL
   SELECT 'entity/person/c-' || CAST(c_custkey AS STRING), 'entity/location/n-' || CAST(c_nationkey AS STRING), 'located_in', 0.5e0, 'manual', 1e0, 'trusted', TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '1995-01-01 00:00:00' FROM customer WHERE c_custkey % 5 < 3
   UNION ALL
@@ -66,7 +66,7 @@ FROM (
   SELECT 'entity/location/n-' || CAST(n_nationkey AS STRING), 'entity/location/r-' || CAST(n_regionkey AS STRING), 'part_of', 1e0, 'manual', 1e0, NULL, TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '1995-01-01 00:00:00' FROM nation
   UNION ALL
   SELECT 'entity/person/c-' || CAST(c_custkey AS STRING), 'entity/person/c-' || CAST(CAST(floor(c_custkey / 8e0) AS BIGINT) AS STRING), 'reports_to', 1e0, 'dialogue', 0.7e0,
-    CASE WHEN c_custkey % 7 = 0 THEN 'candidate' WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'superseded' ELSE 'trusted' END, TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '2000-01-01 00:00:00' FROM customer WHERE c_custkey < 700
+    CASE WHEN c_custkey % 7 = 0 THEN 'candidate' WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'superseded' ELSE 'trusted' END, TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '2000-01-01 00:00:00' FROM customer
   UNION ALL
   SELECT 'records/doc-' || CAST(doc_id AS STRING), 'entity/person/c-' || CAST(doc_id * 3 AS STRING), 'mentions', 0.3e0, 'wikilink', 0.5e0, 'trusted', TIMESTAMP '2001-07-01 00:00:00', TIMESTAMP '2001-07-01 00:00:00' FROM documents WHERE doc_id % 4 = 0
 ) l
@@ -149,7 +149,7 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'gap' WHEN o_orderkey
   'entity/person/c-' || CAST(o_custkey AS STRING) AS entity_a, 'entity/person/c-' || CAST((o_custkey * 7) % 300 AS STRING) AS entity_b, o_totalprice / 500000e0 AS score, CAST(o_orderdate AS TIMESTAMP) AS detected_at,
   CAST(o_orderkey % 4 AS INT) AS occurrence_count, CASE WHEN o_orderkey % 11 = 0 THEN 'dismissed' WHEN o_orderkey % 13 = 0 THEN 'resolved' WHEN o_orderkey % 3 = 0 THEN 'seen' ELSE 'pending' END AS status,
   CAST(CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS INT) AS seen, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 150000 THEN 'medium' ELSE 'low' END AS actionable
-FROM orders WHERE o_orderkey % 10 < 6
+FROM orders
 """
 
 _DUCK_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) d"

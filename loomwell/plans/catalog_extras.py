@@ -14,6 +14,8 @@ from loomwell.plans import models
 from loomwell.plans.adapters import Knowledge
 from loomwell.plans.registry import query
 
+# titles and parts of them, with the endings, beginnings and words that names do not have
+NAMES_ASKED = "SELECT DISTINCT CASE k % 12 WHEN 0 THEN 'q' || CAST(k AS STRING) WHEN 1 THEN '项目的' WHEN 2 THEN '考虑' WHEN 3 THEN '一家' WHEN 4 THEN '经常' WHEN 5 THEN '如何做' WHEN 6 THEN '不要去那' WHEN 7 THEN '我们：一' WHEN 8 THEN 'ab' WHEN 9 THEN '张三' WHEN 10 THEN 'x' ELSE 'the long name of a page ' || CAST(k AS STRING) END AS name FROM kqlog UNION SELECT title FROM kpages"
 ASKED = "SELECT CASE k % 9 WHEN 0 THEN 'debug this' WHEN 1 THEN 'compare A and B' WHEN 2 THEN 'who reports to Anna' WHEN 3 THEN 'overview of sales' WHEN 4 THEN 'how are they connected' WHEN 5 THEN 'what changed last time' WHEN 6 THEN '' WHEN 7 THEN 'difference and overview' ELSE 'plain words' END AS query FROM kqlog GROUP BY 1"
 ROUTED = "CASE WHEN q = '' THEN 'debug_search' WHEN q LIKE '%debug%' THEN 'debug_search' WHEN q LIKE '%reports to%' THEN 'hierarchy' WHEN q LIKE '%connected%' THEN 'relationship' WHEN q LIKE '%compare%' OR q LIKE '%difference%' THEN 'reasoning' WHEN q LIKE '%overview%' THEN 'overview' ELSE 'content_recall' END"
 query("h11_front_door", lambda k: I.front_door(k.sql(ASKED)).select("query", "route", F.round("confidence", 6).alias("confidence")),
@@ -21,9 +23,12 @@ query("h11_front_door", lambda k: I.front_door(k.sql(ASKED)).select("query", "ro
 query("h10_query_router", lambda k: I.route(k.sql(ASKED), k.sql("SELECT 'plain words' AS query, 1 AS n_known, false AS exact")),
       f"SELECT query, CASE WHEN query LIKE '%compare%' OR query LIKE '%difference%' OR query LIKE '%connected%' OR query LIKE '%overview%' THEN 'agentic' WHEN query = 'plain words' THEN 'fast' ELSE 'hybrid' END AS mode, CASE WHEN query LIKE '%compare%' OR query LIKE '%difference%' THEN 'comparison' WHEN query LIKE '%connected%' THEN 'relationship' WHEN query LIKE '%overview%' THEN 'review' WHEN query LIKE '%last time%' THEN 'timeline' WHEN query = 'plain words' THEN 'entity_lookup' ELSE 'keyword' END AS intent FROM ({ASKED}) a")
 query("h12_temporal_intent", lambda k: I.temporal_intent(k.sql(ASKED)), f"SELECT query, CAST(query LIKE '%last time%' OR query LIKE '%changed%' AS INT) AS temporal, 0 AS history, 0 AS first_person FROM ({ASKED}) a")
-query("p15_entity_names", lambda k: k.kpages.filter(I.valid_name(F.col("title"))).groupBy("type").agg(F.count("*").alias("n")), "SELECT type, count(*) AS n FROM kpages WHERE length(trim(title)) BETWEEN 2 AND 18 AND NOT regexp_matches(trim(title), '^[A-Za-z]{1,2}$') GROUP BY type")
-query("p19_display_safety", lambda k: k.documents.select("doc_id", (I.display_safe(F.col("text"), "withheld") == "withheld").cast("int").alias("withheld")), r"""SELECT doc_id, CAST(regexp_matches(text, '(?i)\b(?:sk-|Bearer\s+)[A-Za-z0-9._-]{8,}') OR regexp_matches(text, '(?i)\b(?:password|passwd|secret|api[_-]?key|access[_-]?token)\s*[=:]\s*\S+') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
-  OR regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{36,}\b') OR regexp_matches(text, '(?i)/(?:etc|root|var|proc|sys|home|tmp|opt|usr|private|mnt|srv|boot|dev)/') AS INT) AS withheld FROM documents""")
+query("p15_entity_names", lambda k: k.sql(NAMES_ASKED).select("name", I.valid_name(F.col("name")).cast("int").alias("valid")),
+      f"""SELECT name, CAST(length(trim(name)) BETWEEN 2 AND 18 AND NOT ({" OR ".join(f"regexp_matches(trim(name), '{p}')" for p in I.NAME_REJECT)}) AS INT) AS valid FROM ({NAMES_ASKED}) n""")
+query("p19_display_safety", lambda k: k.documents.select("doc_id", (I.display_safe(F.col("text"), "withheld") == "withheld").cast("int").alias("withheld")),
+      "SELECT doc_id, CAST(" + " OR ".join(f"""regexp_matches(text, '{p.replace("'", "''")}')""" for p in I.UNSAFE) + " AS INT) AS withheld FROM documents")
+query("p19_structured_values", lambda k: k.kpages.select("slug", I.safe_value(F.concat(F.lit("see "), F.when(F.col("tier") == 1, F.concat(F.lit("entities/"), "title")).when(F.col("tier") == 2, F.concat(F.lit("ｓｃｏ\u200bｒｅ "), "title")).otherwise(F.concat("title", F.lit("\u200b！")))), "withheld").alias("value")),
+      "SELECT slug, CASE WHEN tier = 1 OR tier = 2 THEN 'withheld' ELSE 'see ' || title || '!' END AS value FROM kpages")
 CANON = "CASE relation WHEN 'uses' THEN '制造' WHEN 'part_of' THEN '归属' ELSE '提及' END"
 query("g18_relation_audit", lambda k: O.canonical(k.klinks).groupBy("relation", "canonical").agg(F.count("*").alias("n")), f"SELECT relation, {CANON} AS canonical, count(*) AS n FROM klinks GROUP BY 1, 2")
 query("p21_valid_relations", lambda k: k.klinks.join(F.broadcast(O.alias_dim(k.spark).select(F.col("name").alias("relation"))), "relation", "left_anti").filter("relation <> 'reports_to'").groupBy("relation").agg(F.count("*").alias("n")), "SELECT relation, count(*) AS n FROM klinks WHERE relation NOT IN ('uses', 'part_of', 'reports_to') GROUP BY relation")
@@ -31,7 +36,7 @@ query("p22_endpoint_types", lambda k: O.endpoint_check(O.canonical(k.klinks).joi
       f"SELECT {CANON} AS canonical, CAST({CANON} = '提及' AS INT) AS fits, count(*) AS n FROM klinks JOIN kpages f ON f.slug = from_slug JOIN kpages t ON t.slug = to_slug GROUP BY 1, 2")
 query("p23_endpoint_entities", lambda k: (lambda e: k.klinks.join(e.withColumnRenamed("slug", "from_slug"), "from_slug", "left_semi").join(e.withColumnRenamed("slug", "to_slug"), "to_slug", "left_semi").groupBy("relation").agg(F.count("*").alias("n")))(k.kpages.filter(X.entity_or_concept()).select("slug")),
       "WITH e AS (SELECT slug FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%') SELECT relation, count(*) AS n FROM klinks WHERE from_slug IN (SELECT slug FROM e) AND to_slug IN (SELECT slug FROM e) GROUP BY relation")
-query("p24_capped_entities", lambda k: I.rank_within(k.ktags.groupBy("tag", "page_slug").count(), ["tag"], F.desc("count"), "page_slug").filter("rank <= 10").groupBy("tag").agg(F.count("*").alias("kept")), "SELECT tag, least(count(*), 10) AS kept FROM ktags GROUP BY tag")
+
 query("p13_record_prefilter", lambda k: k.kpages.filter("type = 'record'").join(k.kchunks.filter((F.instr("content", "License") > 0) | (F.instr("content", "password") > 0)).select(F.col("page_slug").alias("slug")).distinct(), "slug", "left_semi").select("slug"), "SELECT slug FROM kpages WHERE type = 'record' AND slug IN (SELECT page_slug FROM kchunks WHERE contains(content, 'License') OR contains(content, 'password'))")
 query("p18_personal_notes", lambda k: k.documents.select("doc_id", (F.lower("text").rlike(r"\bmy (?:preference|habit|taste|style)\b|\bi (?:prefer|like|love|always|usually)\b") & ~F.lower("text").rlike(r"\b(article|paper|report|project|code|system)\b")).cast("int").alias("personal")).groupBy("personal").agg(F.count("*").alias("n")),
       r"SELECT CAST(regexp_matches(lower(text), '\bmy (?:preference|habit|taste|style)\b|\bi (?:prefer|like|love|always|usually)\b') AND NOT regexp_matches(lower(text), '\b(article|paper|report|project|code|system)\b') AS INT) AS personal, count(*) AS n FROM documents GROUP BY 1")

@@ -48,8 +48,7 @@ query("e8_layered_match", lambda k: N.layered_match(k.sql(LAYER_NAMES), k.kpages
 query("e9_names_in_document", lambda k: named(k).withColumn("norm", X.normal_name(F.col("title"))).groupBy("norm").agg(F.max_by("title", F.struct(F.length("title"), "slug")).alias("title"), F.count("*").alias("n")),
       f"WITH {NAMED}, x AS (SELECT *, {NORM.format('title')} AS norm FROM named) SELECT norm, (array_agg(title ORDER BY length(title) DESC, slug DESC))[1] AS title, count(*) AS n FROM x GROUP BY norm")
 query("e11_duplicate_slugs", lambda k: k.kpages.withColumn("base", F.regexp_replace("slug", r"-\d+$", "")).groupBy("base").agg(F.count("*").alias("n"), F.min("slug").alias("first")).filter("n > 1"), "SELECT regexp_replace(slug, '-\\d+$', '') AS base, count(*) AS n, min(slug) AS first FROM kpages GROUP BY 1 HAVING count(*) > 1")
-query("e12_merge_impact", lambda k: R.endpoints(k.klinks, once=True).filter("slug IN ('entity/location/n-1', 'entity/location/n-2')").groupBy("slug").agg(F.count("*").alias("links")).join(k.kaliases.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("aliases")), "slug", "left").fillna(0),
-      "SELECT slug, count(*) AS links, CAST(0 AS BIGINT) AS aliases FROM (SELECT from_slug AS slug, link_key FROM klinks UNION SELECT to_slug, link_key FROM klinks) x WHERE slug IN ('entity/location/n-1', 'entity/location/n-2') GROUP BY slug")
+
 query("e14_slugs", lambda k: named(k).select("slug", F.concat(F.lit("brain/"), N.slug_name(F.col("title"))).alias("made")), f"WITH {NAMED} SELECT slug, 'brain/' || regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(title, '[()]', '-', 'g')), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS made FROM named")
 
 # ---- scoring and discovery ----
@@ -128,30 +127,38 @@ query("m7_page_delete_cascade", lambda k: (lambda gone: k.klinks.join(gone.selec
       "SELECT relation, count(*) AS n FROM klinks WHERE from_slug NOT IN (SELECT slug FROM kpages WHERE type = 'entity/location') AND to_slug NOT IN (SELECT slug FROM kpages WHERE type = 'entity/location') GROUP BY relation")
 query("m8_trust_changes", lambda k: k.klinks.withColumn("new", X.trust_from_source()).filter("trust_state IS NOT NULL AND trust_state <> new").groupBy("trust_state", "new").agg(F.count("*").alias("n")),
       "SELECT trust_state, CASE WHEN confidence < 0.3e0 THEN 'candidate' WHEN source_type IN ('wikilink', 'manual') THEN 'trusted' ELSE 'candidate' END AS new, count(*) AS n FROM klinks WHERE trust_state IS NOT NULL AND trust_state <> CASE WHEN confidence < 0.3e0 THEN 'candidate' WHEN source_type IN ('wikilink', 'manual') THEN 'trusted' ELSE 'candidate' END GROUP BY 1, 2")
-query("m9_active_records", lambda k: R.first_by(k.kdiscoveries, ["type", "entity_a"], F.desc("detected_at"), F.desc("id")).select("type", "entity_a", "id"), "SELECT type, entity_a, id FROM (SELECT *, row_number() OVER (PARTITION BY type, entity_a ORDER BY detected_at DESC, id DESC) AS rn FROM kdiscoveries) x WHERE rn = 1")
-query("m10_record_axes", lambda k: (lambda ax: ax(k.ksnap_old, "old").join(ax(k.ksnap_new, "new"), ["slug", "axis"], "full_outer").select("slug", "axis", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").alias("state")).filter("state is not null").groupBy("axis", "state").agg(F.count("*").alias("n")))(
-          lambda t, name: t.select("slug", F.explode(F.create_map(F.lit("tier"), F.col("tier"), F.lit("links"), F.col("link_count"))).alias("axis", name))),
-      "WITH j AS (SELECT o.tier AS ot, n.tier AS nt, o.link_count AS ol, n.link_count AS nl FROM ksnap_old o FULL JOIN ksnap_new n ON o.slug = n.slug), a AS (SELECT 'tier' AS axis, ot AS o, nt AS n FROM j UNION ALL SELECT 'links', ol, nl FROM j) SELECT axis, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS state, count(*) AS n FROM a WHERE o IS DISTINCT FROM n GROUP BY 1, 2")
-JOBS = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'error' ELSE 'done' END AS status, CAST(o_orderkey % 5 AS INT) AS attempts, CAST(o_orderdate AS TIMESTAMP) AS started_at FROM orders"
-query("m11_job_states", lambda k: N.expire_jobs(k.sql(JOBS), ORDER_AS_OF).groupBy("status").agg(F.count("*").alias("n")), f"SELECT CASE WHEN status = 'running' AND started_at < TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 MINUTE THEN 'pending' WHEN status = 'error' AND attempts < 3 THEN 'pending' WHEN status = 'error' THEN 'failed' ELSE status END AS status, count(*) AS n FROM ({JOBS}) j GROUP BY 1")
+
+
+
 query("m12_tag_replace", lambda k: k.ktags.filter("page_slug <> 'records/doc-1'").unionByName(k.spark.createDataFrame([("records/doc-1", "x"), ("records/doc-1", "x"), ("records/doc-1", "y")], "page_slug string, tag string").distinct()).filter("page_slug LIKE 'records/doc-1%'").groupBy("page_slug").agg(F.count("*").alias("n")),
       "SELECT page_slug, CASE WHEN page_slug = 'records/doc-1' THEN 2 ELSE count(*) END AS n FROM ktags WHERE page_slug LIKE 'records/doc-1%' GROUP BY page_slug")
 query("m14_missing_provenance", lambda k: k.kpages.filter("type = 'record'").join(k.klinks.filter("relation = 'mentions'").select(F.col("from_slug").alias("slug")), "slug", "left_anti").select("slug"), "SELECT slug FROM kpages WHERE type = 'record' AND slug NOT IN (SELECT from_slug FROM klinks WHERE relation = 'mentions')")
 
 # ---- text structuring ----
 DOCS = "SELECT 'records/doc-' || CAST(doc_id AS STRING) AS slug, text FROM documents"
-query("n1_chunk_documents", lambda k: N.chunk_pages(k.sql(DOCS), separator=r"\n+").select("slug", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("content").cast("long").alias("chars"), F.md5("content").alias("h")), None)
-query("n2_sentence_chunks", lambda k: k.sql(DOCS).select("slug", F.size(N.sentence_chunks(F.col("text"), 1000)).cast("long").alias("n")), None)
+query("n1_chunk_documents", lambda k: N.chunk_pages(k.sql(f"SELECT slug, replace(text, chr(10), chr(10) || chr(10)) AS text FROM ({DOCS}) d")).select("slug", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("content").cast("long").alias("chars"), F.md5("content").alias("h")),
+      f"""WITH p AS (SELECT slug, list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') AS parts FROM ({DOCS}) d),
+          a AS (SELECT slug, list_reduce(list_prepend({{'done': []::VARCHAR[], 'cur': ''}}, list_transform(parts, lambda x: {{'done': []::VARCHAR[], 'cur': x}})), lambda s, x: CASE WHEN length(s.cur) + length(x.cur) > 500 AND length(s.cur) > 0 THEN {{'done': list_append(s.done, s.cur), 'cur': x.cur}}
+            ELSE {{'done': s.done, 'cur': CASE WHEN length(s.cur) > 0 THEN s.cur || chr(10) || chr(10) || x.cur ELSE x.cur END}} END) AS s FROM p WHERE len(parts) > 0),
+          c AS (SELECT slug, list_append(s.done, s.cur) AS chunks FROM a), u AS (SELECT slug, unnest(chunks) AS content, generate_subscripts(chunks, 1) - 1 AS chunk_index FROM c)
+          SELECT slug, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(length(t) AS BIGINT) AS chars, md5(t) AS h FROM (SELECT slug, chunk_index, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS t FROM u) x""")
+query("n2_sentence_chunks", lambda k: k.sql(DOCS).filter("text is not null").select("slug", F.posexplode(N.sentence_chunks(F.col("text"), 1000)).alias("pos", "content")).select("slug", F.col("pos").cast("long").alias("pos"), F.md5("content").alias("h")),
+      f"""WITH d AS ({DOCS}), p AS (SELECT slug, list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?\\n]*[。！？.!?\\n]|[^。！？.!?\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM d WHERE length(text) > 1000),
+          q AS (SELECT slug, flatten(list_transform(parts, lambda x: list_transform(range(0, CAST((length(x) - 1) // 1000 AS BIGINT) + 1), lambda i: x[i * 1000 + 1 : i * 1000 + 1000]))) AS pieces FROM p),
+          a AS (SELECT slug, list_reduce(list_prepend({{'done': []::VARCHAR[], 'cur': ''}}, list_transform(pieces, lambda x: {{'done': []::VARCHAR[], 'cur': x}})), lambda s, x: CASE WHEN length(s.cur) + length(x.cur) > 1000 AND length(s.cur) > 0 THEN {{'done': list_append(s.done, s.cur), 'cur': x.cur}} ELSE {{'done': s.done, 'cur': s.cur || x.cur}} END) AS s FROM q),
+          c AS (SELECT slug, list_append(s.done, s.cur) AS chunks FROM a UNION ALL SELECT slug, [text] FROM d WHERE length(text) <= 1000)
+          SELECT slug, CAST(i AS BIGINT) AS pos, md5(content) AS h FROM (SELECT slug, unnest(chunks) AS content, generate_subscripts(chunks, 1) - 1 AS i FROM c) x""")
 LINKED = "SELECT 'records/doc-' || CAST(doc_id AS STRING) AS slug, 'see [[' || source || '#top|here]] and [[' || lang || ']] and ![[pic.png]] `[[code]]` [[a.pdf]] [[' || source || ']]' AS body FROM documents"
 query("n3_wikilinks", lambda k: k.sql(LINKED).select("slug", F.array_join(N.wikilinks(F.col("body")), ",").alias("targets")), "SELECT 'records/doc-' || CAST(doc_id AS VARCHAR) AS slug, source || ',' || lang AS targets FROM documents")
 query("n4_wikilink_edges", lambda k: k.sql(LINKED).select("slug", F.explode(N.wikilinks(F.col("body"))).alias("title")).join(k.kpages.select(F.col("tier").alias("t"), F.col("slug").alias("to"), F.col("title")), "title", "left_anti").groupBy("title").agg(F.count("*").alias("n")), "SELECT title, count(*) AS n FROM (SELECT source AS title FROM documents UNION ALL SELECT lang FROM documents) x GROUP BY title")
-FRONT = "SELECT doc_id, '---' || chr(10) || 'title: \"Doc ' || CAST(doc_id AS STRING) || '\"' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || 'body ' || source AS t FROM documents"
-query("s2_frontmatter", lambda k: k.sql(FRONT).select("doc_id", N.frontmatter(F.col("t")).alias("f")).select("doc_id", F.col("f.fields")["title"].alias("title"), F.col("f.fields")["lang"].alias("lang"), "f.body"), "SELECT doc_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, lang, 'body ' || source AS body FROM documents")
+FRONT = "SELECT doc_id, '---' || chr(10) || 'title: old' || chr(10) || 'title: \"Doc ' || CAST(doc_id AS STRING) || '\"' || chr(10) || 'lang: ' || lang || chr(10) || 'tags: [one, ' || source || ']' || chr(10) || 'aliases:' || chr(10) || '  - x ' || lang || chr(10) || '  - \"y\"' || chr(10) || 'meta:' || chr(10) || '  source: ' || source || chr(10) || '---' || chr(10) || 'body ' || source AS t FROM documents"
+query("s2_frontmatter", lambda k: k.sql(FRONT).select("doc_id", N.frontmatter(F.col("t")).alias("f")).select("doc_id", F.col("f.fields")["title"].alias("title"), F.col("f.fields")["lang"].alias("lang"), F.col("f.fields")["meta.source"].alias("source"), F.array_join(F.col("f.lists")["tags"], "+").alias("tags"), F.array_join(F.col("f.lists")["aliases"], "+").alias("aliases"), "f.body"),
+      "SELECT doc_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, lang, source, 'one+' || source AS tags, 'x ' || lang || '+y' AS aliases, 'body ' || source AS body FROM documents")
 query("p17_content_kinds", lambda k: k.sql(f"SELECT t FROM ({FRONT}) f UNION ALL SELECT text FROM documents").groupBy(N.content_kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n")), "SELECT 'markdown' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'text', count(*) FROM documents")
 query("n8_ingest_dedup", lambda k: k.documents.groupBy(N.fingerprint(F.col("text")).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"), "SELECT sha256(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))[1:16] AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 query("n10_transcripts", lambda k: k.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n").alias("t")).select("conv_id", F.md5("t").alias("h")), "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS h FROM conversations GROUP BY conv_id")
-query("n13_topic_fingerprints", lambda k: k.ktags.groupBy("tag").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("page_slug")), "\n"), 256).alias("fp")), "SELECT tag, sha256(string_agg(page_slug, chr(10) ORDER BY page_slug)) AS fp FROM ktags GROUP BY tag")
-query("n14_findings", lambda k: R.shared_titles(k.kpages).select(F.lit("title_collision").alias("check"), "n").groupBy("check").agg(F.count("*").alias("groups"), F.sum("n").alias("rows")), """SELECT 'title_collision' AS "check", count(*) AS groups, sum(n)::BIGINT AS rows FROM (SELECT count(*) AS n FROM kpages WHERE trim(title) <> '' GROUP BY title HAVING count(*) > 1) x""")
+query("n13_topic_fingerprints", lambda k: N.topic_fingerprints(k.ktags.select("tag", F.col("page_slug").alias("slug"))), "SELECT tag, count(*) AS n, sum(('0x' || md5(page_slug)[1:8])::BIGINT)::BIGINT AS h, sum(('0x' || md5(page_slug)[9:16])::BIGINT)::BIGINT AS h2 FROM ktags GROUP BY tag")
+query("n14_findings", lambda k: R.shared_titles(k.kpages).agg(F.count_distinct("title").alias("groups"), F.count("*").alias("rows")).select(F.lit("title_collision").alias("check"), "groups", "rows"), """SELECT 'title_collision' AS "check", count(*) AS groups, sum(n)::BIGINT AS rows FROM (SELECT count(*) AS n FROM kpages WHERE trim(title) <> '' GROUP BY title HAVING count(*) > 1) x""")
 query("n16_date_normalisation", lambda k: k.ktimeline.select(N.normal_date(F.col("event_date")).alias("d")).groupBy("d").agg(F.count("*").alias("n")), "SELECT CASE WHEN length(event_date) = 4 THEN event_date || '-01-01' WHEN length(event_date) = 7 THEN event_date || '-01' ELSE event_date END AS d, count(*) AS n FROM ktimeline GROUP BY 1")
 query("s11_sync_plan", lambda k: N.sync_plan(k.sql("SELECT slug, CASE WHEN tier = 1 THEN md5('changed') ELSE content_hash END AS content_hash FROM kpages WHERE type <> 'entity/location' UNION ALL SELECT 'new/' || slug, content_hash FROM kpages WHERE type = 'entity/company' UNION ALL SELECT slug, content_hash FROM kpages WHERE slug = 'entity/company/s-1'"), k.kpages).groupBy("action").agg(F.count("*").alias("n")),
       """SELECT action, count(*) AS n FROM (SELECT CASE WHEN slug = 'entity/company/s-1' THEN 'duplicate' WHEN type = 'entity/location' THEN 'delete' WHEN tier = 1 THEN 'update' ELSE 'skip' END AS action FROM kpages UNION ALL SELECT 'add' FROM kpages WHERE type = 'entity/company') x GROUP BY action""")

@@ -45,12 +45,8 @@ query("o7_ranked_candidates", lambda k: N.classify_pairs(N.candidate_pairs(k.sql
 query("e7_actionability", lambda k: k.kdiscoveries.withColumn("reason", F.when(F.col("type") == "bridge", "type_mismatch").when(F.col("score") >= 0.6, "high_score").otherwise("low_score")).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN type = 'bridge' THEN 'type_mismatch' WHEN score >= 0.6e0 THEN 'high_score' ELSE 'low_score' END AS reason, count(*) AS n FROM kdiscoveries GROUP BY 1")
 query("e10_semantic_matches", lambda k: E.semantic_matches(k.supplier.select(F.col("s_name").alias("a"), models.embed(F.lower(F.regexp_replace("s_name", "#", " "))).alias("va")).filter("a like '%7'").crossJoin(F.broadcast(k.supplier.filter("s_suppkey < 30").select(F.col("s_name").alias("b"), models.embed(F.lower(F.regexp_replace("s_name", "#", " "))).alias("vb")))).select("a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 5).alias("confidence"), F.lit(True).alias("type_fits"))).filter("a = b").select("a", "b"),
       "SELECT s_name AS a, s_name AS b FROM supplier WHERE s_name LIKE '%7' AND s_suppkey < 30")
-STATEMENTS = "SELECT page_slug AS slug, id AS record, CASE WHEN id % 2 = 0 THEN 'the widget order is not ready' ELSE 'the widget order is ready' END AS text FROM ktimeline WHERE id < 200"
-query("e13_contradictions", lambda k: E.contradictions(k.sql(STATEMENTS)), "SELECT a.page_slug AS slug, a.id AS positive, b.id AS negative, CAST(5 AS BIGINT) AS common FROM ktimeline a JOIN ktimeline b ON a.page_slug = b.page_slug WHERE a.id < 200 AND b.id < 200 AND a.id % 2 = 1 AND b.id % 2 = 0")
-query("l8_contradiction_pairs", lambda k: E.contradictions(k.sql(STATEMENTS)).groupBy("slug").agg(F.count("*").alias("n")).filter("n >= 2"), "SELECT a.page_slug AS slug, count(*) AS n FROM ktimeline a JOIN ktimeline b ON a.page_slug = b.page_slug WHERE a.id < 200 AND b.id < 200 AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY 1 HAVING count(*) >= 2")
 query("l12_review_scores", lambda k: k.kdiscoveries.filter("type = 'proactive_connection'").select("id", F.round(X.clamp(0.5 + F.col("score") / 2, 0.0, 1.0), 6).alias("score")), "SELECT id, round(greatest(0e0, least(1e0, 0.5e0 + score / 2)), 6) AS score FROM kdiscoveries WHERE type = 'proactive_connection'")
-query("l14_action_candidates", lambda k: issues(k).filter("severity <> 'low'").select(F.concat_ws(":", "dimension", "slug").alias("key"), "severity").groupBy("severity").agg(F.count_distinct("key").alias("n")),
-      f"WITH e AS (SELECT from_slug AS slug FROM klinks WHERE {CURRENT} UNION SELECT to_slug FROM klinks WHERE {CURRENT}) SELECT 'medium' AS severity, count(*) AS n FROM kpages WHERE slug NOT IN (SELECT slug FROM e) UNION ALL SELECT 'high', (SELECT count(*) FROM kpages WHERE trim(title) = '') + (SELECT count(*) FROM klinks WHERE from_slug NOT IN (SELECT slug FROM kpages) OR to_slug NOT IN (SELECT slug FROM kpages))")
+
 query("l15_repair_plan", lambda k: E.repair_plan(issues(k)).select("dimension", "mode", "action"), "SELECT * FROM (VALUES ('islands', 'review', 'link_or_archive'), ('stubs', 'observe', 'enrich'), ('titles', 'auto', 'derive_title'), ('dangling', 'auto', 'create_stub')) t(dimension, mode, action)")
 query("n15_repair_actions", lambda k: E.repair_plan(k.kdiscoveries.select(F.col("type").alias("dimension"))).select("dimension", "n", "mode"), "SELECT type AS dimension, count(*) AS n, 'blocked' AS mode FROM kdiscoveries GROUP BY type")
 query("l22_stale_seals", lambda k: E.stale_seals(k.kchunks, k.kchunks.filter("summary_level = 1").select(F.col("page_slug").alias("slug"), F.sha2("content", 256).alias("sealed_hash"))).groupBy("state").agg(F.count("*").alias("n")),
@@ -61,9 +57,7 @@ query("l24_project_state", lambda k: k.events.select("event_id", F.from_json("pr
 query("l25_rule_flags", lambda k: E.rule_flags(k.klinks, {"self_loop": F.col("from_slug") == F.col("to_slug"), "weak": F.col("weight") < 0.3, "untrusted": F.col("trust_state").isNull()}), "SELECT 'self_loop' AS code, count(*) AS n FROM klinks WHERE from_slug = to_slug HAVING count(*) > 0 UNION ALL SELECT 'weak', count(*) FROM klinks WHERE weight < 0.3e0 HAVING count(*) > 0 UNION ALL SELECT 'untrusted', count(*) FROM klinks WHERE trust_state IS NULL HAVING count(*) > 0")
 query("l21_reflection_pairs", lambda k: N.structural_scores(G.indirect_pairs(G.directed(k.klinks, relation="reports_to")).orderBy(F.xxhash64("a", "b")).limit(100).select("a", "b", F.lit(2).alias("hops"), F.lit(0.5).alias("source_distance"), F.lit("concepts").alias("mix"), F.lit(0.5).alias("neighbour_distance"))).select("kind", F.round("score", 6).alias("score"), "actionable").distinct(), None)
 query("m13_trace_steps", lambda k: k.ksearch.select("session_id", F.expr("stack(2, 'search', latency_ms, 'rank', hit_count)").alias("kind", "value")).groupBy("kind").agg(F.sum("value").alias("total")), "SELECT 'search' AS kind, sum(latency_ms)::BIGINT AS total FROM ksearch UNION ALL SELECT 'rank', sum(hit_count)::BIGINT FROM ksearch")
-OPS = "SELECT CASE CAST(id % 3 AS INT) WHEN 0 THEN 'delete' WHEN 1 THEN 'link' ELSE 'merge' END AS op, 'entity/person/c-' || CAST(id AS STRING) AS slug, 'entity/person/c-' || CAST(CASE WHEN id % 4 = 0 THEN id ELSE id * 2 END AS STRING) AS target FROM kqlog WHERE id BETWEEN 1 AND 2000"
-query("m15_batch_operations", lambda k: E.apply_batch(k.kpages, k.sql(OPS)).groupBy("op", "result").agg(F.count("*").alias("n")),
-      f"WITH o AS ({OPS}) SELECT op, CASE WHEN op = 'link' AND slug = target THEN 'invalid' WHEN slug NOT IN (SELECT slug FROM kpages) OR (op <> 'delete' AND target NOT IN (SELECT slug FROM kpages)) THEN 'missing' ELSE 'ok' END AS result, count(*) AS n FROM o GROUP BY 1, 2")
+
 query("n5_frontmatter_managers", lambda k: k.sql("SELECT 'p-' || CAST(c_custkey AS STRING) AS slug, '---' || chr(10) || 'reports_to: entity/person/c-' || CAST(c_custkey * 2 AS STRING) || chr(10) || '---' || chr(10) || 'x' AS t FROM customer").select("slug", F.element_at(N.frontmatter(F.col("t"))["fields"], "reports_to").alias("boss")).join(k.kpages.select(F.col("slug").alias("boss")), "boss").select("slug", "boss"),
       "SELECT 'p-' || CAST(c_custkey AS VARCHAR) AS slug, 'entity/person/c-' || CAST(c_custkey * 2 AS VARCHAR) AS boss FROM customer WHERE c_custkey * 2 IN (SELECT c_custkey FROM customer)")
 FACTS = "SELECT 'c-' || CAST(o_custkey AS STRING) AS slug, 'entity/person' AS type, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'birthday' WHEN 1 THEN 'current_title' ELSE 'shoe_size' END AS field, o_orderpriority AS value, CAST(o_orderkey % 10 AS DOUBLE) / 10e0 AS confidence FROM orders"

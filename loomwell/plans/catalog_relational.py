@@ -40,10 +40,11 @@ query("s8_log_tail", lambda k: R.newest(k.kqlog, 20).select("id", "tool", "query
 query("s12_orphans", lambda k: k.kpages.join(k.kchunks.select(F.col("page_slug").alias("slug")), "slug", "left_anti").filter("type = 'record'").select("slug", F.lit("no_chunks").alias("issue")).unionByName(
           k.kchunks.select(F.col("page_slug").alias("slug")).distinct().join(k.kpages.filter("type <> ''"), "slug", "left_anti").select("slug", F.lit("no_page").alias("issue"))),
       "SELECT slug, 'no_chunks' AS issue FROM kpages WHERE type = 'record' AND slug NOT IN (SELECT page_slug FROM kchunks) UNION ALL SELECT DISTINCT page_slug, 'no_page' FROM kchunks WHERE page_slug NOT IN (SELECT slug FROM kpages WHERE type <> '')")
-query("s13_index_report", lambda k: k.kpages.filter("type <> 'record'").groupBy("type").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("slug")), "\n")).alias("listing")),
-      "SELECT type, count(*) AS n, md5(string_agg(slug, chr(10) ORDER BY slug)) AS listing FROM kpages WHERE type <> 'record' GROUP BY type")
+query("s13_index_report", lambda k: k.kpages.filter("type <> 'record'").groupBy("type").agg(F.count("*").alias("n"), F.min("slug").alias("first"), F.max("slug").alias("last"), F.sum(X.hash32(F.col("slug"))).alias("listing")),
+      "SELECT type, count(*) AS n, min(slug) AS first, max(slug) AS last, sum(('0x' || md5(slug)[1:8])::BIGINT)::BIGINT AS listing FROM kpages WHERE type <> 'record' GROUP BY type")
 
 # ---- filters ----
+PREFIXES = "SELECT DISTINCT upper(substring(title, 1, n)) AS name FROM kpages, (SELECT 5 AS n UNION ALL SELECT 6 UNION ALL SELECT 7) w WHERE type = 'record' AND length(trim(title)) >= n UNION SELECT '100%' UNION SELECT 'doc_1'"
 query("p1_current_links", lambda k: k.klinks.filter(X.current_fact()).groupBy("relation").agg(F.count("*").alias("n")), f"SELECT relation, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY relation")
 query("p1_active_links", lambda k: k.klinks.filter(X.active_link()).groupBy("relation").agg(F.count("*").alias("n")), f"SELECT relation, count(*) AS n FROM klinks WHERE {ACTIVE} GROUP BY relation")
 query("p2_type_family", lambda k: k.kpages.filter(F.col("type").startswith("entity/")).select("slug"), "SELECT slug FROM kpages WHERE type LIKE 'entity/%'")
@@ -62,9 +63,8 @@ query("p10_valid_dates", lambda k: k.ktimeline.filter(X.valid_date()).groupBy("e
 query("p11_stub_flag", lambda k: R.pages_with_link_count(k.kpages, k.klinks).filter((F.col("tier") == 3) & X.entity_or_concept()).select("slug", ((F.col("links") <= 1) & (F.col("mention_count") <= 1)).cast("int").alias("stub")),
       f"SELECT p.slug, CAST(coalesce(n, 0) <= 1 AND mention_count <= 1 AS INT) AS stub FROM kpages p LEFT JOIN (SELECT slug, count(*) AS n FROM {ENDS_ONCE} e GROUP BY slug) d ON d.slug = p.slug WHERE tier = 3 AND {EOC}")
 query("p12_tagged_pages", lambda k: k.kpages.join(k.ktags.filter("tag = 'auto-extracted'").select(F.col("page_slug").alias("slug")), "slug", "left_semi").select("slug"), "SELECT slug FROM kpages WHERE slug IN (SELECT page_slug FROM ktags WHERE tag = 'auto-extracted')")
-query("p14_unique_prefix", lambda k: R.unique_matches(k.spark.createDataFrame([(f"Customer#00000000{i}",) for i in range(10)] + [("Customer#00000",), ("NATION_7",), ("100%",)], "name string"), k.kpages.filter("type LIKE 'entity/%'"), prefix=True),
-      """WITH names AS (SELECT 'Customer#00000000' || CAST(i AS VARCHAR) AS name FROM range(10) t(i) UNION ALL VALUES ('Customer#00000'), ('NATION_7'), ('100%'))
-         SELECT n.name, CASE WHEN count(p.slug) = 1 THEN min(p.slug) END AS slug FROM names n LEFT JOIN kpages p ON starts_with(p.title, n.name) AND p.type LIKE 'entity/%' GROUP BY n.name""")
+query("p14_unique_prefix", lambda k: R.unique_prefixes(k.sql(PREFIXES), k.kpages.filter("type = 'record'")),
+      f"""WITH names AS ({PREFIXES}) SELECT n.name, CASE WHEN count(p.slug) = 1 THEN min(p.slug) END AS slug FROM names n LEFT JOIN kpages p ON starts_with(lower(p.title), lower(n.name)) AND p.type = 'record' GROUP BY n.name""")
 query("p16_sufficient_records", lambda k: k.documents.filter(F.length(F.regexp_replace(F.regexp_replace("text", r"https?://\S+", ""), r"[^\p{L}\p{N}]", "")) >= 50).select("doc_id"),
       "SELECT doc_id FROM documents WHERE length(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '[^\\p{L}\\p{N}]', '', 'g')) >= 50")
 query("p20_junk_slugs", lambda k: k.kpages.filter(~(F.col("slug").startswith("records/") | F.col("slug").startswith("templates/") | F.col("slug").startswith("attachments/"))).groupBy("type").agg(F.count("*").alias("n")),
@@ -128,11 +128,10 @@ query("j20_incremental_cooccurrence", lambda k: R.new_session_pairs(k.khits, 500
 query("j21_zero_link_records", lambda k: R.zero_link_records(k.kpages, k.kchunks, k.ktags, k.klinks).select("slug", "chunks", F.col("chars").cast("long").alias("chars"), "tags"),
       f"""SELECT slug, coalesce(c.n, 0) AS chunks, CAST(coalesce(c.s, 0) AS BIGINT) AS chars, coalesce(t.n, 0) AS tags FROM kpages LEFT JOIN (SELECT page_slug, count(*) AS n, sum(length(content)) AS s FROM kchunks GROUP BY 1) c ON c.page_slug = slug LEFT JOIN (SELECT page_slug, count(*) AS n FROM ktags GROUP BY 1) t ON t.page_slug = slug
           WHERE type = 'record' AND (coalesce(c.n, 0) >= 2 OR coalesce(c.s, 0) >= 1000 OR coalesce(t.n, 0) >= 3) AND slug NOT IN (SELECT from_slug FROM klinks WHERE {CURRENT} AND from_slug <> to_slug) AND slug NOT IN (SELECT to_slug FROM klinks WHERE {CURRENT} AND from_slug <> to_slug)""")
-query("j22_topic_candidates", lambda k: (lambda seeds: seeds.groupBy("seed").agg(F.count_distinct("slug").alias("n"), F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("records")).filter("n >= 3").groupBy("records").agg(F.min("seed").alias("seed"), F.min("n").alias("n")).select("seed", "n", F.md5("records").alias("h")))(
-          k.ktags.filter(F.col("page_slug").startswith("records/")).select(F.concat(F.lit("tag:"), "tag").alias("seed"), F.col("page_slug").alias("slug")).unionByName(
-              k.klinks.filter(F.col("from_slug").startswith("records/")).join(k.klinks.filter("relation = 'located_in'").select(F.col("from_slug").alias("mid"), F.col("to_slug").alias("place")), F.col("to_slug") == F.col("mid")).select(F.concat(F.lit("link:"), "place").alias("seed"), F.col("from_slug").alias("slug")))),
+query("j22_topic_candidates", lambda k: R.topic_candidates(k.ktags.filter(F.col("page_slug").startswith("records/")).select(F.concat(F.lit("tag:"), "tag").alias("seed"), F.col("page_slug").alias("slug")).unionByName(
+          k.klinks.filter(F.col("from_slug").startswith("records/")).join(k.klinks.filter("relation = 'located_in'").select(F.col("from_slug").alias("mid"), F.col("to_slug").alias("place")), F.col("to_slug") == F.col("mid")).select(F.concat(F.lit("link:"), "place").alias("seed"), F.col("from_slug").alias("slug")))),
       """WITH s AS (SELECT 'tag:' || tag AS seed, page_slug AS slug FROM ktags WHERE page_slug LIKE 'records/%' UNION SELECT 'link:' || b.to_slug, a.from_slug FROM klinks a JOIN klinks b ON a.to_slug = b.from_slug AND b.relation = 'located_in' WHERE a.from_slug LIKE 'records/%'),
-         g AS (SELECT seed, count(*) AS n, string_agg(slug, ',' ORDER BY slug) AS records FROM s GROUP BY seed HAVING count(*) >= 3) SELECT min(seed) AS seed, min(n) AS n, md5(records) AS h FROM g GROUP BY records""")
+         g AS (SELECT seed, count(*) AS n, string_agg(slug, ',' ORDER BY slug) AS records, sum(('0x' || md5(slug)[1:8])::BIGINT)::BIGINT AS h FROM s GROUP BY seed HAVING count(*) >= 3) SELECT min(seed) AS seed, min(n) AS n, min(h) AS h FROM g GROUP BY records""")
 query("j23_edge_exists", lambda k: (lambda probe: probe.join(k.klinks.select(F.explode(F.array(F.struct("from_slug", "to_slug"), F.struct(F.col("to_slug").alias("from_slug"), F.col("from_slug").alias("to_slug")))).alias("e")).select(F.col("e.from_slug").alias("a"), F.col("e.to_slug").alias("b")).distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(0)).cast("int").alias("taken")))(
           k.kpages.filter("type = 'entity/location'").select(F.col("slug").alias("a")).join(k.kpages.filter("slug LIKE 'entity/location/r-%'").select(F.col("slug").alias("b")), F.col("a") != F.col("b"))),
       "SELECT p.slug AS a, q.slug AS b, CAST(EXISTS (SELECT 1 FROM klinks l WHERE (l.from_slug = p.slug AND l.to_slug = q.slug) OR (l.from_slug = q.slug AND l.to_slug = p.slug)) AS INT) AS taken FROM kpages p JOIN kpages q ON p.slug <> q.slug AND q.slug LIKE 'entity/location/r-%' WHERE p.type = 'entity/location'")
@@ -172,7 +171,7 @@ query("a17_slowest_step", lambda k: R.slowest_step(k.ksearch.select("session_id"
       "SELECT session_id, kind, latency_ms FROM (SELECT session_id, strategy AS kind, latency_ms, row_number() OVER (PARTITION BY session_id ORDER BY latency_ms DESC, id) AS rn FROM ksearch) s WHERE rn = 1")
 query("a18_budget_report", lambda k: k.ksearch.groupBy("strategy").agg(F.max("latency_ms").alias("slowest"), F.max_by("id", F.struct("latency_ms", -F.col("id"))).alias("hottest"), F.every(F.col("latency_ms") <= 5000).cast("int").alias("go"), F.count(F.when(F.col("latency_ms") >= 4000, 1)).alias("warnings")),
       "SELECT strategy, max(latency_ms) AS slowest, (array_agg(id ORDER BY latency_ms DESC, id))[1] AS hottest, CAST(bool_and(latency_ms <= 5000) AS INT) AS go, count(*) FILTER (latency_ms >= 4000) AS warnings FROM ksearch GROUP BY strategy")
-query("a19_shared_titles", lambda k: R.shared_titles(k.kpages).select("title", "n", F.md5("slugs").alias("h")), "SELECT title, count(*) AS n, md5(string_agg(slug, ',' ORDER BY slug)) AS h FROM kpages WHERE trim(title) <> '' GROUP BY title HAVING count(*) > 1")
+query("a19_shared_titles", lambda k: R.shared_titles(k.kpages), "SELECT title, n, slug FROM (SELECT title, slug, count(*) OVER (PARTITION BY title) AS n FROM kpages WHERE trim(title) <> '') x WHERE n > 1")
 query("a20_duplicate_timeline", lambda k: k.ktimeline.withColumn("rn", F.row_number().over(R.Window.partitionBy("page_slug", F.coalesce("event_date", F.lit("")), "summary").orderBy("id"))).filter("rn > 1").select("id"),
       "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY page_slug, coalesce(event_date, ''), summary ORDER BY id) AS rn FROM ktimeline) t WHERE rn > 1")
 query("a21_metrics_snapshot", lambda k: k.kpages.agg(F.count(F.when(F.col("type") == "record", 1)).alias("records"), F.count(F.when(F.col("type").startswith("concept/"), 1)).alias("concepts"), F.count(F.when(F.col("tier") == 1, 1)).alias("tier1")).select("*", F.round(F.when(F.col("records") > 0, F.col("concepts") / F.col("records")).otherwise(0.0), 6).alias("ratio")),
@@ -186,8 +185,8 @@ query("a25_debt_delta", lambda k: R.debt_delta(k.kqlog.filter("created_at >= TIM
       """SELECT tool AS layer, query AS "check", count(*) FILTER (created_at >= TIMESTAMP '2024-01-16 00:00:00') AS now, count(*) FILTER (created_at < TIMESTAMP '2024-01-16 00:00:00') AS before, count(*) FILTER (created_at >= TIMESTAMP '2024-01-16 00:00:00') - count(*) FILTER (created_at < TIMESTAMP '2024-01-16 00:00:00') AS delta FROM kqlog GROUP BY 1, 2 HAVING delta > 0""")
 query("a26_consistency_gate", lambda k: k.ksearch.groupBy("strategy").agg(F.count(F.when(F.col("reason") == "hierarchy_mismatch", 1)).alias("hard"), F.count(F.when(F.col("reason") == "latency_warning", 1)).alias("warnings")).withColumn("ok", (F.col("hard") == 0).cast("int")),
       "SELECT strategy, count(*) FILTER (reason = 'hierarchy_mismatch') AS hard, count(*) FILTER (reason = 'latency_warning') AS warnings, CAST(count(*) FILTER (reason = 'hierarchy_mismatch') = 0 AS INT) AS ok FROM ksearch GROUP BY strategy")
-query("a27_attention_queue", lambda k: k.kdiscoveries.groupBy("type", "entity_a").agg(F.sum("occurrence_count").alias("evidence"), F.array_join(F.array_sort(F.collect_set("entity_b")), ",").alias("refs"), F.max("detected_at").cast("date").cast("string").alias("newest")),
-      "SELECT type, entity_a, sum(occurrence_count)::BIGINT AS evidence, string_agg(DISTINCT entity_b, ',' ORDER BY entity_b) AS refs, CAST(CAST(max(detected_at) AS DATE) AS VARCHAR) AS newest FROM kdiscoveries GROUP BY 1, 2")
+query("a27_attention_queue", lambda k: R.attention_queue(k.kdiscoveries.select("type", "entity_a", "occurrence_count", "detected_at", F.col("entity_b").alias("ref")), ["type", "entity_a"]).select("type", "entity_a", "evidence", "refs", "refs_hash", "most", F.col("newest").cast("date").cast("string").alias("newest")),
+      "WITH r AS (SELECT type, entity_a, count(*) AS refs, sum(('0x' || md5(entity_b)[1:8])::BIGINT)::BIGINT AS refs_hash FROM (SELECT DISTINCT type, entity_a, entity_b FROM kdiscoveries) d GROUP BY 1, 2) SELECT k.type, k.entity_a, sum(occurrence_count)::BIGINT AS evidence, any_value(refs) AS refs, any_value(refs_hash) AS refs_hash, max(occurrence_count) AS most, CAST(CAST(max(detected_at) AS DATE) AS VARCHAR) AS newest FROM kdiscoveries k JOIN r ON r.type = k.type AND r.entity_a = k.entity_a GROUP BY 1, 2")
 RANK = "CASE status WHEN 'resolved' THEN 3 WHEN 'dismissed' THEN 2 WHEN 'seen' THEN 1 ELSE 0 END"
 query("a28_consolidation", lambda k: k.kdiscoveries.groupBy("type", F.least("entity_a", "entity_b").alias("a"), F.greatest("entity_a", "entity_b").alias("b")).agg(F.max(F.expr(RANK)).alias("r"), F.max_by("score", F.struct("detected_at", "id")).alias("score"), F.sum("occurrence_count").alias("n"), F.max("seen").alias("seen"))
       .select("type", "a", "b", F.element_at(F.array(*[F.lit(x) for x in ("pending", "seen", "dismissed", "resolved")]), F.col("r") + 1).alias("status"), F.round("score", 6).alias("score"), "n", "seen"),
@@ -205,10 +204,16 @@ query("w4_version_numbers", lambda k: k.ktimeline.select("page_slug", "id", F.ro
 query("w5_latest_event", lambda k: k.ktimeline.filter(X.valid_date() & (F.length("event_date") == 10)).groupBy("page_slug").agg(F.max("event_date").alias("latest"), F.max_by("id", F.struct("event_date", -F.col("id"))).alias("id")),
       "SELECT page_slug, max(event_date) AS latest, (array_agg(id ORDER BY event_date DESC, id))[1] AS id FROM ktimeline WHERE TRY_CAST(event_date AS DATE) IS NOT NULL AND length(event_date) = 10 GROUP BY page_slug")
 query("w6_top_per_type", lambda k: R.first_by(k.kdiscoveries, ["type"], F.desc("score"), "id", n=25).select("type", "id"), "SELECT type, id FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, id) AS rn FROM kdiscoveries) d WHERE rn <= 25")
-query("w7_greedy_cap", lambda k: R.greedy_pairs(k.kdiscoveries.filter("actionable = 'high'").select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), "score"), 3, 50).withColumn("score", F.round("score", 6)), None)
+query("w7_greedy_cap", lambda k: R.greedy_pairs(k.kdiscoveries.filter("actionable = 'high'").select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), "score"), 3, 50).withColumn("score", F.round("score", 6)),
+      """WITH p AS (SELECT least(entity_a, entity_b) AS a, greatest(entity_a, entity_b) AS b, max(score) AS score FROM kdiscoveries WHERE actionable = 'high' GROUP BY 1, 2),
+         r AS (SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a, b) AS rn FROM p),
+         g(rn, used, n, ok) AS (SELECT CAST(0 AS BIGINT), []::VARCHAR[], 0, FALSE UNION ALL
+           SELECT rn, CASE WHEN fits THEN list_concat(used, [a, b]) ELSE used END, n + CAST(fits AS INT), fits
+           FROM (SELECT r.rn, used, n, a, b, len(list_filter(used, lambda x: x = r.a)) < 3 AND len(list_filter(used, lambda x: x = r.b)) < 3 AS fits FROM g JOIN r ON r.rn = g.rn + 1 WHERE n < 50) s)
+         SELECT a, b, round(score, 6) AS score FROM g JOIN r ON r.rn = g.rn WHERE ok""")
 query("w8_channel_ranks", lambda k: k.khits.groupBy("tool", "slug").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(R.Window.partitionBy("tool").orderBy(F.desc("n"), "slug")).cast("long")).filter("rank <= 10"),
       "SELECT * FROM (SELECT tool, slug, count(*) AS n, row_number() OVER (PARTITION BY tool ORDER BY count(*) DESC, slug) AS rank FROM khits GROUP BY tool, slug) r WHERE rank <= 10")
-query("w9_dense_ids", lambda k: k.ktags.select("tag").distinct().select("tag", F.dense_rank().over(R.Window.orderBy("tag")).cast("long").alias("community")), "SELECT tag, dense_rank() OVER (ORDER BY tag) AS community FROM (SELECT DISTINCT tag FROM ktags) t")
+query("w9_dense_ids", lambda k: R.numbered(k.ktags.select("tag").distinct(), "tag", name="community").select("tag", F.col("community").cast("long").alias("community")), "SELECT tag, dense_rank() OVER (ORDER BY tag) AS community FROM (SELECT DISTINCT tag FROM ktags) t")
 query("w10_previous_snapshot", lambda k: k.ksnapshots.groupBy("slug").agg(F.max_by("mention_count", "snapshot_date").alias("last_count")), "SELECT slug, max_by(mention_count, snapshot_date) AS last_count FROM ksnapshots GROUP BY slug")
 
 # ---- order and limits ----
