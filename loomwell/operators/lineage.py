@@ -1,18 +1,54 @@
-"""Cutting the lineage of iterations."""
+"""Cutting the lineage of iterations, and tables that a session keeps."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+_kept: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares; a temporary one only with a local master."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="loomwell-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the checkpoint folder that the cluster shares; a temporary folder only with a local master."""
+    """The rows of df, written to the checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomwell-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(spark: SparkSession, name: str, build, partition_by: str | None = None) -> DataFrame:
+    """The table that ``build()`` gives, written when the session first asks for the name and read from then on."""
+    key = (spark.sparkContext.applicationId, name)
+    path = _kept.get(key)
+    jvm = spark.sparkContext._jvm
+    if path is not None:
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            path = None
+    if path is None:
+        path = f"{shared_folder(spark)}/loomwell-{key[0]}/{name}"
+        writer = build().write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for folder in _local.values():
+        shutil.rmtree(folder, ignore_errors=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,22 +46,60 @@ def trigrams(query: str) -> list[str]:
     return list(dict.fromkeys(q[i : i + 3] for i in range(len(q) - 2)))
 
 
-def trigram_search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """3 to 6 characters: the query as one phrase; longer: any of its trigrams. BM25 over pages' joined chunks."""
-    terms = [query.lower()] if len(query) <= 6 else trigrams(query)
-    pages = chunks.select("page_slug", F.lower("content").alias("c"))
-    per = pages.groupBy(F.col("page_slug").alias("slug")).agg(
-        F.sum(F.greatest(F.length("c") - 2, F.lit(0))).alias("dl"), *[F.sum(occurrences(F.col("c"), t)).alias(f"t{i}") for i, t in enumerate(terms)]
-    )
-    stats = per.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
-        tf = F.col(f"t{i}")
-        score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    hit = " OR ".join(f"t{i} > 0" for i in range(len(terms)))
-    ranked = per.filter(hit).crossJoin(F.broadcast(stats))  # one row
-    return ranked.select("slug", score.alias("score")).orderBy(F.desc("score"), "slug").limit(limit)
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, slug, tf, bucket): how often each page has each trigram of its chunks, in lower case."""
+    low = F.lower("content")
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    out = chunks.filter(F.length("content") >= 3).select(F.col("page_slug").alias("slug"), F.explode(grams).alias("term")).groupBy("term", "slug").agg(F.count("*").alias("tf"))
+    return out.withColumn("bucket", _bucket(F.col("term")))
+
+
+def text_lengths(chunks: DataFrame) -> DataFrame:
+    """(slug, dl): the number of trigrams of each page."""
+    return chunks.groupBy(F.col("page_slug").alias("slug")).agg(F.sum(F.greatest(F.length(F.lower("content")) - 2, F.lit(0))).alias("dl"))
+
+
+def replace_postings(index: DataFrame, changed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The postings after the pages ``changed`` (slug) got these chunks; pages without chunks leave the index."""
+    return index.join(changed.select("slug"), "slug", "left_anti").select("term", "slug", "tf", "bucket").unionByName(postings(chunks.join(changed.select(F.col("slug").alias("page_slug")), "page_slug", "left_semi")))
+
+
+@dataclass
+class TextIndex:
+    """Postings stored by bucket, lengths of pages, and the chunks themselves, of which a phrase search reads few."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    chunks: DataFrame
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        spark = self.postings.sparkSession
+        buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).collect()})  # a query's terms
+        return self.postings.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select("term", "slug", F.col("tf").cast("double").alias("tf"))
+
+
+def trigram_search(index: TextIndex, query: str, limit: int = 20) -> DataFrame:
+    """3 to 6 characters: the query as one phrase; longer: any of its trigrams. BM25 of pages, from the index: text is read only to
+    count phrases of more than 3 characters, and only of the pages that hold all their trigrams."""
+    terms = trigrams(query)
+    found = index.of(terms)
+    if 3 < len(query) <= 6:
+        full = found.groupBy("slug").agg(F.count("*").alias("n")).filter(F.col("n") == len(terms)).select(F.col("slug").alias("page_slug"))
+        text = index.chunks.join(full, "page_slug", "left_semi").groupBy(F.col("page_slug").alias("slug"))
+        found = text.agg(F.sum(occurrences(F.lower("content"), query.lower())).alias("tf")).filter("tf > 0").withColumn("term", F.lit(query.lower()))
+    sizes = found.groupBy("term").agg(F.count("*").alias("df"))
+    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = found.join(F.broadcast(sizes), "term").join(index.lengths, "slug").crossJoin(F.broadcast(stats))  # a row a term, and one row
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("slug").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "slug").limit(limit)
 
 
 def index_coverage(pages: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -70,10 +109,20 @@ def index_coverage(pages: DataFrame, indexed: DataFrame) -> DataFrame:
     return missing.unionByName(stale)
 
 
+# What carries detail in a question: ids, dates, numbers with units, long numbers, Latin words.
+DETAIL_PATTERNS = [
+    r"[A-Za-z]+[A-Za-z0-9]*[-/][A-Za-z0-9]+", r"[A-Za-z]+\d+", r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d+(?:\.\d+)?(?:万元|亿元|万|亿|%|元|岁|年|度|次|个|人|k|m)?", r"\d{2,}", r"[A-Za-z]{2,}",
+]
+HAN_RUN = "[一-鿿]+"
+
+
 def detail_terms(text: Column, most: int = 12) -> Column:
-    """Ids, dates, numbers with units, Latin words and Han runs of a text: distinct, longest first (else in order)."""
-    patterns = (r"[A-Za-z]+-\d+", r"\d{4}-\d{2}(?:-\d{2})?", r"\d+(?:\.\d+)?[%a-zA-Z]+", r"[A-Za-z]{3,}", r"\p{IsHan}{2,}")
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in patterns]))
+    """Terms that carry detail: the patterns', then Han runs of two characters, and the 3-grams of longer ones. Distinct, of two characters
+    or more, longest first (else in order)."""
+    classes = [F.filter(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)), lambda t: F.length(t) >= 2) for p in DETAIL_PATTERNS]
+    runs = F.regexp_extract_all(text, F.lit(f"({HAN_RUN})"), F.lit(1))
+    grams = lambda r: F.when(F.length(r) == 2, F.array(r)).when(F.length(r) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 2, F.lit(1))), lambda i: F.substring(r, i, F.lit(3))))
+    found = F.array_distinct(F.concat(*classes, F.flatten(F.transform(runs, grams))))
     ranked = F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
     return F.slice(F.transform(ranked, lambda s: s["x"]), 1, most)
 
@@ -155,10 +204,51 @@ def fuse(hits: DataFrame, weights: DataFrame, limit: int = 20, k: int = RRF_K) -
     return boosted.select("slug", score.alias("score"), "hits", "best").orderBy(F.desc("score"), "slug").limit(limit)
 
 
-def fuse_post_rank(results: DataFrame) -> DataFrame:
-    """Recall's last order: record pages count half."""
-    score = F.when(F.col("slug").startswith("records/"), F.col("score") * RECORD_FACTOR).otherwise(F.col("score"))
-    return results.withColumn("score", score).orderBy(F.desc("score"), "slug")
+def recall_ranking(results: DataFrame, stubs: DataFrame, exact: DataFrame, limit: int = 20) -> DataFrame:
+    """Recall's last order of results (slug, score): the quality gate on the raw score, then record pages count half, pages that the question
+    names (slug) count 1 and come in even if no channel found them, and all are ranked anew. ``position`` is for the learning log."""
+    named = exact.select("slug").distinct().withColumn("exact", F.lit(True))
+    marked = results.select("slug", "score").join(named, "slug", "full_outer").withColumn("exact", F.coalesce("exact", F.lit(False))).fillna(0.0, ["score"])
+    gated = quality_gate(marked, stubs)
+    score = F.when(F.col("exact"), 1.0).when(F.col("slug").startswith("records/"), F.col("score") * RECORD_FACTOR).otherwise(F.col("score"))
+    top = gated.withColumn("score", score).orderBy(F.desc("score"), "slug").limit(limit)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "slug")))  # of ``limit`` rows
+
+
+def learning_log(ranked: DataFrame, log: DataFrame, query_id: int, tool: str, at: str) -> DataFrame:
+    """The hit log (id, tool, slug, pos, created_at) with a question's results appended, once."""
+    new = ranked.select(F.lit(query_id).cast("long").alias("id"), F.lit(tool).alias("tool"), "slug", F.col("position").cast("int").alias("pos"), X.ts(at).alias("created_at"))
+    return log.select(new.columns).unionByName(new.join(log.select("id", "slug"), ["id", "slug"], "left_anti").select(new.columns))
+
+
+# Words that join, words that ask, and limits.
+CONJUNCTIONS = ["和", "与", "跟", "以及"]
+QUESTION_WORDS = ["什么", "哪些", "怎么", "如何"]
+ENOUGH_TEXT_HITS, MOST_SUB_QUERIES, MOST_VARIANTS = 3, 5, 3
+WORD_BREAK = r"[\s,，、；;]+"
+
+
+def complex_question(query: Column, known: Column) -> Column:
+    """Two known pages, a conjunction, two question words, or three words of two characters or more."""
+    asked = sum((query.contains(w).cast("int") for w in QUESTION_WORDS), F.lit(0))
+    joined = F.lit(False)
+    for w in CONJUNCTIONS:
+        joined = joined | query.contains(w)
+    return (F.trim(query) != "") & ((known >= 2) | joined | (asked >= 2) | (F.size(F.filter(F.split(query, WORD_BREAK), lambda w: F.length(w) >= 2)) >= 3))
+
+
+def search_plan(questions: DataFrame, text_hits: DataFrame, parts: DataFrame, variants: DataFrame) -> DataFrame:
+    """The texts to search for each of questions (id, query, known): the question itself; if fewer than three pages hold its words, then a
+    complex one's parts (id, pos, text; five at most), or else its variants (as parts; three at most). Answers of a model come as
+    ``parts`` and ``variants``; without them, and for those that time out, the question stays alone."""
+    hits = text_hits.groupBy("id").agg(F.count_distinct("slug").alias("hits"))
+    q = questions.join(hits, "id", "left").fillna(0, ["hits"]).withColumn("complex", complex_question(F.col("query"), F.col("known")))
+    thin = q.filter(F.col("hits") < ENOUGH_TEXT_HITS)
+    good = lambda t, n: first_by(t.filter(F.trim("text") != ""), ["id"], "pos", n=n).select("id", "pos", "text")
+    derived = thin.filter("complex").select("id").join(good(parts, MOST_SUB_QUERIES), "id").select("id", F.lit("part").alias("origin"), "pos", "text")
+    wider = thin.join(derived.select("id").distinct(), "id", "left_anti").select("id").join(good(variants, MOST_VARIANTS), "id").select("id", F.lit("variant").alias("origin"), "pos", "text")
+    own = q.join(derived.select("id").distinct(), "id", "left_anti").select("id", F.lit("original").alias("origin"), F.lit(0).alias("pos"), F.col("query").alias("text"))
+    return own.unionByName(derived).unionByName(wider)
 
 
 def channel(name: str, hits: DataFrame, variant: str = "original") -> DataFrame:

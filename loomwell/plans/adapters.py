@@ -7,10 +7,15 @@ Each table is one SQL text that Spark and DuckDB both run, so queries and their
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwell.operators import retrieval
+from loomwell.operators.lineage import kept
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 ORDER_AS_OF = "2001-08-02 00:00:00"
@@ -152,6 +157,9 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'gap' WHEN o_orderkey
 FROM orders
 """
 
+#: Tables that many queries read, kept by the session instead of derived each time.
+STORED = ("kpages", "klinks")
+
 _DUCK_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) d"
 _SPARK_LINES = "(SELECT doc_id, pos, line FROM documents LATERAL VIEW posexplode(split(text, '\\\\n', -1)) x AS pos, line) d"
 
@@ -196,11 +204,15 @@ class Knowledge:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._mark = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW:
             df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in STORED:
+            # sorted by slug, so that reads of a page skip the other row groups
+            df = kept(self.spark, f"{name}-{self._mark}", lambda: (lambda t: t.repartitionByRange(t.columns[0]).sortWithinPartitions(t.columns[0]))(self.sql(TABLES[name])))
         elif name in TABLES:
             df = self.sql(TABLES[name])
         else:
@@ -218,6 +230,13 @@ class Knowledge:
         used = {n: df for n, df in used.items() if "{" + n + "}" in text}
         return self.spark.sql(text, **used) if used else self.spark.sql(text.replace("{{", "{").replace("}}", "}"))
 
+    @cached_property
+    def text_index(self) -> retrieval.TextIndex:
+        """The trigram index of all chunks, built when the session first searches."""
+        postings = kept(self.spark, f"postings-{self._mark}", lambda: retrieval.postings(self.kchunks).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
+        lengths = kept(self.spark, f"lengths-{self._mark}", lambda: retrieval.text_lengths(self.kchunks))
+        return retrieval.TextIndex(postings, lengths, self.kchunks)
+
     @cached_property
     def as_of_orders(self) -> str:
         return ORDER_AS_OF

@@ -12,8 +12,8 @@ from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
 from loomwell.plans import models
 from loomwell.plans.catalog_knowledge import issues
-from loomwell.plans.catalog_relational import CURRENT, NEIGHBOURS
-from loomwell.plans.catalog_retrieval import LABELS, pairs_of, query_vector
+from loomwell.plans.catalog_relational import ACTIVE, CURRENT, NEIGHBOURS
+from loomwell.plans.catalog_retrieval import COS, LABELS, Q, bm25, pairs_of, query_vector
 from loomwell.plans.registry import query
 
 query("f6_sealed_hits", lambda k: E.sealed_hits(k.kchunks, ["的", "the", "password"]).select("page_slug", "chunk_index", F.md5("snippet").alias("h")),
@@ -23,8 +23,10 @@ POINTS = "SELECT doc_id, '## One' || chr(10) || 'text' || chr(10) || '### ' || s
 query("f14_key_points", lambda k: k.sql(POINTS).select("doc_id", F.array_join(E.key_points(F.col("t")), "|").alias("points")), "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'One|' || source WHEN 1 THEN 'bold|' || lang ELSE 'x|' || source END AS points FROM documents")
 query("f16_leading_anchor", lambda k: E.leading_anchor(k.sql("SELECT slug, CAST(mention_count AS DOUBLE) AS score, 2 AS hits, CASE WHEN slug = 'entity/location/n-24' THEN '项目 进展说明' ELSE title END AS text FROM kpages WHERE type = 'entity/location'"), "项目进展如何"), "SELECT 'entity/location/n-24' AS slug, 24e0 AS score")
 query("f17_cosine_margin", lambda k: E.cosine_margin(k.sql("SELECT slug, 1e0 / (1 + mention_count) AS cosine FROM kpages WHERE type = 'entity/location' AND mention_count > 0").unionByName(k.sql("SELECT 'top' AS slug, 0.9e0 AS cosine"))), "SELECT 'top' AS slug, 0.9e0 AS cosine")
-query("h3_channels", lambda k: V.channel("vector", V.vector_pages(k.kvectors, query_vector(k), 10)).unionByName(V.channel("text", V.fragments_search(k.kchunks, "license", 10))).unionByName(V.channel("temporal", V.temporal_hits(k.ktimeline, "purchase", limit=10).select("slug", "score"))).groupBy("channel").agg(F.count("*").alias("n")), None)
-query("h6_sub_queries", lambda k: V.fuse(V.channel("text", V.fragments_search(k.kchunks, "license"), "part-1").unionByName(V.channel("text", V.fragments_search(k.kchunks, "password secret"), "part-2")), k.kpages, 10).select("slug", "hits"), None)
+query("h3_channels", lambda k: V.channel("vector", V.vector_pages(k.kvectors, query_vector(k), 10)).unionByName(V.channel("text", V.trigram_search(k.text_index, "licens", 10))).unionByName(V.channel("temporal", V.temporal_hits(k.ktimeline, "purchase", limit=10).select("slug", "score"))).unionByName(V.channel("graph", G.related(k.klinks, k.kpages, "nowhere", 10).select("slug", F.col("blend").alias("score")))).select("channel", "slug", F.round("score", 5).alias("score")),
+      f"""WITH vh AS (SELECT page_slug AS slug, chunk_index, vec_id, 1 - {COS} AS d FROM kvectors, {Q} ORDER BY d, vec_id LIMIT 30), vr AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY chunk_index <> -1, d, chunk_index) AS rn, min(d) OVER (PARTITION BY slug) AS first FROM vh)
+          SELECT * FROM (SELECT 'vector' AS channel, slug, round(1 - d, 5) AS score FROM vr WHERE rn = 1 ORDER BY first, slug LIMIT 10) v UNION ALL SELECT 'text', slug, score FROM ({bm25(["licens"], 10)}) w UNION ALL SELECT 'temporal', page_slug, 0.5e0 FROM (SELECT * FROM ktimeline WHERE {ACTIVE} AND contains(lower(summary), 'purchase') ORDER BY event_date DESC NULLS LAST, id DESC LIMIT 10) t""")
+
 query("h9_graph_context", lambda k: R.first_by(R.neighbours(k.klinks).join(k.kpages.filter("slug IN ('entity/company/s-1', 'entity/location/n-2')").select("slug"), "slug").join(k.kpages.select(F.col("slug").alias("neighbour"), "mention_count"), "neighbour"), ["slug"], F.desc("mention_count"), "neighbour", n=5).select("slug", "neighbour"),
       f"SELECT slug, neighbour FROM (SELECT n.slug, neighbour, row_number() OVER (PARTITION BY n.slug ORDER BY mention_count DESC, neighbour) AS rn FROM {NEIGHBOURS} n JOIN kpages p ON p.slug = neighbour WHERE n.slug IN ('entity/company/s-1', 'entity/location/n-2')) x WHERE rn <= 5")
 CLAIMS = "SELECT page_slug AS slug, summary AS claim, trust_state AS trust FROM ktimeline"

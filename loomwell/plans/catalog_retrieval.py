@@ -37,12 +37,21 @@ def bm25(terms: list[str], limit: int = 20) -> str:
     return f"WITH p AS (SELECT page_slug AS slug, sum(greatest(length(content) - 2, 0)) AS dl, {cols} FROM kchunks GROUP BY 1), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM p) SELECT slug, round({s}, 5) AS score FROM p, s WHERE {hit} ORDER BY {s} DESC, slug LIMIT {limit}"
 
 
-query("f1_trigram_phrase", lambda k: V.trigram_search(k.kchunks, "licens").withColumn("score", F.round("score", 5)), bm25(["licens"]))
-query("f1_trigram_bm25", lambda k: V.trigram_search(k.kchunks, "password=").withColumn("score", F.round("score", 5)), bm25(V.trigrams("password=")))
-query("f4_index_coverage", lambda k: V.index_coverage(k.kpages.filter("type = 'record'"), k.kchunks.select(F.col("page_slug").alias("slug")).distinct()),
+query("f1_trigram_phrase", lambda k: V.trigram_search(k.text_index, "licens").withColumn("score", F.round("score", 5)), bm25(["licens"]))
+query("f1_trigram_single", lambda k: V.trigram_search(k.text_index, "ung").withColumn("score", F.round("score", 5)), bm25(["ung"]))
+query("f1_trigram_bm25", lambda k: V.trigram_search(k.text_index, "password=").withColumn("score", F.round("score", 5)), bm25(V.trigrams("password=")))
+query("f4_index_coverage", lambda k: V.index_coverage(k.kpages.filter("type = 'record'"), k.text_index.lengths.select("slug")),
       "SELECT slug, 'missing' AS state FROM kpages WHERE type = 'record' AND slug NOT IN (SELECT page_slug FROM kchunks) UNION ALL SELECT DISTINCT page_slug, 'stale' FROM kchunks WHERE page_slug NOT IN (SELECT slug FROM kpages WHERE type = 'record')")
-query("f5_detail_terms", lambda k: k.kchunks.filter("chunk_index = 0").select("page_slug", F.array_join(V.detail_terms(F.col("content")), "|").alias("terms")), None)
-query("f11_dominant_hit", lambda k: V.dominant_hit(V.trigram_search(k.kchunks, "licens").withColumn("coverage", F.lit(1.0)), ratio=1.0).select("slug", F.round("score", 5).alias("score")), f"SELECT slug, score FROM ({bm25(["licens"], 1)}) x")
+GRAMS = "SELECT lower(content)[i : i + 2] AS term, slug FROM (SELECT page_slug AS slug, content, unnest(range(1, length(content) - 1)) AS i FROM kchunks WHERE {0}) x"
+query("f4_index_content", lambda k: k.text_index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5"), f"SELECT term, count(DISTINCT slug) AS df, count(*) AS cf FROM ({GRAMS.format('true')}) g GROUP BY term HAVING count(DISTINCT slug) >= 5")
+query("f4_index_upkeep", lambda k: V.replace_postings(k.text_index.postings, k.kpages.filter("type = 'record' AND mention_count = 1").select("slug"), k.kchunks.filter("chunk_index = 0")).agg(F.count("*").alias("rows"), F.sum("tf").alias("cf"), F.count_distinct("slug").alias("pages")),
+      f"SELECT count(*) AS rows, sum(tf)::BIGINT AS cf, count(DISTINCT slug) AS pages FROM (SELECT term, slug, count(*) AS tf FROM ({GRAMS.format('chunk_index = 0 OR page_slug NOT IN (SELECT slug FROM kpages WHERE type = ' + chr(39) + 'record' + chr(39) + ' AND mention_count = 1)')}) g GROUP BY 1, 2) x")
+DETAILS = "SELECT 'x ' || CAST(doc_id AS STRING) || ' ALPHA-' || CAST(doc_id AS STRING) || ' 2026-06-26 涨 120万 项目 进展说明 v2 ' || substring(text, 1, 300) AS t, doc_id FROM documents WHERE text IS NOT NULL"
+query("f5_detail_terms", lambda k: k.sql(DETAILS).select("doc_id", F.array_join(V.detail_terms(F.col("t")), "|").alias("terms")),
+      f"""WITH d AS ({DETAILS}), c AS (SELECT doc_id, list_filter(flatten([{", ".join(f"regexp_extract_all(t, '{p}')" for p in V.DETAIL_PATTERNS)}]), lambda x: length(x) >= 2) AS own, regexp_extract_all(t, '{V.HAN_RUN}') AS runs FROM d),
+          f AS (SELECT doc_id, list_concat(own, flatten(list_transform(runs, lambda r: CASE WHEN length(r) = 2 THEN [r] WHEN length(r) < 3 THEN []::VARCHAR[] ELSE list_transform(range(1, length(r) - 1), lambda i: r[i : i + 2]) END))) AS a FROM c),
+          u AS (SELECT doc_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM f) SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(a, lambda x, i: {{'n': -length(x), 'i': i, 'x': x}}))[1:12], lambda s: s.x), '|') AS terms FROM u""")
+query("f11_dominant_hit", lambda k: V.dominant_hit(V.trigram_search(k.text_index, "licens").withColumn("coverage", F.lit(1.0)), ratio=1.0).select("slug", F.round("score", 5).alias("score")), f"SELECT slug, score FROM ({bm25(["licens"], 1)}) x")
 query("f12_quality_gate", lambda k: V.quality_gate(k.kpages.select("slug", (F.col("mention_count") / 100.0).alias("score"), (F.col("tier") == 1).alias("exact")), R.bare_stubs(k.kpages, k.klinks)).select("slug", F.round("score", 6).alias("score")),
       f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS n FROM e GROUP BY 1),
           s AS (SELECT p.slug FROM kpages p LEFT JOIN d ON d.slug = p.slug WHERE tier = 3 AND (type LIKE 'entity/%' OR type LIKE 'concept/%') AND mention_count <= 1 AND coalesce(n, 0) <= 1),
@@ -81,7 +90,7 @@ query("v9_vector_coverage", lambda k: V.index_coverage(k.kchunks.select(F.col("p
 # ---- fusion ----
 def hybrid(k: Knowledge, text: str = "license", limit: int = 20) -> DataFrame:
     vector = V.vector_pages(k.kvectors, query_vector(k), 20)
-    words = V.fragments_search(k.kchunks, text)
+    words = V.trigram_search(k.text_index, text)
     near = G.related(k.klinks, k.kpages, "entity/location/n-3", 20).select("slug", F.col("blend").alias("score"))
     events = V.temporal_hits(k.ktimeline, "purchase item 7", limit=20).select("slug", "score")
     hits = V.channel("vector", vector).unionByName(V.channel("text", words)).unionByName(V.channel("graph", near)).unionByName(V.channel("temporal", events))
@@ -89,7 +98,7 @@ def hybrid(k: Knowledge, text: str = "license", limit: int = 20) -> DataFrame:
 
 
 HYBRID = f"""WITH vh AS (SELECT page_slug AS slug, chunk_index, 1 - {COS} AS d FROM kvectors, {Q} ORDER BY d, vec_id LIMIT 60), vr AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY chunk_index <> -1, d, chunk_index) AS rn, min(d) OVER (PARTITION BY slug) AS first FROM vh),
-  v AS (SELECT 'vector' AS ch, slug, 1 - d AS s FROM vr WHERE rn = 1 ORDER BY first, slug LIMIT 20), w AS (SELECT 'text' AS ch, page_slug AS slug, max({TF.format('license', 7)} / (1 + {TF.format('license', 7)})) AS s FROM kchunks WHERE {TF.format('license', 7)} > 0 GROUP BY 2 ORDER BY s DESC, slug LIMIT 20),
+  v AS (SELECT 'vector' AS ch, slug, 1 - d AS s FROM vr WHERE rn = 1 ORDER BY first, slug LIMIT 20), w AS (SELECT 'text' AS ch, slug, score AS s FROM ({bm25(V.trigrams('license'))}) b),
   g AS (SELECT 'graph' AS ch, p.slug, activity_weight + log10(mention_count + 1) AS s FROM {NEIGHBOURS} n JOIN kpages p ON p.slug = n.neighbour WHERE n.slug = 'entity/location/n-3' ORDER BY s DESC, p.slug LIMIT 20),
   t AS (SELECT 'temporal' AS ch, page_slug AS slug, 0.5e0 AS s FROM (SELECT * FROM ktimeline WHERE {ACTIVE} AND contains(lower(summary), 'purchase item 7') ORDER BY event_date DESC NULLS LAST, id DESC LIMIT 20) x),
   a AS (SELECT * FROM v UNION ALL SELECT * FROM w UNION ALL SELECT * FROM g UNION ALL SELECT * FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY s DESC, slug) AS rank FROM a), f AS (SELECT slug, sum(1e0 / (60 + rank)) AS rrf, count(*) AS hits FROM r GROUP BY slug)
@@ -102,7 +111,24 @@ query("h8_strongest_support", lambda k: V.strongest_support(k.khits.join(k.kqlog
 query("h13_reason_codes", lambda k: V.reason_codes(k.ksearch.select("id", (F.col("hit_count") / 20.0).alias("top_score"), "hit_count", "latency_ms", (F.col("degraded") == 0).alias("parser_ok"))).groupBy("codes").agg(F.count("*").alias("n")),
       "SELECT concat_ws(',', CASE WHEN hit_count = 0 THEN 'no_hits' END, CASE WHEN hit_count > 0 AND hit_count / 20e0 < 0.15e0 THEN 'low_score' END, CASE WHEN latency_ms > 2000 THEN 'latency_warning' END, CASE WHEN degraded <> 0 THEN 'parser_fallback' END) AS codes, count(*) AS n FROM ksearch GROUP BY 1")
 RAW = HYBRID.replace("round(rrf + 0.15e0 * coalesce(activity_weight, 0) + 0.12e0 * coalesce(hotness_score, 0), 6) AS score", "rrf + 0.15e0 * coalesce(activity_weight, 0) + 0.12e0 * coalesce(hotness_score, 0) AS score")
-query("h14_recall_post_ranking", lambda k: V.fuse_post_rank(hybrid(k)).select("slug", F.round("score", 6).alias("score")), f"SELECT slug, round(CASE WHEN slug LIKE 'records/%' THEN score * 0.5e0 ELSE score END, 6) AS score FROM ({RAW}) z")
+NAMED = "SELECT slug FROM kpages WHERE type = 'entity/location' AND mention_count = 7"
+STUBS = f"SELECT p.slug FROM kpages p LEFT JOIN (SELECT slug, count(*) AS n FROM (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}) e GROUP BY 1) d ON d.slug = p.slug WHERE tier = 3 AND (type LIKE 'entity/%' OR type LIKE 'concept/%') AND mention_count <= 1 AND coalesce(n, 0) <= 1"
+POSTED = f"SELECT slug, score, row_number() OVER (ORDER BY score DESC, slug) AS position FROM (SELECT slug, CASE WHEN exact THEN 1e0 WHEN slug LIKE 'records/%' THEN s * 0.5e0 ELSE s END AS score FROM (SELECT coalesce(z.slug, n.slug) AS slug, n.slug IS NOT NULL AS exact, CASE WHEN n.slug IS NULL AND z.slug IN ({STUBS}) THEN coalesce(z.score, 0) * 0.5e0 ELSE coalesce(z.score, 0) END AS s FROM ({RAW}) z FULL JOIN ({NAMED}) n ON n.slug = z.slug) q WHERE exact OR s >= 0.01e0) x"
+recalled = lambda k: V.recall_ranking(hybrid(k), R.bare_stubs(k.kpages, k.klinks), k.sql(NAMED))
+query("h14_recall_post_ranking", lambda k: recalled(k).select("slug", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position")), f"SELECT slug, round(score, 6) AS score, position FROM ({POSTED}) p WHERE position <= 20")
+query("h14_learning_log", lambda k: V.learning_log(recalled(k), k.khits, 10**9, "recall", "2024-02-01 00:00:00").groupBy("tool", "slug").agg(F.count("*").alias("n"), F.max("pos").alias("pos")),
+      f"SELECT tool, slug, count(*) AS n, max(pos) AS pos FROM (SELECT tool, slug, pos FROM khits UNION ALL SELECT 'recall', slug, CAST(position AS INT) FROM ({POSTED}) p WHERE position <= 20) x GROUP BY 1, 2")
+ASKED = "SELECT k AS id, CASE WHEN k % 4 = 0 THEN 'item' WHEN k % 4 = 1 THEN 'view item ' || CAST(k AS STRING) WHEN k % 4 = 2 THEN CASE WHEN k % 3 = 0 THEN '什么和它' WHEN k % 3 = 1 THEN '如何做，怎么办' ELSE '谁' END ELSE 'gadget' || CAST(k AS STRING) END AS query, CAST(k % 3 AS INT) AS known FROM (SELECT DISTINCT k FROM kqlog) x"
+FOUND = "SELECT k AS id, 's' || CAST(n AS STRING) AS slug FROM (SELECT DISTINCT k FROM kqlog) x, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 3) y WHERE k % 4 = 0 OR n <= k % 5"
+PARTED = "SELECT k AS id, n AS pos, CASE WHEN n = 2 THEN ' ' ELSE 'part ' || CAST(n AS STRING) END AS text FROM (SELECT DISTINCT k FROM kqlog) x, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) y WHERE k % 7 <> 0"
+WIDER = "SELECT id, pos, replace(text, 'part', 'variant') AS text FROM (" + PARTED + ") p WHERE id % 2 = 1"
+COMPLEX = "(known >= 2 OR " + " OR ".join(f"contains(query, '{w}')" for w in V.CONJUNCTIONS) + " OR " + " + ".join(f"CAST(contains(query, '{w}') AS INT)" for w in V.QUESTION_WORDS) + " >= 2 OR len(list_filter(regexp_split_to_array(query, '" + V.WORD_BREAK + "'), lambda w: length(w) >= 2)) >= 3)"
+PLANNED = f"""WITH q AS (SELECT a.*, {COMPLEX} AS complex, coalesce((SELECT count(DISTINCT slug) FROM ({FOUND}) f WHERE f.id = a.id), 0) < 3 AS thin FROM ({ASKED}) a), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM ({PARTED}) x WHERE trim(text) <> ''), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM ({WIDER}) x WHERE trim(text) <> ''),
+  d AS (SELECT q.id, 'part' AS origin, pos, text FROM q JOIN p ON p.id = q.id WHERE thin AND complex AND rn <= 5), v AS (SELECT q.id, 'variant' AS origin, pos, text FROM q JOIN w ON w.id = q.id WHERE thin AND rn <= 3 AND q.id NOT IN (SELECT id FROM d))
+  SELECT id, 'original' AS origin, 0 AS pos, query AS text FROM q WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT * FROM d UNION ALL SELECT * FROM v"""
+planned = lambda k: V.search_plan(k.sql(ASKED), k.sql(FOUND), k.sql(PARTED), k.sql(WIDER))
+query("h5_query_variants", lambda k: planned(k).filter("origin <> 'part'"), f"SELECT * FROM ({PLANNED}) x WHERE origin <> 'part'")
+query("h6_sub_queries", lambda k: planned(k).filter("origin = 'part'"), f"SELECT * FROM ({PLANNED}) x WHERE origin = 'part'")
 CLUES = "SELECT slug, CASE WHEN updated_at >= TIMESTAMP '2001-06-01 00:00:00' THEN 1e0 ELSE 0e0 END AS time, hotness_score AS topic, CASE WHEN tier = 1 THEN 1e0 ELSE 0e0 END AS event, confidence_decay AS relation, CASE WHEN mention_count > 12 THEN 0.5e0 ELSE 0e0 END AS context FROM kpages WHERE type = 'entity/person'"
 query("h15_episodic_recall", lambda k: V.episode_scores(k.sql(CLUES), limit=20).select("slug", F.round("score", 6).alias("score"), "confidence"),
       f"""WITH c AS ({CLUES}), s AS (SELECT slug, least(1e0, (0.3e0 * time + 0.25e0 * topic + 0.15e0 * event + 0.15e0 * relation + 0.15e0 * context) * (1 + 0.1e0 * greatest(0, CAST(time > 0 AS INT) + CAST(topic > 0 AS INT) + CAST(event > 0 AS INT) + CAST(relation > 0 AS INT) + CAST(context > 0 AS INT) - 1))) AS score FROM c)

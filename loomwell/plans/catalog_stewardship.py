@@ -45,9 +45,14 @@ query("m11_job_step", lambda k: S.job_step(k.sql(STEPPED).select("id", "status",
 RECORDS = """SELECT 'r' || CAST(o_orderkey AS STRING) AS record_id, 'k' || CAST(o_custkey AS STRING) AS key, o_orderpriority AS priority, o_orderstatus AS status, CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' WHEN 2 THEN 'superseded' ELSE 'current' END AS lifecycle,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE TIMESTAMP '2030-01-01 00:00:00' END AS suppressed_until, o_orderkey AS seq FROM orders"""
 PROPOSED = "SELECT 'new-' || CAST(c_custkey AS STRING) AS record_id, 'k' || CAST(c_custkey AS STRING) AS key, CASE CAST(c_custkey % 3 AS INT) WHEN 0 THEN '1-URGENT' WHEN 1 THEN '3-MEDIUM' ELSE '5-LOW' END AS priority, CASE WHEN c_custkey % 2 = 0 THEN 'O' ELSE 'F' END AS status FROM customer"
-PAYLOAD = F.create_map(F.lit("status"), "status", F.lit("priority"), "priority")
+
+
+def payload():
+    return F.create_map(F.lit("status"), "status", F.lit("priority"), "priority")
+
+
 PRINT = """sha256('{"priority":"' || priority || '","status":"' || status || '"}')"""
-query("m9_store_records", lambda k: S.store_records(k.sql(RECORDS).withColumn("fingerprint", S.record_fingerprint(PAYLOAD)), k.sql(PROPOSED).withColumn("payload", PAYLOAD), ORDER_AS_OF),
+query("m9_store_records", lambda k: S.store_records(k.sql(RECORDS).withColumn("fingerprint", S.record_fingerprint(payload())), k.sql(PROPOSED).withColumn("payload", payload()), ORDER_AS_OF),
       f"""WITH r AS (SELECT *, {PRINT} AS fingerprint FROM ({RECORDS}) x), p AS (SELECT *, {PRINT} AS fingerprint FROM ({PROPOSED}) x), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM r WHERE lifecycle IN ('pending', 'current')) x WHERE rn = 1),
           d AS (SELECT p.*, a.record_id AS active_id, CASE WHEN a.fingerprint = p.fingerprint THEN 'unchanged' WHEN EXISTS (SELECT 1 FROM r WHERE r.key = p.key AND r.fingerprint = p.fingerprint AND r.lifecycle = 'rejected' AND (r.suppressed_until IS NULL OR r.suppressed_until > TIMESTAMP '{ORDER_AS_OF}')) THEN 'suppressed' ELSE 'created' END AS done FROM p LEFT JOIN a ON a.key = p.key)
           SELECT record_id, key, fingerprint, CASE WHEN done = 'created' THEN 'pending' END AS lifecycle, done FROM d UNION ALL SELECT record_id, key, fingerprint, CASE WHEN record_id IN (SELECT active_id FROM d WHERE done = 'created') THEN 'superseded' ELSE lifecycle END, CASE WHEN record_id IN (SELECT active_id FROM d WHERE done = 'created') THEN 'superseded' ELSE 'kept' END FROM r""")
