@@ -62,8 +62,18 @@ def current_state_gap(subjects: DataFrame, links: DataFrame, timeline: DataFrame
     return out.select("slug", code.alias("gap"), "events")
 
 
-def mature_communities(communities: DataFrame, size: int = 3, edges: int = 3, density: float = 0.4) -> DataFrame:
-    return communities.filter((F.col("size") >= size) & (F.col("edges") >= edges) & (F.col("density") >= density))
+def reflection(found: DataFrame, pages: DataFrame, timeline: DataFrame) -> DataFrame:
+    """What a reflection on structural discoveries (a, b, kind, actionable) has to say something about: those that are not low, with their
+    titles and the active events of both pages; without any, a text about them is not grounded. The text comes from a model
+    (``plans.models.ask`` over ``prompt``)."""
+    use = found.filter("actionable <> 'low'")
+    name = lambda end: pages.select(F.col("slug").alias(end), F.col("title").alias(f"{end}_title"))
+    n = timeline.filter(X.active_link()).groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("n"))
+    events = use.select("a", "b", F.explode(F.array("a", "b")).alias("slug")).join(n, "slug").groupBy("a", "b").agg(F.sum("n").alias("events"))
+    out = use.join(name("a"), "a", "left").join(name("b"), "b", "left").join(events, ["a", "b"], "left").fillna(0, ["events"])
+    title = F.concat(F.coalesce("a_title", "a"), F.lit(" / "), F.coalesce("b_title", "b"))
+    prompt = F.concat_ws("\n", F.col("kind"), F.concat(F.lit("distance "), F.col("distance").cast("string")), title)
+    return out.withColumn("title", title).withColumn("prompt", prompt).withColumn("grounded", (F.col("events") > 0).cast("int"))
 
 
 def semantic_matches(pairs: DataFrame, least: float = 0.7) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
 from loomwell.operators.lineage import cut
-from loomwell.operators.relational import pairs_within
+from loomwell.operators.relational import first_by, greedy_pairs, numbered, pairs_within
 
 
 def directed(links: DataFrame, direction: str = "both", relation: str | None = None, least_weight: float | None = None) -> DataFrame:
@@ -32,6 +32,8 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     for d in range(1, depth + 1):
         step = front.join(edges, F.col("node") == F.col("u")).select("source", F.col("v").alias("node")).distinct()
         front = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -72,19 +74,31 @@ def related(links: DataFrame, pages: DataFrame, slug: str, limit: int = 10) -> D
     return near.join(pages, "slug").withColumn("blend", F.col("activity_weight") + F.log10(F.col("mention_count") + 1)).orderBy(F.desc("blend"), "slug").limit(limit)
 
 
-def org_tree(links: DataFrame, pages: DataFrame, root: str, depth: int = 5, limit: int = 100, up: bool = False) -> DataFrame:
-    """People below (or above) a root along manager edges: (slug, parent, depth, kind, cycle). Cycles are marked, not followed."""
+MOST_DEPTH, MOST_PEOPLE = 5, 100
+
+
+def org_tree(links: DataFrame, pages: DataFrame, root: str, depth: int = 3, limit: int = 50, up: bool = False) -> DataFrame:
+    """People below (or above) a root along manager edges, each once, at the least depth and under the smallest manager there: (slug,
+    parent, depth, kind) nearest first, with the warnings that hold for the whole answer: clamped (more was asked for than is
+    allowed), truncated (more people than ``limit``) and cycle (an edge leads back to someone already found)."""
     edges = links.filter(X.current_fact() & (F.col("relation") == "reports_to"))
-    edges = edges.select(F.col("from_slug").alias("u"), F.col("to_slug").alias("v")) if up else edges.select(F.col("to_slug").alias("u"), F.col("from_slug").alias("v"))
-    spark = links.sparkSession
-    front = spark.createDataFrame([(root, None, 0, [root], False)], "slug string, parent string, depth int, path array<string>, cycle boolean")
-    out = front
-    for _ in range(depth):
-        step = front.filter("not cycle").join(edges, F.col("slug") == F.col("u"))
-        front = step.select(F.col("v").alias("slug"), F.col("u").alias("parent"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("v")).alias("path"), F.array_contains("path", F.col("v")).alias("cycle"))
-        out = out.unionByName(front)
-    named = out.join(pages.select("slug", "type"), "slug", "left").withColumn("kind", F.coalesce("type", F.lit("unknown")))
-    return named.orderBy("depth", "slug").limit(limit).select("slug", "parent", "depth", "kind", F.col("cycle").cast("int").alias("cycle"))
+    edges = (edges.select(F.col("from_slug").alias("u"), F.col("to_slug").alias("v")) if up else edges.select(F.col("to_slug").alias("u"), F.col("from_slug").alias("v"))).distinct()
+    clamped = depth > MOST_DEPTH or limit > MOST_PEOPLE
+    depth, limit = min(max(depth, 1), MOST_DEPTH), min(max(limit, 1), MOST_PEOPLE)
+    seen = links.sparkSession.createDataFrame([(root, None, 0)], "slug string, parent string, depth int")
+    front = seen
+    for d in range(1, depth + 1):
+        step = front.select(F.col("slug").alias("u")).join(edges, "u").groupBy(F.col("v").alias("slug")).agg(F.min("u").alias("parent"))
+        front = cut(step.join(seen.select("slug"), "slug", "left_anti").withColumn("depth", F.lit(d)))
+        if not front.limit(1).count():
+            break
+        seen = seen.unionByName(front)
+    people = seen.filter("depth > 0")
+    back = seen.filter(F.col("depth") < depth).join(edges, F.col("slug") == F.col("u")).join(seen.select(F.col("slug").alias("v")), "v", "left_semi").count() > people.count()
+    truncated = people.count() > limit
+    named = people.join(pages.select("slug", "type"), "slug", "left").withColumn("kind", F.coalesce("type", F.lit("unknown")))
+    flags = [F.lit(int(x)).alias(n) for n, x in (("clamped", clamped), ("truncated", truncated), ("cycle", back))]
+    return named.orderBy("depth", "slug").limit(limit).select("slug", "parent", "depth", "kind", *flags)
 
 
 def hierarchy_context(links: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -134,7 +148,7 @@ def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
         sums = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = sums.groupBy("u").agg(F.max("w").alias("w"))
         found = sums.join(best, ["u", "w"]).groupBy("u").agg(F.min("label").alias("new"))
-        turn = F.pmod(F.xxhash64("u", F.lit(k)), F.lit(2)) == 0
+        turn = F.pmod(X.hash32(F.concat("u", F.lit(f"/{k}"))), F.lit(2)) == 0
         labels = cut(labels.join(found, "u").select("u", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label")))
     return labels.withColumnRenamed("u", "slug")
 
@@ -166,6 +180,35 @@ def sequential_label_propagation(pairs: DataFrame, component: DataFrame, rounds:
     return keyed.select("component", "a", "b", F.col("weight").cast("double")).groupBy("component").applyInPandas(run, "slug string, label string")
 
 
+def insertion_label_propagation(links: DataFrame, component: DataFrame, rounds: int = 20) -> DataFrame:
+    """(slug, label) of links (pos, a, b) by unweighted asynchronous label propagation: nodes in the order in which the links first name
+    them; each takes the label that most neighbours have, of equally many the one met first among its neighbours, in the order in
+    which the links named these. Labels are the slugs that first had them. Sequential within a component, so each is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, dict[str, None]] = {}
+        for a, b in pdf.sort_values("pos")[["a", "b"]].itertuples(index=False):
+            near.setdefault(a, {})
+            near.setdefault(b, {})
+            near[a][b] = near[b][a] = None
+        label = {n: n for n in near}
+        for _ in range(rounds):
+            moved = False
+            for n, others in near.items():
+                votes: dict[str, int] = {}
+                for m in others:
+                    votes[label[m]] = votes.get(label[m], 0) + 1
+                best = max(votes, key=votes.__getitem__)  # the first of the largest
+                moved |= best != label[n]
+                label[n] = best
+            if not moved:
+                break
+        return pd.DataFrame({"slug": list(label), "label": list(label.values())})
+
+    keyed = links.join(component.select(F.col("slug").alias("a"), "component"), "a")
+    return keyed.select("component", F.col("pos").cast("long"), "a", "b").groupBy("component").applyInPandas(run, "slug string, label string")
+
+
 def communities(pairs: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
     """Per label: size, inner edges, density 2e / (n (n - 1)), inner weight, and the nodes of greatest weighted degree."""
     size = labels.groupBy("label").agg(F.count("*").alias("size"))
@@ -201,13 +244,135 @@ def neighbour_distance(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(union == 0, 0.5).otherwise(1 - F.col("c") / union).alias("distance"))
 
 
-def bridge_candidates(edges: DataFrame, seeds: DataFrame, least_distance: int = 4, limit_depth: int = 10) -> DataFrame:
-    """Pairs of seeds at least so many steps apart (or unreachable within the limit), scored min(d / 6, 1)."""
-    far = hops(edges, seeds, least_distance - 1 if limit_depth <= least_distance else limit_depth)
-    s = seeds.select(F.col("slug").alias("a")).join(seeds.select(F.col("slug").alias("b")), F.col("a") < F.col("b"))  # seeds are few by contract
-    d = s.join(far.select(F.col("source").alias("a"), F.col("node").alias("b"), "depth"), ["a", "b"], "left")
-    out = d.filter(F.col("depth").isNotNull() & (F.col("depth") >= least_distance))
-    return out.withColumn("score", F.least(F.col("depth") / 6.0, F.lit(1.0))).withColumn("actionable", F.when(F.col("depth") >= 8, "high").otherwise("medium"))
+# Fixed values of the bridge detector.
+BRIDGE_PAGES, BRIDGE_DEGREE, BRIDGE_DISTANCE, BRIDGE_HIGH, BRIDGES_PER_PAGE, MOST_BRIDGES = 200, 2, 4, 8, 3, 50
+
+
+def bridges(links: DataFrame, pages: DataFrame, deepest: int = 32) -> DataFrame:
+    """Bridges (a, b, distance, score, actionable): of the first 200 entity and concept pages by title, the pairs of two with two neighbours or
+    more that are four steps or more apart but connected (within ``deepest``); score min(d / 6, 1), high from eight steps; no page in
+    more than three, fifty at most."""
+    edges = directed(links)
+    first = pages.filter(X.entity_or_concept()).orderBy("title", "slug").limit(BRIDGE_PAGES).select("slug")
+    near = edges.filter("u <> v").join(first.withColumnRenamed("slug", "u"), "u", "left_semi").groupBy(F.col("u").alias("slug")).agg(F.count("*").alias("n"))
+    seeds = cut(near.filter(F.col("n") >= BRIDGE_DEGREE).select("slug"))
+    far = hops(edges, seeds, deepest).join(seeds.withColumnRenamed("slug", "node"), "node", "left_semi").filter((F.col("source") < F.col("node")) & (F.col("depth") >= BRIDGE_DISTANCE))
+    far = cut(far.select(F.col("source").alias("a"), F.col("node").alias("b"), "depth").withColumn("score", F.least(F.col("depth") / 6.0, F.lit(1.0))))
+    kept = greedy_pairs(far, BRIDGES_PER_PAGE, MOST_BRIDGES).select("a", "b")
+    return far.join(F.broadcast(kept), ["a", "b"]).select("a", "b", F.col("depth").alias("distance"), "score", F.when(F.col("depth") >= BRIDGE_HIGH, "high").otherwise("medium").alias("actionable"))  # 50 rows
+
+
+# ---- the map of communities ----
+
+# When a community is mature, a main domain or a subdomain.
+MATURE_SIZE, MATURE_EDGES, MATURE_DENSITY, MAIN_SIZE, SUB_SIZE = 3, 3, 0.4, 12, 5
+
+
+def mature() -> Column:
+    return (F.col("size") >= MATURE_SIZE) & (F.col("edges") >= MATURE_EDGES) & (F.col("density") >= MATURE_DENSITY)
+
+
+def map_report(found: DataFrame) -> DataFrame:
+    """communities with their maturity and their part in the map's shape: main domain, subdomain or edge cluster."""
+    shape = F.when(F.col("size") >= MAIN_SIZE, "main").when(F.col("size") >= SUB_SIZE, "sub").otherwise("edge")
+    return found.withColumn("mature", mature().cast("int")).withColumn("shape", shape)
+
+
+def map_shape(found: DataFrame) -> DataFrame:
+    """One row: numbers of main domains, subdomains, edge clusters, all structures, mature and sparse ones."""
+    r = map_report(found)
+    n = lambda c: F.count(F.when(c, 1))
+    return r.agg(n(F.col("shape") == "main").alias("main"), n(F.col("shape") == "sub").alias("sub"), n(F.col("shape") == "edge").alias("edge"), F.count("*").alias("structures"), n(F.col("mature") == 1).alias("mature"), n(F.col("mature") == 0).alias("sparse"))
+
+
+def strengths(pairs: DataFrame) -> DataFrame:
+    """(slug, strength, degree): summed weight and number of neighbours of each node of pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("slug"), "weight")
+    return ends.groupBy("slug").agg(F.sum("weight").alias("strength"), F.count("*").alias("degree"))
+
+
+def community_context(pairs: DataFrame, labels: DataFrame, found: DataFrame, primaries: DataFrame, per_domain: int = 3, most: int = 5) -> DataFrame:
+    """Pages (slug, label, strength) to show beside results: the strongest few of each mature community that a result belongs to, results
+    themselves and isolated pages left out; ``most`` in all."""
+    own = primaries.join(labels, "slug").select("label").distinct()
+    domains = own.join(found.filter(mature()).select("label"), "label")
+    rows = labels.join(domains, "label").join(strengths(pairs), "slug").join(primaries.select("slug"), "slug", "left_anti").withColumn("key", F.round("strength", 9))
+    top = first_by(rows, ["label"], F.desc("key"), "slug", n=per_domain)
+    return top.orderBy(F.desc("key"), "slug").limit(most).select("slug", "label", "strength")
+
+
+def map_discoveries(nodes: DataFrame, pairs: DataFrame, labels: DataFrame, isolates: int = 3, connectors: int = 3) -> DataFrame:
+    """Discoveries (kind, slug, score) of the map: pages without neighbours that are mentioned more than the mean of nodes (slug,
+    mention_count), the most mentioned first, score mentions / 10; and pages whose neighbours lie in several communities, in order,
+    score communities / 5. Scores within 0.01..1."""
+    mean = nodes.agg(F.avg("mention_count").alias("mean"))
+    alone = nodes.join(strengths(pairs).select("slug"), "slug", "left_anti").crossJoin(F.broadcast(mean)).filter("mention_count > mean")  # one row
+    score = lambda c: F.when(c <= 0, 0.01).otherwise(F.least(c, F.lit(1.0)))
+    one = alone.orderBy(F.desc("mention_count"), "slug").limit(isolates).select(F.lit("knowledge_map_isolation").alias("kind"), "slug", score(F.col("mention_count") / 10.0).alias("score"))
+    two = bridges_between(pairs, labels).orderBy("slug").limit(connectors).select(F.lit("knowledge_map_bridge").alias("kind"), "slug", score(F.col("communities") / 5.0).alias("score"))
+    return one.unionByName(two)
+
+
+# ---- structural discoveries ----
+
+def structural_scores(pairs: DataFrame) -> DataFrame:
+    """Scores of connected pairs (hops, source_distance, mix: mixed|concepts|other, neighbour_distance) above 0.3, with their kind."""
+    path = F.when(F.col("hops") >= 6, 1.0).when(F.col("hops") <= 1, 0.0).otherwise((F.col("hops") - 1) / 5.0)
+    mix = F.when(F.col("mix") == "mixed", 1.0).when(F.col("mix") == "concepts", 0.5).otherwise(0.3)
+    score = 0.35 * path + 0.25 * F.col("source_distance") + 0.20 * mix + 0.20 * (1 - F.col("neighbour_distance"))
+    kind = F.when(F.col("hops") >= 4, "bridge").when(F.col("hops") >= 2, "community_crossing").otherwise("structural_hole")
+    out = pairs.withColumn("score", score).withColumn("kind", kind)
+    level = F.when((F.col("score") >= 0.7) & ((F.col("mix") == "mixed") | (F.col("kind") == "bridge")), "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
+    return out.filter("score > 0.3").withColumn("actionable", level).withColumn("auto", (F.col("score") >= 0.8).cast("int"))
+
+
+# Fixed values of the structural detector.
+MOST_POOL, MOST_FOUND, SAMPLED_PAIRS, NEXT_GROUPS = 100, 20, 30, 4
+
+
+def _picked(c: Column) -> Column:
+    """The order that stands for chance, the same in each run."""
+    return F.md5(F.concat(c, F.lit("/pick")))
+
+
+def candidate_pool(edges: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pairs (a, b) that could be connected: at two steps; one page of each community with one of the next four; and sampled ones. Of more
+    than a hundred, a sample of that many is looked at: that is the detector's budget."""
+    far = indirect_pairs(edges)
+    groups = labels.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct(_picked(F.col("slug")).alias("p"), "slug")).alias("one")).filter("n >= 2").select("label", F.col("one.slug").alias("slug"))
+    groups = cut(numbered(groups, "label", name="g"))
+    cross = groups.select(F.col("slug").alias("x"), F.explode(F.sequence(F.col("g") + 1, F.col("g") + NEXT_GROUPS)).alias("g")).join(groups.select("g", F.col("slug").alias("y")), "g")
+    some = pages.filter(X.entity_or_concept()).select("slug").orderBy(_picked(F.col("slug")), "slug").limit(2 * SAMPLED_PAIRS)
+    some = some.withColumn("i", F.row_number().over(Window.orderBy(_picked(F.col("slug")), "slug")) - 1)  # 60 rows
+    drawn = some.filter("i % 2 = 0").select(F.col("slug").alias("x"), (F.col("i") / 2).cast("int").alias("k")).join(some.filter("i % 2 = 1").select(F.col("slug").alias("y"), ((F.col("i") - 1) / 2).cast("int").alias("k")), "k")
+    pairs = cross.select("x", "y").unionByName(drawn.select("x", "y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return far.select("a", "b").unionByName(pairs).distinct().orderBy(_picked(F.concat("a", F.lit("|"), "b")), "a", "b").limit(MOST_POOL)
+
+
+def set_distance(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Jaccard distance of the sets members (slug, item) of pairs (a, b); 1/2 if both are empty."""
+    return neighbour_distance(pairs, members.select(F.col("slug").alias("u"), F.col("item").alias("v")).distinct())
+
+
+def structural_discoveries(links: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """The best twenty of the candidate pool that are connected and score above 0.3: (a, b, kind, distance, source_distance, score,
+    actionable, auto). Distances of six steps and more count alike, so six are searched and the rest is decided by components."""
+    edges = cut(directed(links).filter("u <> v"))
+    pool = cut(candidate_pool(edges, labels, pages))
+    ends = pool.select(F.col("a").alias("slug")).distinct()
+    near = hops(edges, ends, 6).select(F.col("source").alias("a"), F.col("node").alias("b"), "depth")
+    parts = components(edges.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    same = lambda end: parts.select(F.col("slug").alias(end), F.col("component").alias(f"{end}_part"))
+    out = pool.join(same("a"), "a").join(same("b"), "b").filter("a_part = b_part").join(near, ["a", "b"], "left").withColumn("hops", F.coalesce("depth", F.lit(6)))
+    sources = links.filter(X.current_fact() & F.col("from_slug").startswith("records/")).select(F.col("to_slug").alias("slug"), F.col("from_slug").alias("item"))
+    out = out.join(set_distance(pool, sources).withColumnRenamed("distance", "source_distance"), ["a", "b"]).join(neighbour_distance(pool, edges).withColumnRenamed("distance", "neighbour_distance"), ["a", "b"])
+    family = lambda end: pages.select(F.col("slug").alias(end), F.split("type", "/")[0].alias(f"{end}_family"))
+    out = out.join(family("a"), "a", "left").join(family("b"), "b", "left")
+    x, y = F.coalesce("a_family", F.lit("")), F.coalesce("b_family", F.lit(""))
+    out = out.withColumn("mix", F.when(((x == "entity") & (y == "concept")) | ((x == "concept") & (y == "entity")), "mixed").when((x == "concept") & (y == "concept"), "concepts").otherwise("other"))
+    known = F.col("a_family").isNotNull() & F.col("b_family").isNotNull()
+    top = structural_scores(out).withColumn("key", F.round("score", 9)).orderBy(F.desc("key"), "a", "b").limit(MOST_FOUND)
+    return top.select("a", "b", "kind", F.col("hops").alias("distance"), X.half_up(F.col("source_distance"), 2).alias("source_distance"), X.half_up(F.col("score"), 2).alias("score"), "actionable", ((F.col("auto") == 1) & known).cast("int").alias("auto"))
 
 
 # ---- changes to links ----

@@ -193,17 +193,6 @@ def issue_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("dimension", state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def structural_scores(pairs: DataFrame) -> DataFrame:
-    """Discovery scores of pairs (hops or null, source_distance, mix: mixed|concepts|other, neighbour_distance)."""
-    path = F.when(F.col("hops").isNull() | (F.col("hops") >= 6), 1.0).when(F.col("hops") <= 1, 0.0).otherwise((F.col("hops") - 1) / 5.0)
-    mix = F.when(F.col("mix") == "mixed", 1.0).when(F.col("mix") == "concepts", 0.5).otherwise(0.3)
-    score = 0.35 * path + 0.25 * F.col("source_distance") + 0.20 * mix + 0.20 * (1 - F.col("neighbour_distance"))
-    kind = F.when(F.col("hops").isNull() | (F.col("hops") >= 4), "bridge").when(F.col("hops") >= 2, "community_crossing").otherwise("structural_hole")
-    out = pairs.withColumn("score", score).withColumn("kind", kind)
-    level = F.when((F.col("score") >= 0.7) & ((F.col("mix") == "mixed") | (F.col("kind") == "bridge")), "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
-    return out.filter("score > 0.3").withColumn("actionable", level).withColumn("auto", (F.col("score") >= 0.8).cast("int"))
-
-
 # ---- state merges ----
 
 def discovery_upsert(old: DataFrame, new: DataFrame) -> DataFrame:

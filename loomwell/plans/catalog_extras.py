@@ -47,8 +47,8 @@ query("f8_cause_evidence", lambda k: k.ktimeline.select("id", L.cause_evidence(F
 query("f9_quarter_value", lambda k: k.documents.select("doc_id", L.quarter_value("Q2 2024", "revenue")(F.concat(F.lit("# Q2 2024\n| revenue | "), F.col("n_chars").cast("string"), F.lit(" | 2 | 3 |\n"))).cast("long").alias("value")), "SELECT doc_id, n_chars AS value FROM documents")
 query("v7_embeddings", lambda k: k.documents.select("doc_id", models.embed(F.col("lang")).alias("v")).select("doc_id", F.size("v").cast("long").alias("width"), F.round(X.norm(F.col("v")), 3).alias("norm")), "SELECT doc_id, CAST(128 AS BIGINT) AS width, 1e0 AS norm FROM documents")
 
-query("g16_community_context", lambda k: (lambda labels: labels.join(labels.filter("slug = 'entity/person/c-9'").select("component"), "component").filter("slug <> 'entity/person/c-9'").orderBy("slug").limit(5).select("slug"))(G.components(G.weighted_pairs(k.klinks.filter("relation = 'reports_to'"), k.kpages.filter(X.entity_or_concept())))), None)
-query("g26_unweighted_labels", lambda k: (lambda p: G.sequential_label_propagation(p, G.components(p), 20, weighted=False).groupBy("label").agg(F.count("*").alias("n")))(G.weighted_pairs(k.klinks.filter("relation = 'part_of' OR (relation = 'located_in' AND source_type = 'wikilink')"), k.kpages.filter(X.entity_or_concept()))), None)
+
+
 
 
 def flagship(k: Knowledge):

@@ -110,7 +110,7 @@ query("l18_health_delta", lambda k: N.issue_delta(k.kpages.filter("tier = 3").se
 query("l19_thin_pages", lambda k: k.kpages.filter("mention_count >= 3").join(k.kchunks.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("c")), "slug", "left").filter("coalesce(c, 0) <= 1").select("slug"), "SELECT slug FROM kpages WHERE mention_count >= 3 AND (SELECT count(*) FROM kchunks WHERE page_slug = slug) <= 1")
 query("l20_wakeup_counts", lambda k: R.snapshot_diff(k.ksnap_old, k.ksnap_new).groupBy("change").agg(F.count("*").alias("n")).filter("change IN ('added', 'removed', 'content')"),
       "SELECT CASE WHEN o.slug IS NULL THEN 'added' WHEN n.slug IS NULL THEN 'removed' ELSE 'content' END AS change, count(*) AS n FROM ksnap_old o FULL JOIN ksnap_new n ON o.slug = n.slug WHERE o.slug IS NULL OR n.slug IS NULL OR o.content_hash <> n.content_hash GROUP BY 1")
-query("l26_structural_scores", lambda k: (lambda e: N.structural_scores(G.neighbour_distance(G.indirect_pairs(e), e).select("a", "b", F.lit(2).alias("hops"), F.lit(0.5).alias("source_distance"), F.lit("mixed").alias("mix"), F.col("distance").alias("neighbour_distance"))).groupBy("kind", "actionable", "auto").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("s")))(G.directed(k.klinks, relation="reports_to")), None)
+
 query("l27_promotions", lambda k: k.kdiscoveries.filter("actionable = 'high' OR occurrence_count >= 3 OR type = 'bridge'").select("id", F.round(X.clamp(F.col("score"), 0.1, 1.0), 6).alias("score")), "SELECT id, round(greatest(0.1e0, least(1e0, score)), 6) AS score FROM kdiscoveries WHERE actionable = 'high' OR occurrence_count >= 3 OR type = 'bridge'")
 
 # ---- merges ----

@@ -39,10 +39,8 @@ query("h19_state_guard", lambda k: E.current_state_gap(k.sql("SELECT slug, 1 AS
 query("h20_recent_records", lambda k: R.union_distinct_ordered(
           k.kchunks.filter(F.instr("content", "License") > 0).select(F.col("page_slug").alias("slug")).distinct().orderBy("slug").limit(10).select("slug", F.row_number().over(R.Window.orderBy("slug")).alias("pos")), k.kpages.filter("type = 'record'").orderBy(F.desc("updated_at"), "slug").limit(10).select("slug", F.row_number().over(R.Window.orderBy("slug")).alias("pos"))),
       "WITH a AS (SELECT slug, 0 AS l, row_number() OVER (ORDER BY slug) AS pos FROM (SELECT DISTINCT page_slug AS slug FROM kchunks WHERE contains(content, 'License')) x ORDER BY slug LIMIT 10), b AS (SELECT slug, 1 AS l, row_number() OVER (ORDER BY slug) AS pos FROM kpages WHERE type = 'record' ORDER BY slug LIMIT 10), m AS (SELECT slug, min(l * 100 + pos) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) z GROUP BY slug) SELECT slug, row_number() OVER (ORDER BY place, slug) AS pos FROM m")
-query("g15_mature_communities", lambda k: E.mature_communities(G.communities(pairs_of(k, "relation = 'part_of'"), k.sql(f"SELECT * FROM {LABELS} l")), 3, 3, 0.0).select("label", "size", "edges"),
-      f"WITH l AS {LABELS} SELECT 'things' AS label, (SELECT count(*) FROM l WHERE label = 'things') AS size, (SELECT count(*) FROM nation) AS edges")
-query("g17_map_discoveries", lambda k: R.islands(k.kpages.filter("mention_count >= 5"), k.klinks).select("slug", F.lit("isolate").alias("kind"), F.round(F.least(F.lit(1.0), F.col("mention_count") / 10.0), 6).alias("score")),
-      f"SELECT slug, 'isolate' AS kind, round(least(1e0, mention_count / 10e0), 6) AS score FROM kpages WHERE mention_count >= 5 AND slug NOT IN (SELECT from_slug FROM klinks WHERE {CURRENT}) AND slug NOT IN (SELECT to_slug FROM klinks WHERE {CURRENT})")
+
+
 query("o7_ranked_candidates", lambda k: N.classify_pairs(N.candidate_pairs(k.sql("SELECT slug, title, type FROM kpages WHERE type = 'concept/product' AND mention_count = 7"), 30)).orderBy(F.desc("actionable"), F.desc("score"), "a", "b").limit(100).select("a", "b", "kind"), None)
 query("e7_actionability", lambda k: k.kdiscoveries.withColumn("reason", F.when(F.col("type") == "bridge", "type_mismatch").when(F.col("score") >= 0.6, "high_score").otherwise("low_score")).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN type = 'bridge' THEN 'type_mismatch' WHEN score >= 0.6e0 THEN 'high_score' ELSE 'low_score' END AS reason, count(*) AS n FROM kdiscoveries GROUP BY 1")
 query("e10_semantic_matches", lambda k: E.semantic_matches(k.supplier.select(F.col("s_name").alias("a"), models.embed(F.lower(F.regexp_replace("s_name", "#", " "))).alias("va")).filter("a like '%7'").crossJoin(F.broadcast(k.supplier.filter("s_suppkey < 30").select(F.col("s_name").alias("b"), models.embed(F.lower(F.regexp_replace("s_name", "#", " "))).alias("vb")))).select("a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 5).alias("confidence"), F.lit(True).alias("type_fits"))).filter("a = b").select("a", "b"),
@@ -57,7 +55,7 @@ query("l23_dossier_inputs", lambda k: V.evidence_pack(k.kpages.filter("type = 'e
       f"SELECT p.slug, least(count(l.s), 5) AS links, CASE WHEN count(l.s) > 0 THEN 'partial' ELSE 'insufficient' END AS status FROM kpages p LEFT JOIN (SELECT from_slug AS s FROM klinks WHERE {CURRENT} UNION ALL SELECT to_slug FROM klinks WHERE {CURRENT}) l ON l.s = p.slug WHERE type = 'entity/company' GROUP BY p.slug")
 query("l24_project_state", lambda k: k.events.select("event_id", F.from_json("props", "k int").alias("s")).select("event_id", F.col("s.k").cast("long").alias("k"), (F.col("s.k") < 10).cast("int").alias("stale")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(CAST(json_extract_string(props, '$.k') AS INT) < 10 AS INT) AS stale FROM events")
 query("l25_rule_flags", lambda k: E.rule_flags(k.klinks, {"self_loop": F.col("from_slug") == F.col("to_slug"), "weak": F.col("weight") < 0.3, "untrusted": F.col("trust_state").isNull()}), "SELECT 'self_loop' AS code, count(*) AS n FROM klinks WHERE from_slug = to_slug HAVING count(*) > 0 UNION ALL SELECT 'weak', count(*) FROM klinks WHERE weight < 0.3e0 HAVING count(*) > 0 UNION ALL SELECT 'untrusted', count(*) FROM klinks WHERE trust_state IS NULL HAVING count(*) > 0")
-query("l21_reflection_pairs", lambda k: N.structural_scores(G.indirect_pairs(G.directed(k.klinks, relation="reports_to")).orderBy(F.xxhash64("a", "b")).limit(100).select("a", "b", F.lit(2).alias("hops"), F.lit(0.5).alias("source_distance"), F.lit("concepts").alias("mix"), F.lit(0.5).alias("neighbour_distance"))).select("kind", F.round("score", 6).alias("score"), "actionable").distinct(), None)
+
 query("m13_trace_steps", lambda k: k.ksearch.select("session_id", F.expr("stack(2, 'search', latency_ms, 'rank', hit_count)").alias("kind", "value")).groupBy("kind").agg(F.sum("value").alias("total")), "SELECT 'search' AS kind, sum(latency_ms)::BIGINT AS total FROM ksearch UNION ALL SELECT 'rank', sum(hit_count)::BIGINT FROM ksearch")
 
 query("n5_frontmatter_managers", lambda k: k.sql("SELECT 'p-' || CAST(c_custkey AS STRING) AS slug, '---' || chr(10) || 'reports_to: entity/person/c-' || CAST(c_custkey * 2 AS STRING) || chr(10) || '---' || chr(10) || 'x' AS t FROM customer").select("slug", F.element_at(N.frontmatter(F.col("t"))["fields"], "reports_to").alias("boss")).join(k.kpages.select(F.col("slug").alias("boss")), "boss").select("slug", "boss"),

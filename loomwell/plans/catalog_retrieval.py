@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
+from loomwell.operators import evidence as E
 from loomwell.operators import graph as G
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
@@ -153,16 +154,24 @@ query("g2_shortest_path", lambda k: G.shortest_path(k.klinks.filter("relation =
           UNION ALL SELECT (SELECT min(x.u) FROM x JOIN m ON m.node = x.u AND m.d = b.step - 1 WHERE x.v = b.slug), b.step - 1 FROM b WHERE b.step > 0) SELECT step, slug FROM b""")
 query("g3_related", lambda k: G.related(k.klinks, k.kpages, "entity/location/n-5", 12).select("slug", F.round("blend", 6).alias("blend")), f"WITH {EDGES} SELECT p.slug, round(activity_weight + log10(mention_count + 1), 6) AS blend FROM e JOIN kpages p ON p.slug = v WHERE u = 'entity/location/n-5' ORDER BY activity_weight + log10(mention_count + 1) DESC, p.slug LIMIT 12")
 query("g4_backlinks", lambda k: k.klinks.filter(X.current_fact() & (F.col("to_slug") == "entity/location/n-2") & (F.col("source_type") == "wikilink")).select("from_slug", "relation"), f"SELECT from_slug, relation FROM klinks WHERE {CURRENT} AND to_slug = 'entity/location/n-2' AND source_type = 'wikilink'")
-query("g5_org_tree", lambda k: G.org_tree(k.klinks, k.kpages, "entity/person/c-1", 4, 1000), f"""WITH RECURSIVE e AS (SELECT to_slug AS u, from_slug AS v FROM klinks WHERE {CURRENT} AND relation = 'reports_to'), r AS (SELECT 'entity/person/c-1' AS slug, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, ['entity/person/c-1'] AS path, false AS cyc
-         UNION ALL SELECT v, u, depth + 1, list_append(path, v), list_contains(path, v) FROM r JOIN e ON u = slug WHERE depth < 4 AND NOT cyc) SELECT r.slug, parent, depth, coalesce(type, 'unknown') AS kind, CAST(cyc AS INT) AS cycle FROM r LEFT JOIN kpages p ON p.slug = r.slug ORDER BY depth, r.slug LIMIT 1000""")
+query("g5_org_tree", lambda k: G.org_tree(k.klinks, k.kpages, "entity/person/c-1", 4, 1000), f"""WITH RECURSIVE e AS (SELECT DISTINCT to_slug AS u, from_slug AS v FROM klinks WHERE {CURRENT} AND relation = 'reports_to'), r(slug, d) USING KEY (slug) AS (SELECT 'entity/person/c-1' AS slug, 0 AS d UNION SELECT e.v, min(r.d) + 1 FROM r JOIN e ON e.u = r.slug LEFT JOIN recurring.r AS o ON o.slug = e.v WHERE o.slug IS NULL AND r.d < 4 GROUP BY 1),
+         p AS (SELECT r.slug, (SELECT min(e.u) FROM e JOIN r q ON q.slug = e.u AND q.d = r.d - 1 WHERE e.v = r.slug) AS parent, d AS depth FROM r WHERE d > 0), c AS (SELECT count(*) AS n FROM e JOIN r ON r.slug = e.u AND r.d < 4 WHERE e.v IN (SELECT slug FROM r))
+         SELECT p.slug, parent, depth, coalesce(type, 'unknown') AS kind, 1 AS clamped, CAST((SELECT count(*) FROM p) > 100 AS INT) AS truncated, CAST((SELECT n FROM c) > (SELECT count(*) FROM p) AS INT) AS cycle FROM p LEFT JOIN kpages k ON k.slug = p.slug ORDER BY depth, p.slug LIMIT 100""")
+query("g5_org_chain", lambda k: G.org_tree(k.klinks, k.kpages, "entity/person/c-100", 5, 100, up=True).select("slug", "parent", "depth", "truncated", "cycle"), f"""WITH RECURSIVE e AS (SELECT DISTINCT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND relation = 'reports_to'), r(slug, d) USING KEY (slug) AS (SELECT 'entity/person/c-100' AS slug, 0 AS d UNION SELECT e.v, min(r.d) + 1 FROM r JOIN e ON e.u = r.slug LEFT JOIN recurring.r AS o ON o.slug = e.v WHERE o.slug IS NULL AND r.d < 5 GROUP BY 1)
+         SELECT slug, (SELECT min(e.u) FROM e JOIN r q ON q.slug = e.u AND q.d = r.d - 1 WHERE e.v = r.slug) AS parent, d AS depth, 0 AS truncated, CAST((SELECT count(*) FROM e JOIN r ON r.slug = e.u AND r.d < 5 WHERE e.v IN (SELECT slug FROM r)) > (SELECT count(*) FROM r WHERE d > 0) AS INT) AS cycle FROM r WHERE d > 0""")
 query("g6_hierarchy_context", lambda k: G.hierarchy_context(k.klinks, k.kpages.filter("slug IN ('entity/person/c-20', 'entity/person/c-33')").select("slug")),
       f"""WITH m AS (SELECT from_slug AS p, to_slug AS boss FROM klinks WHERE {CURRENT} AND relation = 'reports_to' AND from_slug <> to_slug), s(slug) AS (VALUES ('entity/person/c-20'), ('entity/person/c-33')) SELECT slug, 'manager' AS role, boss AS other FROM s JOIN m ON p = slug
           UNION SELECT slug, 'subordinate', p FROM s JOIN m ON boss = slug UNION SELECT slug, 'peer', b.p FROM s JOIN m a ON a.p = slug JOIN m b ON b.boss = a.boss AND b.p <> slug""")
 SEEDS = "SELECT slug FROM kpages WHERE type = 'entity/company' ORDER BY slug LIMIT 12"
 query("g7_hop_distance", lambda k: G.hops(G.directed(k.klinks.filter("relation IN ('located_in', 'part_of')")), k.sql(SEEDS), 4).groupBy("source", "depth").agg(F.count("*").alias("n")),
       f"WITH RECURSIVE e AS (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND relation IN ('located_in', 'part_of') UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation IN ('located_in', 'part_of')), s AS ({SEEDS}), r AS (SELECT slug AS source, slug AS node, 0 AS d FROM s UNION SELECT source, v, d + 1 FROM r JOIN e ON u = node WHERE d < 4), m AS (SELECT source, node, min(d) AS depth FROM r GROUP BY 1, 2) SELECT source, depth, count(*) AS n FROM m GROUP BY 1, 2")
-query("g8_bridges", lambda k: G.bridge_candidates(G.directed(k.klinks.filter("relation IN ('located_in', 'part_of')")), k.sql(SEEDS), 4, 6).select("a", "b", F.col("depth").cast("long").alias("depth"), F.round("score", 6).alias("score"), "actionable"),
-      f"WITH RECURSIVE e AS (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND relation IN ('located_in', 'part_of') UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation IN ('located_in', 'part_of')), s AS ({SEEDS}), r AS (SELECT slug AS source, slug AS node, 0 AS d FROM s UNION SELECT source, v, d + 1 FROM r JOIN e ON u = node WHERE d < 6), m AS (SELECT source, node, min(d) AS depth FROM r GROUP BY 1, 2) SELECT a.slug AS a, b.slug AS b, CAST(depth AS BIGINT) AS depth, round(least(depth / 6e0, 1), 6) AS score, CASE WHEN depth >= 8 THEN 'high' ELSE 'medium' END AS actionable FROM s a JOIN s b ON a.slug < b.slug JOIN m ON source = a.slug AND node = b.slug WHERE depth >= 4")
+PEOPLE = "relation NOT IN ('uses', 'produces')"
+query("g8_bridges", lambda k: G.bridges(k.klinks.filter(PEOPLE), k.kpages).select("a", "b", F.col("distance").cast("long").alias("distance"), F.round("score", 6).alias("score"), "actionable"),
+      f"""WITH RECURSIVE e AS (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND {PEOPLE} UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND {PEOPLE}), f AS (SELECT slug FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%' ORDER BY title, slug LIMIT 200),
+          s AS (SELECT u AS slug FROM e WHERE u <> v AND u IN (SELECT slug FROM f) GROUP BY u HAVING count(*) >= 2), r(source, node, d) USING KEY (source, node) AS (SELECT slug AS source, slug AS node, 0 AS d FROM s UNION SELECT r.source, e.v, min(r.d) + 1 FROM r JOIN e ON e.u = r.node LEFT JOIN recurring.r AS o ON o.source = r.source AND o.node = e.v WHERE o.node IS NULL AND r.d < 32 GROUP BY 1, 2),
+          p AS (SELECT source AS a, node AS b, d, least(d / 6e0, 1) AS score FROM r WHERE node IN (SELECT slug FROM s) AND source < node AND d >= 4), q AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rn FROM p),
+          g(rn, used, n, ok) AS (SELECT CAST(0 AS BIGINT), []::VARCHAR[], 0, FALSE UNION ALL SELECT rn, CASE WHEN fits THEN list_concat(used, [a, b]) ELSE used END, n + CAST(fits AS INT), fits FROM (SELECT q.rn, used, n, a, b, len(list_filter(used, lambda x: x = q.a)) < 3 AND len(list_filter(used, lambda x: x = q.b)) < 3 AS fits FROM g JOIN q ON q.rn = g.rn + 1 WHERE n < 50) z)
+          SELECT a, b, CAST(d AS BIGINT) AS distance, round(score, 6) AS score, CASE WHEN d >= 8 THEN 'high' ELSE 'medium' END AS actionable FROM g JOIN q ON q.rn = g.rn WHERE ok""")
 REL = "CASE source_type WHEN 'manual' THEN 1e0 WHEN 'wikilink' THEN 1e0 WHEN 'dialogue' THEN 0.7e0 WHEN 'agent' THEN 0.7e0 WHEN 'writeback' THEN 0.5e0 WHEN 'unknown' THEN 0.5e0 ELSE 0.3e0 END"
 SCOPE = "(SELECT slug FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%')"
 PAIRS = f"pairs AS (SELECT least(from_slug, to_slug) AS a, greatest(from_slug, to_slug) AS b, sum(weight * confidence * {REL}) AS weight, count(*) AS links FROM klinks WHERE {CURRENT} AND from_slug <> to_slug AND from_slug IN {SCOPE} AND to_slug IN {SCOPE} GROUP BY 1, 2)"
@@ -175,8 +184,36 @@ def pairs_of(k: Knowledge, where: str = "true") -> DataFrame:
 query("g9_weighted_pairs", lambda k: pairs_of(k).select("a", "b", F.round("weight", 6).alias("weight"), "links"), f"WITH {PAIRS} SELECT a, b, round(weight, 6) AS weight, links FROM pairs")
 query("g10_components", lambda k: G.components(pairs_of(k, "relation IN ('reports_to', 'produces')")).groupBy("component").agg(F.count("*").alias("n")),
       f"WITH RECURSIVE {PAIRS.replace('AND from_slug <> to_slug', 'AND from_slug <> to_slug AND relation IN (' + chr(39) + 'reports_to' + chr(39) + ', ' + chr(39) + 'produces' + chr(39) + ')')}, e AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT u AS node, u AS other FROM e UNION SELECT r.node, v FROM r JOIN e ON e.u = r.other), m AS (SELECT node, min(other) AS component FROM r GROUP BY node) SELECT component, count(*) AS n FROM m GROUP BY component")
-query("g11_label_propagation", lambda k: G.label_propagation(pairs_of(k, "relation <> 'uses'"), 4).groupBy("label").agg(F.count("*").alias("n")), None)
-query("g11_sequential_labels", lambda k: (lambda p: G.sequential_label_propagation(p, G.components(p), 6).groupBy("label").agg(F.count("*").alias("n")))(pairs_of(k, "relation IN ('reports_to', 'located_in')")), None)
+SOME = "relation IN ('reports_to', 'located_in', 'part_of', 'mentions')"
+SOME_PAIRS = PAIRS.replace("AND from_slug <> to_slug", f"AND from_slug <> to_slug AND {SOME}")
+
+
+def propagated(rounds: int) -> str:
+    """The synchronous rounds, one common table expression each."""
+    out = [SOME_PAIRS, "both_ AS (SELECT a AS u, b AS v, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs)", "l0 AS (SELECT DISTINCT u, u AS label FROM both_)"]
+    for i in range(rounds):
+        best = f"SELECT u, label FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY w DESC, label) AS rn FROM (SELECT b.u, l.label, round(sum(weight), 9) AS w FROM both_ b JOIN l{i} l ON l.u = b.v GROUP BY 1, 2) s) t WHERE rn = 1"
+        out.append(f"l{i + 1} AS (SELECT l.u, CASE WHEN ('0x' || md5(l.u || '/{i}')[1:8])::BIGINT % 2 = 0 THEN n.label ELSE l.label END AS label FROM l{i} l JOIN ({best}) n ON n.u = l.u)")
+    return f"WITH {', '.join(out)} SELECT u AS slug, label FROM l{rounds}"
+
+
+def sequential(edges: str, first: str, weight: str, tie: str, rounds: int) -> str:
+    """Asynchronous rounds as a recursion over single steps. edges (pos, a, b, w); ``first`` orders the nodes, ``tie`` labels of one weight."""
+    return f"""WITH RECURSIVE {edges}, ends AS (SELECT a AS n, min(2 * pos) AS o FROM ed GROUP BY 1 UNION ALL SELECT b, min(2 * pos + 1) FROM ed GROUP BY 1), nodes AS (SELECT n, CAST(row_number() OVER (ORDER BY {first}) AS INT) AS i FROM ends GROUP BY n),
+      nb AS (SELECT x.i AS u, y.i AS v, min(pos) AS ord, sum(w) AS w FROM (SELECT a AS s, b AS t, pos, w FROM ed UNION ALL SELECT b, a, pos, w FROM ed) z JOIN nodes x ON x.n = z.s JOIN nodes y ON y.n = z.t GROUP BY 1, 2), k AS (SELECT CAST(count(*) AS INT) AS n FROM nodes),
+      g(step, labels, changed) AS (SELECT 0, list_transform(range(1, (SELECT n FROM k) + 1), lambda x: CAST(x AS INT)), FALSE UNION ALL
+        SELECT step + 1, list_transform(labels, lambda x, i: CASE WHEN i = node THEN new ELSE x END), (CASE WHEN node = 1 THEN FALSE ELSE changed END) OR new <> labels[node]
+        FROM (SELECT g.step, g.labels, g.changed, g.step % k.n + 1 AS node, (SELECT l FROM (SELECT g.labels[nb.v] AS l, {weight} AS w, min(ord) AS o FROM nb WHERE nb.u = g.step % k.n + 1 GROUP BY 1) q ORDER BY w DESC, {tie} LIMIT 1) AS new FROM g, k WHERE g.step < {rounds} * k.n AND NOT (g.step > 0 AND g.step % k.n = 0 AND NOT g.changed)) s)
+      SELECT x.n AS slug, y.n AS label FROM nodes x, (SELECT labels FROM g ORDER BY step DESC LIMIT 1) z, nodes y WHERE y.i = z.labels[x.i]"""
+
+
+query("g11_label_propagation", lambda k: G.label_propagation(pairs_of(k, SOME), 4), propagated(4))
+PLACES = "relation = 'part_of' OR (relation = 'located_in' AND source_type = 'wikilink')"
+PLACE_PAIRS = PAIRS.replace("AND from_slug <> to_slug", f"AND from_slug <> to_slug AND ({PLACES})")
+query("g11_sequential_labels", lambda k: (lambda p: G.sequential_label_propagation(p, G.components(p), 6))(pairs_of(k, PLACES)), sequential(PLACE_PAIRS + ", ed AS (SELECT 0 AS pos, a, b, weight AS w FROM pairs)", "n", "round(sum(w), 9)", "l", 6))
+PLACE_LINKS = f"SELECT row_number() OVER (ORDER BY link_key) AS pos, from_slug AS a, to_slug AS b FROM klinks WHERE {CURRENT} AND ({PLACES})"
+query("g26_unweighted_labels", lambda k: (lambda e: G.insertion_label_propagation(e, G.components(e)))(R.numbered(k.klinks.filter(X.current_fact()).filter(PLACES).select("link_key", F.col("from_slug").alias("a"), F.col("to_slug").alias("b")), "link_key").select("pos", "a", "b")),
+      sequential(f"ed AS (SELECT pos, a, b, 1 AS w FROM ({PLACE_LINKS}) x)", "min(o)", "count(*)", "o", 20))
 LABELS = "(SELECT slug, CASE WHEN slug LIKE 'entity/person/%' THEN 'people-' || right(slug, 1) ELSE 'things' END AS label FROM kpages)"
 query("g12_communities", lambda k: G.communities(pairs_of(k, "relation IN ('reports_to', 'part_of', 'located_in')"), k.sql(f"SELECT * FROM {LABELS} l")).select("label", "size", "edges", F.round("weight", 5).alias("weight"), "core", F.round("density", 8).alias("density")),
       f"""WITH {PAIRS.replace('AND from_slug <> to_slug', "AND from_slug <> to_slug AND relation IN ('reports_to', 'part_of', 'located_in')")}, l AS {LABELS}, i AS (SELECT x.label, p.* FROM pairs p JOIN l x ON x.slug = a JOIN l y ON y.slug = b AND x.label = y.label), s AS (SELECT label, slug, round(sum(weight), 9) AS s FROM (SELECT label, a AS slug, weight FROM i UNION ALL SELECT label, b, weight FROM i) z GROUP BY 1, 2),
@@ -184,6 +221,47 @@ query("g12_communities", lambda k: G.communities(pairs_of(k, "relation IN ('repo
           SELECT n.label, size, coalesce(edges, 0) AS edges, round(coalesce(weight, 0), 5) AS weight, core, round(CASE WHEN size > 1 THEN 2e0 * coalesce(edges, 0) / (size * (size - 1)) ELSE 0 END, 8) AS density FROM n LEFT JOIN g ON g.label = n.label LEFT JOIN t ON t.label = n.label""")
 query("g13_bridge_nodes", lambda k: G.bridges_between(pairs_of(k, "relation = 'reports_to'"), k.sql(f"SELECT * FROM {LABELS} l")),
       f"""WITH {PAIRS.replace('AND from_slug <> to_slug', "AND from_slug <> to_slug AND relation = 'reports_to'")}, l AS {LABELS}, e AS (SELECT a AS slug, b AS o FROM pairs UNION ALL SELECT b, a FROM pairs) SELECT e.slug, count(DISTINCT label) AS communities FROM e JOIN l ON l.slug = o GROUP BY e.slug HAVING count(DISTINCT label) > 1""")
+# companies that make a product together, by the nation that they are in
+MAKERS = "SELECT from_slug AS slug, to_slug AS item FROM klinks WHERE relation = 'produces'"
+PARTNERS = f"partners AS (SELECT x.slug AS a, y.slug AS b, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT DISTINCT slug, item FROM ({MAKERS}) m) x JOIN (SELECT DISTINCT slug, item FROM ({MAKERS}) m) y ON x.item = y.item AND x.slug < y.slug GROUP BY 1, 2)"
+HOMES = "SELECT from_slug AS slug, to_slug AS label FROM klinks WHERE relation = 'located_in' AND from_slug LIKE 'entity/company/%'"
+FOUND_MAP = f"""{PARTNERS}, homes AS ({HOMES}), inner_ AS (SELECT x.label, count(*) AS edges, sum(weight) AS weight FROM partners JOIN homes x ON x.slug = a JOIN homes y ON y.slug = b AND y.label = x.label GROUP BY 1), found AS (SELECT label, size, coalesce(edges, 0) AS edges, CASE WHEN size > 1 THEN 2e0 * coalesce(edges, 0) / (size * (size - 1)) ELSE 0 END AS density FROM (SELECT label, count(*) AS size FROM homes GROUP BY 1) h LEFT JOIN inner_ USING (label))"""
+
+
+def partners(k: Knowledge) -> DataFrame:
+    return R.pairs_within(k.sql(MAKERS).distinct(), "item", "slug").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+
+
+query("g15_map_report", lambda k: G.map_report(G.communities(partners(k), k.sql(HOMES))).select("label", "size", "edges", F.round("density", 8).alias("density"), "mature", "shape"),
+      f"WITH {FOUND_MAP} SELECT label, size, edges, round(density, 8) AS density, CAST(size >= 3 AND edges >= 3 AND density >= 0.4e0 AS INT) AS mature, CASE WHEN size >= 12 THEN 'main' WHEN size >= 5 THEN 'sub' ELSE 'edge' END AS shape FROM found")
+query("g15_map_shape", lambda k: G.map_shape(G.communities(partners(k), k.sql(HOMES))),
+      f"WITH {FOUND_MAP} SELECT count(*) FILTER (size >= 12) AS main, count(*) FILTER (size >= 5 AND size < 12) AS sub, count(*) FILTER (size < 5) AS edge, count(*) AS structures, count(*) FILTER (size >= 3 AND edges >= 3 AND density >= 0.4e0) AS mature, count(*) FILTER (NOT (size >= 3 AND edges >= 3 AND density >= 0.4e0)) AS sparse FROM found")
+RESULTS = "SELECT slug FROM kpages WHERE type = 'entity/company' AND title LIKE '%1'"
+query("g16_community_context", lambda k: (lambda p, h: G.community_context(p, h, G.communities(p, h), k.sql(RESULTS)))(partners(k), k.sql(HOMES)).select("slug", "label", F.round("strength", 6).alias("strength")),
+      f"""WITH {FOUND_MAP}, s AS (SELECT slug, sum(weight) AS strength FROM (SELECT a AS slug, weight FROM partners UNION ALL SELECT b, weight FROM partners) x GROUP BY 1), d AS (SELECT DISTINCT h.label FROM homes h JOIN found f ON f.label = h.label WHERE h.slug IN ({RESULTS}) AND size >= 3 AND edges >= 3 AND density >= 0.4e0),
+          r AS (SELECT h.slug, h.label, strength, row_number() OVER (PARTITION BY h.label ORDER BY round(strength, 9) DESC, h.slug) AS rn FROM homes h JOIN d ON d.label = h.label JOIN s ON s.slug = h.slug WHERE h.slug NOT IN ({RESULTS})) SELECT slug, label, round(strength, 6) AS strength FROM r WHERE rn <= 3 ORDER BY round(r.strength, 9) DESC, slug LIMIT 5""")
+NODES = "SELECT slug, mention_count FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%'"
+query("g17_map_discoveries", lambda k: G.map_discoveries(k.sql(NODES), pairs_of(k, SOME), k.sql(f"SELECT * FROM {LABELS} l")).withColumn("score", F.round("score", 6)),
+      f"""WITH {SOME_PAIRS}, l AS {LABELS}, nodes AS ({NODES}), e AS (SELECT a AS slug, b AS o FROM pairs UNION ALL SELECT b, a FROM pairs), c AS (SELECT e.slug, count(DISTINCT label) AS n FROM e JOIN l ON l.slug = o GROUP BY 1 HAVING count(DISTINCT label) > 1)
+          SELECT * FROM (SELECT 'knowledge_map_isolation' AS kind, slug, round(CASE WHEN mention_count <= 0 THEN 0.01e0 ELSE least(1e0, mention_count / 10e0) END, 6) AS score FROM nodes WHERE slug NOT IN (SELECT slug FROM e) AND mention_count > (SELECT avg(mention_count) FROM nodes) ORDER BY mention_count DESC, slug LIMIT 3) x
+          UNION ALL SELECT * FROM (SELECT 'knowledge_map_bridge', slug, round(least(1e0, n / 5e0), 6) FROM c ORDER BY slug LIMIT 3) y""")
+
+# ---- structural discoveries ----
+PICK = "md5({0} || '/pick')"
+STRUCTURE = f"""WITH RECURSIVE e AS (SELECT u, v FROM (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND {PEOPLE} UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND {PEOPLE}) x WHERE u <> v), far AS (SELECT DISTINCT x.v AS a, y.v AS b FROM e x JOIN e y ON x.u = y.u AND x.v < y.v EXCEPT SELECT u, v FROM e),
+  l AS {LABELS}, grp AS (SELECT label, slug, row_number() OVER (ORDER BY label) AS g FROM (SELECT label, count(*) AS n, min_by(slug, {PICK.format('slug')}) AS slug FROM l GROUP BY label HAVING count(*) >= 2) x), some_ AS (SELECT slug, row_number() OVER (ORDER BY {PICK.format('slug')}, slug) - 1 AS i FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%' QUALIFY i < 60),
+  more AS (SELECT x.slug AS x, y.slug AS y FROM grp x JOIN grp y ON y.g > x.g AND y.g <= x.g + 4 UNION ALL SELECT x.slug, y.slug FROM some_ x JOIN some_ y ON y.i = x.i + 1 WHERE x.i % 2 = 0), allp AS (SELECT a, b FROM far UNION SELECT least(x, y), greatest(x, y) FROM more WHERE x <> y), pool AS (SELECT a, b FROM allp ORDER BY {PICK.format("a || '|' || b")}, a, b LIMIT 100),
+  r(source, node, d) USING KEY (source, node) AS (SELECT DISTINCT a AS source, a AS node, 0 AS d FROM pool UNION SELECT r.source, e.v, min(r.d) + 1 FROM r JOIN e ON e.u = r.node LEFT JOIN recurring.r AS o ON o.source = r.source AND o.node = e.v WHERE o.node IS NULL GROUP BY 1, 2),
+  src AS (SELECT DISTINCT to_slug AS slug, from_slug AS item FROM klinks WHERE {CURRENT} AND {PEOPLE} AND from_slug LIKE 'records/%'), j AS (SELECT pool.a, pool.b, least(r.d, 6) AS hops FROM pool JOIN r ON r.source = pool.a AND r.node = pool.b),
+  k AS (SELECT *, (SELECT count(*) FROM src x WHERE x.slug = a) AS sa, (SELECT count(*) FROM src x WHERE x.slug = b) AS sb, (SELECT count(*) FROM src x JOIN src y ON x.item = y.item WHERE x.slug = a AND y.slug = b) AS sc, (SELECT count(*) FROM e WHERE u = a) AS na, (SELECT count(*) FROM e WHERE u = b) AS nb, (SELECT count(*) FROM e x JOIN e y ON x.v = y.v WHERE x.u = a AND y.u = b) AS nc FROM j),
+  t AS (SELECT k.*, CASE WHEN sa + sb = 0 THEN 0.5e0 ELSE 1 - sc / CAST(sa + sb - sc AS DOUBLE) END AS sd, CASE WHEN na + nb = 0 THEN 0.5e0 ELSE 1 - nc / CAST(na + nb - nc AS DOUBLE) END AS nd, x.type IS NOT NULL AND y.type IS NOT NULL AS known, coalesce(split_part(x.type, '/', 1), '') AS ta, coalesce(split_part(y.type, '/', 1), '') AS tb FROM k LEFT JOIN kpages x ON x.slug = a LEFT JOIN kpages y ON y.slug = b),
+  u AS (SELECT *, (ta = 'entity' AND tb = 'concept') OR (ta = 'concept' AND tb = 'entity') AS mixed, CASE WHEN hops >= 4 THEN 'bridge' WHEN hops >= 2 THEN 'community_crossing' ELSE 'structural_hole' END AS kind FROM t),
+  v AS (SELECT *, 0.35e0 * (CASE WHEN hops >= 6 THEN 1 WHEN hops <= 1 THEN 0 ELSE (hops - 1) / 5e0 END) + 0.25e0 * sd + 0.20e0 * (CASE WHEN mixed THEN 1 WHEN ta = 'concept' AND tb = 'concept' THEN 0.5e0 ELSE 0.3e0 END) + 0.20e0 * (1 - nd) AS score FROM u)
+  SELECT a, b, kind, CAST(hops AS INT) AS distance, floor(sd * 100 + 0.5e0) / 100 AS source_distance, floor(score * 100 + 0.5e0) / 100 AS score, CASE WHEN score >= 0.7e0 AND (mixed OR kind = 'bridge') THEN 'high' WHEN score >= 0.5e0 THEN 'medium' ELSE 'low' END AS actionable, CAST(score >= 0.8e0 AND known AS INT) AS auto FROM v WHERE score > 0.3e0 ORDER BY round(v.score, 9) DESC, a, b LIMIT 20"""
+found = lambda k: G.structural_discoveries(k.klinks.filter(PEOPLE), k.kpages, k.sql(f"SELECT * FROM {LABELS} l"))
+query("l26_structural_scores", found, STRUCTURE)
+query("l21_reflection", lambda k: E.reflection(found(k), k.kpages, k.ktimeline).select("a", "b", "title", "kind", "events", "grounded"),
+      f"SELECT a, b, coalesce(x.title, a) || ' / ' || coalesce(y.title, b) AS title, kind, (SELECT count(*) FROM ktimeline t WHERE t.page_slug IN (a, b) AND {ACTIVE}) AS events, CAST((SELECT count(*) FROM ktimeline t WHERE t.page_slug IN (a, b) AND {ACTIVE}) > 0 AS INT) AS grounded FROM ({STRUCTURE}) s LEFT JOIN kpages x ON x.slug = a LEFT JOIN kpages y ON y.slug = b WHERE actionable <> 'low'")
 query("g14_graph_health", lambda k: (lambda d: k.kpages.join(d, "slug", "left").agg(F.count(F.when(F.col("degree").isNull(), 1)).alias("isolates"), F.count(F.when(F.col("degree") == 1, 1)).alias("leaves"), F.max("degree").alias("max_degree"), F.count("*").alias("nodes")))(R.degree(k.klinks)),
       f"WITH d AS (SELECT slug, count(*) AS degree FROM (SELECT from_slug AS slug FROM klinks WHERE {ACTIVE} AND from_slug <> to_slug UNION ALL SELECT to_slug FROM klinks WHERE {ACTIVE} AND from_slug <> to_slug) x GROUP BY slug) SELECT count(*) FILTER (degree IS NULL) AS isolates, count(*) FILTER (degree = 1) AS leaves, max(degree) AS max_degree, count(*) AS nodes FROM kpages p LEFT JOIN d ON d.slug = p.slug")
 query("g18_missing_reverse", lambda k: (lambda e: e.join(e.select(F.col("from_slug").alias("to_slug"), F.col("to_slug").alias("from_slug")), ["from_slug", "to_slug"], "left_anti").groupBy("relation").agg(F.count("*").alias("n")))(k.klinks.select("from_slug", "to_slug", "relation")),
