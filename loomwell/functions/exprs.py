@@ -82,6 +82,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b)))))
 
 
+def plain_cosine(a: Column, b: Column) -> Column:
+    """The cosine, 0 where there is none."""
+    return F.coalesce(cosine(a, b), F.lit(0.0))
+
+
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
 

@@ -45,6 +45,11 @@ def classify_pairs(pairs: DataFrame, edits: int = 2) -> DataFrame:
     return pairs.withColumn("kind", kind).filter("kind is not null").withColumn("score", score).withColumn("actionable", ((kind.isin("exact", "normalized")) & (F.col("ya") == F.col("yb"))).cast("int"))
 
 
+def ranked_candidates(pairs: DataFrame, most: int = 100) -> DataFrame:
+    """Classified pairs in the order in which they are shown: sure ones, the more alike, those of one type first, then by name."""
+    return pairs.orderBy(F.desc("actionable"), F.round("score", 9).desc(), (F.col("ya") == F.col("yb")).desc(), "a", "b").limit(most)
+
+
 def merge_targets(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Which page of a pair (a, b) to keep: the first difference of (chars, chunks, degree, mentions, shorter title) decides;
     no difference is ambiguous. facts: slug and these columns."""
@@ -54,6 +59,38 @@ def merge_targets(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return both.withColumn("target", F.when(F.col("fa") > F.col("fb"), F.col("a")).when(F.col("fb") > F.col("fa"), F.col("b"))).drop("fa", "fb")
 
 
+def intra_document_names(candidates: DataFrame, affine=None) -> DataFrame:
+    """(doc, name, canonical) of candidates (doc, pos, name, type): names of one normal form are one; then a form that begins a later one
+    or is begun by it, has two characters or more and half of its length, and a fitting type, joins the longer. The rule goes through
+    a document's forms in their order, so each document is one group. ``affine``: pairs of types that fit besides equal ones."""
+    import pandas as pd
+
+    fits = frozenset(affine or ())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[str, list[tuple[str, str]]] = {}
+        for form, name, kind in pdf.sort_values("pos")[["form", "name", "type"]].itertuples(index=False):
+            groups.setdefault(form, []).append((name, kind))
+        forms = list(groups)
+        for i, a in enumerate(forms):
+            for b in forms[i + 1 :]:
+                if a not in groups:
+                    break
+                if b not in groups:
+                    continue
+                short, long = (a, b) if len(a) <= len(b) else (b, a)
+                if len(short) < 2 or not long.startswith(short) or 2 * len(short) < len(long):
+                    continue
+                x, y = groups[short][0][1], groups[long][0][1]
+                if x == y or (x, y) in fits or (y, x) in fits:
+                    groups[long] += groups.pop(short)
+        rows = [(name, max(members, key=lambda m: len(m[0]))[0]) for members in groups.values() for name, _ in members]
+        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "name": [r[0] for r in rows], "canonical": [r[1] for r in rows]}).drop_duplicates()
+
+    keyed = candidates.withColumn("form", X.normal_name(F.col("name"))).filter("form <> ''")
+    return keyed.select(F.col("doc").cast("string"), F.col("pos").cast("long"), "name", "type", "form").groupBy("doc").applyInPandas(run, "doc string, name string, canonical string")
+
+
 def layered_match(names: DataFrame, pages: DataFrame, aliases: DataFrame) -> DataFrame:
     """Resolution by layers: exact 1.0, alias .95, any case .9, normalised .8, else new. Ties go by slug."""
     p = pages.select("slug", "title")
@@ -219,8 +256,13 @@ def replace_table(df: DataFrame, path: str) -> None:
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
 
+def current_version(spark, path: str) -> str:
+    """Where the current version of a table is."""
+    return spark.read.json(f"{path}/current").first()["version"]
+
+
 def read_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{path}/current").first()["version"])
+    return spark.read.parquet(current_version(spark, path))
 
 
 # ---- text structuring ----

@@ -185,6 +185,19 @@ def vector_pages(vectors: DataFrame, query: Sequence[float], n: int, excluded: D
     return best_chunks(hits, n).withColumn("score", 1 - F.col("distance"))
 
 
+SHORTLIST_NAMES, SHORTLIST_TITLES, SHORTLIST_LENGTH = 20, 500, 10
+
+
+def typed_shortlist(names: DataFrame, titles: DataFrame, affine, least: float = 0.5) -> DataFrame:
+    """Of names (a, type, vector) and titles (b, type, vector) whose types are the same or affine, the ten most similar titles of each name
+    with a cosine of ``least``. A model's prompt has room for this much: the first 20 names and 500 titles are looked at."""
+    x = names.orderBy("a").limit(SHORTLIST_NAMES).select("a", F.col("type").alias("ta"), F.col("vector").alias("va"))
+    y = titles.orderBy("b").limit(SHORTLIST_TITLES).select("b", F.col("type").alias("tb"), F.col("vector").alias("vb"))
+    both = y.join(F.broadcast(x), (F.col("ta") == F.col("tb")) | affine(F.col("ta"), F.col("tb")))  # 20 rows
+    near = both.withColumn("cosine", X.plain_cosine(F.col("va"), F.col("vb"))).filter(F.col("cosine") >= least)
+    return first_by(near, ["a"], F.round("cosine", 9).desc(), "b", n=SHORTLIST_LENGTH).select("a", "b", "cosine")
+
+
 def width_check(vectors: DataFrame) -> DataFrame:
     """One row: rows, distinct widths, rows that could not be stored (null, empty or non-finite)."""
     good = F.coalesce(X.finite(F.col("vector")) & (F.size("vector") > 0), F.lit(False))

@@ -27,14 +27,16 @@ NAMED = "named AS (SELECT slug, type, CASE WHEN mention_count % 4 = 0 THEN upper
 query("e1_normal_names", lambda k: named(k).select("slug", X.normal_name(F.col("title")).alias("norm")), f"WITH {NAMED} SELECT slug, {NORM.format('title')} AS norm FROM named")
 query("e2_blocking_keys", lambda k: k.part.select("p_partkey", F.explode(N.blocking_keys(F.col("p_name"))).alias("key")),
       """SELECT p_partkey, replace(p_name, ' ', '') AS key FROM part UNION SELECT p_partkey, unnest(string_split(p_name, ' ')) FROM part UNION SELECT p_partkey, 'acr:' || split_part(p_name, ' ', 1)[1] || split_part(p_name, ' ', 2)[1] FROM part""")
-KEYS = "keys AS (SELECT slug, title, type, replace(title, ' ', '') AS key FROM p UNION SELECT slug, title, type, unnest(string_split(title, ' ')) FROM p UNION SELECT slug, title, type, 'acr:' || split_part(title, ' ', 1)[1] || split_part(title, ' ', 2)[1] FROM p), big AS (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND 30)"
-PARTS = "SELECT slug, title, type FROM kpages WHERE type = 'concept/product' AND mention_count = 7"
-query("e3_candidate_pairs", lambda k: N.candidate_pairs(k.sql(PARTS), 30).select("a", "b"), f"WITH p AS ({PARTS}), {KEYS} SELECT DISTINCT x.slug AS a, y.slug AS b FROM keys x JOIN keys y ON x.key = y.key AND x.slug < y.slug WHERE x.key IN (SELECT key FROM big)")
-query("e4_similar_pairs", lambda k: N.classify_pairs(N.candidate_pairs(k.sql(PARTS), 30)).select("a", "b", "kind", F.round("score", 6).alias("score"), "actionable"),
-      f"""WITH p AS ({PARTS}), {KEYS}, c AS (SELECT DISTINCT x.slug AS a, y.slug AS b, x.title AS ta, y.title AS tb, replace(x.title, ' ', '') AS na, replace(y.title, ' ', '') AS nb FROM keys x JOIN keys y ON x.key = y.key AND x.slug < y.slug WHERE x.key IN (SELECT key FROM big)),
-          d AS (SELECT *, CASE WHEN length(na) <= length(nb) THEN na ELSE nb END AS s, CASE WHEN length(na) <= length(nb) THEN nb ELSE na END AS l, levenshtein(na, nb) AS d FROM c),
-          e AS (SELECT *, CASE WHEN ta = tb THEN 'exact' WHEN na = nb THEN 'normalized' WHEN contains(l, s) AND length(s) >= 2 AND (length(l) - length(s) >= 3 OR length(s) >= 0.6e0 * length(l)) THEN 'substring' WHEN d <= 2 THEN 'edit' END AS kind FROM d)
-          SELECT a, b, kind, round(CASE kind WHEN 'exact' THEN 1 WHEN 'normalized' THEN 0.95e0 WHEN 'substring' THEN 0.6e0 + 0.3e0 * length(s) / length(l) ELSE 1 - d / CAST(length(l) AS DOUBLE) END, 6) AS score, CAST(kind IN ('exact', 'normalized') AS INT) AS actionable FROM e WHERE kind IS NOT NULL""")
+TITLED = "SELECT slug, title, type FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%' UNION ALL SELECT 'alt/' || slug, replace(title, '#', CASE WHEN mention_count % 2 = 0 THEN '-' ELSE '-1' END), type FROM kpages WHERE type = 'entity/company'"
+KEYS = f"""words AS (SELECT slug, title, type, {NORM.format('title')} AS norm, regexp_extract_all(lower(title), '[a-z0-9]{{2,}}') AS w FROM p), keys AS (SELECT slug, title, type, norm, norm AS key FROM words WHERE norm <> '' UNION SELECT slug, title, type, norm, unnest(w) FROM words UNION SELECT slug, title, type, norm, 'acr:' || array_to_string(list_transform(w, lambda x: x[1]), '') FROM words WHERE len(w) >= 2),
+  big AS (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND 50)"""
+SIMILAR = f"""p AS ({TITLED}), {KEYS}, c AS (SELECT DISTINCT x.slug AS a, y.slug AS b, x.title AS ta, y.title AS tb, x.type AS ya, y.type AS yb, x.norm AS na, y.norm AS nb FROM keys x JOIN keys y ON x.key = y.key AND x.slug < y.slug WHERE x.key IN (SELECT key FROM big)),
+  d AS (SELECT *, CASE WHEN length(na) <= length(nb) THEN na ELSE nb END AS s, CASE WHEN length(na) <= length(nb) THEN nb ELSE na END AS l, levenshtein(na, nb) AS d FROM c),
+  e AS (SELECT *, CASE WHEN ta = tb THEN 'exact' WHEN na = nb THEN 'normalized' WHEN contains(l, s) AND length(s) >= 2 AND (length(l) - length(s) >= 3 OR length(s) >= 0.6e0 * length(l)) THEN 'substring' WHEN d <= 2 THEN 'edit' END AS kind FROM d),
+  similar_ AS (SELECT a, b, kind, CASE kind WHEN 'exact' THEN 1 WHEN 'normalized' THEN 0.95e0 WHEN 'substring' THEN 0.6e0 + 0.3e0 * length(s) / length(l) ELSE 1 - d / CAST(greatest(length(l), 1) AS DOUBLE) END AS score, CAST(kind IN ('exact', 'normalized') AND ya = yb AS INT) AS actionable, ya = yb AS same FROM e WHERE kind IS NOT NULL)"""
+query("e3_candidate_pairs", lambda k: N.candidate_pairs(k.sql(TITLED)).select("a", "b"), f"WITH p AS ({TITLED}), {KEYS} SELECT DISTINCT x.slug AS a, y.slug AS b FROM keys x JOIN keys y ON x.key = y.key AND x.slug < y.slug WHERE x.key IN (SELECT key FROM big)")
+query("e4_similar_pairs", lambda k: N.classify_pairs(N.candidate_pairs(k.sql(TITLED))).select("a", "b", "kind", F.round("score", 6).alias("score"), "actionable"), f"WITH {SIMILAR} SELECT a, b, kind, round(score, 6) AS score, actionable FROM similar_")
+query("o7_ranked_candidates", lambda k: N.ranked_candidates(N.classify_pairs(N.candidate_pairs(k.sql(TITLED)))).select("a", "b", "kind"), f"WITH {SIMILAR} SELECT a, b, kind FROM similar_ ORDER BY actionable DESC, round(score, 9) DESC, same DESC, a, b LIMIT 100")
 query("e5_bounded_edits", lambda k: k.supplier.alias("a").join(k.supplier.alias("b"), F.col("a.s_suppkey") + 9 == F.col("b.s_suppkey")).select(F.col("a.s_suppkey").alias("s_suppkey"), F.levenshtein("a.s_name", "b.s_name", 1).cast("long").alias("d")),
       "SELECT a.s_suppkey, CAST(CASE WHEN levenshtein(a.s_name, b.s_name) <= 1 THEN levenshtein(a.s_name, b.s_name) ELSE -1 END AS BIGINT) AS d FROM supplier a JOIN supplier b ON a.s_suppkey + 9 = b.s_suppkey")
 query("e6_merge_targets", lambda k: (lambda f: N.merge_targets(R.cross_type_duplicates(k.sql("SELECT slug, type, title FROM kpages WHERE type = 'entity/location' UNION ALL SELECT 'x/' || slug, 'entity/brand', title FROM kpages WHERE type = 'entity/location'")).select(F.col("slug_a").alias("a"), F.col("slug_b").alias("b")), f).select("a", "b", "target"))(
@@ -45,8 +47,9 @@ query("e8_layered_match", lambda k: N.layered_match(k.sql(LAYER_NAMES), k.kpages
       f"""WITH n AS ({LAYER_NAMES}), h AS (SELECT name, slug, 'exact' AS layer, 1e0 AS c FROM n JOIN kpages ON title = name UNION ALL SELECT name, page_slug, 'alias', 0.95e0 FROM n JOIN kaliases ON alias = name UNION ALL SELECT name, slug, 'case', 0.9e0 FROM n JOIN kpages ON lower(title) = lower(name)
           UNION ALL SELECT name, slug, 'normalized', 0.8e0 FROM n JOIN kpages ON {NORM.format('title')} = {NORM.format('name')} AND {NORM.format('name')} <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY c DESC, slug) AS rn FROM h)
           SELECT n.name, r.slug, coalesce(r.layer, 'new') AS layer FROM n LEFT JOIN r ON r.name = n.name AND rn = 1""")
-query("e9_names_in_document", lambda k: named(k).withColumn("norm", X.normal_name(F.col("title"))).groupBy("norm").agg(F.max_by("title", F.struct(F.length("title"), "slug")).alias("title"), F.count("*").alias("n")),
-      f"WITH {NAMED}, x AS (SELECT *, {NORM.format('title')} AS norm FROM named) SELECT norm, (array_agg(title ORDER BY length(title) DESC, slug DESC))[1] AS title, count(*) AS n FROM x GROUP BY norm")
+SAID = "SELECT doc_id AS doc, 1 AS pos, 'Net ' || source AS name, 'entity/company' AS type FROM documents UNION ALL SELECT doc_id, 2, 'Net ' || source || ' Works', 'entity/company' FROM documents UNION ALL SELECT doc_id, 3, 'Net-' || source || '-works', 'entity/organization' FROM documents UNION ALL SELECT doc_id, 4, 'Net ' || source || ' Work', 'entity/person' FROM documents UNION ALL SELECT doc_id, 5, 'x', 'entity/person' FROM documents"
+query("e9_names_in_document", lambda k: N.intra_document_names(k.sql(SAID), [("entity/company", "entity/organization")]),
+      "SELECT CAST(doc_id AS VARCHAR) AS doc, name, canonical FROM (SELECT doc_id, unnest(['Net ' || source, 'Net ' || source || ' Works', 'Net-' || source || '-works']) AS name, 'Net ' || source || ' Works' AS canonical FROM documents WHERE 2 * (3 + length(regexp_replace(source, '[^a-z0-9]', '', 'g'))) >= 8 + length(regexp_replace(source, '[^a-z0-9]', '', 'g')) UNION ALL SELECT doc_id, 'Net ' || source || ' Work', 'Net ' || source || ' Work' FROM documents UNION ALL SELECT doc_id, 'x', 'x' FROM documents) z")
 query("e11_duplicate_slugs", lambda k: k.kpages.withColumn("base", F.regexp_replace("slug", r"-\d+$", "")).groupBy("base").agg(F.count("*").alias("n"), F.min("slug").alias("first")).filter("n > 1"), "SELECT regexp_replace(slug, '-\\d+$', '') AS base, count(*) AS n, min(slug) AS first FROM kpages GROUP BY 1 HAVING count(*) > 1")
 
 query("e14_slugs", lambda k: named(k).select("slug", F.concat(F.lit("brain/"), N.slug_name(F.col("title"))).alias("made")), f"WITH {NAMED} SELECT slug, 'brain/' || regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(title, '[()]', '-', 'g')), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS made FROM named")

@@ -41,10 +41,13 @@ query("h20_recent_records", lambda k: R.union_distinct_ordered(
       "WITH a AS (SELECT slug, 0 AS l, row_number() OVER (ORDER BY slug) AS pos FROM (SELECT DISTINCT page_slug AS slug FROM kchunks WHERE contains(content, 'License')) x ORDER BY slug LIMIT 10), b AS (SELECT slug, 1 AS l, row_number() OVER (ORDER BY slug) AS pos FROM kpages WHERE type = 'record' ORDER BY slug LIMIT 10), m AS (SELECT slug, min(l * 100 + pos) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) z GROUP BY slug) SELECT slug, row_number() OVER (ORDER BY place, slug) AS pos FROM m")
 
 
-query("o7_ranked_candidates", lambda k: N.classify_pairs(N.candidate_pairs(k.sql("SELECT slug, title, type FROM kpages WHERE type = 'concept/product' AND mention_count = 7"), 30)).orderBy(F.desc("actionable"), F.desc("score"), "a", "b").limit(100).select("a", "b", "kind"), None)
+
 query("e7_actionability", lambda k: k.kdiscoveries.withColumn("reason", F.when(F.col("type") == "bridge", "type_mismatch").when(F.col("score") >= 0.6, "high_score").otherwise("low_score")).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN type = 'bridge' THEN 'type_mismatch' WHEN score >= 0.6e0 THEN 'high_score' ELSE 'low_score' END AS reason, count(*) AS n FROM kdiscoveries GROUP BY 1")
-query("e10_semantic_matches", lambda k: E.semantic_matches(k.supplier.select(F.col("s_name").alias("a"), models.embed(F.lower(F.regexp_replace("s_name", "#", " "))).alias("va")).filter("a like '%7'").crossJoin(F.broadcast(k.supplier.filter("s_suppkey < 30").select(F.col("s_name").alias("b"), models.embed(F.lower(F.regexp_replace("s_name", "#", " "))).alias("vb")))).select("a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 5).alias("confidence"), F.lit(True).alias("type_fits"))).filter("a = b").select("a", "b"),
-      "SELECT s_name AS a, s_name AS b FROM supplier WHERE s_name LIKE '%7' AND s_suppkey < 30")
+ALIKE = "SELECT s_name AS name, lower(replace(s_name, '#', ' ')) AS text FROM supplier"
+query("e10_semantic_matches", lambda k: E.semantic_matches((lambda a, b: a.join(b, F.arrays_overlap("wa", "wb") & (F.col("key") == F.col("kb"))).select("a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 5).alias("confidence"), F.lit(True).alias("type_fits")))(
+          k.sql(ALIKE).select(F.concat(F.lit("new "), "name").alias("a"), models.embed(F.col("text")).alias("va"), F.split("text", " ").alias("wa"), F.element_at(F.split("text", " "), -1).alias("key")),
+          k.sql(ALIKE).select(F.col("name").alias("b"), models.embed(F.concat("text", F.lit(" ltd"))).alias("vb"), F.split("text", " ").alias("wb"), F.element_at(F.split("text", " "), -1).alias("kb")))).select("a", "b"),
+      "SELECT 'new ' || s_name AS a, s_name AS b FROM supplier")
 query("l12_review_scores", lambda k: k.kdiscoveries.filter("type = 'proactive_connection'").select("id", F.round(X.clamp(0.5 + F.col("score") / 2, 0.0, 1.0), 6).alias("score")), "SELECT id, round(greatest(0e0, least(1e0, 0.5e0 + score / 2)), 6) AS score FROM kdiscoveries WHERE type = 'proactive_connection'")
 
 query("l15_repair_plan", lambda k: E.repair_plan(issues(k)).select("dimension", "mode", "action"), "SELECT * FROM (VALUES ('islands', 'review', 'link_or_archive'), ('stubs', 'observe', 'enrich'), ('titles', 'auto', 'derive_title'), ('dangling', 'auto', 'create_stub')) t(dimension, mode, action)")
@@ -69,6 +72,6 @@ query("n11_resolve_or_create", lambda k: N.layered_match(k.sql("SELECT DISTINCT
       "SELECT CASE WHEN name LIKE 'zz %' THEN 'new' ELSE 'exact' END AS layer, count(*) AS n FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'zz ' || p_name END AS name FROM part) x GROUP BY 1")
 query("n12_backfill_jobs", lambda k: k.sql("SELECT slug, md5('doc ' || CAST(doc_id AS STRING)) AS fp FROM (SELECT doc_id, 'records/doc-' || CAST(doc_id AS STRING) AS slug FROM documents) d").join(k.kpages.select("slug", F.col("content_hash").alias("fp")), ["slug", "fp"], "left_semi").select("slug"), "SELECT 'records/doc-' || CAST(doc_id AS VARCHAR) AS slug FROM documents WHERE doc_id % 31 <> 0")
 query("n17_stale_stubs", lambda k: E.stale_stubs(k.sql("SELECT 'stub-' || CAST(doc_id AS STRING) AS slug, lang AS title, 'd' || CAST(doc_id AS STRING) AS source_slug FROM documents"), k.sql("SELECT 'd' || CAST(doc_id AS STRING) AS slug, text FROM documents WHERE doc_id % 2 = 0")), "SELECT 'stub-' || CAST(doc_id AS VARCHAR) AS slug FROM documents WHERE doc_id % 2 = 1 OR NOT contains(text, lang)")
-query("s10_page_replace", lambda k: k.kchunks.join(k.kchunks.filter("chunk_index = 0 AND summary_level = 1").select("page_slug").distinct(), "page_slug", "left_anti").groupBy("page_slug").agg(F.count("*").alias("n")), "SELECT page_slug, count(*) AS n FROM kchunks WHERE page_slug NOT IN (SELECT page_slug FROM kchunks WHERE chunk_index = 0 AND summary_level = 1) GROUP BY 1")
-query("t2_failure_states", lambda k: k.kqlog.groupBy("query").agg(F.max(F.struct("id", F.col("tool"))).alias("last"), F.count(F.when(F.col("tool") == "other", 1)).alias("failures")).select("query", F.when((F.col("last.tool") == "other") & (F.col("failures") >= 3), "quarantined").otherwise("active").alias("state")), "SELECT query, CASE WHEN max_by(tool, id) = 'other' AND count(*) FILTER (tool = 'other') >= 3 THEN 'quarantined' ELSE 'active' END AS state FROM kqlog GROUP BY query")
-query("t4_watermark", lambda k: k.khits.agg(F.max("id").alias("watermark")), "SELECT max(id) AS watermark FROM khits")
+
+
+

@@ -10,6 +10,7 @@ from loomwell.operators import evidence as E
 from loomwell.operators import graph as G
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
+from loomwell.operators import stewardship as S
 from loomwell.plans.adapters import ORDER_AS_OF, Knowledge
 from loomwell.plans.catalog_relational import ACTIVE, CURRENT, NEIGHBOURS
 from loomwell.plans.registry import query
@@ -77,11 +78,16 @@ VP = f"""WITH h AS (SELECT page_slug AS slug, chunk_index, 1 - {COS} AS d FROM k
 query("v2_vector_pages", lambda k: V.vector_pages(k.kvectors, query_vector(k), 10).select("slug", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 5).alias("score")), VP)
 query("w2_best_chunk", lambda k: V.vector_pages(k.kvectors, query_vector(k), 5).select("slug"),
       f"""WITH h AS (SELECT page_slug AS slug, 1 - {COS} AS d, vec_id FROM kvectors, {Q} ORDER BY d, vec_id LIMIT 15) SELECT slug FROM h GROUP BY slug ORDER BY min(d), slug LIMIT 5""")
-query("v3_scaled_cosine", lambda k: k.kvectors.filter("vec_id < 60").alias("a").join(k.kvectors.filter("vec_id < 60").alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(X.cosine(F.col("a.vector"), F.col("b.vector")), 5).alias("cos")),
-      "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 5) AS cos FROM kvectors a JOIN kvectors b ON a.vec_id + 1 = b.vec_id WHERE b.vec_id < 60")
-query("v4_plain_cosine", lambda k: k.kvectors.filter("vec_id < 5").select("vec_id", F.coalesce(X.cosine(F.col("vector"), F.transform("vector", lambda x: x * 0)), F.lit(0.0)).alias("cos")), "SELECT vec_id, 0e0 AS cos FROM kvectors WHERE vec_id < 5")
-query("v5_typed_shortlist", lambda k: R.first_by(k.kvectors.filter("vec_id < 20").alias("a").join(k.kvectors.filter("vec_id >= 20 AND vec_id < 500").alias("b"), F.col("a.vec_id") % 5 == F.col("b.vec_id") % 5).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), X.cosine(F.col("a.vector"), F.col("b.vector")).alias("c")).filter("c >= 0.1e0"), ["a"], F.desc("c"), "b", n=10).select("a", "b", F.round("c", 5).alias("c")),
-      "SELECT a, b, round(c, 5) AS c FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) AS c, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) DESC, b.vec_id) AS rn FROM kvectors a JOIN kvectors b ON a.vec_id % 5 = b.vec_id % 5 WHERE a.vec_id < 20 AND b.vec_id >= 20 AND b.vec_id < 500 AND list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) >= 0.1e0) x WHERE rn <= 10")
+query("v3_scaled_cosine", lambda k: k.kvectors.alias("a").join(k.kvectors.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(X.cosine(F.col("a.vector"), F.col("b.vector")), 5).alias("cos")),
+      "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 5) AS cos FROM kvectors a JOIN kvectors b ON a.vec_id + 1 = b.vec_id")
+query("v4_plain_cosine", lambda k: k.kvectors.alias("a").join(k.kvectors.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(X.plain_cosine(F.col("a.vector"), F.when(F.col("b.vec_id") % 3 == 0, F.transform("b.vector", lambda x: x * 0)).when(F.col("b.vec_id") % 3 == 1, F.slice("b.vector", 1, 10)).otherwise(F.col("b.vector"))), 5).alias("cos")),
+      "SELECT a.vec_id, CASE WHEN b.vec_id % 3 = 2 THEN round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 5) ELSE 0 END AS cos FROM kvectors a JOIN kvectors b ON a.vec_id + 1 = b.vec_id")
+TYPED = "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS vector, CASE label % 4 WHEN 0 THEN 'entity/company' WHEN 1 THEN 'entity/organization' WHEN 2 THEN 'entity/person' ELSE 'concept/model' END AS type FROM embeddings"
+TYPED_DUCK = TYPED.replace("ARRAY<DOUBLE>", "DOUBLE[]")
+FITS = " OR ".join(f"(x.type IN {g!r} AND y.type IN {g!r})" for g in S.AFFINE_TYPES)
+query("v5_typed_shortlist", lambda k: V.typed_shortlist(k.sql(TYPED).select(F.col("vec_id").alias("a"), "type", "vector"), k.sql(TYPED).select(F.col("vec_id").alias("b"), "type", "vector"), S.affine, 0.1).select("a", "b", F.round("cosine", 5).alias("c")),
+      f"""WITH t AS ({TYPED_DUCK}), x AS (SELECT * FROM t ORDER BY vec_id LIMIT 20), y AS (SELECT * FROM t ORDER BY vec_id LIMIT 500), c AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.vector, y.vector) AS c FROM x JOIN y ON x.type = y.type OR {FITS})
+          SELECT a, b, round(c, 5) AS c FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rn FROM c WHERE c >= 0.1e0) z WHERE rn <= 10""")
 query("v6_insight_query", lambda k: V.nearest(k.kvectors, query_vector(k), 20, "cosine").filter("vec_id % 3 <> 0").orderBy("distance", "vec_id").limit(10).select("vec_id"), f"SELECT vec_id FROM (SELECT vec_id, {COS} AS c FROM kvectors, {Q} ORDER BY 1 - c, vec_id LIMIT 20) x WHERE vec_id % 3 <> 0 ORDER BY 1 - c, vec_id LIMIT 10")
 query("v8_vector_widths", lambda k: V.width_check(k.kvectors), "SELECT count(*) AS rows, count(DISTINCT len(vector)) AS widths, CAST(0 AS BIGINT) AS bad FROM kvectors")
 query("v9_vector_coverage", lambda k: V.index_coverage(k.kchunks.select(F.col("page_slug").alias("slug")).distinct(), k.kvectors.select(F.col("page_slug").alias("slug")).distinct()).groupBy("state").agg(F.count("*").alias("n")),

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 Tables = dict[str, DataFrame]
 Stage = Callable[[Tables, str], Tables]
@@ -20,6 +20,34 @@ class Report:
     error: str = ""
 
 
+LOCK_MINUTES = 30
+
+
+@dataclass
+class Lock:
+    """A lock in a folder that all drivers see; one older than ``minutes`` is taken over, since its run has died."""
+
+    spark: SparkSession
+    path: str
+    minutes: int = LOCK_MINUTES
+
+    def _file(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def acquire(self, now: float) -> bool:
+        fs, where = self._file()
+        if fs.exists(where):
+            if now - fs.getFileStatus(where).getModificationTime() / 1000 < 60 * self.minutes:
+                return False
+            fs.delete(where, False)
+        return bool(fs.createNewFile(where))  # fails if another run was faster
+
+    def release(self) -> None:
+        fs, where = self._file()
+        fs.delete(where, False)
+
+
 @dataclass
 class Nightly:
     """Runs stages in order; each result is written below ``path`` and read again, so a failed stage changes nothing and a lost
@@ -29,8 +57,19 @@ class Nightly:
     stages: Sequence[tuple[str, Stage]]
     progress: Callable[[str], None] = lambda name: None
     reports: list[Report] = field(default_factory=list)
+    lock: Lock | None = None
 
     def run(self, tables: Tables, as_of: str) -> Tables:
+        if self.lock and not self.lock.acquire(time.time()):
+            self.reports.append(Report("lock", False, 0.0, "another run holds the lock"))
+            return tables
+        try:
+            return self._run(tables, as_of)
+        finally:
+            if self.lock:
+                self.lock.release()
+
+    def _run(self, tables: Tables, as_of: str) -> Tables:
         for name, stage in self.stages:
             self.progress(name)
             began = time.monotonic()
@@ -46,23 +85,3 @@ class Nightly:
             except Exception as e:  # a stage's failure must not stop the rest
                 self.reports.append(Report(name, False, time.monotonic() - began, str(e)[:500]))
         return tables
-
-
-def research(search: Callable[[str], DataFrame], follow_up: Callable[[DataFrame], list[str]], query: str, rounds: int = 2, per_round: int = 3) -> DataFrame:
-    """Multi-step retrieval: search, derive further queries from the hits, search those; each query once. Hits carry the query."""
-    from pyspark.sql import functions as F
-
-    done: set[str] = set()
-    todo, out = [query], None
-    for _ in range(rounds):
-        fresh = [q for q in dict.fromkeys(todo) if q not in done][:per_round]
-        if not fresh:
-            break
-        hits = None
-        for q in fresh:
-            done.add(q)
-            h = search(q).withColumn("query", F.lit(q))
-            hits = h if hits is None else hits.unionByName(h)
-        out = hits if out is None else out.unionByName(hits)
-        todo = follow_up(hits)
-    return out

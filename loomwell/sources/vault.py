@@ -27,9 +27,42 @@ def parse_vault(files: DataFrame) -> DataFrame:
     return parsed.select("slug", "file_path", "content_hash", title.alias("title"), F.when(kind.rlike(r"^(entity|concept)/|^(record|insight|topic)$"), kind).otherwise("record").alias("type"), F.col("f.fields").alias("fields"), F.col("f.body").alias("body"))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a versioned table: later writes do not change what is read."""
-    return N.read_table(spark, path)
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One text file, in whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_pages(pages: DataFrame, path: str) -> int:
+    """Pages (file_path, text) as files below a folder, written by the tasks that hold them; returns their number."""
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow.fs as afs
+
+        for pdf in batches:
+            for name, text in zip(pdf["file_path"], pdf["text"]):
+                fs, where = afs.FileSystem.from_uri(f"{path}/{name}") if "://" in path else (afs.LocalFileSystem(), f"{path}/{name}")
+                fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(where) as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return pages.select("file_path", "text").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_snapshot(spark: SparkSession, path: str, tries: int = 3) -> DataFrame:
+    """The current version of a versioned table: later writes do not change what is read. If the pointer moves while the version is
+    opened, which may then be on its way out, the new one is opened instead."""
+    for _ in range(tries):
+        version = N.current_version(spark, path)
+        table = spark.read.parquet(version)
+        if N.current_version(spark, path) == version:
+            return table
+    raise RuntimeError(f"{path} changed {tries} times while it was opened")
 
 
 def write_index_reports(pages: DataFrame, path: str) -> None:
