@@ -53,13 +53,21 @@ def grounded_answer(board: DataFrame) -> DataFrame:
     )
 
 
-def current_state_gap(subjects: DataFrame, links: DataFrame, timeline: DataFrame) -> DataFrame:
-    """What is missing to answer for a subject's present state: identity, relation or state; with its trusted dated events counted."""
-    rel = links.filter(X.current_fact() & (F.col("trust_state") == "trusted")).select(F.explode(F.array("from_slug", "to_slug")).alias("slug")).groupBy("slug").agg(F.count("*").alias("relations"))
-    ev = timeline.filter(F.col("trust_state").isin("trusted", "user_thought") & X.valid_date()).groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("events"))
+def current_state_gap(subjects: DataFrame, links: DataFrame, timeline: DataFrame, links_read: int = 10, events_read: int = 5) -> DataFrame:
+    """What is missing to answer for a subject's present state: identity, relation or state; with the trusted dated events of the subject and
+    of its trusted neighbours, of which ten links and five events, the newest, are read."""
+    use = links.filter(X.current_fact() & (F.col("trust_state") == "trusted") & (F.col("from_slug") != F.col("to_slug")))
+    both = use.select(F.col("from_slug").alias("slug"), F.col("to_slug").alias("page_slug"), "link_key").unionByName(use.select(F.col("to_slug").alias("slug"), F.col("from_slug").alias("page_slug"), "link_key"))
+    near = first_by(both.join(subjects.select("slug"), "slug", "left_semi"), ["slug"], "link_key", n=links_read)
+    rel = near.groupBy("slug").agg(F.count("*").alias("relations"))
+    dated = timeline.filter(F.col("trust_state").isin("trusted", "user_thought") & X.valid_date())
+    around = near.select("slug", "page_slug").unionByName(subjects.select("slug", F.col("slug").alias("page_slug"))).distinct()
+    read = first_by(around.join(dated, "page_slug"), ["slug"], F.trim("event_date").desc(), F.desc("id"), n=events_read)
+    ev = read.groupBy("slug").agg(F.count("*").alias("events"), F.max(F.struct(F.trim("event_date").alias("d"), "id")).alias("last"))
     out = subjects.join(rel, "slug", "left").join(ev, "slug", "left").fillna(0, ["relations", "events"])
+    out = out.withColumn("events", F.when(F.col("known") == 0, 0).otherwise(F.col("events")))
     code = F.when(F.col("known") == 0, "identity_mapping").when(F.col("relations") == 0, "subject_relation").otherwise("structured_state")
-    return out.select("slug", code.alias("gap"), "events")
+    return out.select("slug", code.alias("gap"), "events", F.when(F.col("events") > 0, F.col("last.id")).alias("last_event"))
 
 
 def reflection(found: DataFrame, pages: DataFrame, timeline: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
-from loomwell.operators.relational import first_by
+from loomwell.operators.relational import first_by, p95_by_offset
 
 # ---- names ----
 
@@ -149,15 +149,27 @@ def tier(mentions: Column, activity: Column, old: Column | None = None) -> Colum
     return F.least(old, new) if old is not None else new
 
 
-def hotness(pages: DataFrame, p95_mentions: float, max_links: float, p95_activity: float) -> DataFrame:
-    """Five-part score of pages(slug, mention_count, links, activity_weight, tier, body_bytes), rounded half up to 3 digits."""
-    cap = lambda c, top: F.least(F.lit(1.0), F.col(c) / F.lit(float(top)))
+def hotness(pages: DataFrame) -> DataFrame:
+    """Five-part score of pages(slug, mention_count, links, activity_weight, tier, body_bytes), rounded half up to 3 digits. Mentions, links
+    and activity count against their 95th percentiles over all pages."""
+    for name, c in (("top_m", "mention_count"), ("top_l", "links"), ("top_a", "activity_weight")):
+        pages = pages.crossJoin(F.broadcast(p95_by_offset(pages, c).select(F.col("p95").alias(name))))  # one row
+    cap = lambda c, top: F.when(F.col(top) <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.col(c) / F.col(top)))
     by_tier = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.5).otherwise(0.1)
     body = X.clamp((F.col("body_bytes") - 200) / 1800.0, 0.0, 1.0)
-    score = 0.25 * cap("mention_count", p95_mentions) + 0.20 * cap("links", max_links) + 0.30 * cap("activity_weight", p95_activity) + 0.15 * by_tier + 0.10 * body
+    score = 0.25 * cap("mention_count", "top_m") + 0.20 * cap("links", "top_l") + 0.30 * cap("activity_weight", "top_a") + 0.15 * by_tier + 0.10 * body
     return pages.withColumn("hotness", X.half_up(score))
 
 
+def profiles(pages: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
+    """Each page with its tier, mentions, current facts out and in, and its tags in order (a page has few)."""
+    use = links.filter(X.current_fact())
+    n = lambda end, name: use.groupBy(F.col(end).alias("slug")).agg(F.count("*").alias(name))
+    own = tags.groupBy(F.col("page_slug").alias("slug")).agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+    out = pages.select("slug", "title", "tier", "mention_count").join(n("from_slug", "outgoing"), "slug", "left").join(n("to_slug", "incoming"), "slug", "left").join(own, "slug", "left")
+    return out.fillna(0, ["outgoing", "incoming"]).fillna("", ["tags"])
+
+
 def gaps(pages: DataFrame, degrees: DataFrame) -> DataFrame:
     """Often mentioned pages with few neighbours: entities from 8 mentions with at most 1, concepts from 30 with none."""
     use = pages.join(degrees, "slug", "left").fillna(0, ["degree"]).filter(F.length("title") >= 3)
@@ -311,6 +323,17 @@ def wikilinks(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (t != "") & ~t.contains("://") & ~t.rlike(MEDIA)))
 
 
+def wikilink_pairs(text: Column) -> Column:
+    """(target, display) of the links that ``wikilinks`` finds, the first of each target; display is null where none is given."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(?:```|\z)", " "), r"`[^`\n]*`", " ")
+    form = r"(?<!!)\[\[([^\]|#]+?)(?:#[^\]]*?)?(?:\|([^\]]+?))?\]\]"
+    whole = F.regexp_extract_all(bare, F.lit(form), F.lit(0))
+    part = lambda w, i: F.trim(F.regexp_extract(w, form, i))
+    pairs = F.transform(whole, lambda w: F.struct(part(w, 1).alias("target"), F.nullif(part(w, 2), F.lit("")).alias("display")))
+    good = F.filter(pairs, lambda p: (p["target"] != "") & ~p["target"].contains("://") & ~p["target"].rlike(MEDIA))
+    return F.filter(good, lambda p, i: ~F.exists(F.slice(good, 1, i), lambda q: q["target"] == p["target"]))
+
+
 def frontmatter(text: Column) -> Column:
     """Struct of the block between leading '---' lines and the body. ``lists``: the values of each key, of ``key: value``, ``key:
     [a, b]`` or indented ``- a`` lines; ``fields``: the same joined by ', '. Keys inside a key are 'outer.inner'; of a repeated key the

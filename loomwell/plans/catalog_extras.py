@@ -42,9 +42,18 @@ query("p18_personal_notes", lambda k: k.documents.select("doc_id", (F.lower("tex
       r"SELECT CAST(regexp_matches(lower(text), '\bmy (?:preference|habit|taste|style)\b|\bi (?:prefer|like|love|always|usually)\b') AND NOT regexp_matches(lower(text), '\b(article|paper|report|project|code|system)\b') AS INT) AS personal, count(*) AS n FROM documents GROUP BY 1")
 query("p25_digest_reasons", lambda k: k.kdiscoveries.withColumn("reason", F.when(F.col("status") == "dismissed", "dismissed").when((F.col("type") == "bridge") & (F.col("actionable") == "low"), "no_suggestion").when(F.col("score") < 0.2, "weak_signal")).groupBy("type", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")),
       "SELECT type, CASE WHEN status = 'dismissed' THEN 'dismissed' WHEN type = 'bridge' AND actionable = 'low' THEN 'no_suggestion' WHEN score < 0.2e0 THEN 'weak_signal' ELSE 'kept' END AS reason, count(*) AS n FROM kdiscoveries GROUP BY 1, 2")
-query("f7_lexical_coverage", lambda k: k.kchunks.filter("chunk_index = 0").select("page_slug", F.round(L.lexical_coverage(F.lit("the license of and to"), F.col("content")), 6).alias("coverage")), None)
-query("f8_cause_evidence", lambda k: k.ktimeline.select("id", L.cause_evidence(F.lit("item purchase order cause"), F.concat(F.lit("The item purchase order failed because of "), "summary", F.lit(". Other."))).alias("evidence")).filter("evidence is not null").groupBy(F.length("evidence").alias("chars")).agg(F.count("*").alias("n")), None)
-query("f9_quarter_value", lambda k: k.documents.select("doc_id", L.quarter_value("Q2 2024", "revenue")(F.concat(F.lit("# Q2 2024\n| revenue | "), F.col("n_chars").cast("string"), F.lit(" | 2 | 3 |\n"))).cast("long").alias("value")), "SELECT doc_id, n_chars AS value FROM documents")
+query("f7_lexical_coverage", lambda k: k.kchunks.select("page_slug", "chunk_index", F.round(L.lexical_coverage(F.lit("the of"), F.col("content")), 6).alias("coverage")).filter("coverage > 0"),
+      # at most three units count only if all stand in one sentence, within five units and 160 characters
+      """WITH t AS (SELECT page_slug, chunk_index, unnest(regexp_split_to_array(lower(content), '[.!?。！？;；]')) AS s FROM kchunks), u AS (SELECT page_slug, chunk_index, regexp_extract_all(s, '[a-z0-9]+(?:[-_/][a-z0-9]+)*|[㐀-鿿]') AS w, s FROM t WHERE contains(s, 'the') AND contains(s, 'of'))
+         SELECT DISTINCT page_slug, chunk_index, 1e0 AS coverage FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u) x WHERE list_contains(w[i : i + 4], 'the') AND list_contains(w[i : i + 4], 'of')""")
+STATED = """SELECT id, CASE id % 6 WHEN 0 THEN '前言。华东的仓库延误原因是暴雨' || CAST(id AS STRING) || '。后记' WHEN 1 THEN '华东 仓库在延误，原因：停电' || CAST(id AS STRING) WHEN 2 THEN '华东仓库延误原因是暴雨吗？' WHEN 3 THEN '华东仓库延误原因可能是暴雨。' WHEN 4 THEN '仓库华东延误原因是暴雨。' ELSE summary END AS t FROM ktimeline"""
+query("f8_cause_evidence", lambda k: k.sql(STATED).select("id", L.cause_evidence(F.lit("华东 仓库 延误 原因"), F.col("t")).alias("evidence")).filter("evidence is not null"),
+      rf"SELECT id, evidence FROM (SELECT id, regexp_extract(t, '((?:^|[。！？!?])|)(华东 ?(?:在|的)?仓库(?:在|的)?延误[,，]?原因(?:为|是|在于|包括|[:：])([\p{{Han}}a-z0-9]{{2,64}})(?:。|$))', 2) AS evidence FROM ({STATED}) x) y WHERE evidence <> '' AND NOT regexp_matches(evidence, '[不未无尚待吗么呢]|可能|或许|什么|是否|并非|暂缺|调查中|猜测|否认')")
+REPORTED = """SELECT doc_id, '# ' || CASE WHEN doc_id % 9 = 1 THEN '2023年第二季度报告' ELSE '2024年第二季度报告' END || chr(10) || CASE WHEN doc_id % 9 = 2 THEN '以下为草稿' ELSE '正文' END || chr(10) || '| 产品 | Q2销售额 | 固定汇率同比 | 官方披露的主要原因 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+  || '| 星河 Pro | ' || CAST(n_chars AS STRING) || ' | ' || CASE WHEN doc_id % 9 = 3 THEN '5%' ELSE '-3.5%' END || ' | ' || CASE WHEN doc_id % 9 = 4 THEN '可能主要受北方竞争影响' ELSE '主要受北方竞争影响' END || ' |' || chr(10) || CASE WHEN doc_id % 9 = 5 THEN '| 星河 Pro | 1 | 2% | 主要受北方竞争影响 |' || chr(10) ELSE '| 别的 X | 1 | 2% | 天气 |' || chr(10) END
+  || CASE WHEN doc_id % 9 = 6 THEN '该表已作废' ELSE '完' END || chr(10) || CASE WHEN doc_id % 9 = 7 THEN '# 更正' || chr(10) || '上述报告撤回' ELSE '' END AS t FROM documents"""
+query("f9_quarter_evidence", lambda k: k.sql(REPORTED).select("doc_id", L.quarter_evidence(F.lit("星河 Pro 北方 二季度 销售下滑 2024Q2 财报"), F.col("t")).alias("evidence")),
+      "SELECT doc_id, CASE WHEN doc_id % 9 IN (0, 8) THEN '# 2024年第二季度报告' || chr(10) || '| 产品 | Q2销售额 | 固定汇率同比 | 官方披露的主要原因 |' || chr(10) || '| 星河 Pro | ' || CAST(n_chars AS VARCHAR) || ' | -3.5% | 主要受北方竞争影响 |' END AS evidence FROM documents")
 query("v7_embeddings", lambda k: k.documents.select("doc_id", models.embed(F.col("lang")).alias("v")).select("doc_id", F.size("v").cast("long").alias("width"), F.round(X.norm(F.col("v")), 3).alias("norm")), "SELECT doc_id, CAST(128 AS BIGINT) AS width, 1e0 AS norm FROM documents")
 
 

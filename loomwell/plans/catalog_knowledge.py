@@ -65,14 +65,18 @@ BUMP = "sum(CASE tool WHEN 'expand' THEN 0.15e0 WHEN 'graph' THEN 0.05e0 ELSE 0.
 query("l3_query_bumps", lambda k: k.khits.groupBy("slug").agg(F.round(F.expr(BUMP), 5).alias("bump")), f"SELECT slug, round({BUMP}, 5) AS bump FROM khits GROUP BY slug")
 query("l4_tiers", lambda k: k.kpages.select("slug", N.tier(F.col("mention_count"), F.col("activity_weight"), F.col("tier")).cast("long").alias("tier")).groupBy("tier").agg(F.count("*").alias("n")),
       "SELECT CAST(least(tier, CASE WHEN 0.4e0 * mention_count + 0.6e0 * activity_weight >= 10 OR mention_count >= 10 THEN 1 WHEN 0.4e0 * mention_count + 0.6e0 * activity_weight >= 3 OR mention_count >= 3 THEN 2 ELSE 3 END) AS BIGINT) AS tier, count(*) AS n FROM kpages GROUP BY 1")
-query("l5_hotness", lambda k: N.hotness(R.pages_with_link_count(k.kpages.filter("type LIKE 'entity/%'"), k.klinks).withColumn("body_bytes", F.length("slug") * 30), 20.0, 40.0, 1.0).select("slug", F.round("hotness", 3).alias("hotness")),
-      f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS links FROM e GROUP BY slug)
-          SELECT p.slug, floor((0.25e0 * least(1e0, mention_count / 20e0) + 0.2e0 * least(1e0, coalesce(links, 0) / 40e0) + 0.3e0 * least(1e0, activity_weight / 1e0) + 0.15e0 * CASE tier WHEN 1 THEN 1e0 WHEN 2 THEN 0.5e0 ELSE 0.1e0 END + 0.1e0 * greatest(0e0, least(1e0, (length(p.slug) * 30 - 200) / 1800e0))) * 1000 + 0.5e0) / 1000e0 AS hotness FROM kpages p LEFT JOIN d ON d.slug = p.slug WHERE type LIKE 'entity/%'""")
-query("l6_entity_profile", lambda k: (lambda f: k.kpages.filter("type = 'entity/person'").select("slug").join(f.groupBy(F.col("from_slug").alias("slug")).agg(F.count("*").alias("n_out")), "slug", "left").join(f.groupBy(F.col("to_slug").alias("slug")).agg(F.count("*").alias("n_in")), "slug", "left").join(k.ktags.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("n_tags")), "slug", "left").fillna(0))(k.klinks.filter(X.current_fact())),
-      f"SELECT slug, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in, coalesce(t.n, 0) AS n_tags FROM kpages LEFT JOIN (SELECT from_slug, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY 1) o ON from_slug = slug LEFT JOIN (SELECT to_slug, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY 1) i ON to_slug = slug LEFT JOIN (SELECT page_slug, count(*) AS n FROM ktags GROUP BY 1) t ON t.page_slug = slug WHERE type = 'entity/person'")
+BODIED = "SELECT slug, type, mention_count, tier, activity_weight, length(slug) * 30 AS body_bytes FROM kpages"
+P95 = "coalesce((SELECT max(v) FROM (SELECT v, sum(n) OVER (ORDER BY v DESC) AS upto, sum(n) OVER () AS total FROM (SELECT CAST({0} AS DOUBLE) AS v, count(*) AS n FROM j WHERE {0} > 0 GROUP BY 1) c) x WHERE upto > floor(total * 0.05e0)), 1e0)"
+query("l5_hotness", lambda k: N.hotness(R.pages_with_link_count(k.sql(BODIED), k.klinks)).select("slug", F.round("hotness", 3).alias("hotness")),
+      f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS links FROM e GROUP BY slug), j AS (SELECT p.*, coalesce(d.links, 0) AS links FROM ({BODIED}) p LEFT JOIN d ON d.slug = p.slug),
+          t AS (SELECT {P95.format('mention_count')} AS m, {P95.format('links')} AS l, {P95.format('activity_weight')} AS a)
+          SELECT slug, floor((0.25e0 * least(1e0, mention_count / m) + 0.2e0 * least(1e0, links / l) + 0.3e0 * least(1e0, activity_weight / a) + 0.15e0 * CASE tier WHEN 1 THEN 1e0 WHEN 2 THEN 0.5e0 ELSE 0.1e0 END + 0.1e0 * greatest(0e0, least(1e0, (body_bytes - 200) / 1800e0))) * 1000 + 0.5e0) / 1000e0 AS hotness FROM j, t""")
+query("l6_entity_profile", lambda k: N.profiles(k.kpages, k.klinks, k.ktags),
+      f"SELECT slug, title, tier, mention_count, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming, coalesce(t.tags, '') AS tags FROM kpages LEFT JOIN (SELECT from_slug, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY 1) o ON from_slug = slug LEFT JOIN (SELECT to_slug, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY 1) i ON to_slug = slug LEFT JOIN (SELECT page_slug, string_agg(tag, ',' ORDER BY tag) AS tags FROM ktags GROUP BY 1) t ON t.page_slug = slug")
 DEGREE = f"d AS (SELECT slug, count(*) AS degree FROM (SELECT from_slug AS slug FROM klinks WHERE {ACTIVE} AND from_slug <> to_slug UNION ALL SELECT to_slug FROM klinks WHERE {ACTIVE} AND from_slug <> to_slug) x GROUP BY slug)"
-query("l7_gap_detection", lambda k: N.gaps(k.kpages, R.degree(k.klinks)).select("slug", F.round("score", 6).alias("score"), "actionable"),
-      f"""WITH {DEGREE}, g AS (SELECT p.slug, least(1e0, 0.6e0 * log2(mention_count) / log2(50) + 0.4e0 * CASE WHEN coalesce(degree, 0) = 0 THEN 1 ELSE 0.5e0 END) AS s FROM kpages p LEFT JOIN d ON d.slug = p.slug WHERE length(title) >= 3 AND ((type LIKE 'entity/%' AND mention_count >= 8 AND coalesce(degree, 0) <= 1) OR (type LIKE 'concept/%' AND mention_count >= 30 AND coalesce(degree, 0) = 0)))
+FEW = DEGREE.replace("from_slug <> to_slug", "from_slug <> to_slug AND relation NOT IN ('uses', 'produces')")
+query("l7_gap_detection", lambda k: N.gaps(k.kpages, R.degree(k.klinks.filter("relation NOT IN ('uses', 'produces')"))).select("slug", F.round("score", 6).alias("score"), "actionable"),
+      f"""WITH {FEW}, g AS (SELECT p.slug, least(1e0, 0.6e0 * log2(mention_count) / log2(50) + 0.4e0 * CASE WHEN coalesce(degree, 0) = 0 THEN 1 ELSE 0.5e0 END) AS s FROM kpages p LEFT JOIN d ON d.slug = p.slug WHERE length(title) >= 3 AND ((type LIKE 'entity/%' AND mention_count >= 8 AND coalesce(degree, 0) <= 1) OR (type LIKE 'concept/%' AND mention_count >= 30 AND coalesce(degree, 0) = 0)))
           SELECT slug, round(s, 6) AS score, CASE WHEN s >= 0.7e0 THEN 'high' ELSE 'medium' END AS actionable FROM g""")
 
 
@@ -82,6 +86,18 @@ def proposals(k: Knowledge) -> DataFrame:
     return N.proactive_connections(near, k.kpages.filter(f"type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAYS"), R.session_pairs(k.khits), latest)
 
 
+PROPOSALS = f"""n AS (SELECT from_slug AS slug, to_slug AS o FROM klinks WHERE {CURRENT} AND relation <> 'located_in' UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation <> 'located_in'), deg AS (SELECT slug, count(*) AS c FROM n GROUP BY slug HAVING count(*) <= 20), m AS (SELECT n.* FROM n WHERE o IN (SELECT slug FROM deg)),
+  pv AS (SELECT slug FROM kpages WHERE type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAY), pr AS (SELECT x.slug AS a, y.slug AS b, count(*) AS shared FROM m x JOIN m y ON x.o = y.o AND x.slug <> y.slug WHERE x.slug IN (SELECT slug FROM pv) GROUP BY 1, 2 HAVING count(*) >= 2),
+  s AS (SELECT a.slug AS lo, b.slug AS hi, count(*) AS n FROM khits a JOIN khits b ON a.session_id = b.session_id AND a.slug < b.slug GROUP BY 1, 2), lt AS (SELECT page_slug AS slug, CAST(max(event_date) AS DATE) AS d FROM ktimeline WHERE length(event_date) = 10 AND event_date <> '2023-02-29' GROUP BY 1),
+  props AS (SELECT pr.a, pr.b, shared, CAST(coalesce(s.n, 0) >= 2 AS INT) AS signal_b, CAST(coalesce(abs(x.d - y.d) <= 14, false) AS INT) AS signal_c FROM pr LEFT JOIN s ON lo = least(pr.a, pr.b) AND hi = greatest(pr.a, pr.b) LEFT JOIN lt x ON x.slug = pr.a LEFT JOIN lt y ON y.slug = pr.b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.slug = pr.a AND n.o = pr.b))"""
+
+
+def proposals(k: Knowledge) -> DataFrame:
+    near = R.neighbours(k.klinks.filter("relation <> 'located_in'"))
+    latest = k.ktimeline.filter("length(event_date) = 10 AND event_date <> '2023-02-29'").groupBy(F.col("page_slug").alias("slug")).agg(F.max("event_date").cast("date").alias("latest"))
+    return N.proactive_connections(near, k.kpages.filter(f"type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAYS"), R.session_pairs(k.khits), latest)
+
+
 PROPOSALS = f"""n AS (SELECT from_slug AS slug, to_slug AS o FROM klinks WHERE {CURRENT} AND relation <> 'located_in' UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation <> 'located_in'), deg AS (SELECT slug, count(*) AS c FROM n GROUP BY slug HAVING count(*) <= 20), m AS (SELECT n.* FROM n WHERE o IN (SELECT slug FROM deg)),
   pv AS (SELECT slug FROM kpages WHERE type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAY), pr AS (SELECT x.slug AS a, y.slug AS b, count(*) AS shared FROM m x JOIN m y ON x.o = y.o AND x.slug <> y.slug WHERE x.slug IN (SELECT slug FROM pv) GROUP BY 1, 2 HAVING count(*) >= 2),
   s AS (SELECT a.slug AS lo, b.slug AS hi, count(*) AS n FROM khits a JOIN khits b ON a.session_id = b.session_id AND a.slug < b.slug GROUP BY 1, 2), lt AS (SELECT page_slug AS slug, CAST(max(event_date) AS DATE) AS d FROM ktimeline WHERE length(event_date) = 10 AND event_date <> '2023-02-29' GROUP BY 1),
@@ -153,7 +169,7 @@ query("n2_sentence_chunks", lambda k: k.sql(DOCS).filter("text is not null").sel
           SELECT slug, CAST(i AS BIGINT) AS pos, md5(content) AS h FROM (SELECT slug, unnest(chunks) AS content, generate_subscripts(chunks, 1) - 1 AS i FROM c) x""")
 LINKED = "SELECT 'records/doc-' || CAST(doc_id AS STRING) AS slug, 'see [[' || source || '#top|here]] and [[' || lang || ']] and ![[pic.png]] `[[code]]` [[a.pdf]] [[' || source || ']]' AS body FROM documents"
 query("n3_wikilinks", lambda k: k.sql(LINKED).select("slug", F.array_join(N.wikilinks(F.col("body")), ",").alias("targets")), "SELECT 'records/doc-' || CAST(doc_id AS VARCHAR) AS slug, source || ',' || lang AS targets FROM documents")
-query("n4_wikilink_edges", lambda k: k.sql(LINKED).select("slug", F.explode(N.wikilinks(F.col("body"))).alias("title")).join(k.kpages.select(F.col("tier").alias("t"), F.col("slug").alias("to"), F.col("title")), "title", "left_anti").groupBy("title").agg(F.count("*").alias("n")), "SELECT title, count(*) AS n FROM (SELECT source AS title FROM documents UNION ALL SELECT lang FROM documents) x GROUP BY title")
+
 FRONT = "SELECT doc_id, '---' || chr(10) || 'title: old' || chr(10) || 'title: \"Doc ' || CAST(doc_id AS STRING) || '\"' || chr(10) || 'lang: ' || lang || chr(10) || 'tags: [one, ' || source || ']' || chr(10) || 'aliases:' || chr(10) || '  - x ' || lang || chr(10) || '  - \"y\"' || chr(10) || 'meta:' || chr(10) || '  source: ' || source || chr(10) || '---' || chr(10) || 'body ' || source AS t FROM documents"
 query("s2_frontmatter", lambda k: k.sql(FRONT).select("doc_id", N.frontmatter(F.col("t")).alias("f")).select("doc_id", F.col("f.fields")["title"].alias("title"), F.col("f.fields")["lang"].alias("lang"), F.col("f.fields")["meta.source"].alias("source"), F.array_join(F.col("f.lists")["tags"], "+").alias("tags"), F.array_join(F.col("f.lists")["aliases"], "+").alias("aliases"), "f.body"),
       "SELECT doc_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, lang, source, 'one+' || source AS tags, 'x ' || lang || '+y' AS aliases, 'body ' || source AS body FROM documents")

@@ -34,43 +34,33 @@ query("h17_grounded_answer", lambda k: E.grounded_answer(V.evidence_board(k.sql(
       """WITH b AS (SELECT DISTINCT page_slug AS slug, summary AS claim, CASE WHEN trust_state IS NULL OR trust_state = 'trusted' THEN 'fact' WHEN trust_state = 'user_thought' THEN 'thought' ELSE 'candidate' END AS kind FROM ktimeline WHERE trust_state IS NULL OR trust_state IN ('trusted', 'user_thought', 'candidate')), f AS (SELECT slug, claim FROM b WHERE kind = 'fact')
          SELECT b.slug, count(*) FILTER (kind = 'fact') AS facts, count(*) FILTER (kind = 'thought') AS thoughts, count(*) FILTER (kind = 'candidate' AND f.slug IS NULL) AS unresolved, count(*) FILTER (kind = 'candidate') AS must_not_claim, min(CASE WHEN kind = 'fact' THEN b.claim END) AS first_fact FROM b LEFT JOIN f ON f.slug = b.slug AND f.claim = b.claim GROUP BY b.slug""")
 query("h19_state_guard", lambda k: E.current_state_gap(k.sql("SELECT slug, 1 AS known FROM kpages WHERE type = 'entity/person' UNION ALL SELECT 'nobody' AS slug, 0 AS known"), k.klinks, k.ktimeline),
-      f"""WITH r AS (SELECT slug, count(*) AS n FROM (SELECT from_slug AS slug FROM klinks WHERE {CURRENT} AND trust_state = 'trusted' UNION ALL SELECT to_slug FROM klinks WHERE {CURRENT} AND trust_state = 'trusted') x GROUP BY slug), e AS (SELECT page_slug AS slug, count(*) AS n FROM ktimeline WHERE trust_state IN ('trusted', 'user_thought') AND event_date LIKE '2024%' GROUP BY 1)
-          SELECT p.slug, CASE WHEN coalesce(r.n, 0) = 0 THEN 'subject_relation' ELSE 'structured_state' END AS gap, coalesce(e.n, 0) AS events FROM kpages p LEFT JOIN r ON r.slug = p.slug LEFT JOIN e ON e.slug = p.slug WHERE type = 'entity/person' UNION ALL SELECT 'nobody', 'identity_mapping', 0""")
+      f"""WITH s AS (SELECT slug FROM kpages WHERE type = 'entity/person'), u AS (SELECT * FROM klinks WHERE {CURRENT} AND trust_state = 'trusted' AND from_slug <> to_slug), n AS (SELECT * FROM (SELECT slug, page_slug, row_number() OVER (PARTITION BY slug ORDER BY link_key) AS rn FROM (SELECT from_slug AS slug, to_slug AS page_slug, link_key FROM u UNION ALL SELECT to_slug, from_slug, link_key FROM u) b WHERE slug IN (SELECT slug FROM s)) x WHERE rn <= 10),
+          d AS (SELECT page_slug, id, trim(event_date) AS day FROM ktimeline WHERE trust_state IN ('trusted', 'user_thought') AND event_date LIKE '2024%'), a AS (SELECT slug, page_slug FROM n UNION SELECT slug, slug FROM s), e AS (SELECT * FROM (SELECT a.slug, id, day, row_number() OVER (PARTITION BY a.slug ORDER BY day DESC, id DESC) AS rn FROM a JOIN d ON d.page_slug = a.page_slug) x WHERE rn <= 5)
+          SELECT s.slug, CASE WHEN s.slug IN (SELECT slug FROM n) THEN 'structured_state' ELSE 'subject_relation' END AS gap, coalesce(c.n, 0) AS events, last_event FROM s LEFT JOIN (SELECT slug, count(*) AS n, max(CASE WHEN rn = 1 THEN id END) AS last_event FROM e GROUP BY slug) c ON c.slug = s.slug UNION ALL SELECT 'nobody', 'identity_mapping', 0, NULL""")
 query("h20_recent_records", lambda k: R.union_distinct_ordered(
           k.kchunks.filter(F.instr("content", "License") > 0).select(F.col("page_slug").alias("slug")).distinct().orderBy("slug").limit(10).select("slug", F.row_number().over(R.Window.orderBy("slug")).alias("pos")), k.kpages.filter("type = 'record'").orderBy(F.desc("updated_at"), "slug").limit(10).select("slug", F.row_number().over(R.Window.orderBy("slug")).alias("pos"))),
       "WITH a AS (SELECT slug, 0 AS l, row_number() OVER (ORDER BY slug) AS pos FROM (SELECT DISTINCT page_slug AS slug FROM kchunks WHERE contains(content, 'License')) x ORDER BY slug LIMIT 10), b AS (SELECT slug, 1 AS l, row_number() OVER (ORDER BY slug) AS pos FROM kpages WHERE type = 'record' ORDER BY slug LIMIT 10), m AS (SELECT slug, min(l * 100 + pos) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) z GROUP BY slug) SELECT slug, row_number() OVER (ORDER BY place, slug) AS pos FROM m")
 
-
-
 query("e7_actionability", lambda k: k.kdiscoveries.withColumn("reason", F.when(F.col("type") == "bridge", "type_mismatch").when(F.col("score") >= 0.6, "high_score").otherwise("low_score")).groupBy("reason").agg(F.count("*").alias("n")), "SELECT CASE WHEN type = 'bridge' THEN 'type_mismatch' WHEN score >= 0.6e0 THEN 'high_score' ELSE 'low_score' END AS reason, count(*) AS n FROM kdiscoveries GROUP BY 1")
 ALIKE = "SELECT s_name AS name, lower(replace(s_name, '#', ' ')) AS text FROM supplier"
 query("e10_semantic_matches", lambda k: E.semantic_matches((lambda a, b: a.join(b, F.arrays_overlap("wa", "wb") & (F.col("key") == F.col("kb"))).select("a", "b", F.round(X.cosine(F.col("va"), F.col("vb")), 5).alias("confidence"), F.lit(True).alias("type_fits")))(
           k.sql(ALIKE).select(F.concat(F.lit("new "), "name").alias("a"), models.embed(F.col("text")).alias("va"), F.split("text", " ").alias("wa"), F.element_at(F.split("text", " "), -1).alias("key")),
           k.sql(ALIKE).select(F.col("name").alias("b"), models.embed(F.concat("text", F.lit(" ltd"))).alias("vb"), F.split("text", " ").alias("wb"), F.element_at(F.split("text", " "), -1).alias("kb")))).select("a", "b"),
       "SELECT 'new ' || s_name AS a, s_name AS b FROM supplier")
-query("l12_review_scores", lambda k: k.kdiscoveries.filter("type = 'proactive_connection'").select("id", F.round(X.clamp(0.5 + F.col("score") / 2, 0.0, 1.0), 6).alias("score")), "SELECT id, round(greatest(0e0, least(1e0, 0.5e0 + score / 2)), 6) AS score FROM kdiscoveries WHERE type = 'proactive_connection'")
-
 query("l15_repair_plan", lambda k: E.repair_plan(issues(k)).select("dimension", "mode", "action"), "SELECT * FROM (VALUES ('islands', 'review', 'link_or_archive'), ('stubs', 'observe', 'enrich'), ('titles', 'auto', 'derive_title'), ('dangling', 'auto', 'create_stub')) t(dimension, mode, action)")
 query("n15_repair_actions", lambda k: E.repair_plan(k.kdiscoveries.select(F.col("type").alias("dimension"))).select("dimension", "n", "mode"), "SELECT type AS dimension, count(*) AS n, 'blocked' AS mode FROM kdiscoveries GROUP BY type")
-query("l22_stale_seals", lambda k: E.stale_seals(k.kchunks, k.kchunks.filter("summary_level = 1").select(F.col("page_slug").alias("slug"), F.sha2("content", 256).alias("sealed_hash"))).groupBy("state").agg(F.count("*").alias("n")),
-      "SELECT CASE WHEN s.page_slug IS NULL THEN 'unsealed' ELSE 'changed' END AS state, count(*) AS n FROM (SELECT DISTINCT page_slug FROM kchunks WHERE summary_level = 0) r LEFT JOIN (SELECT page_slug FROM kchunks WHERE summary_level = 1) s ON s.page_slug = r.page_slug GROUP BY 1")
-query("l23_dossier_inputs", lambda k: V.evidence_pack(k.kpages.filter("type = 'entity/company'").select("slug"), k.ktimeline, k.klinks, k.kchunks).select("slug", "links", "status"),
-      f"SELECT p.slug, least(count(l.s), 5) AS links, CASE WHEN count(l.s) > 0 THEN 'partial' ELSE 'insufficient' END AS status FROM kpages p LEFT JOIN (SELECT from_slug AS s FROM klinks WHERE {CURRENT} UNION ALL SELECT to_slug FROM klinks WHERE {CURRENT}) l ON l.s = p.slug WHERE type = 'entity/company' GROUP BY p.slug")
-query("l24_project_state", lambda k: k.events.select("event_id", F.from_json("props", "k int").alias("s")).select("event_id", F.col("s.k").cast("long").alias("k"), (F.col("s.k") < 10).cast("int").alias("stale")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(CAST(json_extract_string(props, '$.k') AS INT) < 10 AS INT) AS stale FROM events")
-query("l25_rule_flags", lambda k: E.rule_flags(k.klinks, {"self_loop": F.col("from_slug") == F.col("to_slug"), "weak": F.col("weight") < 0.3, "untrusted": F.col("trust_state").isNull()}), "SELECT 'self_loop' AS code, count(*) AS n FROM klinks WHERE from_slug = to_slug HAVING count(*) > 0 UNION ALL SELECT 'weak', count(*) FROM klinks WHERE weight < 0.3e0 HAVING count(*) > 0 UNION ALL SELECT 'untrusted', count(*) FROM klinks WHERE trust_state IS NULL HAVING count(*) > 0")
 
-query("m13_trace_steps", lambda k: k.ksearch.select("session_id", F.expr("stack(2, 'search', latency_ms, 'rank', hit_count)").alias("kind", "value")).groupBy("kind").agg(F.sum("value").alias("total")), "SELECT 'search' AS kind, sum(latency_ms)::BIGINT AS total FROM ksearch UNION ALL SELECT 'rank', sum(hit_count)::BIGINT FROM ksearch")
+query("l25_rule_flags", lambda k: E.rule_flags(k.klinks, {"self_loop": F.col("from_slug") == F.col("to_slug"), "weak": F.col("weight") < 0.3, "untrusted": F.col("trust_state").isNull()}), "SELECT 'self_loop' AS code, count(*) AS n FROM klinks WHERE from_slug = to_slug HAVING count(*) > 0 UNION ALL SELECT 'weak', count(*) FROM klinks WHERE weight < 0.3e0 HAVING count(*) > 0 UNION ALL SELECT 'untrusted', count(*) FROM klinks WHERE trust_state IS NULL HAVING count(*) > 0")
 
 query("n5_frontmatter_managers", lambda k: k.sql("SELECT 'p-' || CAST(c_custkey AS STRING) AS slug, '---' || chr(10) || 'reports_to: entity/person/c-' || CAST(c_custkey * 2 AS STRING) || chr(10) || '---' || chr(10) || 'x' AS t FROM customer").select("slug", F.element_at(N.frontmatter(F.col("t"))["fields"], "reports_to").alias("boss")).join(k.kpages.select(F.col("slug").alias("boss")), "boss").select("slug", "boss"),
       "SELECT 'p-' || CAST(c_custkey AS VARCHAR) AS slug, 'entity/person/c-' || CAST(c_custkey * 2 AS VARCHAR) AS boss FROM customer WHERE c_custkey * 2 IN (SELECT c_custkey FROM customer)")
 FACTS = "SELECT 'c-' || CAST(o_custkey AS STRING) AS slug, 'entity/person' AS type, CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'birthday' WHEN 1 THEN 'current_title' ELSE 'shoe_size' END AS field, o_orderpriority AS value, CAST(o_orderkey % 10 AS DOUBLE) / 10e0 AS confidence FROM orders"
-query("n6_extraction_merges", lambda k: k.sql(FACTS).groupBy("slug").agg(F.count_distinct("field").alias("fields"), F.max("confidence").alias("confidence")), f"SELECT slug, count(DISTINCT field) AS fields, max(confidence) AS confidence FROM ({FACTS}) f GROUP BY slug")
+
 query("n7_structured_facts", lambda k: E.best_facts(k.sql(FACTS), {"entity/person": ["birthday", "current_title"]}).select("slug", "field", "value"), f"SELECT slug, field, value FROM (SELECT *, row_number() OVER (PARTITION BY slug, field ORDER BY confidence DESC, value) AS rn FROM ({FACTS}) f WHERE field IN ('birthday', 'current_title')) x WHERE rn = 1")
-query("n9_ingest_outcomes", lambda k: E.ingest_outcomes(k.sql("SELECT doc_id AS id, source AS title, md5(text) AS hash FROM documents"), k.sql("SELECT source AS title, md5(text) AS hash FROM documents WHERE doc_id < 100")).groupBy("outcome").agg(F.count("*").alias("n")),
-      "SELECT CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id < 100) THEN 'duplicate' WHEN source IN (SELECT source FROM documents WHERE doc_id < 100) THEN 'updated' ELSE 'created' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
+
 query("n11_resolve_or_create", lambda k: N.layered_match(k.sql("SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'zz ' || p_name END AS name FROM part"), k.kpages.filter("type = 'concept/product'"), k.kaliases).groupBy("layer").agg(F.count("*").alias("n")),
       "SELECT CASE WHEN name LIKE 'zz %' THEN 'new' ELSE 'exact' END AS layer, count(*) AS n FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'zz ' || p_name END AS name FROM part) x GROUP BY 1")
-query("n12_backfill_jobs", lambda k: k.sql("SELECT slug, md5('doc ' || CAST(doc_id AS STRING)) AS fp FROM (SELECT doc_id, 'records/doc-' || CAST(doc_id AS STRING) AS slug FROM documents) d").join(k.kpages.select("slug", F.col("content_hash").alias("fp")), ["slug", "fp"], "left_semi").select("slug"), "SELECT 'records/doc-' || CAST(doc_id AS VARCHAR) AS slug FROM documents WHERE doc_id % 31 <> 0")
+
 query("n17_stale_stubs", lambda k: E.stale_stubs(k.sql("SELECT 'stub-' || CAST(doc_id AS STRING) AS slug, lang AS title, 'd' || CAST(doc_id AS STRING) AS source_slug FROM documents"), k.sql("SELECT 'd' || CAST(doc_id AS STRING) AS slug, text FROM documents WHERE doc_id % 2 = 0")), "SELECT 'stub-' || CAST(doc_id AS VARCHAR) AS slug FROM documents WHERE doc_id % 2 = 1 OR NOT contains(text, lang)")
 
 
