@@ -13,7 +13,7 @@ are many, so its memory is bounded. Words with more than 1/65536 of all tokens (
 their counts) are dealt by pair instead, so a hot word fills no part. A part sends each buffer of texts the counts of its
 pairs and words there, in the order of the buffer's tokens: some 4 bytes a token, however many parts there are. It also
 writes, for each context, numbers of followers with count 1..5 and the sum of their P1; and for unseen pairs whose context
-is no hot word, the context asked for. These tables are partitioned by kind. The counts are gathered by buffer, where each
+is no hot word, the context asked for. These are rows of one table, told apart by their kind. The counts are gathered by buffer, where each
 text's tokens are summed (the hot words' back-off weights are sent to all tasks), and the other contexts' weights joined to
 the texts that asked. What is gathered grows with the input.
 
@@ -40,13 +40,13 @@ from loomwell.llm.scratch import Scratch, arrow_rows, free_shuffles, small_batch
 GT = 5
 RESERVE = 0.01
 END, START = np.uint64(0xA5C1E9D3B7F02461), np.uint64(0x5B3D9F1742C8E0A7)
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 PART_TOKENS = 16_000_000  # of one task, which handles SUB_TOKENS at a time
-SUB_TOKENS = 700_000
+SUB_TOKENS = 400_000
 HOT_SHARE = 65_536
 TEXT_BITS = 16  # of a text's number in its buffer
 MOST_TEXTS = 65_000
-MOST_CONTEXTS = 1_000_000  # that a part holds
+MOST_CONTEXTS = 300_000  # that a part holds
 
 
 def tokens_of(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, token, _ = tokens_of(w)
             held.append(token[train[w.first + doc]])
             size += len(held[-1])
-            if size >= 2 * FLUSH_TOKENS:
+            if size >= 3 * FLUSH_TOKENS:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -454,7 +454,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scr
     dealt = docs.mapInArrow(_deal(shared, parts, subs), "part int, sub int, payload binary")
     dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "sub")
     with arrow_rows(spark, 64):  # a row of tokens holds up to some 100 kB
-        table = scratch.table(dealt.mapInArrow(_part_sums(shared), OUT), "parts", partition_by="kind")
+        table = scratch.table(dealt.mapInArrow(_part_sums(shared), OUT), "parts")
     del dealt
     free_shuffles(spark)
     row = table.filter("kind = 3").agg(*[F.sum(f"k{r}") for r in range(1, GT + 1)], F.sum("b")).first()
