@@ -9,12 +9,12 @@ A text's tokens are its words and one end; the context of the first is a start m
 How it runs. Pass 1 counts words (pre-aggregated per buffer) into a table. Pass 2 deals every token of every text, packed,
 into parts by its word: there the word's count and all its pairs' counts are known, since all tokens of a pair meet. A
 part's task goes through its words in ranges and keeps nothing of a range but sums by context, which it writes whenever they
-are many, so its memory is bounded. Words with more than 1/65536 of all tokens (so at most 65,536, sent to all tasks with
-their counts) are dealt by pair instead, so a hot word fills no part. A part sends each buffer of texts the counts of its
+are many, so its memory is bounded. The 65,535 commonest words are sent to all tasks with their counts, so that two bytes name
+them; those with more than 1/65536 of all tokens are dealt by pair instead, so a hot word fills no part. A part sends each buffer of texts the counts of its
 pairs and words there, in the order of the buffer's tokens: some 4 bytes a token, however many parts there are. It also
 writes, for each context, numbers of followers with count 1..5 and the sum of their P1; and for unseen pairs whose context
-is no hot word, the context asked for. These are rows of one table, told apart by their kind. The counts are gathered by buffer, where each
-text's tokens are summed (the hot words' back-off weights are sent to all tasks), and the other contexts' weights joined to
+is no common word, the context asked for. These are rows of one table, told apart by their kind. The counts are gathered by buffer, where each
+text's tokens are summed (the common words' back-off weights are sent to all tasks), and the other contexts' weights joined to
 the texts that asked. What is gathered grows with the input.
 
 Edge cases: a null text has the end as its only token; rows with a null doc_id are scored but not learned from; identical rows are
@@ -44,6 +44,7 @@ FLUSH_TOKENS = 1_000_000
 PART_TOKENS = 16_000_000  # of one task, which handles SUB_TOKENS at a time
 SUB_TOKENS = 400_000
 HOT_SHARE = 65_536
+HOT_WORDS = 65_535  # numbers of 16 bits, 0 for all others
 TEXT_BITS = 16  # of a text's number in its buffer
 MOST_TEXTS = 65_000
 MOST_CONTEXTS = 300_000  # that a part holds
@@ -92,9 +93,14 @@ class Unigrams:
     discount: np.ndarray  # of counts 1..GT at [1..GT]
     unknown: float  # probability of the unknown word
     scale: float
-    hot: np.ndarray  # sorted hashes of hot words
+    hot: np.ndarray  # sorted hashes of the commonest words
     hot_counts: np.ndarray
 
+    @property
+    def split(self) -> np.ndarray:
+        """Which of these are dealt by pair."""
+        return self.hot_counts > max(1, self.total // HOT_SHARE)
+
     def p1(self, c: np.ndarray) -> np.ndarray:
         d = np.where(c <= GT, self.discount[np.minimum(c, GT)], 1.0)
         return np.where(c > 0, self.scale * d * c / max(1, self.total), self.unknown)
@@ -125,7 +131,7 @@ def unigrams(words: DataFrame) -> Unigrams:
     scale = 1.0
     if not freed > 0:
         scale, freed = total / (total + 1.0), 1.0 / (total + 1.0)
-    hot = words.filter(F.col("c") > max(1, total // HOT_SHARE)).toPandas()  # fewer than HOT_SHARE rows
+    hot = words.orderBy(F.desc("c"), "w").limit(HOT_WORDS).toPandas()
     h = hot["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return Unigrams(total, distinct, d, freed, scale, h[order], hot["c"].to_numpy(np.int64)[order])
@@ -153,7 +159,7 @@ def _deal(shared, parts: int, subs: int):
     and a pair begin and where a text is learned from, contexts (hot ones by their number), and the texts' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value.hot
+        hot, split = shared.value.hot, shared.value.split
         held: list[tuple] = []
         tables: list[np.ndarray] = []
         size = texts = 0
@@ -166,7 +172,9 @@ def _deal(shared, parts: int, subs: int):
             held, tables, size, texts = [], [], 0, 0
             uid += 1
             # ranges of the word's hash, of the pair's for hot words
-            is_hot, _ = _find(hot, v)
+            is_hot, at = _find(hot, v)
+            if len(hot):
+                is_hot &= split[at]
             place = np.where(is_hot, K.mix(u * K.PLACES[0] + v), v)
             order = np.argsort((place & np.uint64(0xFFFFFFFF00000000)) | (K.mix(u) >> np.uint64(32)))
             doc, v, u, place = doc[order], v[order], u[order], place[order]
@@ -463,7 +471,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scr
     contexts = table.filter("kind = 1").groupBy("a").agg(*[F.sum(f"k{r}").alias(f"k{r}") for r in range(1, GT + 1)], F.sum("x").alias("x"))
     contexts = contexts.select("a", F.log10(freed / (1 - F.col("x"))).alias("weight"))
     hot = spark.createDataFrame(pd.DataFrame({"a": K.long_of(uni.hot), "code": np.arange(1, len(uni.hot) + 1)}), "a long, code int")
-    found = contexts.join(F.broadcast(hot), "a").select("code", "weight").toPandas()  # fewer than HOT_SHARE rows
+    found = contexts.join(F.broadcast(hot), "a").select("code", "weight").toPandas()  # HOT_WORDS rows at most
     weights = np.zeros(len(uni.hot) + 1)
     weights[found["code"].to_numpy(np.int64)] = found["weight"].to_numpy(float)
     asked = table.filter("kind = 2").select("a", F.col("b").alias("code"), F.col("k1").alias("n")).join(contexts, "a")

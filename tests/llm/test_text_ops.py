@@ -187,6 +187,7 @@ def test_katz(docs, corpus, monkeypatch, hot, part_tokens):
     monkeypatch.setattr(katz, "FLUSH_TOKENS", 4000)
     monkeypatch.setattr(katz, "SUB_TOKENS", 1500)
     monkeypatch.setattr(katz, "HOT_SHARE", hot)
+    monkeypatch.setattr(katz, "HOT_WORDS", hot - 1)
     key = lambda r: (r[0], r[2])
     got = sorted((tuple(r) for r in katz.score_documents(docs).collect()), key=key)
     want = sorted(brute_katz([r[:2] for r in corpus]), key=key)
