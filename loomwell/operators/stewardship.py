@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
+from loomwell.operators.lineage import cut
 from loomwell.operators.relational import first_by
 
 # Groups of types that may stand for the same thing.
@@ -87,6 +88,19 @@ def claim(jobs: DataFrame, n: int = 1) -> DataFrame:
     return jobs.filter("status = 'pending'").orderBy(F.desc("priority"), "id").limit(n).withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
 
 
+def work(jobs: DataFrame, run, as_of: str, rounds: int, most: int = 1000) -> DataFrame:
+    """A worker's rounds over jobs (id, status, attempts, max_attempts, priority, started_at, result): in each it claims the next pending
+    ones, ``run`` gives one event for each (id, op, result), and their states move on. It ends when nothing is pending. Cancelled
+    jobs are never claimed; one that is cancelled while it runs ends at the round's end."""
+    for _ in range(rounds):
+        mine = cut(claim(jobs, most))
+        if not mine.limit(1).count():
+            break
+        after = job_step(mine, run(mine), as_of).join(mine.select("id", "priority", "max_attempts"), "id")
+        jobs = cut(jobs.join(mine.select("id"), "id", "left_anti").unionByName(after.select(jobs.columns)))
+    return jobs
+
+
 # ---- recommendation records ----
 
 def canonical_json(fields: Column) -> Column:

@@ -41,6 +41,23 @@ query("m11_job_step", lambda k: S.job_step(k.sql(STEPPED).select("id", "status",
           t AS (SELECT *, status = 'failed' AND op = 'retry' AS again, next = 'running' AND started_at <= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 525600 MINUTE AS stale, coalesce(live AND op = 'complete', FALSE) AS finished FROM s)
           SELECT id, CASE WHEN stale THEN 'pending' ELSE next END AS status, CASE WHEN coalesce(again, FALSE) THEN 0 ELSE attempts END AS attempts, CAST(stale OR coalesce(again, FALSE) AS INT) AS unstarted, CASE WHEN finished THEN 'end' ELSE stage END AS stage, '1' AS was, CASE WHEN finished THEN '2' END AS now FROM t""")
 
+QUEUED = "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'cancelled' ELSE 'pending' END AS status, CAST(o_orderkey % 2 AS INT) AS attempts, 3 AS max_attempts, CAST(o_custkey % 5 AS INT) AS priority, CAST(NULL AS TIMESTAMP) AS started_at, CAST(o_custkey % 7 AS INT) AS luck FROM orders"
+
+
+def worked(k):
+    luck = k.sql(QUEUED).select("id", "luck")
+
+    def run(claimed):
+        op = F.when(F.col("luck") == 0, "cancel").when((F.col("luck") < 3) & (F.col("attempts") < 10), "fail").otherwise("complete")
+        return claimed.join(luck, "id").select("id", op.alias("op"), F.create_map(F.lit("by"), F.lit("worker")).alias("result"))
+
+    jobs = k.sql(QUEUED).drop("luck").withColumn("result", F.lit(None).cast("map<string,string>"))
+    return S.work(jobs, run, ORDER_AS_OF, 5, 10**6).select("id", "status", "attempts", F.col("result")["by"].alias("by"))
+
+
+query("t10_worker", worked,
+      f"SELECT id, CASE WHEN status = 'cancelled' OR luck = 0 THEN 'cancelled' WHEN luck < 3 THEN 'failed' ELSE 'done' END AS status, CASE WHEN status = 'cancelled' THEN attempts WHEN luck IN (1, 2) THEN 3 ELSE attempts + 1 END AS attempts, CASE WHEN status <> 'cancelled' AND luck >= 3 THEN 'worker' END AS by FROM ({QUEUED}) q")
+
 # ---- records ----
 RECORDS = """SELECT 'r' || CAST(o_orderkey AS STRING) AS record_id, 'k' || CAST(o_custkey AS STRING) AS key, o_orderpriority AS priority, o_orderstatus AS status, CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' WHEN 2 THEN 'superseded' ELSE 'current' END AS lifecycle,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE TIMESTAMP '2030-01-01 00:00:00' END AS suppressed_until, o_orderkey AS seq FROM orders"""

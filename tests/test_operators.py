@@ -11,7 +11,8 @@ from loomwell.operators import knowledge as N
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
 from loomwell.plans import models
-from loomwell.plans.nightly import Nightly, research
+from loomwell.operators.inquiry import research
+from loomwell.plans.nightly import Lock, Nightly
 from loomwell.sources import vault
 from pyspark.sql import functions as F
 
@@ -83,7 +84,10 @@ def test_components_are_stable(spark, links):
 def test_org_tree_marks_cycles(spark, pages):
     rows = [link("a", "b", "reports_to"), link("b", "c", "reports_to"), link("c", "a", "reports_to")]
     got = G.org_tree(spark.createDataFrame(rows, LINK), pages, "c", 5).collect()
-    assert [(r.slug, r.depth, r.cycle, r.kind) for r in got] == [("c", 0, 0, "unknown"), ("b", 1, 0, "unknown"), ("a", 2, 0, "unknown"), ("c", 3, 1, "unknown")]
+    assert [(r.slug, r.parent, r.depth, r.cycle, r.kind) for r in got] == [("b", "c", 1, 1, "unknown"), ("a", "b", 2, 1, "unknown")]
+    wide = spark.createDataFrame([link(f"x{i}", "boss", "reports_to") for i in range(5)], LINK)
+    got = G.org_tree(wide, pages, "boss", 9, 3).collect()
+    assert [(r.slug, r.clamped, r.truncated, r.cycle) for r in got] == [(f"x{i}", 1, 1, 0) for i in range(3)]
 
 
 def test_label_propagation_variants(spark):
@@ -151,6 +155,10 @@ def test_wikilinks_and_frontmatter(spark):
     text = "---\ntitle: \"A b\"\ntype: record\n---\n[[One#x|1]] `[[no]]` ![[pic]] [[http://x]] [[b.png]] [[Two]] [[One]]\n```\n[[hidden]]\n```"
     row = spark.createDataFrame([(text,)], "t string").select(N.wikilinks(F.col("t")).alias("w"), N.frontmatter(F.col("t")).alias("f"), N.content_kind(F.col("t")).alias("k")).first()
     assert row.w == ["One", "Two"] and row.f.fields == {"title": "A b", "type": "record"} and row.k == "markdown" and row.f.body.startswith("[[One")
+    again = "---\na: 1\na: 2\nb:\n  - x\n  - 'y z'\nc: [p, q]\nd:\n  e: 5\n---\n"
+    row = spark.createDataFrame([(again,), ("no block",), ("",), (None,)], "t string").select(N.frontmatter(F.col("t")).alias("f")).collect()
+    assert row[0].f.lists == {"a": ["2"], "b": ["x", "y z"], "c": ["p", "q"], "d": [], "d.e": ["5"]} and row[0].f.fields["b"] == "x, y z"
+    assert row[1].f.fields == {} and row[1].f.body == "no block" and row[2].f.fields == {}
 
 
 def test_dates_are_normalised(spark):
@@ -172,9 +180,11 @@ def test_lexical_functions():
     assert L.coverage("alpha beta", "x alpha beta y") == 1.0 and L.coverage("alpha beta", "alpha only") == 0.0
     assert L.coverage("one two three four five", "one two three. four five") == pytest.approx(0.6)
     assert L.coverage("项目进展", "关于项目进展的说明") == 1.0 and L.coverage("", "x") == 0.0
-    assert L.cause_sentence("red widget order failure cause", "The red widget order failure happened due to rain. Fine.").endswith("rain.")
-    assert L.cause_sentence("red widget order failure cause", "Maybe the red widget order failure was due to rain.") is None
-    assert L.table_value("# Q1\n| a | 1 | 2 | 3 |\n# Q2\n| a | 9 | 2 | 3 |", "Q2", "A") == "9"
+    asked = "华东 仓库 延误 原因"
+    assert L.cause_sentence(asked, "前言。华东的 仓库延误，原因是暴雨Ａ。后记") == "华东的 仓库延误，原因是暴雨Ａ。"
+    for text in ("华东仓库延误原因是暴雨吗？", "华东仓库延误原因可能是暴雨", "仓库华东延误原因是暴雨", "华东仓库延误原因是暴雨﹖", "在华东仓库延误原因是雨", "", None):
+        assert L.cause_sentence(asked, text) is None
+    assert L.cause_sentence("仓库 延误 原因", "仓库延误原因是暴雨") is None and L.cause_sentence("华东 仓库 延误 情况", "华东仓库延误情况原因是暴雨") is None
 
 
 def test_front_door(spark):
@@ -225,8 +235,20 @@ def test_research_asks_each_query_once(spark):
         asked.append(q)
         return spark.createDataFrame([(q + "1",)], "slug string")
 
-    got = research(search, lambda hits: ["a", "b"], "a", rounds=3).collect()
-    assert asked == ["a", "b"] and {r.query for r in got} == {"a", "b"}
+    got = research(search, lambda hits: ["a", " A ", "b", "c", "d", "e"], "a", rounds=3).collect()
+    assert asked == ["a", "b", "c", "d", "e"] and {(r.query, r.round) for r in got} == {("a", 0), ("b", 1), ("c", 1), ("d", 1), ("e", 2)}
+
+
+def test_nightly_lock(spark, tmp_path):
+    import time
+
+    lock = Lock(spark, str(tmp_path / "lock"))
+    assert lock.acquire(time.time()) and not lock.acquire(time.time()) and lock.acquire(time.time() + 31 * 60)
+    run = Nightly(str(tmp_path / "n"), [("one", lambda t, a: {})], lock=lock)
+    assert run.run({}, "x") == {} and [(r.stage, r.ok) for r in run.reports] == [("lock", False)]
+    lock.release()
+    run.run({}, "x")
+    assert [r.stage for r in run.reports] == ["lock", "one"] and lock.acquire(time.time())
 
 
 def test_stream_twins_equal_batch(spark, tmp_path):
