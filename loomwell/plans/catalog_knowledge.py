@@ -120,9 +120,12 @@ def issues(k: Knowledge) -> DataFrame:
             .unionByName(part(R.dangling(k.klinks, k.kpages).select(F.col("link_key").alias("slug")), "dangling", "high")))
 
 
-query("l17_health", lambda k: N.health_status(issues(k)), f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS n FROM e GROUP BY slug),
+#: The same findings in SQL: i(dimension, severity).
+ISSUES = f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS n FROM e GROUP BY slug),
   i AS (SELECT 'islands' AS dimension, 'medium' AS severity FROM kpages WHERE slug NOT IN (SELECT slug FROM e) UNION ALL SELECT 'stubs', 'low' FROM kpages p LEFT JOIN d ON d.slug = p.slug WHERE tier = 3 AND (type LIKE 'entity/%' OR type LIKE 'concept/%') AND mention_count <= 1 AND coalesce(n, 0) <= 1
-    UNION ALL SELECT 'titles', 'high' FROM kpages WHERE trim(title) = '' UNION ALL SELECT 'dangling', 'high' FROM klinks WHERE from_slug NOT IN (SELECT slug FROM kpages) UNION ALL SELECT 'dangling', 'high' FROM klinks WHERE to_slug NOT IN (SELECT slug FROM kpages))
+    UNION ALL SELECT 'titles', 'high' FROM kpages WHERE trim(title) = '' UNION ALL SELECT 'dangling', 'high' FROM klinks WHERE from_slug NOT IN (SELECT slug FROM kpages) UNION ALL SELECT 'dangling', 'high' FROM klinks WHERE to_slug NOT IN (SELECT slug FROM kpages))"""
+
+query("l17_health", lambda k: N.health_status(issues(k)), f"""{ISSUES}
   SELECT dimension, severity, count(*) AS n, CASE WHEN (SELECT count(*) FROM i WHERE severity = 'high') > 5 THEN 'fail' ELSE 'warn' END AS status FROM i GROUP BY 1, 2""")
 query("l18_health_delta", lambda k: N.issue_delta(k.kpages.filter("tier = 3").select("slug", F.col("type").alias("dimension")), k.kpages.filter("mention_count < 5").select("slug", F.col("type").alias("dimension"))),
       "SELECT type AS dimension, CASE WHEN tier = 3 AND mention_count < 5 THEN 'unchanged' WHEN tier = 3 THEN 'resolved' ELSE 'new' END AS state, count(*) AS n FROM kpages WHERE tier = 3 OR mention_count < 5 GROUP BY 1, 2")

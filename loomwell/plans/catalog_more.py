@@ -11,7 +11,7 @@ from loomwell.operators import knowledge as N
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
 from loomwell.plans import models
-from loomwell.plans.catalog_knowledge import issues
+from loomwell.plans.catalog_knowledge import ISSUES, issues
 from loomwell.plans.catalog_relational import ACTIVE, CURRENT, NEIGHBOURS
 from loomwell.plans.catalog_retrieval import COS, LABELS, Q, bm25, pairs_of, query_vector
 from loomwell.plans.registry import query
@@ -47,7 +47,9 @@ query("e10_semantic_matches", lambda k: E.semantic_matches((lambda a, b: a.join(
           k.sql(ALIKE).select(F.concat(F.lit("new "), "name").alias("a"), models.embed(F.col("text")).alias("va"), F.split("text", " ").alias("wa"), F.element_at(F.split("text", " "), -1).alias("key")),
           k.sql(ALIKE).select(F.col("name").alias("b"), models.embed(F.concat("text", F.lit(" ltd"))).alias("vb"), F.split("text", " ").alias("wb"), F.element_at(F.split("text", " "), -1).alias("kb")))).select("a", "b"),
       "SELECT 'new ' || s_name AS a, s_name AS b FROM supplier")
-query("l15_repair_plan", lambda k: E.repair_plan(issues(k)).select("dimension", "mode", "action"), "SELECT * FROM (VALUES ('islands', 'review', 'link_or_archive'), ('stubs', 'observe', 'enrich'), ('titles', 'auto', 'derive_title'), ('dangling', 'auto', 'create_stub')) t(dimension, mode, action)")
+query("l15_repair_plan", lambda k: E.repair_plan(issues(k)).select("dimension", "n", "mode", "action"), f"""{ISSUES}
+  SELECT dimension, count(*) AS n, CASE dimension WHEN 'islands' THEN 'review' WHEN 'stubs' THEN 'observe' ELSE 'auto' END AS mode,
+    CASE dimension WHEN 'islands' THEN 'link_or_archive' WHEN 'stubs' THEN 'enrich' WHEN 'titles' THEN 'derive_title' ELSE 'create_stub' END AS action FROM i GROUP BY 1""")
 query("n15_repair_actions", lambda k: E.repair_plan(k.kdiscoveries.select(F.col("type").alias("dimension"))).select("dimension", "n", "mode"), "SELECT type AS dimension, count(*) AS n, 'blocked' AS mode FROM kdiscoveries GROUP BY type")
 
 query("l25_rule_flags", lambda k: E.rule_flags(k.klinks, {"self_loop": F.col("from_slug") == F.col("to_slug"), "weak": F.col("weight") < 0.3, "untrusted": F.col("trust_state").isNull()}), "SELECT 'self_loop' AS code, count(*) AS n FROM klinks WHERE from_slug = to_slug HAVING count(*) > 0 UNION ALL SELECT 'weak', count(*) FROM klinks WHERE weight < 0.3e0 HAVING count(*) > 0 UNION ALL SELECT 'untrusted', count(*) FROM klinks WHERE trust_state IS NULL HAVING count(*) > 0")
