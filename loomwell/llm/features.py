@@ -102,8 +102,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, sha
     with the smallest hashes of doc_id. ``change`` gives a second version of each text. All grades are learned; their
     numbers, one row a grade, come to the driver.
 
-    Returns y; for 'x' (and 'z', the changed texts) row pointers and dimensions; and of each grade in 'grades' its number of
-    labelled documents outside the fold ('sizes').
+    Returns y; for 'x' (and 'z', the texts that were changed, of the rows numbered in 'z_at') row pointers and dimensions; and
+    of each grade in 'grades' its number of labelled documents outside the fold ('sizes').
     """
     small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, fold))
@@ -135,39 +135,68 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, sha
             z = [None if k else d for k, d in zip(same, out["z"])] if change else [None] * len(x)  # null: as x
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary()), pa.array(z, pa.binary())], ["y", "x", "z"])
 
-    got = rows.select("text", "y").mapInArrow(run, "y int, x binary, z binary").toPandas()
-    result: dict[str, np.ndarray] = {"y": got["y"].to_numpy(np.int64), "grades": np.array(list(sizes), np.int64), "sizes": np.array(list(sizes.values()), float)}
-    for name in ("x", "z") if change else ("x",):
-        parts = [np.frombuffer(x if own is None else own, np.int32) for x, own in zip(got["x"], got[name])]
-        result[name + "_ptr"] = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        result[name + "_dim"] = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    got = rows.select("text", "y").mapInArrow(run, "y int, x binary, z binary").toArrow()
+    result: dict[str, np.ndarray] = {"y": got["y"].to_numpy().astype(np.int64), "grades": np.array(list(sizes), np.int64), "sizes": np.array(list(sizes.values()), float)}
+    result["x_ptr"], result["x_dim"] = _joined(got["x"])
+    if change:
+        result["z_at"] = np.flatnonzero(got["z"].is_valid().to_numpy())
+        result["z_ptr"], result["z_dim"] = _joined(got["z"].drop_null())
     return result
 
 
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pointers into, and all of, the 32-bit numbers that the values of a binary column hold."""
+    sizes, numbers = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and offsets is not None:
+            at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            sizes.append(np.diff(at) // 4)
+            if data is not None:
+                numbers.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int32))
+    return np.cumsum(np.concatenate(sizes)), np.concatenate(numbers)
+
+
+def _blocks(ptr: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` entries, so that sums over all rows need little memory beside the rows."""
+    i = 0
+    while i < len(ptr) - 1:
+        j = max(i + 1, int(np.searchsorted(ptr, ptr[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def row_sums(weights: np.ndarray, ptr: np.ndarray, dim: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0.0], np.cumsum(weights[dim])))
-    return sums[ptr[1:]] - sums[ptr[:-1]]
+    out = np.empty(len(ptr) - 1)
+    for i, j in _blocks(ptr):
+        sums = np.concatenate(([0.0], np.cumsum(weights[dim[ptr[i] : ptr[j]]])))
+        cuts = ptr[i : j + 1] - ptr[i]
+        out[i:j] = sums[cuts[1:]] - sums[cuts[:-1]]
+    return out
 
 
 def column_sums(per_row: np.ndarray, ptr: np.ndarray, dim: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(dim, weights=np.repeat(per_row, np.diff(ptr)), minlength=size)
+    out = np.zeros(size)
+    for i, j in _blocks(ptr):
+        out += np.bincount(dim[ptr[i] : ptr[j]], weights=np.repeat(per_row[i:j], np.diff(ptr[i : j + 1])), minlength=size)
+    return out
 
 
 def common_dims(data: dict[str, np.ndarray], least: int) -> np.ndarray:
     """Dimensions that at least ``least`` training rows have."""
-    return np.flatnonzero(np.bincount(data["x_dim"], minlength=DIM) >= least)
+    return np.flatnonzero(column_sums(np.ones(len(data["y"])), data["x_ptr"], data["x_dim"], DIM) >= least)
 
 
 def project(data: dict[str, np.ndarray], dims: np.ndarray) -> dict[str, np.ndarray]:
     """The rows with only these dimensions, renumbered."""
-    at = np.full(DIM, -1)
+    at = np.full(DIM, -1, np.int32)
     at[dims] = np.arange(len(dims))
     out = {"y": data["y"]}
     for name in ("x", "z"):
         if name + "_ptr" in data:
+            kept = row_sums((at >= 0).astype(float), data[name + "_ptr"], data[name + "_dim"])
             new = at[data[name + "_dim"]]
-            rows = np.repeat(np.arange(len(data["y"])), np.diff(data[name + "_ptr"]))[new >= 0]
-            out[name + "_ptr"] = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(data["y"])))))
+            out[name + "_ptr"] = np.concatenate(([0], np.cumsum(kept.astype(np.int64))))
             out[name + "_dim"] = new[new >= 0]
     return out
 

@@ -67,22 +67,30 @@ def fit(data: dict[str, np.ndarray], pairing: float = 1.0, l1: float = 1e-3, lea
     dims = X.common_dims(data, least)
     rows = X.project(data, dims)
     n, d = len(y), len(dims)
-    swapped = "z_ptr" in rows
-    if swapped:  # most texts name no group: only the others have a term
-        z_rows = np.array([not np.array_equal(data["x_dim"][data["x_ptr"][i] : data["x_ptr"][i + 1]], data["z_dim"][data["z_ptr"][i] : data["z_ptr"][i + 1]]) for i in range(n)])
-        swapped = bool(z_rows.any())
+    at = data["z_at"] if "z_at" in data else np.zeros(0, np.int64)  # most texts name no group: only the others have a term
+
+    def differs(k: int) -> bool:
+        """Whether the k-th changed text has other features than before."""
+        i = at[k]
+        return not np.array_equal(data["x_dim"][data["x_ptr"][i] : data["x_ptr"][i + 1]], data["z_dim"][data["z_ptr"][k] : data["z_ptr"][k + 1]])
+
+    apart = np.array([differs(k) for k in range(len(at))], bool)
+    pairs = max(1, int(apart.sum()))
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         logit = X.row_sums(p[:d], rows["x_ptr"], rows["x_dim"]) + p[d]
         s = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
         value = float((np.logaddexp(0, logit) - y * logit).mean())
         g = (s - y) / n
-        grad = np.concatenate((X.column_sums(g, rows["x_ptr"], rows["x_dim"], d), [g.sum()]))
-        if swapped:
-            gap = (logit - p[d] - X.row_sums(p[:d], rows["z_ptr"], rows["z_dim"])) * z_rows
-            value += pairing * float((gap * gap).sum()) / max(1, z_rows.sum())
-            h = 2 * pairing * gap / max(1, z_rows.sum())
-            grad[:d] += X.column_sums(h, rows["x_ptr"], rows["x_dim"], d) - X.column_sums(h, rows["z_ptr"], rows["z_dim"], d)
+        per_row = g.copy()
+        if len(at):
+            gap = (logit[at] - p[d] - X.row_sums(p[:d], rows["z_ptr"], rows["z_dim"])) * apart
+            value += pairing * float((gap * gap).sum()) / pairs
+            h = 2 * pairing * gap / pairs
+            per_row[at] += h
+        grad = np.concatenate((X.column_sums(per_row, rows["x_ptr"], rows["x_dim"], d), [g.sum()]))
+        if len(at):
+            grad[:d] -= X.column_sums(h, rows["z_ptr"], rows["z_dim"], d)
         return value, grad
 
     start = np.zeros(d + 1)
