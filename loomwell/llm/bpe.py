@@ -9,8 +9,9 @@ NFC, runs of white space become one space, and letters are lower-cased one by on
 turned into byte symbols, and merged with an end-of-word suffix, which only a word's last fragment gets. Texts with
 characters beyond Latin are normalised by the tokenizers library itself, since case and composition tables could differ.
 
-Edge cases: a null text is empty (no tokens, empty decoding); empty tables give no rows; repeated rows are kept; other
-columns are ignored. A task keeps at most ``CACHE_WORDS`` words.
+Edge cases: a null text is empty (no tokens, empty decoding); a null doc_id is passed through like all others, unchanged; empty
+tables give no rows; repeated rows are kept; other columns are ignored, whatever their names. Very long texts are encoded
+whole, one at a time. A task keeps at most ``CACHE_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import concat
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,17 +154,23 @@ def encode_documents(docs: DataFrame, path: str, keep_text: bool = False) -> Dat
     if keep_text:
         schema += ", ids array<int>, decoded string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_text else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                n, ids, decoded = c.encode_text(text)
-                row = [doc_id, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                rows.append(row + ([[int(i) for i in ids.split()], decoded] if keep_text else []))
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_text else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = pdf["doc_id"].to_numpy() if len(pdf) else out["doc_id"]
-            yield out
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+        for batch in batches:
+            n, ids_hash, text_hash, kept_ids, kept_text = [], [], [], [], []
+            for text in batch.column(1):
+                k, ids, decoded = c.encode_text(text.as_py())
+                n.append(k)
+                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if keep_text:
+                    kept_ids.append([int(i) for i in ids.split()])
+                    kept_text.append(decoded)
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+            if keep_text:
+                arrays += [pa.array(kept_ids, pa.list_(pa.int32())), pa.array(kept_text, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

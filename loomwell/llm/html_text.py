@@ -16,7 +16,9 @@ any labelled page the prior weights below hold. Nothing of a page is cut off whe
 
 Tags follow HTML's rules: unquoted attribute values may hold quotes and slashes, and a slash at the end closes no element but an
 svg or math one. Edge cases: null or empty html gives the empty text; a page whose best region has no words gives the empty text;
-unclosed and stray tags are tolerated; <br> counts as white space; repeated rows are kept; extra columns are ignored.
+unclosed and stray tags are tolerated; <br> counts as white space; repeated rows are kept; extra columns are ignored, whatever their
+names; a null page_id is passed through like all others, unchanged. Very long pages are read whole, in time that grows with their
+length however ill-formed they are.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +121,8 @@ class Page:
         self.marked: list[tuple[str, int, int]] = []  # class words and the events that they are around
         self._stack: list[tuple[str, str, bool, list[str], int]] = []  # name, context, skip, class words, first event
         self._open: list[int] = []
+        self._count: Counter = Counter()  # of names on the stack
+        self._endless: set[str] = set()
         self._parse(source)
 
     def _gone(self, elements: list[tuple[str, str, bool, list[str], int]]) -> None:
@@ -127,10 +132,13 @@ class Page:
             self.marked += [(w, begin, len(self.events)) for w in words]
 
     def _close(self, name: str) -> None:
-        for k in range(len(self._stack) - 1, -1, -1):
-            if self._stack[k][0] == name:
-                self._gone(self._stack[k:])
-                del self._stack[k:]
+        if not self._count[name]:  # a stray end tag
+            return
+        while True:  # each element is left once, so all calls together take linear time
+            top = self._stack.pop()
+            self._count[top[0]] -= 1
+            self._gone([top])
+            if top[0] == name:
                 return
 
     def _text(self, text: str) -> None:
@@ -164,7 +172,10 @@ class Page:
                 self.events.append((0, name, context, skip or never))
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
+                # once a name's end tag was not found, none follows
+                end = None if name in self._endless else re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
+                if not end:
+                    self._endless.add(name)
                 self.events.append((0, name, context, True))
                 at = end.end() if end else n if name in TEXT_ONLY else at
                 continue
@@ -181,6 +192,7 @@ class Page:
             skip = skip or side
             self.events.append((0, name, context, skip))
             self._stack.append((name, context, skip, words, len(self.events)))
+            self._count[name] += 1
             if name == "article":
                 self._open.append(len(self.events))
         self._gone(self._stack)
@@ -288,11 +300,11 @@ def extract_pages(pages: DataFrame, sample: int = 2000) -> DataFrame:
     small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(train(pages, sample))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for pdf in batches:
-            text = [extract(h, weights) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+        for batch in batches:
+            text = [extract(h.as_py(), weights) for h in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     columns = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return columns.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return columns.mapInArrow(run, "page_id long, url string, text string, n_chars long")

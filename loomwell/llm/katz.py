@@ -18,8 +18,8 @@ text's tokens are summed (the common words' back-off weights are sent to all tas
 the texts that asked. What is gathered grows with the input.
 
 Edge cases: a null text has the end as its only token; rows with a null doc_id are scored but not learned from; identical rows are
-scored each; with no training row the score is that of the unknown word at every token; empty tables give no rows;
-extra columns are ignored.
+scored each; with no training row the score is that of the unknown word at every token; empty tables give no rows; very long
+texts are scored whole, in ranges of their own buffer; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -474,7 +474,12 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, scratch: Scr
     found = contexts.join(F.broadcast(hot), "a").select("code", "weight").toPandas()  # HOT_WORDS rows at most
     weights = np.zeros(len(uni.hot) + 1)
     weights[found["code"].to_numpy(np.int64)] = found["weight"].to_numpy(float)
-    asked = table.filter("kind = 2").select("a", F.col("b").alias("code"), F.col("k1").alias("n")).join(contexts, "a")
+    asked = table.filter("kind = 2").select("a", F.col("b").alias("code"), F.col("k1").alias("n"))
+    # the start mark is the context of every text's first token: its weight is one number, not a key that a row a text would meet at
+    begin = int(START.astype(np.int64))
+    first = contexts.filter(F.col("a") == begin).first()
+    at_start = asked.filter(F.col("a") == begin).withColumn("weight", F.lit(first["weight"] if first else 0.0))
+    asked = asked.filter(F.col("a") != begin).join(contexts, "a").unionByName(at_start if first else at_start.limit(0))
     asked = asked.groupBy("code").agg(F.sum(F.col("n") * F.col("weight")).alias("back"))
     packed = table.filter("kind in (0, 4)").select("a", "kind", "data").repartition(max(parts, spark.sparkContext.defaultParallelism), "a").sortWithinPartitions("a", "kind")
     with arrow_rows(spark, 64):

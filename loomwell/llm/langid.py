@@ -18,7 +18,8 @@ until both parses begin a phrase at the same place, after which they are the sam
 All letters of the training text take part, of any script: transitions are kept sparse, so rare letters cost nothing.
 
 Edge cases: null texts, and texts without any letter, are 'und' with score 0; with no labelled row every text is 'und';
-repeated rows are all kept; extra columns are ignored.
+repeated rows are all kept; a null doc_id is passed through like all others, unchanged, and its row is learned from; very long texts are
+parsed whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -290,32 +291,34 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # tables over total_chars characters together
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
-            pred = np.full(len(pdf), "und", object)
-            score = np.zeros(len(pdf))
-            todo = np.flatnonzero(pdf["letters"].fillna(False).to_numpy(bool)) if m.languages else np.zeros(0, int)
-            texts = pdf["text"].to_list()
+        for batch in batches:
+            n = batch.num_rows
+            pred, score = np.full(n, "und", object), np.zeros(n)
+            todo = np.flatnonzero(batch.column(3).fill_null(False).to_numpy(zero_copy_only=False)) if m.languages else np.zeros(0, int)
             step: list[int] = []
+            texts: list[str] = []
             size = 0
             for i in [*todo.tolist(), None]:
-                if step and (i is None or size + len(texts[i]) > 1_000_000):
-                    bits = score_texts(m, [texts[k] for k in step])
+                text = batch.column(1)[i].as_py() if i is not None else ""
+                if step and (i is None or size + len(text) > 1_000_000):
+                    bits = score_texts(m, texts)
                     best = bits.argmin(1)
                     rel = np.exp(-8.0 * (bits - bits.min(1, keepdims=True)) / np.maximum(bits.min(1, keepdims=True), 1e-9))
                     pred[step] = np.array(m.languages, object)[best]
                     score[step] = 1.0 / rel.sum(1)
-                    step, size = [], 0
+                    step, texts, size = [], [], 0
                 if i is not None:
                     step.append(i)
-                    size += len(texts[i])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": pred, "score": score})
+                    texts.append(text)
+                    size += len(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     cols = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out", F.col("text").rlike(r"\p{L}").alias("letters")
     )
-    return cols.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return cols.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def predict_languages(docs: DataFrame, folds: int = 4, fold: int = 2, **bounds: int) -> DataFrame:

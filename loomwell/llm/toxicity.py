@@ -24,23 +24,45 @@ from pyspark.sql import functions as F
 from loomwell.llm import features as X
 from loomwell.llm.scratch import filter_documents, small_batches
 
-#: Groups of identity terms that can stand for each other in a neutral sentence.
-IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
-    ("women", "men", "girls", "boys", "transgender", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
-    ("woman", "man", "girl", "boy", "frau", "mann", "femme", "homme", "mujer", "hombre"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant", "sikh"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants", "sikhs"),
-    ("black", "white", "asian", "latino", "african", "european", "american", "arab", "indigenous"),
-    ("gay", "straight", "lesbian", "bisexual", "queer", "heterosexual", "homosexual"),
-    ("young", "old", "elderly", "teenage", "middle-aged"),
-    ("disabled", "blind", "deaf", "paralyzed", "autistic", "able-bodied"),
-    ("immigrant", "refugee", "native", "foreign", "local"),
-    ("immigrants", "refugees", "natives", "foreigners", "locals"),
-)
-
-
-def swapper(groups: Sequence[Sequence[str]] = IDENTITY_TERMS):
+#: Groups of identity terms that can stand for each other in a neutral sentence: by language, and within it by kind, number and
+#: gender, so that a swapped sentence stays in its language and keeps its grammar. Words of several languages form groups of their own.
+IDENTITY_TERMS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "en": (
+        ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"),
+        ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"), ("christians", "muslims", "jews", "buddhists", "atheists", "catholics", "sikhs"),
+        ("black", "white", "asian", "latino", "african", "european", "american", "arab", "indigenous"), ("lesbian", "straight"), ("lesbians", "heterosexuals"),
+        ("young", "old"), ("elderly", "teenage"), ("disabled", "blind", "deaf", "paralyzed", "autistic"),
+        ("immigrant", "refugee", "foreigner"), ("immigrants", "refugees", "foreigners"),
+    ),
+    "de": (
+        ("frauen", "männer"), ("frau", "mann"), ("christen", "muslime", "juden", "buddhisten", "atheisten", "katholiken"),
+        ("christliche", "muslimische", "jüdische", "hinduistische", "buddhistische"), ("christlichen", "muslimischen", "jüdischen", "hinduistischen", "buddhistischen"),
+        ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "arabische"), ("schwarzen", "weißen", "asiatischen", "afrikanischen", "europäischen", "arabischen"),
+        ("schwule", "lesbische", "bisexuelle", "heterosexuelle"), ("schwulen", "lesbischen", "bisexuellen", "heterosexuellen"),
+        ("blinde", "gehörlose", "behinderte", "gelähmte"), ("blinden", "gehörlosen", "behinderten", "gelähmten"), ("einwanderer", "flüchtlinge", "ausländer"),
+    ),
+    "fr": (
+        ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("fille", "garçon"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+        ("chrétien", "musulman", "juif", "hindou"), ("chrétienne", "juive", "hindoue"), ("noirs", "blancs", "africains", "européens", "asiatiques"),
+        ("homosexuels", "hétérosexuels", "bisexuels"), ("homosexuelles", "hétérosexuelles", "bisexuelles", "lesbiennes"),
+        ("aveugles", "sourds", "handicapés", "paralysés"), ("immigrés", "réfugiés", "étrangers"), ("immigrées", "réfugiées", "étrangères"),
+    ),
+    "es": (
+        ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("niña", "niño"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+        ("cristiano", "musulmán", "judío", "ateo"), ("cristiana", "musulmana", "judía", "atea"), ("negros", "blancos", "africanos", "europeos", "asiáticos"),
+        ("bisexuales", "homosexuales", "heterosexuales"), ("ciegos", "sordos", "discapacitados", "paralíticos"), ("inmigrantes", "refugiados", "extranjeros"),
+    ),
+    "several": (("gay", "queer"), ("bisexual", "homosexual", "heterosexual"), ("transgender", "cisgender")),
+}
+
+
+def identity_groups() -> list[tuple[str, ...]]:
+    return [g for groups in IDENTITY_TERMS.values() for g in groups]
+
+
+def swapper(groups: Sequence[Sequence[str]] | None = None):
     """A function that replaces each identity term of a text by the next of its group."""
+    groups = identity_groups() if groups is None else groups
     to = {t: g[(k + 1) % len(g)] for g in groups for k, t in enumerate(g)}
     if not to:
         return lambda text: text
@@ -110,7 +132,7 @@ def fit(data: dict[str, np.ndarray], pairing: float = 1.0, l1: float = 1e-3, lea
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, folds: int = 5, fold: int = 0,
-          groups: Sequence[Sequence[str]] = IDENTITY_TERMS, pairing: float = 1.0) -> Logistic:
+          groups: Sequence[Sequence[str]] | None = None, pairing: float = 1.0) -> Logistic:
     return fit(X.training_rows(docs, labels, label, sample, False, folds, fold, swapper(groups)), pairing)
 
 
