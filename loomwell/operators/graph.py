@@ -244,6 +244,37 @@ def neighbour_distance(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(union == 0, 0.5).otherwise(1 - F.col("c") / union).alias("distance"))
 
 
+WORD = 63  # seeds of one word of a node's set
+
+
+def seed_distances(edges: DataFrame, seeds: DataFrame, deepest: int) -> DataFrame:
+    """(a, b, depth) with a < b of all pairs of seeds(slug) that are connected within ``deepest`` steps of edges(u, v), both ways. The seeds
+    are some hundred; each node holds one bit a seed that reached it, and only what is new to a node goes on. The search ends when all
+    pairs are known or nothing is new."""
+    spark = edges.sparkSession
+    names = sorted(r[0] for r in seeds.select("slug").distinct().collect())  # the seeds: a bounded list
+    words = range(max(1, -(-len(names) // WORD)))
+    numbered_ = spark.createDataFrame([(s, *(1 << (i % WORD) if i // WORD == w else 0 for w in words)) for i, s in enumerate(names)], "node string, " + ", ".join(f"f{w} long" for w in words))
+    fresh = lambda: F.array_max(F.array(*[(F.col(f"f{w}") != 0).cast("int") for w in words])) == 1
+    state = cut(numbered_.select("node", *[F.col(f"f{w}").alias(f"b{w}") for w in words], *[f"f{w}" for w in words]))
+    place = F.broadcast(numbered_.select("node"))
+    found: dict[tuple[str, str], int] = {}
+    for d in range(1, deepest + 1):
+        told = state.filter(fresh()).select("node", *[f"f{w}" for w in words]).join(edges, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(*[F.bit_or(f"f{w}").alias(f"m{w}") for w in words])
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+        both = state.select("node", *[f"b{w}" for w in words]).join(told, "node", "full_outer")
+        state = cut(both.select("node", *[zero(f"b{w}").bitwiseOR(zero(f"m{w}")).alias(f"b{w}") for w in words], *[zero(f"m{w}").bitwiseAND(F.bitwise_not(zero(f"b{w}"))).alias(f"f{w}") for w in words]))
+        for row in state.filter(fresh()).join(place, "node", "left_semi").collect():  # at most the seeds
+            for w in words:
+                bits = row[f"f{w}"]
+                for i in range(w * WORD, min(len(names), (w + 1) * WORD)):
+                    if bits >> (i % WORD) & 1 and names[i] < row["node"]:
+                        found.setdefault((names[i], row["node"]), d)
+        if len(found) == len(names) * (len(names) - 1) // 2 or not state.filter(fresh()).limit(1).count():
+            break
+    return spark.createDataFrame([(a, b, d) for (a, b), d in found.items()], "a string, b string, depth int")
+
+
 # Fixed values of the bridge detector.
 BRIDGE_PAGES, BRIDGE_DEGREE, BRIDGE_DISTANCE, BRIDGE_HIGH, BRIDGES_PER_PAGE, MOST_BRIDGES = 200, 2, 4, 8, 3, 50
 
@@ -256,8 +287,7 @@ def bridges(links: DataFrame, pages: DataFrame, deepest: int = 32) -> DataFrame:
     first = pages.filter(X.entity_or_concept()).orderBy("title", "slug").limit(BRIDGE_PAGES).select("slug")
     near = edges.filter("u <> v").join(first.withColumnRenamed("slug", "u"), "u", "left_semi").groupBy(F.col("u").alias("slug")).agg(F.count("*").alias("n"))
     seeds = cut(near.filter(F.col("n") >= BRIDGE_DEGREE).select("slug"))
-    far = hops(edges, seeds, deepest).join(seeds.withColumnRenamed("slug", "node"), "node", "left_semi").filter((F.col("source") < F.col("node")) & (F.col("depth") >= BRIDGE_DISTANCE))
-    far = cut(far.select(F.col("source").alias("a"), F.col("node").alias("b"), "depth").withColumn("score", F.least(F.col("depth") / 6.0, F.lit(1.0))))
+    far = seed_distances(cut(edges), seeds, deepest).filter(F.col("depth") >= BRIDGE_DISTANCE).withColumn("score", F.least(F.col("depth") / 6.0, F.lit(1.0)))
     kept = greedy_pairs(far, BRIDGES_PER_PAGE, MOST_BRIDGES).select("a", "b")
     return far.join(F.broadcast(kept), ["a", "b"]).select("a", "b", F.col("depth").alias("distance"), "score", F.when(F.col("depth") >= BRIDGE_HIGH, "high").otherwise("medium").alias("actionable"))  # 50 rows
 
@@ -330,15 +360,50 @@ def structural_scores(pairs: DataFrame) -> DataFrame:
 MOST_POOL, MOST_FOUND, SAMPLED_PAIRS, NEXT_GROUPS = 100, 20, 30, 4
 
 
+PICKS = 1 << 32
+
+
 def _picked(c: Column) -> Column:
     """The order that stands for chance, the same in each run."""
     return F.md5(F.concat(c, F.lit("/pick")))
 
 
+def _pick_number(c: Column) -> Column:
+    return F.conv(F.substring(_picked(c), 1, 8), 16, 10).cast("long")
+
+
+def pair_pick(a: Column, b: Column) -> Column:
+    """The place of a pair in the order of chance: the sum of its ends' numbers, so what can come early is known before pairs are built."""
+    return (_pick_number(a) + _pick_number(b)) % PICKS
+
+
+def picked_wedges(edges: DataFrame, most: int) -> DataFrame:
+    """The ``most`` pairs (a, b, pick) of indirect_pairs(edges) that come first by pick, a, b. Of a hub's neighbours, only those pairs are built
+    whose pick is below a bound: with cells as wide as the bound, a neighbour's partners lie in two cells. The bound is raised until enough
+    pairs, without repeats and links, are below it."""
+    sides = cut(edges.select("u", "v").distinct().withColumn("p", _pick_number(F.col("v"))))
+    wedges = sides.groupBy("u").agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    linked = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    bound = PICKS if wedges <= 8 * most else max(1, int(PICKS * 8 * most / wedges))
+    while True:
+        cells = max(1, PICKS // bound)
+        width = -(-PICKS // cells)
+        # the partner's number is in [PICKS - p, PICKS - p + bound), modulo PICKS
+        want = F.pmod(F.lit(PICKS) - F.col("p"), F.lit(PICKS))
+        asks = sides.select("u", F.col("v").alias("a"), F.col("p").alias("pa"), F.explode(F.array_distinct(F.array(F.floor(want / width), F.floor(F.pmod(want + bound - 1, F.lit(PICKS)) / width)))).alias("cell"))
+        gives = sides.select("u", F.col("v").alias("b"), F.col("p").alias("pb"), F.floor(F.col("p") / width).alias("cell"))
+        met = asks.join(gives, ["u", "cell"]).filter((F.col("a") < F.col("b")) & ((F.col("pa") + F.col("pb")) % PICKS < bound))
+        got = met.select("a", "b", ((F.col("pa") + F.col("pb")) % PICKS).alias("pick")).distinct().join(linked, ["a", "b"], "left_anti")
+        first = cut(got.orderBy("pick", "a", "b").limit(most))
+        if bound >= PICKS or first.count() >= most:
+            return first
+        bound = min(PICKS, 8 * bound)
+
+
 def candidate_pool(edges: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
     """Pairs (a, b) that could be connected: at two steps; one page of each community with one of the next four; and sampled ones. Of more
     than a hundred, a sample of that many is looked at: that is the detector's budget."""
-    far = indirect_pairs(edges)
+    far = picked_wedges(edges, MOST_POOL)
     groups = labels.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct(_picked(F.col("slug")).alias("p"), "slug")).alias("one")).filter("n >= 2").select("label", F.col("one.slug").alias("slug"))
     groups = cut(numbered(groups, "label", name="g"))
     cross = groups.select(F.col("slug").alias("x"), F.explode(F.sequence(F.col("g") + 1, F.col("g") + NEXT_GROUPS)).alias("g")).join(groups.select("g", F.col("slug").alias("y")), "g")
@@ -346,7 +411,7 @@ def candidate_pool(edges: DataFrame, labels: DataFrame, pages: DataFrame) -> Dat
     some = some.withColumn("i", F.row_number().over(Window.orderBy(_picked(F.col("slug")), "slug")) - 1)  # 60 rows
     drawn = some.filter("i % 2 = 0").select(F.col("slug").alias("x"), (F.col("i") / 2).cast("int").alias("k")).join(some.filter("i % 2 = 1").select(F.col("slug").alias("y"), ((F.col("i") - 1) / 2).cast("int").alias("k")), "k")
     pairs = cross.select("x", "y").unionByName(drawn.select("x", "y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return far.select("a", "b").unionByName(pairs).distinct().orderBy(_picked(F.concat("a", F.lit("|"), "b")), "a", "b").limit(MOST_POOL)
+    return far.select("a", "b").unionByName(pairs).distinct().orderBy(pair_pick(F.col("a"), F.col("b")), "a", "b").limit(MOST_POOL)
 
 
 def set_distance(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -359,8 +424,8 @@ def structural_discoveries(links: DataFrame, pages: DataFrame, labels: DataFrame
     actionable, auto). Distances of six steps and more count alike, so six are searched and the rest is decided by components."""
     edges = cut(directed(links).filter("u <> v"))
     pool = cut(candidate_pool(edges, labels, pages))
-    ends = pool.select(F.col("a").alias("slug")).distinct()
-    near = hops(edges, ends, 6).select(F.col("source").alias("a"), F.col("node").alias("b"), "depth")
+    ends = pool.select(F.explode(F.array("a", "b")).alias("slug")).distinct()  # two a pair of the pool
+    near = seed_distances(edges, ends, 6)
     parts = components(edges.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")))
     same = lambda end: parts.select(F.col("slug").alias(end), F.col("component").alias(f"{end}_part"))
     out = pool.join(same("a"), "a").join(same("b"), "b").filter("a_part = b_part").join(near, ["a", "b"], "left").withColumn("hops", F.coalesce("depth", F.lit(6)))

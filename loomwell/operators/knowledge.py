@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
-from loomwell.operators.relational import first_by, p95_by_offset
+from loomwell.operators.relational import endpoints, first_by, p95_by_offset
 
 # ---- names ----
 
@@ -149,11 +150,13 @@ def tier(mentions: Column, activity: Column, old: Column | None = None) -> Colum
     return F.least(old, new) if old is not None else new
 
 
-def hotness(pages: DataFrame) -> DataFrame:
-    """Five-part score of pages(slug, mention_count, links, activity_weight, tier, body_bytes), rounded half up to 3 digits. Mentions, links
-    and activity count against their 95th percentiles over all pages."""
-    for name, c in (("top_m", "mention_count"), ("top_l", "links"), ("top_a", "activity_weight")):
+def hotness(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Five-part score of pages(slug, mention_count, links, activity_weight, tier, body_bytes), rounded half up to 3 digits. Mentions and
+    activity count against their 95th percentiles over all pages, links against the largest number of active links' ends at one page."""
+    for name, c in (("top_m", "mention_count"), ("top_a", "activity_weight")):
         pages = pages.crossJoin(F.broadcast(p95_by_offset(pages, c).select(F.col("p95").alias(name))))  # one row
+    ends = endpoints(links.filter(X.active_link())).groupBy("slug").agg(F.count("*").alias("n"))
+    pages = pages.crossJoin(F.broadcast(ends.agg(F.coalesce(F.max("n"), F.lit(1)).alias("top_l"))))  # one row
     cap = lambda c, top: F.when(F.col(top) <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.col(c) / F.col(top)))
     by_tier = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.5).otherwise(0.1)
     body = X.clamp((F.col("body_bytes") - 200) / 1800.0, 0.0, 1.0)
@@ -260,17 +263,36 @@ def keep_latest(table: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     return first_by(table, keys, F.desc(by))
 
 
+def _commits(spark, path: str) -> tuple:
+    """The file system, and the names of a table's commits, oldest first. A commit is an empty file whose name holds its number and its
+    version: creating it is one step, so a table changes at once or not at all."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def commit_version(spark, path: str, version: str) -> None:
+    """Make ``version`` (a name below path) the table's current one."""
+    fs, names = _commits(spark, path)
+    number = int(names[-1].split(".")[0]) + 1 if names else 1
+    fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{number:012d}.{version}"), False).close()
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write the next version beside the last, then point to it: readers never see half a table."""
-    spark = df.sparkSession
-    version = f"{path}/v-{spark.sql('SELECT uuid()').first()[0]}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    """Write the next version beside the last, then commit it: readers never see half a table, and a job that dies leaves the old one."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    commit_version(df.sparkSession, path, version)
+
+
+def has_table(spark, path: str) -> bool:
+    return bool(_commits(spark, path)[1])
 
 
 def current_version(spark, path: str) -> str:
     """Where the current version of a table is."""
-    return spark.read.json(f"{path}/current").first()["version"]
+    return f"{path}/{_commits(spark, path)[1][-1].split('.', 1)[1]}"
 
 
 def read_table(spark, path: str) -> DataFrame:

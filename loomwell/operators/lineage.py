@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 
@@ -48,6 +49,33 @@ def kept(spark: SparkSession, name: str, build, partition_by: str | None = None)
     return spark.read.parquet(path)
 
 
+def kept_folder(spark: SparkSession, name: str, build) -> str:
+    """A folder that ``build(path)`` fills when the session first asks for the name. What marks it done is written last."""
+    key = (spark.sparkContext.applicationId, name)
+    path = f"{shared_folder(spark)}/loomwell-{key[0]}/{name}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_DONE")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        fs.delete(done.getParent(), True)
+        build(path)
+        fs.create(done, True).close()
+    return path
+
+
+def content_mark(spark: SparkSession, paths: list[str]) -> str:
+    """A name for the present content of files or folders: their names, sizes and times, so that a table that is rewritten gets another."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where):
+            files = fs.listStatus(where)
+            seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files]
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()[:12]
+
+
 @atexit.register
 def _clean() -> None:
     for folder in _local.values():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
+from loomwell.operators import ranks
 from loomwell.operators.lineage import cut
 
 ORDER_COLUMNS = ("slug", "title", "type", "tier", "mention_count", "created_at", "updated_at")
@@ -290,14 +291,9 @@ def top_reasons(log: DataFrame, n: int = 5) -> DataFrame:
 
 
 def p95_by_offset(table: DataFrame, value: str) -> DataFrame:
-    """The value at descending offset floor(n / 20) of the positive ones; 1 if there is none. Counts per value are summed
-    downwards, so no sort of all rows in one task."""
-    counts = table.filter(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("v"))
-    everything = Window.partitionBy()
-    ranked = counts.withColumn("upto", F.sum("n").over(down)).withColumn("total", F.sum("n").over(everything))
-    hit = ranked.filter(F.col("upto") > F.floor(F.col("total") * 0.05))
-    return hit.agg(F.coalesce(F.max("v"), F.lit(1.0)).alias("p95"))
+    """The value at descending offset floor(n / 20) of the positive ones, as one row; 1 if there is none."""
+    found = ranks.value_at_offset(table, value, 0.05)
+    return table.sparkSession.createDataFrame([(1.0 if found is None else found,)], "p95 double")
 
 
 # ---- windows ----

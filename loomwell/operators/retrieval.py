@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import exprs as X
+from loomwell.operators import textindex
 from loomwell.operators.relational import first_by
 
 # Fixed values of the fusion and of the quality gate.
@@ -46,57 +46,29 @@ def trigrams(query: str) -> list[str]:
     return list(dict.fromkeys(q[i : i + 3] for i in range(len(q) - 2)))
 
 
-BUCKETS = 64
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, slug, tf, bucket): how often each page has each trigram of its chunks, in lower case."""
-    low = F.lower("content")
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
-    out = chunks.filter(F.length("content") >= 3).select(F.col("page_slug").alias("slug"), F.explode(grams).alias("term")).groupBy("term", "slug").agg(F.count("*").alias("tf"))
-    return out.withColumn("bucket", _bucket(F.col("term")))
-
-
-def text_lengths(chunks: DataFrame) -> DataFrame:
-    """(slug, dl): the number of trigrams of each page."""
-    return chunks.groupBy(F.col("page_slug").alias("slug")).agg(F.sum(F.greatest(F.length(F.lower("content")) - 2, F.lit(0))).alias("dl"))
+    """(term, slug, tf): how often each page has each trigram of its chunks, in lower case, without an index."""
+    rows = textindex.scan(chunks, 0)
+    names = rows.filter("term is null").select("block", F.posexplode("slugs").alias("page", "slug"))
+    found = rows.filter("term is not null").select("term", "block", F.explode("page").alias("page")).groupBy("term", "block", "page").agg(F.count("*").alias("tf"))
+    return found.join(names, ["block", "page"]).select("term", "slug", "tf")
 
 
 def replace_postings(index: DataFrame, changed: DataFrame, chunks: DataFrame) -> DataFrame:
     """The postings after the pages ``changed`` (slug) got these chunks; pages without chunks leave the index."""
-    return index.join(changed.select("slug"), "slug", "left_anti").select("term", "slug", "tf", "bucket").unionByName(postings(chunks.join(changed.select(F.col("slug").alias("page_slug")), "page_slug", "left_semi")))
-
-
-@dataclass
-class TextIndex:
-    """Postings stored by bucket, lengths of pages, and the chunks themselves, of which a phrase search reads few."""
-
-    postings: DataFrame
-    lengths: DataFrame
-    chunks: DataFrame
-
-    def of(self, terms: Sequence[str]) -> DataFrame:
-        spark = self.postings.sparkSession
-        buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).collect()})  # a query's terms
-        return self.postings.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select("term", "slug", F.col("tf").cast("double").alias("tf"))
+    return index.join(changed.select("slug"), "slug", "left_anti").select("term", "slug", "tf").unionByName(postings(chunks.join(changed.select(F.col("slug").alias("page_slug")), "page_slug", "left_semi")))
 
 
-def trigram_search(index: TextIndex, query: str, limit: int = 20) -> DataFrame:
-    """3 to 6 characters: the query as one phrase; longer: any of its trigrams. BM25 of pages, from the index: text is read only to
-    count phrases of more than 3 characters, and only of the pages that hold all their trigrams."""
-    terms = trigrams(query)
-    found = index.of(terms)
-    if 3 < len(query) <= 6:
-        full = found.groupBy("slug").agg(F.count("*").alias("n")).filter(F.col("n") == len(terms)).select(F.col("slug").alias("page_slug"))
-        text = index.chunks.join(full, "page_slug", "left_semi").groupBy(F.col("page_slug").alias("slug"))
-        found = text.agg(F.sum(occurrences(F.lower("content"), query.lower())).alias("tf")).filter("tf > 0").withColumn("term", F.lit(query.lower()))
+def trigram_search(index: textindex.TextIndex, query: str, limit: int = 20) -> DataFrame:
+    """3 to 6 characters: the query as one phrase; longer: any of its trigrams. BM25 of pages, from the index alone: phrases are counted
+    by positions."""
+    if len(query) <= 6:
+        found = index.phrases(query.lower()).withColumn("term", F.lit(query.lower()))
+    else:
+        found = index.counts(trigrams(query))
     sizes = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    rows = found.join(F.broadcast(sizes), "term").join(index.lengths, "slug").crossJoin(F.broadcast(stats))  # a row a term, and one row
+    stats = index.pages().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = found.join(F.broadcast(sizes), "term").crossJoin(F.broadcast(stats))  # a row for each of one query's terms, and one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("slug").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "slug").limit(limit)

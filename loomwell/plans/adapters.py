@@ -7,15 +7,14 @@ Each table is one SQL text that Spark and DuckDB both run, so queries and their
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.operators import retrieval
-from loomwell.operators.lineage import kept
+from loomwell.operators.lineage import content_mark, kept, kept_folder
+from loomwell.operators.textindex import TextIndex
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 ORDER_AS_OF = "2001-08-02 00:00:00"
@@ -48,6 +47,9 @@ FROM (
   UNION ALL
   SELECT 'records/doc-' || CAST(doc_id AS STRING), CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'record' END, CASE WHEN doc_id % 31 = 0 THEN ' ' ELSE 'doc ' || CAST(doc_id AS STRING) END, CAST(doc_id % 3 AS INT), 0e0, 0e0, NULL, 1e0,
     TIMESTAMP '2001-07-01 00:00:00', TIMESTAMP '2001-07-15 00:00:00' FROM documents
+  UNION ALL
+  SELECT 'concept/method/m-' || CAST(doc_id AS STRING), 'concept/method', 'method ' || CAST(doc_id AS STRING), CAST(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS INT), 0e0, 0e0, NULL, 1e0,
+    TIMESTAMP '2001-07-01 00:00:00', TIMESTAMP '2001-07-15 00:00:00' FROM documents WHERE doc_id % 3 = 0
 ) p
 """
 
@@ -204,7 +206,6 @@ class Knowledge:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._mark = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -231,11 +232,13 @@ class Knowledge:
         return self.spark.sql(text, **used) if used else self.spark.sql(text.replace("{{", "{").replace("}}", "}"))
 
     @cached_property
-    def text_index(self) -> retrieval.TextIndex:
+    def _mark(self) -> str:
+        return content_mark(self.spark, [f"{self.sf_dir}/{name}.parquet" for name in RAW])
+
+    @cached_property
+    def text_index(self) -> TextIndex:
         """The trigram index of all chunks, built when the session first searches."""
-        postings = kept(self.spark, f"postings-{self._mark}", lambda: retrieval.postings(self.kchunks).repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
-        lengths = kept(self.spark, f"lengths-{self._mark}", lambda: retrieval.text_lengths(self.kchunks))
-        return retrieval.TextIndex(postings, lengths, self.kchunks)
+        return TextIndex(self.spark, kept_folder(self.spark, f"textindex-{self._mark}", lambda path: TextIndex.build(self.kchunks, path)))
 
     @cached_property
     def as_of_orders(self) -> str:

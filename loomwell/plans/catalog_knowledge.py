@@ -67,9 +67,9 @@ query("l4_tiers", lambda k: k.kpages.select("slug", N.tier(F.col("mention_count"
       "SELECT CAST(least(tier, CASE WHEN 0.4e0 * mention_count + 0.6e0 * activity_weight >= 10 OR mention_count >= 10 THEN 1 WHEN 0.4e0 * mention_count + 0.6e0 * activity_weight >= 3 OR mention_count >= 3 THEN 2 ELSE 3 END) AS BIGINT) AS tier, count(*) AS n FROM kpages GROUP BY 1")
 BODIED = "SELECT slug, type, mention_count, tier, activity_weight, length(slug) * 30 AS body_bytes FROM kpages"
 P95 = "coalesce((SELECT max(v) FROM (SELECT v, sum(n) OVER (ORDER BY v DESC) AS upto, sum(n) OVER () AS total FROM (SELECT CAST({0} AS DOUBLE) AS v, count(*) AS n FROM j WHERE {0} > 0 GROUP BY 1) c) x WHERE upto > floor(total * 0.05e0)), 1e0)"
-query("l5_hotness", lambda k: N.hotness(R.pages_with_link_count(k.sql(BODIED), k.klinks)).select("slug", F.round("hotness", 3).alias("hotness")),
+query("l5_hotness", lambda k: N.hotness(R.pages_with_link_count(k.sql(BODIED), k.klinks), k.klinks).select("slug", F.round("hotness", 3).alias("hotness")),
       f"""WITH e AS (SELECT from_slug AS slug, link_key FROM klinks WHERE {CURRENT} UNION SELECT to_slug, link_key FROM klinks WHERE {CURRENT}), d AS (SELECT slug, count(*) AS links FROM e GROUP BY slug), j AS (SELECT p.*, coalesce(d.links, 0) AS links FROM ({BODIED}) p LEFT JOIN d ON d.slug = p.slug),
-          t AS (SELECT {P95.format('mention_count')} AS m, {P95.format('links')} AS l, {P95.format('activity_weight')} AS a)
+          t AS (SELECT {P95.format('mention_count')} AS m, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT from_slug AS slug FROM klinks WHERE {ACTIVE} UNION ALL SELECT to_slug FROM klinks WHERE {ACTIVE}) x GROUP BY slug) y), 1) AS l, {P95.format('activity_weight')} AS a)
           SELECT slug, floor((0.25e0 * least(1e0, mention_count / m) + 0.2e0 * least(1e0, links / l) + 0.3e0 * least(1e0, activity_weight / a) + 0.15e0 * CASE tier WHEN 1 THEN 1e0 WHEN 2 THEN 0.5e0 ELSE 0.1e0 END + 0.1e0 * greatest(0e0, least(1e0, (body_bytes - 200) / 1800e0))) * 1000 + 0.5e0) / 1000e0 AS hotness FROM j, t""")
 query("l6_entity_profile", lambda k: N.profiles(k.kpages, k.klinks, k.ktags),
       f"SELECT slug, title, tier, mention_count, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming, coalesce(t.tags, '') AS tags FROM kpages LEFT JOIN (SELECT from_slug, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY 1) o ON from_slug = slug LEFT JOIN (SELECT to_slug, count(*) AS n FROM klinks WHERE {CURRENT} GROUP BY 1) i ON to_slug = slug LEFT JOIN (SELECT page_slug, string_agg(tag, ',' ORDER BY tag) AS tags FROM ktags GROUP BY 1) t ON t.page_slug = slug")
@@ -133,12 +133,12 @@ query("l19_thin_pages", lambda k: k.kpages.filter("mention_count >= 3").join(k.k
 query("l20_wakeup_counts", lambda k: R.snapshot_diff(k.ksnap_old, k.ksnap_new).groupBy("change").agg(F.count("*").alias("n")).filter("change IN ('added', 'removed', 'content')"),
       "SELECT CASE WHEN o.slug IS NULL THEN 'added' WHEN n.slug IS NULL THEN 'removed' ELSE 'content' END AS change, count(*) AS n FROM ksnap_old o FULL JOIN ksnap_new n ON o.slug = n.slug WHERE o.slug IS NULL OR n.slug IS NULL OR o.content_hash <> n.content_hash GROUP BY 1")
 
-query("l27_promotions", lambda k: k.kdiscoveries.filter("actionable = 'high' OR occurrence_count >= 3 OR type = 'bridge'").select("id", F.round(X.clamp(F.col("score"), 0.1, 1.0), 6).alias("score")), "SELECT id, round(greatest(0.1e0, least(1e0, score)), 6) AS score FROM kdiscoveries WHERE actionable = 'high' OR occurrence_count >= 3 OR type = 'bridge'")
+query("l27_promotions", lambda k: k.kdiscoveries.filter("actionable = 'high' OR occurrence_count >= 3 OR type = 'bridge'").select("id", F.round(X.clamp(F.col("score"), 0.1, 1.0), 8).alias("score")), "SELECT id, round(greatest(0.1e0, least(1e0, score)), 8) AS score FROM kdiscoveries WHERE actionable = 'high' OR occurrence_count >= 3 OR type = 'bridge'")
 
 # ---- merges ----
 KEYED = "SELECT type || ':' || least(entity_a, entity_b) || ',' || greatest(entity_a, entity_b) AS dedup_key, max(score) AS score, max(detected_at) AS detected_at, max(occurrence_count) AS occurrence_count, max(status) AS status, max(seen) AS seen FROM kdiscoveries WHERE {0} GROUP BY 1"
-query("m1_discovery_upsert", lambda k: N.discovery_upsert(k.sql(KEYED.format("id % 2 = 0")), k.sql(KEYED.format("id % 2 = 1"))).select("dedup_key", F.round("score", 6).alias("score"), F.col("occurrence_count").cast("long").alias("n"), "status", "seen"),
-      f"SELECT coalesce(o.dedup_key, n.dedup_key) AS dedup_key, round(coalesce(n.score, o.score), 6) AS score, CAST(CASE WHEN o.dedup_key IS NOT NULL AND n.dedup_key IS NOT NULL THEN o.occurrence_count + 1 ELSE coalesce(o.occurrence_count, 1) END AS BIGINT) AS n, coalesce(o.status, 'pending') AS status, coalesce(o.seen, 0) AS seen FROM ({KEYED.format('id % 2 = 0')}) o FULL JOIN ({KEYED.format('id % 2 = 1')}) n ON o.dedup_key = n.dedup_key")
+query("m1_discovery_upsert", lambda k: N.discovery_upsert(k.sql(KEYED.format("id % 2 = 0")), k.sql(KEYED.format("id % 2 = 1"))).select("dedup_key", F.round("score", 8).alias("score"), F.col("occurrence_count").cast("long").alias("n"), "status", "seen"),
+      f"SELECT coalesce(o.dedup_key, n.dedup_key) AS dedup_key, round(coalesce(n.score, o.score), 8) AS score, CAST(CASE WHEN o.dedup_key IS NOT NULL AND n.dedup_key IS NOT NULL THEN o.occurrence_count + 1 ELSE coalesce(o.occurrence_count, 1) END AS BIGINT) AS n, coalesce(o.status, 'pending') AS status, coalesce(o.seen, 0) AS seen FROM ({KEYED.format('id % 2 = 0')}) o FULL JOIN ({KEYED.format('id % 2 = 1')}) n ON o.dedup_key = n.dedup_key")
 query("m2_discovery_cleanup", lambda k: k.kdiscoveries.filter((F.col("seen") == 1) | (F.col("detected_at") >= X.ts(ORDER_AS_OF) - F.expr("INTERVAL 365 DAYS"))).groupBy("status").agg(F.count("*").alias("n")), f"SELECT status, count(*) AS n FROM kdiscoveries WHERE seen = 1 OR detected_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 365 DAY GROUP BY status")
 query("m3_candidate_hashes", lambda k: k.kdiscoveries.select(F.sha2(F.concat_ws("|", "type", "entity_a"), 256).alias("content_hash"), "detected_at").groupBy("content_hash").agg(F.max("detected_at").cast("date").cast("string").alias("last_seen"), F.count("*").alias("n")), "SELECT sha256(type || '|' || entity_a) AS content_hash, CAST(CAST(max(detected_at) AS DATE) AS VARCHAR) AS last_seen, count(*) AS n FROM kdiscoveries GROUP BY 1")
 query("m4_insight_expiry", lambda k: k.kdiscoveries.withColumn("expires", F.col("detected_at") + F.expr("INTERVAL 90 DAYS")).withColumn("state", F.when(F.col("expires") < X.ts(ORDER_AS_OF), "archived").otherwise("active")).groupBy("state").agg(F.count("*").alias("n")), f"SELECT CASE WHEN detected_at + INTERVAL 90 DAY < TIMESTAMP '{ORDER_AS_OF}' THEN 'archived' ELSE 'active' END AS state, count(*) AS n FROM kdiscoveries GROUP BY 1")

@@ -164,6 +164,7 @@ query("a13_outcome_counts", lambda k: k.ksearch.filter(F.col("created_at") >= X.
       f"SELECT strategy, coalesce(reason, 'none') AS reason, count(*) AS n FROM ksearch WHERE created_at >= {E_AS_OF} - INTERVAL 48 HOUR GROUP BY 1, 2")
 query("a14_error_count", lambda k: k.events.filter((F.col("event_type") == "error") & (F.col("ts") >= X.ts(EVENT_AS_OF) - F.expr("INTERVAL 24 HOURS"))).agg(F.count("*").alias("errors")), f"SELECT count(*) AS errors FROM events WHERE event_type = 'error' AND ts >= {E_AS_OF} - INTERVAL 24 HOUR")
 query("a15_p95_by_offset", lambda k: R.p95_by_offset(k.kpages, "mention_count"), """WITH v AS (SELECT CAST(mention_count AS DOUBLE) AS v, row_number() OVER (ORDER BY mention_count DESC, slug) AS rn, count(*) OVER () AS n FROM kpages WHERE mention_count > 0) SELECT coalesce(max(v), 1e0) AS p95 FROM v WHERE rn = CAST(floor(n * 0.05) AS BIGINT) + 1""")
+query("a15_p95_activity", lambda k: R.p95_by_offset(k.kpages, "activity_weight"), """WITH v AS (SELECT activity_weight AS v, row_number() OVER (ORDER BY activity_weight DESC, slug) AS rn, count(*) OVER () AS n FROM kpages WHERE activity_weight > 0) SELECT coalesce(max(v), 1e0) AS p95 FROM v WHERE rn = CAST(floor(n * 0.05) AS BIGINT) + 1""")
 query("a16_latency_percentiles", lambda k: R.percentiles(k.ksearch, "strategy", degraded="degraded").withColumn("degraded_rate", F.round("degraded_rate", 6)),
       """WITH r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM ksearch)
          SELECT strategy, max(n) AS n, max(CASE WHEN rn = greatest(1, CAST(ceil(0.5 * n) AS BIGINT)) THEN latency_ms END) AS p50, max(CASE WHEN rn = greatest(1, CAST(ceil(0.95 * n) AS BIGINT)) THEN latency_ms END) AS p95, max(latency_ms) AS max, round(avg(degraded), 6) AS degraded_rate FROM r GROUP BY strategy""")
@@ -189,8 +190,8 @@ query("a27_attention_queue", lambda k: R.attention_queue(k.kdiscoveries.select("
       "WITH r AS (SELECT type, entity_a, count(*) AS refs, sum(('0x' || md5(entity_b)[1:8])::BIGINT)::BIGINT AS refs_hash FROM (SELECT DISTINCT type, entity_a, entity_b FROM kdiscoveries) d GROUP BY 1, 2) SELECT k.type, k.entity_a, sum(occurrence_count)::BIGINT AS evidence, any_value(refs) AS refs, any_value(refs_hash) AS refs_hash, max(occurrence_count) AS most, CAST(CAST(max(detected_at) AS DATE) AS VARCHAR) AS newest FROM kdiscoveries k JOIN r ON r.type = k.type AND r.entity_a = k.entity_a GROUP BY 1, 2")
 RANK = "CASE status WHEN 'resolved' THEN 3 WHEN 'dismissed' THEN 2 WHEN 'seen' THEN 1 ELSE 0 END"
 query("a28_consolidation", lambda k: k.kdiscoveries.groupBy("type", F.least("entity_a", "entity_b").alias("a"), F.greatest("entity_a", "entity_b").alias("b")).agg(F.max(F.expr(RANK)).alias("r"), F.max_by("score", F.struct("detected_at", "id")).alias("score"), F.sum("occurrence_count").alias("n"), F.max("seen").alias("seen"))
-      .select("type", "a", "b", F.element_at(F.array(*[F.lit(x) for x in ("pending", "seen", "dismissed", "resolved")]), F.col("r") + 1).alias("status"), F.round("score", 6).alias("score"), "n", "seen"),
-      f"SELECT type, least(entity_a, entity_b) AS a, greatest(entity_a, entity_b) AS b, ['pending', 'seen', 'dismissed', 'resolved'][max({RANK}) + 1] AS status, round((array_agg(score ORDER BY detected_at DESC, id DESC))[1], 6) AS score, sum(occurrence_count)::BIGINT AS n, max(seen) AS seen FROM kdiscoveries GROUP BY 1, 2, 3")
+      .select("type", "a", "b", F.element_at(F.array(*[F.lit(x) for x in ("pending", "seen", "dismissed", "resolved")]), F.col("r") + 1).alias("status"), F.round("score", 8).alias("score"), "n", "seen"),
+      f"SELECT type, least(entity_a, entity_b) AS a, greatest(entity_a, entity_b) AS b, ['pending', 'seen', 'dismissed', 'resolved'][max({RANK}) + 1] AS status, round((array_agg(score ORDER BY detected_at DESC, id DESC))[1], 8) AS score, sum(occurrence_count)::BIGINT AS n, max(seen) AS seen FROM kdiscoveries GROUP BY 1, 2, 3")
 
 # ---- windows ----
 query("w1_first_match", lambda k: R.first_by(k.kaliases, ["alias"], "id").select("alias", "page_slug"), "SELECT alias, (array_agg(page_slug ORDER BY id))[1] AS page_slug FROM kaliases GROUP BY alias")

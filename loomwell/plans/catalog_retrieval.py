@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from loomwell.operators import graph as G
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
 from loomwell.operators import stewardship as S
+from loomwell.operators.lineage import shared_folder
 from loomwell.plans.adapters import ORDER_AS_OF, Knowledge
 from loomwell.plans.catalog_relational import ACTIVE, CURRENT, NEIGHBOURS
 from loomwell.plans.registry import query
@@ -42,12 +45,31 @@ def bm25(terms: list[str], limit: int = 20) -> str:
 query("f1_trigram_phrase", lambda k: V.trigram_search(k.text_index, "licens").withColumn("score", F.round("score", 5)), bm25(["licens"]))
 query("f1_trigram_single", lambda k: V.trigram_search(k.text_index, "ung").withColumn("score", F.round("score", 5)), bm25(["ung"]))
 query("f1_trigram_bm25", lambda k: V.trigram_search(k.text_index, "password=").withColumn("score", F.round("score", 5)), bm25(V.trigrams("password=")))
-query("f4_index_coverage", lambda k: V.index_coverage(k.kpages.filter("type = 'record'"), k.text_index.lengths.select("slug")),
+query("f4_index_coverage", lambda k: V.index_coverage(k.kpages.filter("type = 'record'"), k.text_index.pages().select("slug")),
       "SELECT slug, 'missing' AS state FROM kpages WHERE type = 'record' AND slug NOT IN (SELECT page_slug FROM kchunks) UNION ALL SELECT DISTINCT page_slug, 'stale' FROM kchunks WHERE page_slug NOT IN (SELECT slug FROM kpages WHERE type = 'record')")
 GRAMS = "SELECT lower(content)[i : i + 2] AS term, slug FROM (SELECT page_slug AS slug, content, unnest(range(1, length(content) - 1)) AS i FROM kchunks WHERE {0}) x"
-query("f4_index_content", lambda k: k.text_index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter("df >= 5"), f"SELECT term, count(DISTINCT slug) AS df, count(*) AS cf FROM ({GRAMS.format('true')}) g GROUP BY term HAVING count(DISTINCT slug) >= 5")
-query("f4_index_upkeep", lambda k: V.replace_postings(k.text_index.postings, k.kpages.filter("type = 'record' AND mention_count = 1").select("slug"), k.kchunks.filter("chunk_index = 0")).agg(F.count("*").alias("rows"), F.sum("tf").alias("cf"), F.count_distinct("slug").alias("pages")),
-      f"SELECT count(*) AS rows, sum(tf)::BIGINT AS cf, count(DISTINCT slug) AS pages FROM (SELECT term, slug, count(*) AS tf FROM ({GRAMS.format('chunk_index = 0 OR page_slug NOT IN (SELECT slug FROM kpages WHERE type = ' + chr(39) + 'record' + chr(39) + ' AND mention_count = 1)')}) g GROUP BY 1, 2) x")
+query("f4_index_content", lambda k: k.text_index.term_counts().filter("df >= 5"), f"SELECT term, count(DISTINCT slug) AS df, count(*) AS cf FROM ({GRAMS.format('true')}) g GROUP BY term HAVING count(DISTINCT slug) >= 5")
+REINDEXED = "chunk_index = 0 OR page_slug NOT IN (SELECT slug FROM kpages WHERE type = 'record' AND mention_count = 1)"
+
+
+def reindexed(k: Knowledge):
+    """The index after some pages got other text: one more segment and tombstones."""
+    index = k.text_index.fork(f"{shared_folder(k.spark)}/loomwell-textindex-{uuid.uuid4().hex[:12]}")
+    index.update(k.kpages.filter("type = 'record' AND mention_count = 1"), k.kchunks.filter("chunk_index = 0"))
+    return index
+
+
+def merged(k: Knowledge):
+    index = reindexed(k)
+    index.update(k.kpages.filter("type = 'record' AND mention_count = 1 AND slug LIKE '%1'"), k.kchunks.filter("chunk_index = 0"))  # as they are
+    index.merge(most=1)
+    return index
+
+
+query("f4_index_upkeep", lambda k: reindexed(k).page_terms().agg(F.count("*").alias("rows"), F.sum("tf").alias("cf"), F.count_distinct("slug").alias("pages")),
+      f"SELECT count(*) AS rows, sum(tf)::BIGINT AS cf, count(DISTINCT slug) AS pages FROM (SELECT term, slug, count(*) AS tf FROM ({GRAMS.format(REINDEXED)}) g GROUP BY 1, 2) x")
+query("f4_index_tombstones", lambda k: reindexed(k).term_counts().filter("df >= 5"), f"SELECT term, count(DISTINCT slug) AS df, count(*) AS cf FROM ({GRAMS.format(REINDEXED)}) g GROUP BY term HAVING count(DISTINCT slug) >= 5")
+query("f4_index_merged", lambda k: merged(k).term_counts().filter("df >= 5"), f"SELECT term, count(DISTINCT slug) AS df, count(*) AS cf FROM ({GRAMS.format(REINDEXED)}) g GROUP BY term HAVING count(DISTINCT slug) >= 5")
 DETAILS = "SELECT 'x ' || CAST(doc_id AS STRING) || ' ALPHA-' || CAST(doc_id AS STRING) || ' 2026-06-26 涨 120万 项目 进展说明 v2 ' || substring(text, 1, 300) AS t, doc_id FROM documents WHERE text IS NOT NULL"
 query("f5_detail_terms", lambda k: k.sql(DETAILS).select("doc_id", F.array_join(V.detail_terms(F.col("t")), "|").alias("terms")),
       f"""WITH d AS ({DETAILS}), c AS (SELECT doc_id, list_filter(flatten([{", ".join(f"regexp_extract_all(t, '{p}')" for p in V.DETAIL_PATTERNS)}]), lambda x: length(x) >= 2) AS own, regexp_extract_all(t, '{V.HAN_RUN}') AS runs FROM d),
@@ -254,9 +276,10 @@ query("g17_map_discoveries", lambda k: G.map_discoveries(k.sql(NODES), pairs_of(
 
 # ---- structural discoveries ----
 PICK = "md5({0} || '/pick')"
+PICK_N = "CAST('0x' || substr(md5({0} || '/pick'), 1, 8) AS BIGINT)"
 STRUCTURE = f"""WITH RECURSIVE e AS (SELECT u, v FROM (SELECT from_slug AS u, to_slug AS v FROM klinks WHERE {CURRENT} AND {PEOPLE} UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND {PEOPLE}) x WHERE u <> v), far AS (SELECT DISTINCT x.v AS a, y.v AS b FROM e x JOIN e y ON x.u = y.u AND x.v < y.v EXCEPT SELECT u, v FROM e),
   l AS {LABELS}, grp AS (SELECT label, slug, row_number() OVER (ORDER BY label) AS g FROM (SELECT label, count(*) AS n, min_by(slug, {PICK.format('slug')}) AS slug FROM l GROUP BY label HAVING count(*) >= 2) x), some_ AS (SELECT slug, row_number() OVER (ORDER BY {PICK.format('slug')}, slug) - 1 AS i FROM kpages WHERE type LIKE 'entity/%' OR type LIKE 'concept/%' QUALIFY i < 60),
-  more AS (SELECT x.slug AS x, y.slug AS y FROM grp x JOIN grp y ON y.g > x.g AND y.g <= x.g + 4 UNION ALL SELECT x.slug, y.slug FROM some_ x JOIN some_ y ON y.i = x.i + 1 WHERE x.i % 2 = 0), allp AS (SELECT a, b FROM far UNION SELECT least(x, y), greatest(x, y) FROM more WHERE x <> y), pool AS (SELECT a, b FROM allp ORDER BY {PICK.format("a || '|' || b")}, a, b LIMIT 100),
+  more AS (SELECT x.slug AS x, y.slug AS y FROM grp x JOIN grp y ON y.g > x.g AND y.g <= x.g + 4 UNION ALL SELECT x.slug, y.slug FROM some_ x JOIN some_ y ON y.i = x.i + 1 WHERE x.i % 2 = 0), allp AS (SELECT a, b FROM far UNION SELECT least(x, y), greatest(x, y) FROM more WHERE x <> y), pool AS (SELECT a, b FROM allp ORDER BY ({PICK_N.format("a")} + {PICK_N.format("b")}) % 4294967296, a, b LIMIT 100),
   r(source, node, d) USING KEY (source, node) AS (SELECT DISTINCT a AS source, a AS node, 0 AS d FROM pool UNION SELECT r.source, e.v, min(r.d) + 1 FROM r JOIN e ON e.u = r.node LEFT JOIN recurring.r AS o ON o.source = r.source AND o.node = e.v WHERE o.node IS NULL GROUP BY 1, 2),
   src AS (SELECT DISTINCT to_slug AS slug, from_slug AS item FROM klinks WHERE {CURRENT} AND {PEOPLE} AND from_slug LIKE 'records/%'), j AS (SELECT pool.a, pool.b, least(r.d, 6) AS hops FROM pool JOIN r ON r.source = pool.a AND r.node = pool.b),
   k AS (SELECT *, (SELECT count(*) FROM src x WHERE x.slug = a) AS sa, (SELECT count(*) FROM src x WHERE x.slug = b) AS sb, (SELECT count(*) FROM src x JOIN src y ON x.item = y.item WHERE x.slug = a AND y.slug = b) AS sc, (SELECT count(*) FROM e WHERE u = a) AS na, (SELECT count(*) FROM e WHERE u = b) AS nb, (SELECT count(*) FROM e x JOIN e y ON x.v = y.v WHERE x.u = a AND y.u = b) AS nc FROM j),

@@ -52,7 +52,7 @@ BODIES = "SELECT 'records/doc-' || CAST(doc_id AS STRING) AS slug, CASE WHEN tox
 
 def replaced(k: Knowledge) -> DataFrame:
     vectors = k.kvectors.select("page_slug", "chunk_index", "vector")
-    chunks, posts, vecs = U.replace_page_index(k.kchunks, k.text_index.postings, vectors, k.sql(BODIES), models.embed(F.col("content"), models.hashing_embedder(64)))
+    chunks, posts, vecs = U.replace_page_index(k.kchunks, k.text_index.page_terms(), vectors, k.sql(BODIES), models.embed(F.col("content"), models.hashing_embedder(64)))
     rows = lambda t, key, name, what: t.groupBy(F.col(key).alias("slug")).agg(what.alias("n")).withColumn("store", F.lit(name))
     return rows(chunks, "page_slug", "chunks", F.count("*")).unionByName(rows(posts, "slug", "text", F.sum("tf"))).unionByName(rows(vecs, "page_slug", "vectors", F.count("*")))
 

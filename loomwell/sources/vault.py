@@ -11,6 +11,11 @@ from loomwell.operators import knowledge as N
 def scan_vault(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """(file_path, text, slug, content_hash) of all .md files below a folder; dot entries and excluded folders are skipped."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("uri"))
+    return with_paths(files, path, excluded)
+
+
+def with_paths(files: DataFrame, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Files (text, uri) below a folder with their path in it, slug and hash."""
     root = path.split("://", 1)[-1].rstrip("/")
     rel = F.regexp_extract(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), rf"^.*?\Q{root}\E/(.*)$", 1)
     out = files.withColumn("file_path", rel).filter(~F.col("file_path").rlike(r"(^|/)\."))

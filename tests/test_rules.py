@@ -10,6 +10,7 @@ from loomwell.operators import intake as T
 from loomwell.operators import knowledge as N
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
+from loomwell.operators.textindex import TextIndex
 from loomwell.operators import stewardship as S
 from loomwell.operators import upkeep as U
 from pyspark.sql import functions as F
@@ -158,14 +159,14 @@ def test_quarantine_by_batch_equals_the_rule(spark):
     assert {s: state for s, (_, state) in got.items()} == {s: "quarantined" if n >= 3 else "active" for s, (_, n) in want.items()}
 
 
-def test_text_index(spark):
+def test_text_search(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 0, "Hello hello world"), ("a", 1, "xx"), ("b", 0, "help the world"), ("c", 0, "aaaa")], "page_slug string, chunk_index int, content string")
-    index = V.TextIndex(V.postings(chunks).cache(), V.text_lengths(chunks), chunks)
-    assert {(r.term, r.slug): r.tf for r in index.postings.collect()}["hel", "a"] == 2
+    index = TextIndex.build(chunks, str(tmp_path / "index"))
+    assert {(r.term, r.slug): r.tf for r in index.page_terms().collect()}["hel", "a"] == 2
     assert [r.slug for r in V.trigram_search(index, "hello").collect()] == ["a"] and V.trigram_search(index, "zzz").collect() == []
     assert {r.slug for r in V.trigram_search(index, "the world").collect()} == {"a", "b"}
     new = spark.createDataFrame([("a", 0, "other")], "page_slug string, chunk_index int, content string")
-    after = V.replace_postings(index.postings, spark.createDataFrame([("a",), ("b",)], "slug string"), new)
+    after = V.replace_postings(index.page_terms(), spark.createDataFrame([("a",), ("b",)], "slug string"), new)
     assert {(r.term, r.slug) for r in after.collect()} == {("oth", "a"), ("the", "a"), ("her", "a"), ("aaa", "c")}
 
 
