@@ -13,7 +13,8 @@ from loomwell.operators import graph as G
 from loomwell.operators import relational as R
 from loomwell.operators import retrieval as V
 from loomwell.operators import stewardship as S
-from loomwell.operators.lineage import shared_folder
+from loomwell.operators.lineage import kept_folder, shared_folder
+from loomwell.operators.vectorindex import VectorIndex
 from loomwell.plans.adapters import ORDER_AS_OF, Knowledge
 from loomwell.plans.catalog_relational import ACTIVE, CURRENT, NEIGHBOURS
 from loomwell.plans.registry import query
@@ -104,6 +105,19 @@ query("v3_scaled_cosine", lambda k: k.kvectors.alias("a").join(k.kvectors.alias(
       "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 5) AS cos FROM kvectors a JOIN kvectors b ON a.vec_id + 1 = b.vec_id")
 query("v4_plain_cosine", lambda k: k.kvectors.alias("a").join(k.kvectors.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(X.plain_cosine(F.col("a.vector"), F.when(F.col("b.vec_id") % 3 == 0, F.transform("b.vector", lambda x: x * 0)).when(F.col("b.vec_id") % 3 == 1, F.slice("b.vector", 1, 10)).otherwise(F.col("b.vector"))), 5).alias("cos")),
       "SELECT a.vec_id, CASE WHEN b.vec_id % 3 = 2 THEN round(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])), 5) ELSE 0 END AS cos FROM kvectors a JOIN kvectors b ON a.vec_id + 1 = b.vec_id")
+SEARCHED = "SELECT vec_id AS query, vector FROM kvectors WHERE vec_id % 50 = 0"
+
+
+def vector_index(k: Knowledge, metric: str) -> VectorIndex:
+    """The stored index of all vectors, built when the session first asks for it."""
+    rows = k.kvectors.select(F.col("vec_id").cast("long").alias("id"), "vector", "page_slug", "chunk_index")
+    return VectorIndex(k.spark, kept_folder(k.spark, f"vectors-{metric}-{k._mark}", lambda path: VectorIndex.build(rows, path, 64, lists=64, metric=metric)))
+
+
+query("v1_index_search", lambda k: vector_index(k, "l2").search(k.sql(SEARCHED), 10).select("query", "rank", F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance")),
+      f"WITH s AS (SELECT query, s.vector AS q, v.vec_id, v.vector FROM ({SEARCHED}) s, kvectors v), d AS (SELECT query, vec_id, {L2} AS d FROM s) SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS INT) AS rank, vec_id, round(d, 5) AS distance FROM d QUALIFY rank <= 10")
+query("v2_index_pages", lambda k: (lambda hits: hits.join(k.kvectors.select(F.col("vec_id").alias("id"), F.col("page_slug").alias("slug")), "id").groupBy("query", "slug").agg(F.round(1 - F.min("distance"), 5).alias("score")))(vector_index(k, "cosine").search(k.sql(SEARCHED), 15)),
+      f"WITH s AS (SELECT query, s.vector AS q, v.vec_id, v.page_slug AS slug, v.vector FROM ({SEARCHED}) s, kvectors v), d AS (SELECT query, slug, vec_id, 1 - {COS} AS d FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, vec_id) <= 15) SELECT query, slug, round(1 - min(d), 5) AS score FROM d GROUP BY 1, 2")
 TYPED = "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS vector, CASE label % 4 WHEN 0 THEN 'entity/company' WHEN 1 THEN 'entity/organization' WHEN 2 THEN 'entity/person' ELSE 'concept/model' END AS type FROM embeddings"
 TYPED_DUCK = TYPED.replace("ARRAY<DOUBLE>", "DOUBLE[]")
 FITS = " OR ".join(f"(x.type IN {g!r} AND y.type IN {g!r})" for g in S.AFFINE_TYPES)

@@ -10,7 +10,7 @@ from loomwell.operators import graph as G
 from loomwell.operators import health as H
 from loomwell.operators import knowledge as N
 from loomwell.operators import probes as P
-from loomwell.operators import ranks, retrieval, sync, textindex
+from loomwell.operators import ranks, retrieval, sync, textindex, vectorindex
 from pyspark.sql import functions as F
 
 CHUNKS = "page_slug string, chunk_index int, content string"
@@ -272,3 +272,43 @@ def test_picked_wedges_come_first(spark, most):
     edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u string, v string")
     every = G.indirect_pairs(edges).withColumn("pick", G.pair_pick(F.col("a"), F.col("b"))).orderBy("pick", "a", "b").limit(most)
     assert sorted((r.a, r.b, r.pick) for r in G.picked_wedges(edges, most).collect()) == sorted((r.a, r.b, r.pick) for r in every.collect())
+
+
+# ---- vectors ----
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vector_search_equals_a_full_scan(spark, tmp_path, metric, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectorindex, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 20
+    data = np.concatenate([centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 8)) * 0.3, np.repeat(centres[:1], 5, 0), np.zeros((1, 8))])
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(data)] + [(9000, None, "x"), (9001, [1.0] * 7 + [None], "x"), (9002, [float("nan")] * 8, "x"), (9003, [1.0], "x"), (None, [0.0] * 8, "x")]
+    table = spark.createDataFrame(rows, "id long, vector array<float>, list_name string")
+    index = vectorindex.VectorIndex.build(table, str(tmp_path / metric), 8, lists=12, metric=metric)
+    asked = [(i, data[i].tolist()) for i in range(0, 600, 40)] + [(601, data[601].tolist()), (605, data[605].tolist()), (700, None)]
+    reads = []
+    got = {}
+    for r in index.search(spark.createDataFrame(asked, "query long, vector array<float>"), 9, reads).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["id"], round(r["distance"], 4)))
+    data = data.astype(np.float32).astype(float)
+    want = {}
+    for i, v in asked:
+        if v is None or (metric == "cosine" and not any(v)):
+            continue
+        q = np.array(v, np.float32).astype(float)
+        norms = np.linalg.norm(data, axis=1)
+        with np.errstate(all="ignore"):
+            d = ((data - q) ** 2).sum(1) if metric == "l2" else 1 - data @ q / norms / np.linalg.norm(q)
+        want[i] = [round(float(x), 4) for x in np.sort(d[np.isfinite(d)])[:9]]
+    assert {q: len(r) for q, r in got.items()} == {q: len(r) for q, r in want.items()}
+    for q, hits in got.items():
+        assert [d for _, d in hits] == pytest.approx(want[q], abs=2e-3)
+    assert sum(map(len, reads)) < 12 * len(reads), "clustered vectors leave lists unread"
+
+
+def test_vector_search_in_an_empty_index(spark, tmp_path):
+    table = spark.createDataFrame([], "id long, vector array<float>")
+    index = vectorindex.VectorIndex.build(table, str(tmp_path / "e"), 8)
+    assert index.search(spark.createDataFrame([(1, [0.0] * 8)], "query long, vector array<float>"), 3).collect() == []
