@@ -253,3 +253,30 @@ def test_ill_formed_pages_take_linear_time():
         began = time.process_time()
         html_text.extract(page, w)
         assert time.process_time() - began < 8
+
+
+def test_pairing_lowers_the_gap_between_groups_and_false_positives(spark):
+    """Half of the toxic texts hold no harsh word, and toxic texts mention one group more often: without pairing the mention itself is learned."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 3 == 0
+        group = "muslim" if rng.random() < (0.9 if toxic else 0.25) else "jewish"
+        text = [rng.choice(words) for _ in range(12)] + [group] + (["nasty"] if toxic and i % 2 else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    bases = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(100)]
+    probe = pa.array([f"{base} {g}" for base in bases for g in ("muslim", "jewish")])
+    neutral = pa.array([t for (i, t), (_, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5 == 0 and not y and "muslim" in t])
+    gaps, wrong = [], []
+    for pairing in (0.0, 3.0):
+        model = toxicity.train(docs, marks, pairing=pairing)
+        s = np.clip(toxicity.score_texts(model, probe), 1e-9, 1 - 1e-9)
+        logit = np.log(s / (1 - s))
+        gaps.append(float(np.abs(logit[0::2] - logit[1::2]).mean()))
+        wrong.append(int((toxicity.score_texts(model, neutral) >= 0.5).sum()))
+    assert gaps[1] < 0.5 * gaps[0], gaps
+    assert wrong[1] < wrong[0], wrong
