@@ -86,18 +86,6 @@ def proposals(k: Knowledge) -> DataFrame:
     return N.proactive_connections(near, k.kpages.filter(f"type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAYS"), R.session_pairs(k.khits), latest)
 
 
-PROPOSALS = f"""n AS (SELECT from_slug AS slug, to_slug AS o FROM klinks WHERE {CURRENT} AND relation <> 'located_in' UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation <> 'located_in'), deg AS (SELECT slug, count(*) AS c FROM n GROUP BY slug HAVING count(*) <= 20), m AS (SELECT n.* FROM n WHERE o IN (SELECT slug FROM deg)),
-  pv AS (SELECT slug FROM kpages WHERE type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAY), pr AS (SELECT x.slug AS a, y.slug AS b, count(*) AS shared FROM m x JOIN m y ON x.o = y.o AND x.slug <> y.slug WHERE x.slug IN (SELECT slug FROM pv) GROUP BY 1, 2 HAVING count(*) >= 2),
-  s AS (SELECT a.slug AS lo, b.slug AS hi, count(*) AS n FROM khits a JOIN khits b ON a.session_id = b.session_id AND a.slug < b.slug GROUP BY 1, 2), lt AS (SELECT page_slug AS slug, CAST(max(event_date) AS DATE) AS d FROM ktimeline WHERE length(event_date) = 10 AND event_date <> '2023-02-29' GROUP BY 1),
-  props AS (SELECT pr.a, pr.b, shared, CAST(coalesce(s.n, 0) >= 2 AS INT) AS signal_b, CAST(coalesce(abs(x.d - y.d) <= 14, false) AS INT) AS signal_c FROM pr LEFT JOIN s ON lo = least(pr.a, pr.b) AND hi = greatest(pr.a, pr.b) LEFT JOIN lt x ON x.slug = pr.a LEFT JOIN lt y ON y.slug = pr.b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.slug = pr.a AND n.o = pr.b))"""
-
-
-def proposals(k: Knowledge) -> DataFrame:
-    near = R.neighbours(k.klinks.filter("relation <> 'located_in'"))
-    latest = k.ktimeline.filter("length(event_date) = 10 AND event_date <> '2023-02-29'").groupBy(F.col("page_slug").alias("slug")).agg(F.max("event_date").cast("date").alias("latest"))
-    return N.proactive_connections(near, k.kpages.filter(f"type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAYS"), R.session_pairs(k.khits), latest)
-
-
 PROPOSALS = f"""n AS (SELECT from_slug AS slug, to_slug AS o FROM klinks WHERE {CURRENT} AND relation <> 'located_in' UNION SELECT to_slug, from_slug FROM klinks WHERE {CURRENT} AND relation <> 'located_in'), deg AS (SELECT slug, count(*) AS c FROM n GROUP BY slug HAVING count(*) <= 20), m AS (SELECT n.* FROM n WHERE o IN (SELECT slug FROM deg)),
   pv AS (SELECT slug FROM kpages WHERE type = 'entity/person' AND updated_at >= TIMESTAMP '{ORDER_AS_OF}' - INTERVAL 30 DAY), pr AS (SELECT x.slug AS a, y.slug AS b, count(*) AS shared FROM m x JOIN m y ON x.o = y.o AND x.slug <> y.slug WHERE x.slug IN (SELECT slug FROM pv) GROUP BY 1, 2 HAVING count(*) >= 2),
   s AS (SELECT a.slug AS lo, b.slug AS hi, count(*) AS n FROM khits a JOIN khits b ON a.session_id = b.session_id AND a.slug < b.slug GROUP BY 1, 2), lt AS (SELECT page_slug AS slug, CAST(max(event_date) AS DATE) AS d FROM ktimeline WHERE length(event_date) = 10 AND event_date <> '2023-02-29' GROUP BY 1),
