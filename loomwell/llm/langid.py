@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from loomwell.llm.scratch import small_batches
 
 PIECE = 256
+#: Characters that a task parses at a time, or one longer text.
+SLICE_CHARS = 3_000_000
 OTHER = 1
 WINDOW = 256  # places that are tried at once for a state's transitions
 
@@ -85,8 +87,15 @@ class Transitions:
 
     def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The next states, 0 for none."""
-        got = self.slots[self.base[state] + c]
-        return np.where(got >> 32 == state, got & 0xFFFFFFFF, 0)
+        to = self.found(state, c)
+        to[(to >> 32) != 0] = 0
+        return to
+
+    def found(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states, and numbers beyond 32 bits for none: a slot holds its owner above the next state."""
+        to = np.take(self.slots, np.take(self.base, state) + c)
+        to ^= state << 32
+        return to
 
 
 @dataclass
@@ -177,25 +186,23 @@ def automaton(text: np.ndarray, n_symbols: int) -> Transitions:
 
 def _walk(table: Transitions, s: np.ndarray, at: np.ndarray, bound: np.ndarray, limit: np.ndarray, meet: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy parses from places ``at`` of the symbols, each up to the first phrase that begins at or behind its ``bound``, to
-    its text's end ``limit``, or to a phrase that begins where ``meet`` is set. Returns the beginnings of all phrases, and of
-    each walk the place where it ended (-1 if it met) and where it met (else -1)."""
+    its text's end ``limit``, where a symbol stands that matches nothing, or to a phrase that begins where ``meet`` is set. Returns
+    the beginnings of all phrases, and of each walk the place where it ended (-1 if it met) and where it met (else -1)."""
     end, met = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
     begun = []
     lane = np.arange(len(at))
     state = np.zeros(len(at), np.int64)  # from which all symbols miss: a phrase begins
     while len(lane):
-        inside = np.minimum(at, len(s) - 1)
-        c = s[inside].astype(np.int64)
-        live = at < limit
-        to = np.where(live, table.step(state, c), 0)
-        miss = np.flatnonzero(to == 0)
+        c = np.take(s, at)
+        to = table.found(state, c)
+        miss = np.flatnonzero(to >> 32)
         if len(miss):
             here = at[miss]
-            over = ~live[miss] | (here >= bound[miss])
+            over = (here >= limit[miss]) | (here >= bound[miss])
             end[lane[miss[over]]] = here[over]
             stop = over
             if meet is not None:
-                both = ~over & meet[inside[miss]]
+                both = ~over & meet[here]
                 met[lane[miss[both]]] = here[both]
                 stop = over | both
             go = miss[~stop]
@@ -216,15 +223,17 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def phrases(table: Transitions, s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Greedy phrase counts of the texts s[cuts[k] : cuts[k + 1]]."""
     size = np.diff(cuts)
+    s = np.insert(s.astype(np.int64), cuts[1:], OTHER)  # behind each text a symbol that matches nothing
+    first = cuts[:-1] + np.arange(len(size))
     n = -(-size // PIECE)  # pieces of each text
     text = np.repeat(np.arange(len(size)), n)
-    begin = _ranges(np.zeros(len(n), np.int64), n) * PIECE + cuts[:-1][text]
-    limit = cuts[1:][text]
+    begin = _ranges(np.zeros(len(n), np.int64), n) * PIECE + first[text]
+    limit = (first + size)[text]
     bound = np.minimum(begin + PIECE, limit)
     starts = np.zeros(len(s) + 1, bool)  # where phrases begin
     found, end, _ = _walk(table, s, begin, bound, limit, None)
     starts[found] = True
-    inner = np.flatnonzero(begin > cuts[:-1][text])  # pieces behind another one
+    inner = np.flatnonzero(begin > first[text])  # pieces behind another one
     entry = begin.copy()
     while True:
         todo = inner[end[inner - 1] != entry[inner]]
@@ -242,7 +251,7 @@ def phrases(table: Transitions, s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         starts[found] = True
         end[again[ended >= 0]] = ended[ended >= 0]
     total = np.concatenate(([0], np.cumsum(starts)))
-    return total[cuts[1:]] - total[cuts[:-1]]
+    return total[first + size] - total[first]
 
 
 def train(docs: DataFrame, train_chars: int = 100_000, total_chars: int = 1_600_000) -> Model:
@@ -302,7 +311,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             size = 0
             for i in [*todo.tolist(), None]:
                 text = batch.column(1)[i].as_py() if i is not None else ""
-                if step and (i is None or size + len(text) > 1_000_000):
+                if step and (i is None or size + len(text) > SLICE_CHARS):
                     bits = score_texts(m, texts)
                     best = bits.argmin(1)
                     rel = np.exp(-8.0 * (bits - bits.min(1, keepdims=True)) / np.maximum(bits.min(1, keepdims=True), 1e-9))
