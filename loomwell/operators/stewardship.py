@@ -83,21 +83,27 @@ def job_step(jobs: DataFrame, events: DataFrame, as_of: str, ttl_minutes: int =
     return out.select("id", F.when(stale, "pending").otherwise(F.col("status")).alias("status"), "attempts", F.when(stale, F.lit(None).cast("timestamp")).otherwise(F.col("started_at")).alias("started_at"), F.col("merged").alias("result"))
 
 
-def claim(jobs: DataFrame, n: int = 1) -> DataFrame:
-    """The next n pending jobs, as running with one more attempt."""
-    return jobs.filter("status = 'pending'").orderBy(F.desc("priority"), "id").limit(n).withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
-
-
-def work(jobs: DataFrame, run, as_of: str, rounds: int, most: int = 1000) -> DataFrame:
-    """A worker's rounds over jobs (id, status, attempts, max_attempts, priority, started_at, result): in each it claims the next pending
-    ones, ``run`` gives one event for each (id, op, result), and their states move on. It ends when nothing is pending. Cancelled
-    jobs are never claimed; one that is cancelled while it runs ends at the round's end."""
-    for _ in range(rounds):
+def claim(jobs: DataFrame, n: int | None = 1) -> DataFrame:
+    """The next n pending jobs, or all of them, as running with one more attempt."""
+    pending = jobs.filter("status = 'pending'")
+    mine = pending if n is None else pending.orderBy(F.desc("priority"), "id").limit(n)
+    return mine.withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
+
+
+def work(jobs: DataFrame, run, as_of: str, rounds: int | None = None, most: int | None = None) -> DataFrame:
+    """A worker's rounds over jobs (id, status, attempts, max_attempts, priority, started_at, result): in each it claims the pending ones (or
+    the ``most`` that come next), ``run`` gives one event for each (id, op, result), and their states move on. It ends when nothing is
+    pending, or after ``rounds``. Cancelled jobs are never claimed; one that is cancelled while it runs ends at the round's end."""
+    done = 0
+    while rounds is None or done < rounds:
         mine = cut(claim(jobs, most))
         if not mine.limit(1).count():
             break
         after = job_step(mine, run(mine), as_of).join(mine.select("id", "priority", "max_attempts"), "id")
-        jobs = cut(jobs.join(mine.select("id"), "id", "left_anti").unionByName(after.select(jobs.columns)))
+        # without a limit, what was pending is what was claimed
+        rest = jobs.filter("status <> 'pending' OR status IS NULL") if most is None else jobs.join(mine.select("id"), "id", "left_anti")
+        jobs = cut(rest.unionByName(after.select(jobs.columns)))
+        done += 1
     return jobs
 
 

@@ -52,7 +52,7 @@ def worked(k):
         return claimed.join(luck, "id").select("id", op.alias("op"), F.create_map(F.lit("by"), F.lit("worker")).alias("result"))
 
     jobs = k.sql(QUEUED).drop("luck").withColumn("result", F.lit(None).cast("map<string,string>"))
-    return S.work(jobs, run, ORDER_AS_OF, 5, 10**6).select("id", "status", "attempts", F.col("result")["by"].alias("by"))
+    return S.work(jobs, run, ORDER_AS_OF).select("id", "status", "attempts", F.col("result")["by"].alias("by"))
 
 
 query("t10_worker", worked,
