@@ -55,7 +55,8 @@ def merge_plan(pairs: DataFrame, pages: DataFrame, links: DataFrame, timeline: D
 
 def merge_residue(sources: DataFrame, pages: DataFrame, links: DataFrame, mentions: DataFrame) -> DataFrame:
     """What a merge left of each source page: its row, links at either end and wikilinks; clean if nothing."""
-    ends = links.select(F.explode(F.array_distinct(F.array("from_slug", "to_slug"))).alias("source")).groupBy("source").agg(F.count("*").alias("links"))
+    own = sources.select("source").distinct()
+    ends = links.select(F.explode(F.array_distinct(F.array("from_slug", "to_slug"))).alias("source")).join(own, "source", "left_semi").groupBy("source").agg(F.count("*").alias("links"))
     named = sources.select("source", F.explode(F.array_distinct(F.array("source", F.element_at(F.split("source", "/"), -1)))).alias("target")).distinct()
     seen = named.join(mentions.select("slug", "target"), "target").groupBy("source").agg(F.count("*").alias("mentions"))
     out = sources.select("source").distinct().join(pages.select(F.col("slug").alias("source"), F.lit(1).alias("page")), "source", "left").join(ends, "source", "left").join(seen, "source", "left").fillna(0)
