@@ -103,9 +103,8 @@ query("l16_freshness", lambda k: N.freshness(k.kdiscoveries, ORDER_AS_OF).groupB
 
 
 def issues(k: Knowledge) -> DataFrame:
-    part = lambda df, dim, sev: df.select(F.lit(dim).alias("dimension"), F.lit(sev).alias("severity"), "slug")
-    return (part(R.islands(k.kpages, k.klinks), "islands", "medium").unionByName(part(R.bare_stubs(k.kpages, k.klinks), "stubs", "low")).unionByName(part(k.kpages.filter("trim(title) = ''"), "titles", "high"))
-            .unionByName(part(R.dangling(k.klinks, k.kpages).select(F.col("link_key").alias("slug")), "dangling", "high")))
+    severity = F.when(F.col("fault") == "islands", "medium").when(F.col("fault") == "stubs", "low").otherwise("high")
+    return R.page_faults(k.kpages, k.klinks).select(F.col("fault").alias("dimension"), severity.alias("severity"), "n")
 
 
 #: The same findings in SQL: i(dimension, severity).
