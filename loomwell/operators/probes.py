@@ -58,8 +58,9 @@ def keys(table: DataFrame, column: str) -> DataFrame:
     return cut(table.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("key")).distinct())
 
 
-def finding(rows: DataFrame, layer: str, check: str, severity: str, slug: str = "slug") -> DataFrame:
-    return rows.select(F.lit(f"{layer}.{check}").alias("check"), F.lit(layer).alias("layer"), F.lit(severity).alias("severity"), F.col(slug).alias("slug"))
+def finding(rows: DataFrame, layer: str, check: str, severity: str, slug: str = "slug", n: Column | None = None) -> DataFrame:
+    """Findings; a row stands for ``n`` of one slug, if given, else for one."""
+    return rows.select(F.lit(f"{layer}.{check}").alias("check"), F.lit(layer).alias("layer"), F.lit(severity).alias("severity"), F.col(slug).alias("slug"), (F.lit(1) if n is None else n).cast("long").alias("n"))
 
 
 @dataclass
@@ -130,12 +131,14 @@ def table_probe(s: Stores) -> DataFrame:
 
 
 def orphan_probe(s: Stores) -> DataFrame:
-    """Rows that name a page that is not there, by table; one finding a row."""
+    """Rows that name a page that is not there, by table. Names are counted and kept once: links are neither derived nor gathered again to say
+    how many rows a lost name has."""
     out = None
-    ends = {"links": s.links.select(F.explode(F.array_distinct(F.array("from_slug", "to_slug"))).alias("slug"))} | {n: getattr(s, n).select(F.col("page_slug").alias("slug")) for n in ("chunks", "tags", "aliases", "timeline")}
+    ends = {"links": relational.link_ends(s.links).select("slug", F.col("rows").alias("n"))} | {n: getattr(s, n).groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("n")) for n in ("chunks", "tags", "aliases", "timeline")}
     for name, rows in ends.items():
-        lost = differences(keys(rows, "slug"), s.keys("pages", "slug")).filter("only_in = 'a'").select(F.col("key").alias("slug"))
-        part = finding(rows.join(lost, "slug", "left_semi"), "tables", f"orphan_{name}", "warning")
+        named = cut(rows.filter("slug is not null").select(F.col("slug").cast("string").alias("key"), "n"))
+        lost = differences(named.select("key"), s.keys("pages", "slug")).filter("only_in = 'a'").select("key")
+        part = finding(named.join(lost, "key", "left_semi"), "tables", f"orphan_{name}", "warning", "key", F.col("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -144,7 +147,7 @@ PROBES = {"tables": table_probe, "orphans": orphan_probe, "text": text_probe, "v
 
 
 def probe(stores: Stores, families: tuple[str, ...] = tuple(PROBES)) -> DataFrame:
-    """(check, layer, severity, slug) of all findings of these families."""
+    """(check, layer, severity, slug, n) of all findings of these families; a row stands for n of them."""
     out = None
     for name in families:
         part = PROBES[name](stores)
@@ -155,7 +158,7 @@ def probe(stores: Stores, families: tuple[str, ...] = tuple(PROBES)) -> DataFram
 def report(found: DataFrame, k: int = SAMPLE) -> DataFrame:
     """(check, layer, severity, n, sample): a sample is k anonymous names (hashes) of different pages, those that sort first. Each task keeps k
     a check before the exchange."""
-    counts = found.groupBy("check", "layer", "severity").agg(F.count("*").alias("n"))
+    counts = found.groupBy("check", "layer", "severity").agg(F.sum("n").alias("n"))
     name = F.substring(F.sha2(F.col("slug"), 256), 1, 12)
     w = Window.partitionBy("check").orderBy("name")
     some = found.select("check", name.alias("name")).distinct().withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
@@ -165,7 +168,7 @@ def report(found: DataFrame, k: int = SAMPLE) -> DataFrame:
 
 def gate(found: DataFrame, baseline: DataFrame) -> DataFrame:
     """(check, before, now, state): a check is worse, better or same against a baseline (check, n); any worse error closes the gate."""
-    now = found.groupBy("check", "severity").agg(F.count("*").alias("now"))
+    now = found.groupBy("check", "severity").agg(F.sum("n").alias("now"))
     j = now.join(baseline.select("check", F.col("n").alias("before")), "check", "full_outer").fillna(0, ["now", "before"])
     state = F.when(F.col("now") > F.col("before"), "worse").when(F.col("now") < F.col("before"), "better").otherwise("same")
     return j.select("check", "before", "now", state.alias("state"), (F.coalesce(F.col("severity") == "error", F.lit(False)) & (state == "worse")).alias("closes"))
