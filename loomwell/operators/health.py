@@ -17,10 +17,16 @@ from pyspark.sql import functions as F
 from loomwell.functions import exprs as X
 from loomwell.functions import ontology
 from loomwell.operators import knowledge, relational
+from loomwell.operators.lineage import stored
 
 # Runs after which an issue is chronic; days and hours of the checks that look back.
 CHRONIC_RUNS, WEEK, DAY_HOURS, STALE_DAYS = 3, 7, 24, 30
 NO_PAGE = "-"
+#: Folders of mentioned pages up to which links are filtered by them.
+FOLDERS = 100
+#: What is known of a line of a page's section: its link is a current fact; it is written; an active link counts here; another page is at its
+#: other end, as a fact; it is an outgoing one.
+_DUE, _WRITTEN, _LINK, _OTHER, _OUT = 1, 2, 4, 8, 16
 
 
 @dataclass(frozen=True)
@@ -137,20 +143,41 @@ def slug_collisions(pages: DataFrame) -> DataFrame:
     return issue(rows.join(shared, "base", "left_semi"), "slug_collisions", "same_base", "high")
 
 
-def structure(state: State) -> DataFrame:
-    """Links that the files do not tell, mentions without a link, and managers without an edge."""
-    facts = state.links.filter(X.current_fact())
-    ends = F.explode(F.array(F.struct(F.col("from_slug").alias("slug"), F.lit("out").alias("direction")), F.struct(F.col("to_slug").alias("slug"), F.lit("in").alias("direction")))).alias("e")
-    due = facts.select(ends, "link_key").select("e.slug", "e.direction", "link_key").distinct()
-    on_file = due.join(state.pages.select("slug"), "slug", "left_semi")
-    missing = on_file.join(state.written.select("slug", "direction", "link_key"), ["slug", "direction", "link_key"], "left_anti").select("slug", "direction").distinct()
-    code = F.when(F.col("direction") == "out", "outgoing_missing").otherwise("incoming_missing")
-    out = missing.select(F.lit("structure").alias("dimension"), code.alias("code"), F.lit("medium").alias("severity"), "slug")
-    # a section that has all its lines, and others besides
-    extra = state.written.select("slug", "direction", "link_key").join(due, ["slug", "direction", "link_key"], "left_anti").select("slug").distinct()
-    drift = extra.join(due.select("slug").distinct(), "slug", "left_semi").join(missing.select("slug").distinct(), "slug", "left_anti")
-    told = state.mentioned.filter("slug <> target").select("slug", F.col("target").alias("to_slug")).distinct()
-    untold = told.join(state.links.select(F.col("from_slug").alias("slug"), "to_slug"), ["slug", "to_slug"], "left_anti").select("slug").distinct()
+def page_links(state: State) -> DataFrame:
+    """(slug, links, due, linked, out_missing, in_missing, extra) of all slugs that an active link or a written line names: how many active links
+    touch it (a self-loop once); whether a fact does, and one with another page; whether a fact's line is not written; whether others are. The ends of links and the written lines cross one exchange, by slug; a line that is due and one that is written meet in a hash
+    aggregate, not in joins. A line is kept without the slug that it begins or ends with."""
+    slug, key, out = F.col("slug"), F.col("link_key"), F.col("direction") == "out"
+    rest = F.when(key.startswith(slug), F.concat(F.lit("<"), F.substring(key, F.length(slug) + 1, F.length(key)))).when(key.endswith(slug), F.concat(F.lit(">"), F.substring(key, F.lit(1), F.length(key) - F.length(slug))))
+    line = F.concat(F.when(out, "o").otherwise("i"), F.coalesce(rest, F.concat(F.lit("="), key), F.lit("?"))).alias("line")
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    loop, fact = F.col("from_slug") == F.col("to_slug"), X.current_fact()
+    whose = (("from_slug", "out", F.lit(True)), ("to_slug", "in", ~F.coalesce(loop, F.lit(False))))
+    ends = F.explode(F.array(*[F.struct(F.col(end).alias("slug"), F.lit(d).alias("direction"), (bit(fact, _DUE) + bit(once, _LINK) + bit(fact & ~loop, _OTHER)).alias("marks")) for end, d, once in whose])).alias("e")
+    due = state.links.filter(X.active_link()).select(ends, "link_key").select("e.*", "link_key")
+    rows = due.unionByName(state.written.select("slug", "direction", "link_key", F.lit(_WRITTEN).alias("marks"))).filter("slug IS NOT NULL")
+    lines = rows.select("slug", line, (F.col("marks") + bit(out, _OUT)).alias("marks")).repartition("slug").groupBy("slug", "line").agg(F.bit_or("marks").alias("marks"))
+    has = lambda n: F.col("marks").bitwiseAND(n) > 0
+    holds = {"due": has(_DUE), "linked": has(_OTHER), "out_missing": has(_DUE) & ~has(_WRITTEN) & has(_OUT), "in_missing": has(_DUE) & ~has(_WRITTEN) & ~has(_OUT), "extra": has(_WRITTEN) & ~has(_DUE)}
+    return lines.groupBy("slug").agg(F.count(F.when(has(_LINK), 1)).alias("links"), *[F.max(c).alias(name) for name, c in holds.items()])
+
+
+def folder(slug: Column) -> Column:
+    """A slug up to its last slash."""
+    return F.left(slug, F.length(slug) - F.length(F.substring_index(slug, "/", -1)))
+
+
+def structure(state: State, ends: DataFrame) -> DataFrame:
+    """Links that the files do not tell, mentions without a link, and managers without an edge; ``ends`` as ``page_links`` gives them."""
+    paged = ends.join(state.pages.select("slug"), "slug", "left_semi").select("slug", F.array_compact(F.array(F.when(F.col("out_missing"), "outgoing_missing"), F.when(F.col("in_missing"), "incoming_missing"))).alias("codes"))
+    out = paged.select(F.lit("structure").alias("dimension"), F.explode("codes").alias("code"), F.lit("medium").alias("severity"), "slug")
+    # a section that has all its lines, and others besides; a slug without page misses nothing
+    drift = ends.filter("extra AND due").join(paged.filter("size(codes) > 0"), "slug", "left_anti").select("slug")
+    told = stored(state.mentioned.filter("slug <> target").select("slug", F.col("target").alias("to_slug")).distinct())
+    # only links into the folders of mentioned pages can answer; they are looked at if these are few
+    into = [r[0] for r in told.select(folder(F.col("to_slug"))).distinct().limit(FOLDERS + 1).collect()]
+    near = state.links.filter(folder(F.col("to_slug")).isin(into)) if len(into) <= FOLDERS else state.links
+    untold = told.join(near.select(F.col("from_slug").alias("slug"), "to_slug"), ["slug", "to_slug"], "left_anti").select("slug").distinct()
     edge = state.links.filter("relation = 'reports_to' AND (trust_state IS NULL OR trust_state IN ('trusted', 'user_thought'))").select(F.col("from_slug").alias("slug"), F.col("to_slug").alias("reports_to"))
     named = state.managers.filter("reports_to <> ''")
     whole = F.col("reports_to").contains("/")
@@ -161,7 +188,7 @@ def structure(state: State) -> DataFrame:
     )
 
 
-def totals(state: State, as_of: str) -> DataFrame:
+def totals(state: State, as_of: str, ends: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row of measures: one scan of each table."""
     now = X.ts(as_of)
     since = lambda hours: F.col("created_at") >= now - F.expr(f"INTERVAL {hours} HOURS")
@@ -171,7 +198,7 @@ def totals(state: State, as_of: str) -> DataFrame:
         state.pages.agg(F.count("*").alias("pages"), n(F.col("type").startswith("entity/")).alias("entities"), n(F.col("type").startswith("concept/")).alias("concepts"), n(F.col("type") == "record").alias("records")),
         state.links.agg(F.count("*").alias("links")),
         state.links.select("relation").distinct().join(known, "relation", "left_anti").agg(F.count("*").alias("odd_relations")),
-        relational.zero_link_records(state.pages, state.chunks, state.tags, state.links).agg(F.count("*").alias("zero_link_records")),
+        relational.rich_records(state.pages, sizes, state.tags).join(ends.filter("linked"), "slug", "left_anti").agg(F.count("*").alias("zero_link_records")),
         state.errors.agg(n(since(DAY_HOURS)).alias("errors_day"), n(since(24 * WEEK)).alias("errors_week")),
         relational.search_quality(state.searches, _before(as_of, WEEK)).select(F.col("total").alias("searches"), "degraded_rate", "latency_warning_rate", "empty", "hierarchy_mismatches"),
         state.extraction.filter(since(24 * WEEK)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("extracted", "filtered", "candidates", "duplicates", "stubs")]),
@@ -193,14 +220,13 @@ def _before(as_of: str, days: int) -> str:
 
 def issues(state: State, as_of: str) -> DataFrame:
     """All issues of the twenty dimensions: (dimension, code, severity, slug)."""
-    chunks = state.chunks.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("chunks"))
-    links = relational.endpoints(state.links.filter(X.active_link()), once=True).groupBy("slug").agg(F.count("*").alias("links"))
-    facts = state.pages.join(chunks, "slug", "left").join(links, "slug", "left").fillna(0, ["chunks", "links"])
+    sizes, ends = stored(relational.chunk_sizes(state.chunks)), stored(page_links(state))
+    facts = state.pages.join(sizes.select("slug", "chunks"), "slug", "left").join(ends.select("slug", "links"), "slug", "left").fillna(0, ["chunks", "links"])
     facts = facts.withColumn("as_of", X.ts(as_of)).withColumn("as_of_day", F.lit(as_of[:10]))
     reasons = lambda rows, dimension: issue(relational.top_reasons(rows, 3).select(F.concat(F.lit("reason:"), "reason").alias("slug")), dimension, "reason", "low")
     recent = state.searches.filter(F.col("created_at") >= X.ts(_before(as_of, WEEK)))
     parts = [
-        flagged(facts, PAGE_RULES), flagged(totals(state, as_of), TOTAL_RULES, F.lit(NO_PAGE)), duplicates(state.pages), slug_collisions(state.pages), structure(state),
+        flagged(facts, PAGE_RULES), flagged(totals(state, as_of, ends, sizes), TOTAL_RULES, F.lit(NO_PAGE)), duplicates(state.pages), slug_collisions(state.pages), structure(state, ends),
         issue(state.quarantine, "title_quarantine", "quarantined", "high"), issue(state.conflicts, "contradictions", "conflict", "medium"), reasons(recent, "search"),
     ]
     out = parts[0]
