@@ -265,37 +265,44 @@ def sample(found: DataFrame, k: int = 10) -> DataFrame:
 
 def identities(found: DataFrame) -> DataFrame:
     """(dimension, identity): what an issue is known by from run to run: its page, or else its code."""
-    return found.select("dimension", F.when(F.col("slug") == NO_PAGE, F.col("code")).otherwise(F.col("slug")).alias("identity")).distinct()
+    return found.select("dimension", F.when(F.col("slug") == NO_PAGE, F.col("code")).otherwise(F.col("slug")).alias("identity"))
+
+
+def compared(found: DataFrame, history: DataFrame | None) -> DataFrame:
+    """(dimension, identity, now, was, before) of all that this run or the history knows: whether this run has it, its runs on end so far (null
+    if it is new), and the most runs that its identity has had in any dimension. One exchange, by identity."""
+    rows = identities(found).select("dimension", "identity", F.lit(True).alias("now"), F.lit(None).cast("long").alias("runs"))
+    if history is not None:
+        rows = rows.unionByName(history.select("dimension", "identity", F.lit(False).alias("now"), F.col("runs").cast("long").alias("runs")))
+    both = rows.repartition("identity").groupBy("dimension", "identity").agg(F.max("now").alias("now"), F.max("runs").alias("was"))
+    return both.withColumn("before", F.max("was").over(Window.partitionBy("identity")))
+
+
+def _next(both: DataFrame) -> DataFrame:
+    return both.filter("now").select("dimension", "identity", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("runs"))
+
+
+def _delta(both: DataFrame, chronic: int) -> DataFrame:
+    state = F.when(F.col("was").isNull(), "new").when(~F.col("now"), "resolved").otherwise("unchanged")
+    return both.select("dimension", "identity", state.alias("state"), (F.col("now") & (F.coalesce("before", F.lit(0)) >= chronic)).alias("chronic"))
 
 
 def next_history(found: DataFrame, history: DataFrame | None) -> DataFrame:
     """(dimension, identity, runs): the issues of this run, and in how many runs on end each identity has been seen."""
-    now = identities(found)
-    if history is None:
-        return now.withColumn("runs", F.lit(1).cast("long"))
-    before = history.groupBy("identity").agg(F.max("runs").alias("before"))
-    return now.join(before, "identity", "left").select("dimension", "identity", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("runs"))
+    return _next(compared(found, history))
 
 
 def delta(found: DataFrame, history: DataFrame | None, chronic: int = CHRONIC_RUNS) -> DataFrame:
     """(dimension, identity, state, chronic): new, unchanged or resolved against the history; chronic if seen in so many runs before."""
-    now = identities(found)
-    if history is None:
-        return now.select("dimension", "identity", F.lit("new").alias("state"), F.lit(False).alias("chronic"))
-    was = history.select("dimension", "identity", F.lit(1).alias("was"))
-    runs = history.groupBy("identity").agg(F.max("runs").alias("runs"))
-    both = now.withColumn("is", F.lit(1)).join(was, ["dimension", "identity"], "full_outer").join(runs, "identity", "left")
-    state = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "resolved").otherwise("unchanged")
-    return both.select("dimension", "identity", state.alias("state"), (F.col("is").isNotNull() & (F.coalesce("runs", F.lit(0)) >= chronic)).alias("chronic"))
+    return _delta(compared(found, history), chronic)
 
 
 def run(found: DataFrame, path: str) -> DataFrame:
     """The delta of this run against the history stored at ``path``, which then holds this run too."""
     spark = found.sparkSession
-    history = knowledge.read_table(spark, path) if knowledge.has_table(spark, path) else None
-    out = delta(found, history)
-    knowledge.replace_table(next_history(found, history), path)
-    return out
+    both = stored(compared(found, knowledge.read_table(spark, path) if knowledge.has_table(spark, path) else None))
+    knowledge.replace_table(_next(both), path)
+    return _delta(both, CHRONIC_RUNS)
 
 
 def summary_text(judged: DataFrame, changed: DataFrame, day: str) -> str:
