@@ -22,8 +22,6 @@ from loomwell.operators.lineage import stored
 # Runs after which an issue is chronic; days and hours of the checks that look back.
 CHRONIC_RUNS, WEEK, DAY_HOURS, STALE_DAYS = 3, 7, 24, 30
 NO_PAGE = "-"
-#: Folders of mentioned pages up to which links are filtered by them.
-FOLDERS = 100
 #: What is known of a line of a page's section: its link is a current fact; it is written; an active link counts here; another page is at its
 #: other end, as a fact; it is an outgoing one.
 _DUE, _WRITTEN, _LINK, _OTHER, _OUT = 1, 2, 4, 8, 16
@@ -162,11 +160,6 @@ def page_links(state: State) -> DataFrame:
     return lines.groupBy("slug").agg(F.count(F.when(has(_LINK), 1)).alias("links"), *[F.max(c).alias(name) for name, c in holds.items()])
 
 
-def folder(slug: Column) -> Column:
-    """A slug up to its last slash."""
-    return F.left(slug, F.length(slug) - F.length(F.substring_index(slug, "/", -1)))
-
-
 def structure(state: State, ends: DataFrame) -> DataFrame:
     """Links that the files do not tell, mentions without a link, and managers without an edge; ``ends`` as ``page_links`` gives them."""
     paged = ends.join(state.pages.select("slug"), "slug", "left_semi").select("slug", F.array_compact(F.array(F.when(F.col("out_missing"), "outgoing_missing"), F.when(F.col("in_missing"), "incoming_missing"))).alias("codes"))
@@ -174,9 +167,7 @@ def structure(state: State, ends: DataFrame) -> DataFrame:
     # a section that has all its lines, and others besides; a slug without page misses nothing
     drift = ends.filter("extra AND due").join(paged.filter("size(codes) > 0"), "slug", "left_anti").select("slug")
     told = stored(state.mentioned.filter("slug <> target").select("slug", F.col("target").alias("to_slug")).distinct())
-    # only links into the folders of mentioned pages can answer; they are looked at if these are few
-    into = [r[0] for r in told.select(folder(F.col("to_slug"))).distinct().limit(FOLDERS + 1).collect()]
-    near = state.links.filter(folder(F.col("to_slug")).isin(into)) if len(into) <= FOLDERS else state.links
+    near = relational.possible(state.links.select("from_slug", "to_slug"), "to_slug", told.select(F.col("to_slug").alias("slug")))
     untold = told.join(near.select(F.col("from_slug").alias("slug"), "to_slug"), ["slug", "to_slug"], "left_anti").select("slug").distinct()
     edge = state.links.filter("relation = 'reports_to' AND (trust_state IS NULL OR trust_state IN ('trusted', 'user_thought'))").select(F.col("from_slug").alias("slug"), F.col("to_slug").alias("reports_to"))
     named = state.managers.filter("reports_to <> ''")
