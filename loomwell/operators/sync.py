@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from loomwell.operators import knowledge
-from loomwell.operators.lineage import cut
+from loomwell.operators.lineage import stored
 from loomwell.operators.textindex import TextIndex
 from loomwell.sources import vault
 
@@ -88,11 +88,10 @@ class Store:
         return F.pmod(F.xxhash64(slug), F.lit(self.buckets)).cast("int")
 
     def plan(self, files: DataFrame, now: Snapshot, whole: bool = False) -> DataFrame:
-        """(slug, action, existing, ...) of files (file_path, slug, title, type, content_hash, body); ``whole``: they are all there are."""
+        """(slug, action, existing, ...) of files (file_path, slug, title, type, content_hash, due); ``whole``: they are all there are. ``due`` is
+        how many chunks a file gives; no text is compared, exchanged or kept here."""
         n = F.count("*").alias("files")
-        own = files.groupBy("slug").agg(n, *[F.min_by(c, "file_path").alias(c) for c in ("title", "type", "content_hash", "body")], F.min("file_path").alias("file_path"))
-        due = F.size(knowledge.pack_paragraphs(F.col("body"), self.size)).cast("long")
-        own = own.withColumn("due", F.when(F.trim("body") == "", 0).otherwise(due))
+        own = files.groupBy("slug").agg(n, *[F.min_by(c, "file_path").alias(c) for c in ("title", "type", "content_hash", "due")], F.min("file_path").alias("file_path"))
         have = now.chunks.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("n_chunks"), F.sum(F.greatest(F.length(F.lower("content")) - 2, F.lit(0))).cast("long").alias("grams"))
         vecs = now.vectors.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("n_vectors"))
         words = now.text.pages().select("slug", "dl") if now.text.fixed else self.spark.createDataFrame([], "slug string, dl long")
@@ -104,12 +103,12 @@ class Store:
             F.when(F.col("files").isNull(), "delete").when(F.col("files") > 1, "duplicate").when(F.col("old_hash").isNull(), "add")
             .when(F.col("old_hash") != F.col("content_hash"), "update").when(~complete, "redo").otherwise("skip")
         )
-        rows = cut(j.withColumn("action", action).select("slug", "file_path", "title", "type", "content_hash", "body", "action"))
+        rows = stored(j.withColumn("action", action).select("slug", "file_path", "title", "type", "content_hash", "action"))
         # an update that is held back leaves its page, which then keeps its title: decide again, until no more are held
         kept, n_kept = None, 0
         while True:
             out = self._titles(rows, now, kept)
-            held = cut(out.filter("action = 'quarantine' AND was = 'update'").select("slug"))
+            held = stored(out.filter("action = 'quarantine' AND was = 'update'").select("slug"))
             n = held.count()
             if n == n_kept:
                 return out.drop("was")
@@ -131,7 +130,7 @@ class Store:
         second = writes & F.col("first").isNotNull() & (F.col("first.slug") != F.col("slug"))
         final = F.when(second, "quarantine").when(person, "promote").when(discard, "skip").when(held, "quarantine").otherwise(F.col("action"))
         existing = F.when(second, F.col("first.slug")).when(held, F.col("holder.slug"))
-        return rows.select("slug", "file_path", "title", "type", "content_hash", "body", F.col("action").alias("was"), final.alias("action"), existing.alias("existing"))
+        return rows.select("slug", "file_path", "title", "type", "content_hash", F.col("action").alias("was"), final.alias("action"), existing.alias("existing"))
 
     # ---- apply ----
 
@@ -142,18 +141,22 @@ class Store:
         if batch in done:
             return self.spark.createDataFrame([], "slug string, action string, existing string")
         now = Snapshot(*(self._table(n, manifest) for n in SCHEMAS), self._text(manifest))
-        plan = cut(self.plan(vault.parse_vault(files), now, whole))
+        # files are read, parsed and cut once; only the chunks of those that are taken are moved
+        pieces = F.when(F.trim("body") == "", F.array().cast("array<string>")).otherwise(knowledge.pack_paragraphs(F.col("body"), self.size))
+        parsed = stored(vault.parse_vault(files).select("slug", "file_path", "title", "type", "content_hash", pieces.alias("pieces")))
+        plan = stored(self.plan(parsed.withColumn("due", F.coalesce(F.size("pieces"), F.lit(0)).cast("long")).drop("pieces"), now, whole))
         out = plan.select("slug", "action", "existing")
         taken = plan.filter(F.col("action").isin(*APPLIED))
         gone = plan.filter("action = 'delete'").select("slug").unionByName(plan.filter("action = 'promote'").select(F.col("existing").alias("slug")))
-        changed = cut(taken.select("slug").unionByName(gone).distinct())
+        changed = stored(taken.select("slug").unionByName(gone).distinct())
         held = plan.filter("action = 'quarantine'")
         freed = now.quarantine.join(plan.select("slug"), "slug", "left_semi").select("slug")
         touched = {n: self._touched(df) for n, df in (("pages", changed), ("quarantine", held.select("slug").unionByName(freed)))}
         if not touched["pages"] and not touched["quarantine"]:
             return out  # nothing changes: no commit
         folder = f"{self.path}/batches/{uuid.uuid4().hex}"
-        chunks = cut(knowledge.chunk_pages(taken.filter(F.trim("body") != "").select("slug", "body"), "body", self.size).select(F.col("slug").alias("page_slug"), F.col("chunk_index").cast("int").alias("chunk_index"), "content"))
+        due = parsed.filter(F.size("pieces") > 0).select("slug", "file_path", "pieces").join(taken.select("slug", "file_path"), ["slug", "file_path"], "left_semi")
+        chunks = stored(due.select(F.col("slug").alias("page_slug"), F.posexplode("pieces").alias("chunk_index", "content")))
         sizes = chunks.groupBy(F.col("page_slug").alias("slug")).agg(F.count("*").alias("chunks"))
         pages = taken.select("slug", "file_path", "title", "type", "content_hash").join(sizes, "slug", "left").fillna(0, ["chunks"])
         vectors = chunks.select("page_slug", "chunk_index", self.embed.cast("array<float>").alias("vector"))
